@@ -13,26 +13,40 @@ from pyspark.sql import functions as F
 from .common import connected_components, cut, table
 
 COSINE = 0.9
-#: A product code has WORDS unit vectors in each of two halves of the (rotated) space: WORDS ** 2 directions.
+#: A product code has up to WORDS unit vectors in each of two halves of the (rotated) space: WORDS ** 2 directions.
 WORDS, CODES = 256, 8
-#: A vector is in a direction's cap if their inner product exceeds CAP / sqrt(dimension).
-CAP = 3.75
+#: The share of the sphere that a cap covers, and the largest height of a cap: in few dimensions caps are larger than
+#: that share, so that they are wide against the angle of a link, and there are fewer of them.
+CAP, HIGHEST = 6e-5, 0.8
 #: A bucket with more members is compared in blocks of about so many, each pair of blocks in its own task.
 BLOCK = 1_000
 SEED = 20_240
 
 
+@cache
+def caps(dim: int) -> tuple[float, int]:
+    """The caps' height in ``dim`` dimensions, and the number of words of a half.
+
+    The height is where the share CAP of the unit sphere lies above, by the density (1 - t^2)^((dim - 3) / 2).
+    """
+    angle = np.linspace(0, np.pi, 200_001)
+    total = np.cumsum(np.sin(angle) ** max(dim - 2, 0))
+    height = min(HIGHEST, float(np.cos(angle[np.searchsorted(total, CAP * total[-1])])))
+    share = total[np.searchsorted(angle, np.arccos(height))] / total[-1]
+    return height, min(WORDS, max(2, int(np.sqrt(CAP / share) * WORDS)))
+
+
 @cache
 def _codes(dim: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Per code: a random rotation and the words of its two halves, each of length sqrt(1/2)."""
     rng = np.random.default_rng([SEED, dim])
-    out = []
+    words, out = caps(dim)[1], []
     for _ in range(CODES):
         rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
         halves = []
         for d in (dim // 2, dim - dim // 2):
-            words = rng.standard_normal((WORDS, max(d, 1)))
-            halves.append((words / np.linalg.norm(words, axis=1, keepdims=True) * np.sqrt(0.5))[:, :d])
+            w = rng.standard_normal((words, max(d, 1)))
+            halves.append((w / np.linalg.norm(w, axis=1, keepdims=True) * np.sqrt(0.5))[:, :d])
         out.append((rotation, *halves))
     return out
 
@@ -45,12 +59,14 @@ def decode(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """
     n, dim = units.shape
     rows, dirs = [], []
+    if dim == 1:  # two directions in all
+        return np.arange(n), (units[:, 0] < 0).astype(np.int64)
     for k, (rotation, one, two) in enumerate(_codes(dim)):
         turned = units @ rotation
         a, b = turned[:, : dim // 2] @ one.T, turned[:, dim // 2 :] @ two.T
         order = np.argsort(-b, axis=1)
         sorted_b = np.take_along_axis(b, order, axis=1)
-        need = CAP / np.sqrt(dim) - a
+        need = caps(dim)[0] - a
         near = need <= sorted_b[:, :1]  # words of the first half that any word of the second completes
         r, w = np.nonzero(near)
         counts = (sorted_b[r] >= need[r, w][:, None]).sum(axis=1)

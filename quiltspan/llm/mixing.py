@@ -30,13 +30,14 @@ def water_fill(sizes: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epochs:
     return rows.select("source", "source_size", "weight", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(F.col("level") * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epochs: int = 3, seed: str = "mix", share: float = 1.0, keep: Sequence[str] = ()) -> DataFrame:
-    """doc_id, source, size, source_size, target, repeats, taken for each row of ``docs``, and the columns ``keep``.
+def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epochs: int = 3, seed: str = "mix", share: float = 1.0, whole_rows: bool = False) -> DataFrame:
+    """doc_id, source, size, source_size, target, repeats, taken for each row of ``docs``, and the row itself as the
+    struct ``row`` if ``whole_rows``.
 
     size is the number of words of the text. A source's target over its size is the number of epochs: each of its
     documents is taken the whole number of times, and once more if it comes, in the order of MD5(seed, doc_id),
     before the fraction of the source's words is filled. To find that place no source is gathered in one task: the
-    order is cut in 65,536 ranges of the digest, one row per source and range gives each range's start, and only rows
+    order is cut in 4,096 ranges of the digest, one row per source and range gives each range's start, and only rows
     of the same source and range meet in a window. taken = size * repeats, at most ``max_epochs`` times size, and a
     source's taken words miss its target by half a document at most.
 
@@ -45,27 +46,27 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epochs: int = 3
     targets zero. Empty table: empty result. Other columns may have any names.
     """
     base = docs.select(
-        *[F.col(c).alias(f"_keep_{c}") for c in keep],
+        *([F.struct(*docs.columns).alias("row")] if whole_rows else []),
         "doc_id",
         "source",
+        F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("key"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("draw"),
-    ).withColumn("part", F.substring("draw", 1, 4))
-    small = base.select("doc_id", "source", "size", "draw", "part") if keep else base
-    parts = cut(small.groupBy("source", "part").agg(F.sum("size").alias("part_size")), "mix-parts")
+    ).withColumn("part", F.substring("draw", 1, 3))
+    parts = cut(base.groupBy("source", "part").agg(F.sum("size").alias("part_size")), "mix-parts")
     by_part = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.select("source", "part", F.coalesce(F.sum("part_size").over(by_part), F.lit(0)).alias("start"))
     targets = water_fill(parts.groupBy("source").agg(F.sum("part_size").alias("source_size")), weights, max_epochs, share)
     # one row per source and range: small beside the documents, and joined by its size as Spark finds it
-    plan = starts.join(targets, starts["source"].eqNullSafe(targets["source"])).select(starts["source"].alias("p_source"), F.col("part").alias("p_part"), "start", "source_size", "target")
+    plan = starts.join(targets, starts["source"].eqNullSafe(targets["source"])).select(F.coalesce(F.concat(F.lit("s"), starts["source"]), F.lit("n")).alias("key"), "part", "start", "source_size", "target")
     epochs = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     plan = plan.withColumn("whole", F.floor(epochs)).withColumn("quota", F.col("target") - F.col("whole") * F.col("source_size"))
-    joined = base.join(plan, base["source"].eqNullSafe(plan["p_source"]) & (F.col("part") == F.col("p_part")))
-    within = Window.partitionBy("source", "part").orderBy("draw", "size").rowsBetween(Window.unboundedPreceding, -1)
+    joined = base.join(plan, ["key", "part"])
+    within = Window.partitionBy("key", "part").orderBy("draw", "size").rowsBetween(Window.unboundedPreceding, -1)
     done = F.col("start") + F.coalesce(F.sum("size").over(within), F.lit(0))
     extra = (done.cast("double") + F.col("size") / F.lit(2.0) < F.col("quota")).cast("int")
     out = joined.withColumn("repeats", (F.col("whole") + extra).cast("int"))
-    return out.select(*[F.col(f"_keep_{c}").alias(c) for c in keep if c not in ("doc_id", "source")], "doc_id", "source", "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"))
+    return out.select(*(["row"] if whole_rows else []), "doc_id", "source", "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"))
 
 
 def op10_mix_sources(spark, sf_dir):

@@ -43,6 +43,8 @@ _GAP = re.compile(r"[\s-]{1,3}(?=[A-Za-z0-9])")
 _NAME, _LABEL = r"[A-Za-z0-9._%+-]{1,64}", r"[A-Za-z0-9-]{1,63}"
 _AT = r"(?:\s{0,3}[\[({<]\s{0,3}(?:at|@|arroba)\s{0,3}[\])}>]\s{0,3}|\s{1,3}at\s{1,3}|\s{0,3}@\s{0,3})"
 _DOT = r"(?:\s{0,3}[\[({<]\s{0,3}(?:dot|punkt|point|punto|\.)\s{0,3}[\])}>]\s{0,3}|\s{1,3}dot\s{1,3}|\.)"
+#: Without brackets only an address in one of these domains is one.
+_DOMAINS = frozenset("com org net edu gov mil int info biz name io co ai app dev me tv eu de fr es it nl be at ch uk ie us ca au nz in jp cn ru br mx pl se no fi dk pt gr cz".split())
 #: A disguised address has a bracketed or spelled dot, or a bracketed at sign.
 _DISGUISED = re.compile(rf"(?<![A-Za-z0-9._%+-]){_NAME}(?P<at>{_AT}){_LABEL}(?P<rest>(?:{_DOT}{_LABEL})+)", re.I)
 _HINT = re.compile(r"[\[({<]\s{0,3}(?:at|@|arroba|dot|punkt|point|punto|\.)\s{0,3}[\])}>]|\sdot\s", re.I)
@@ -124,7 +126,7 @@ def _disguise_edits(text: str) -> list[tuple[int, int, str]]:
         at, rest = m["at"].strip(), m["rest"]
         dots = [d for d in _DOT_PART.finditer(rest)]
         marked = any(d[0] != "." for d in dots)
-        if at[:1] in tuple("[({<") or at.lower() == "at" and marked or at == "@" and marked:
+        if at[:1] in tuple("[({<") or marked and (at == "@" or at.lower() == "at" and rest[dots[-1].end() :].lower() in _DOMAINS):
             edits.append((m.start("at"), m.end("at"), "@"))
             edits += [(m.start("rest") + d.start(), m.start("rest") + d.end(), ".") for d in dots if d[0] != "."]
     return edits

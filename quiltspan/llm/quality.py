@@ -22,7 +22,7 @@ WINDOW = 5
 RULES = ("symbols_per_word", "repeated_words", "duplicate_lines", "upper_case", "punctuation", "one_word")
 BINS = 200
 #: Strata with fewer good labelled documents than this are pooled.
-MIN_STRATUM = 200
+MIN_STRATUM = 300
 METRICS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, " + ", ".join(f"{r} double" for r in RULES)
 
 
@@ -130,7 +130,7 @@ def cutoffs(good: dict[tuple[str, str], np.ndarray], bad: dict[tuple[str, str],
     return out
 
 
-def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.06, alpha: float = 0.05, cost: float = 20.0) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.12, alpha: float = 0.05, cost: float = 20.0) -> DataFrame:
     """All measures and stratum, rejected_by, base_failed, kept for every document.
 
     The labelled documents are the holdout, the languages the strata; those with fewer than MIN_STRATUM good labels

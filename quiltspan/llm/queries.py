@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import embedding, mixing, packing, pii, quality, simhash, toxicity, url_filter, warc
+from . import embedding, html, mixing, packing, pii, quality, simhash, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_embedding_near_dedup": embedding.op1_embedding_near_dedup,
+    "op2_html_extraction": html.op2_html_extraction,
     "op3_url_filter": url_filter.op3_url_filter,
     "op4_warc": warc.op4_warc,
     "op5_toxicity": toxicity.op5_toxicity,

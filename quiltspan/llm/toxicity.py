@@ -84,7 +84,7 @@ class Grammar:
                 f["best"] = max(f["best"], clause_best)
                 no = aim = 99
                 clause_best = 0
-                reported = quoted and reported
+                reported = reported and (quoted or token == ":")
                 continue
             if token in _QUOTE:
                 quoted = not quoted
