@@ -50,6 +50,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """``df``, after bounding the rows of a batch that goes to a Python worker: whole texts are long, and a batch is
+    held several times over (in the JVM, in the pipe and in the worker)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(df.sparkSession.conf.get(key)) > rows:
+        df.sparkSession.conf.set(key, rows)
+    return df
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z alone."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

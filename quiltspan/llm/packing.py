@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, table, text_batches
 
 SEQUENCE = 1024
 SALTS = 256
@@ -26,29 +26,36 @@ def default_tokenizer() -> str:
 
 
 @cache
-def _encoders(path: str):
-    """The tokenizer of ``path`` and, where its ranks lie beside it, the same vocabulary in the faster library."""
-    import base64
+def _tokenizer(path: str):
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    slow, fast, ranks = Tokenizer.from_file(path), None, path.removesuffix(".json") + ".tiktoken"
-    if os.path.exists(ranks):
-        import public_tokenizers
-        import tiktoken
+    return Tokenizer.from_file(path)
+
+
+@cache
+def _ranks(path: str):
+    """The same vocabulary in the faster library, where its ranks lie beside ``path``; else None."""
+    import base64
+    import os
+
+    ranks = path.removesuffix(".json") + ".tiktoken"
+    if not os.path.exists(ranks):
+        return None
+    import public_tokenizers
+    import tiktoken
 
-        with open(ranks, "rb") as f:
-            pairs = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=pairs, special_tokens={})
-    return slow, fast
+    with open(ranks, "rb") as f:
+        pairs = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=pairs, special_tokens={})
 
 
 def token_ids(path: str, text: str | None) -> np.ndarray:
     """The ids of ``text`` (null: of the empty text) without special tokens added, then id 0."""
-    slow, fast = _encoders(path)
-    ids = slow.encode(text or "", add_special_tokens=False).ids if fast is None or SPECIAL in (text or "") else fast.encode_ordinary(text or "")
+    text, fast = text or "", _ranks(path)
+    ids = _tokenizer(path).encode(text, add_special_tokens=False).ids if fast is None or SPECIAL in text else fast.encode_ordinary(text)
     return np.asarray([*ids, 0], dtype="<u4")
 
 
@@ -67,7 +74,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str | None = None, length: int = SEQU
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(cols[0], pa.int64())), *[pa.array(c, pa.int64()) for c in cols[1:]]], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long")
+    return text_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def shortest_pack_first(histogram: dict[int, int], size: int = SEQUENCE) -> list[tuple[tuple[int, ...], int]]:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, text_batches
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
@@ -209,7 +209,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
             arrays = [pa.array(c, pa.int64() if k < 4 else pa.string()) for k, c in enumerate(cols)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return text_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def mask_pii(docs: DataFrame) -> DataFrame:
@@ -219,7 +219,7 @@ def mask_pii(docs: DataFrame) -> DataFrame:
     def masked(texts: pa.Array) -> pa.Array:
         return pa.array([mask(t.as_py()) for t in texts], pa.string())
 
-    out = docs.withColumn("text", masked("text"))
+    out = text_batches(docs).withColumn("text", masked("text"))
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

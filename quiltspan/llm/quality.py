@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, table, text_batches
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SYMBOL = re.compile(r"[#*$%&|<>]")
@@ -81,7 +81,7 @@ def measures(docs: DataFrame) -> DataFrame:
             arrays = [pa.array(c, pa.int64() if k < 5 else pa.float64()) for k, c in enumerate(cols)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), *arrays], names=names)
 
-    return docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text").mapInArrow(run, f"doc_id {id_type}, lang string, {METRICS}")
+    return text_batches(docs).select("doc_id", F.col("lang").cast("string").alias("lang"), "text").mapInArrow(run, f"doc_id {id_type}, lang string, {METRICS}")
 
 
 def upper_bound(k: int, n: int, alpha: float) -> float:

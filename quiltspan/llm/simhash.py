@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import connected_components, cut, table
+from .common import connected_components, cut, table, text_batches
 
 SEED = 42
 SHINGLE = 3
@@ -49,7 +49,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fps = np.array([fingerprint(t.as_py()) for t in batch.column("text")], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], names=["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    return text_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
 
 
 def _forest(values: np.ndarray) -> np.ndarray:

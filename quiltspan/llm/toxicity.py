@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, table, text_batches
 
 #: At most so many labelled rows are learned from, the first in the order of a hash of the text.
 MAX_TRAINING = 20_000
@@ -59,7 +59,7 @@ class Grammar:
         if got is None:
             lex = self.lexicon
             got = max([lex.get(word, 0.0), *(lex.get(word[:k] + "*", 0.0) for k in PREFIXES if len(word) > k)])
-            if len(self.known) < 200_000:
+            if len(self.known) < 50_000:
                 self.known[word] = got
         return got
 
@@ -149,7 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING) -> tuple
     FEATURES per training row. Half of the rows, by a hash of the text, give the lexicon, and the other half the
     clause weights, so that neither is fitted to what the other has seen.
     """
-    rows = cut(training_rows(docs, labels, most).withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2))), "toxicity-training")
+    rows = cut(training_rows(text_batches(docs), labels, most).withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2))), "toxicity-training")
     sizes = {r["toxic"]: r["n"] for r in rows.where("half = 0").groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
     if not pos or not neg:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, new_path, table
+from .common import cut, new_path, table, text_batches
 
 MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
@@ -43,7 +43,7 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, per_file: int =
     def digest(texts: pa.Array) -> pa.Array:
         return pa.array([payload_digest(t.as_py().encode("utf-8", "surrogatepass")) for t in texts], pa.string())
 
-    base = pages.select("page_id", F.col("page_id").cast("string").alias("id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("payload"))
+    base = text_batches(pages).select("page_id", F.col("page_id").cast("string").alias("id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("payload"))
     base = base.withColumns({"digest": digest("payload"), "n": F.octet_length("payload")})
     copies = cut(base.where(F.col("n") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1 and first is not null").select("digest", "first"), "warc-copies")
     rows = base.join(copies, "digest", "left")
@@ -168,7 +168,7 @@ def read_warc(spark: SparkSession, path: str, keep_payload: bool = True) -> Data
     """
     lines = spark.read.option("lineSep", MAGIC).text(path).select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
     # the rows' numbers hold in this one pass only, so that it is written before anything else uses them
-    seen = cut(lines.mapInArrow(_scan(keep_payload), _SMALL + ", payload binary, piece binary"), "warc-candidates")
+    seen = cut(text_batches(lines).mapInArrow(_scan(keep_payload), _SMALL + ", payload binary, piece binary"), "warc-candidates")
     small = seen.drop("payload", "piece")
     chained = cut(small.groupBy("file").applyInPandas(_chain, _SMALL + ", offset long, reached boolean, record_offset long"), "warc-chain")
     keys = ["file", "block", "row"]
