@@ -98,7 +98,9 @@ def links(distinct: DataFrame) -> DataFrame:
         signed = mask - (1 << 64) if mask >> 63 else mask
         rest = F.shiftrightunsigned("fp", 8 * i).bitwiseAND(F.lit(255)).bitwiseOR(F.shiftleft(F.shiftrightunsigned("fp", 8 * j).bitwiseAND(F.lit(255)), 8))
         outs.append(F.struct(F.lit(k).cast("byte").alias("k"), F.col("fp").bitwiseAND(F.lit(signed)).alias("shared"), rest.cast("int").alias("rest")))
-    posts = distinct.select(F.explode(F.array(*outs)).alias("p")).select("p.*")
+    # the distinct fingerprints are few bytes, but each posts 28 rows: dealt out anew by number, which stays as given
+    spread = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    posts = spread.select(F.explode(F.array(*outs)).alias("p")).select("p.*")
     lists = posts.groupBy("k", "shared").agg(F.collect_list("rest").alias("rests")).where(F.size("rests") > 1)
     left = list(combinations(range(8), 2))
 
