@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,9 +28,10 @@ LOOKALIKES = dict(
         strict=True,
     )
 )
-LOOKALIKES |= {chr(0xFF01 + k): chr(0x21 + k) for k in range(94)}  # full-width forms
 LOOKALIKES |= {chr(z + k): str(k) for z in (0x0660, 0x06F0, 0x0966) for k in range(10)}  # other decimal digits
-LOOKALIKES |= {chr(0x1D7CE + k): str(k % 10) for k in range(50)}  # mathematical digits
+# full-width, mathematical and enclosed forms: every character that compatibility makes one ASCII letter, digit or mark,
+# but for ordinals and raised digits, which ordinary text has
+LOOKALIKES |= {chr(c): n for c in (*range(0x2100, 0x2190), *range(0x2460, 0x24F0), *range(0xFE50, 0xFF60), *range(0x1D400, 0x1D800), *range(0x1FBF0, 0x1FBFA)) if len(n := unicodedata.normalize("NFKC", chr(c))) == 1 and "!" <= n <= "~"}
 LOOKALIKES |= {"․": ".", "。": ".", "‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-", " ": " ", " ": " ", " ": " "}
 INVISIBLE = "­​‌‍⁠﻿"
 DIGITS = {w: str(k) for k, ws in enumerate(("zero oh", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine")) for w in ws.split()}
@@ -42,12 +44,20 @@ _DIGIT_WORD = re.compile(rf"(?<![^\W_])(?:{_NAMED})(?![^\W_])", re.I)
 _GAP = re.compile(r"[\s-]{1,3}(?=[A-Za-z0-9])")
 _NAME, _LABEL = r"[A-Za-z0-9._%+-]{1,64}", r"[A-Za-z0-9-]{1,63}"
 _AT = r"(?:\s{0,3}[\[({<]\s{0,3}(?:at|@|arroba)\s{0,3}[\])}>]\s{0,3}|\s{1,3}at\s{1,3}|\s{0,3}@\s{0,3})"
-_DOT = r"(?:\s{0,3}[\[({<]\s{0,3}(?:dot|punkt|point|punto|\.)\s{0,3}[\])}>]\s{0,3}|\s{1,3}dot\s{1,3}|\.)"
+_DOT = r"(?:\s{0,3}[\[({<]\s{0,3}(?:dot|punkt|point|punto|\.)\s{0,3}[\])}>]\s{0,3}|\s{1,3}dot\s{1,3}|\s{1,2}\.\s{1,2}|\.)"
 #: Without brackets only an address in one of these domains is one.
 _DOMAINS = frozenset("com org net edu gov mil int info biz name io co ai app dev me tv eu de fr es it nl be at ch uk ie us ca au nz in jp cn ru br mx pl se no fi dk pt gr cz".split())
 #: A disguised address has a bracketed or spelled dot, or a bracketed at sign.
 _DISGUISED = re.compile(rf"(?<![A-Za-z0-9._%+-]){_NAME}(?P<at>{_AT}){_LABEL}(?P<rest>(?:{_DOT}{_LABEL})+)", re.I)
-_HINT = re.compile(r"[\[({<]\s{0,3}(?:at|@|arroba|dot|punkt|point|punto|\.)\s{0,3}[\])}>]|\sdot\s", re.I)
+_BRACKETED = re.compile(r"[\[({<]\s{0,3}(?:at|@|arroba|dot|punkt|point|punto|\.)\s{0,3}[\])}>]", re.I)
+_DOT_WORD = re.compile(r"[Dd][Oo][Tt]\s")
+_APART = re.compile(r"@\s|\s@|@\S{1,64}\s\.\s")
+_ODD_ONES = frozenset([*LOOKALIKES, *INVISIBLE])
+#: Addresses of numbers with disguised dots, and card numbers in four groups with another mark between them.
+_IP_DOT = r"(?:\s{0,2}[\[({<]\s{0,2}(?:dot|punkt|point|punto|\.)\s{0,2}[\])}>]\s{0,2}|\s{1,2}dot\s{1,2}|\.)"
+_HIDDEN_IP = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:{_IP_DOT}[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
+_IP_DOT_PART = re.compile(_IP_DOT, re.I)
+_GROUPED = re.compile(r"(?<![0-9])[0-9]{4}([._/,:]|\s[-–]\s|\s{2,3})[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])")
 _DOT_PART = re.compile(_DOT, re.I)
 
 
@@ -126,17 +136,29 @@ def _disguise_edits(text: str) -> list[tuple[int, int, str]]:
         at, rest = m["at"].strip(), m["rest"]
         dots = [d for d in _DOT_PART.finditer(rest)]
         marked = any(d[0] != "." for d in dots)
-        if at[:1] in tuple("[({<") or marked and (at == "@" or at.lower() == "at" and rest[dots[-1].end() :].lower() in _DOMAINS):
+        known = rest[dots[-1].end() :].lower() in _DOMAINS
+        if at[:1] in tuple("[({<") or known and (marked or at == "@" and m["at"] != "@"):
             edits.append((m.start("at"), m.end("at"), "@"))
             edits += [(m.start("rest") + d.start(), m.start("rest") + d.end(), ".") for d in dots if d[0] != "."]
     return edits
 
 
+def _number_edits(text: str) -> list[tuple[int, int, str]]:
+    edits = [(m.start() + d.start(), m.start() + d.end(), ".") for m in _HIDDEN_IP.finditer(text) for d in _IP_DOT_PART.finditer(m[0]) if d[0] != "."]
+    edits += [(m.start() + k, m.start() + k + len(m[1]), "-") for m in _GROUPED.finditer(text) for k in (4, 8 + len(m[1]), 12 + 2 * len(m[1]))]
+    return sorted(edits)
+
+
+def _hint(text: str) -> bool:
+    return bool(_BRACKETED.search(text) or _DOT_WORD.search(text) or "@" in text and _APART.search(text))
+
+
 def hidden(text: str, found: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Spans that show only after normalisation and overlap none of their kind in ``found``."""
-    odd = _ODD.search(text) is not None
+    odd = not text.isascii() and not _ODD_ONES.isdisjoint(text)
     spelled = _DIGIT_WORD.search(text) is not None and _SPELLED.search(text) is not None
-    if not (odd or spelled or _HINT.search(text)):
+    grouped = _GROUPED.search(text) is not None
+    if not (odd or spelled or grouped or _hint(text)):
         return []
     tape = Tape(text)
     if odd:
@@ -146,8 +168,10 @@ def hidden(text: str, found: list[tuple[str, int, int]]) -> list[tuple[str, int,
         edits, runs = _spelled_edits(tape.text)
         runs = [tape.source(a, b) for a, b in runs]
         tape.rewrite(edits)
-    if _HINT.search(tape.text):
+    if _hint(tape.text):
         tape.rewrite(_disguise_edits(tape.text))
+    if grouped or odd or spelled or _hint(tape.text):
+        tape.rewrite(_number_edits(tape.text))
     if tape.text == text:
         return []
     out = []

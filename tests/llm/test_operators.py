@@ -320,6 +320,12 @@ def test_pii_base():
         ("call five five five one two three four five six seven now", "phone", "five five five one two three four five six seven"),
         ("４111 1111 1111 1111", "card", "４111 1111 1111 1111"),
         ("192​.168.0.1", "ip", "192​.168.0.1"),
+        ("host 10[.]0[.]0[.]7 up", "ip", "10[.]0[.]0[.]7"),
+        ("10 dot 0 dot 0 dot 7", "ip", "10 dot 0 dot 0 dot 7"),
+        ("pay 4111.1111.1111.1111 now", "card", "4111.1111.1111.1111"),
+        ("bob @ example . com", "email", "bob @ example . com"),
+        ("mail ｂｏｂ＠ｅｘａｍｐｌｅ．ｃｏｍ", "email", "ｂｏｂ＠ｅｘａｍｐｌｅ．ｃｏｍ"),
+        ("+① ②③④ 555 ⑥⑦⑧⑨", "phone", "+① ②③④ 555 ⑥⑦⑧⑨"),
     ],
 )
 def test_pii_hidden(text, kind, span):
@@ -329,7 +335,7 @@ def test_pii_hidden(text, kind, span):
 
 
 def test_pii_leaves_clean_text_alone():
-    for text in ("look at the dot on it", "one two three go", "at home. dot com", "version 1.2", "nicht ä é ü", "we met at noon at example.com"):
+    for text in ("look at the dot on it", "one two three go", "at home. dot com", "version 1.2", "nicht ä é ü", "we met at noon at example.com", "see @ the end. Then", "1234.5678", "El 1º de mayo, m² y nº 5"):
         assert pii.spans(text) == ([], []) and pii.mask(text) == text
 
 
