@@ -49,7 +49,7 @@ paths AS (SELECT protein_id, path FROM walk WHERE node = 1000000)"""
 PAIRS = """, pairs AS (SELECT * FROM (SELECT lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS seed, o_orderkey AS query FROM orders) WHERE seed IS NOT NULL)"""
 
 
-def _score_sql(w_ms: float, w_cs: float, w_ps: float, weights_sql: str | None = None, distance: bool = False, also: str = "") -> str:
+def _score_sql(w_ms: float, w_cs: float, w_ps: float, weights_sql: str | None = None, distance: bool = False, also: str = "", constraints: dict | None = None) -> str:
     """CTEs up to ``best``: seed, query and the best pair of paths with its scores, for all pairs."""
     weight = "1.0" if weights_sql is None and not distance else f"coalesce(wt.weight, {0.5 if distance else 1.0})"
     wjoin = "" if weights_sql is None else ("LEFT JOIN wt ON wt.feature = x.feature" if distance else "LEFT JOIN wt ON wt.protein_id = x.seed AND wt.feature = x.feature")
@@ -63,6 +63,14 @@ def _score_sql(w_ms: float, w_cs: float, w_ps: float, weights_sql: str | None =
         parts = ", ".join(f"sum({a} * w) * any_value(scale) AS {b}" for a, b in (("share", "ms"), ("match", "ps"), ("ratio", "ls")))
         clan = "sum(CASE WHEN n_q IS NOT NULL THEN n_s * n_q / (greatest(n_s, n_q) * greatest(n_s, n_q)) ELSE 0 END) / count(*)"
         none = "0.0"
+    fixed = "SELECT * FROM raw_part"
+    if constraints:
+        tools = {k: v for k, v in constraints.items() if "_" not in k}
+        alone = ", ".join(f"'{k}'" for k in constraints)
+        limit = "CASE split_part(feature, '_', 1) " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in tools.items()) + " END"
+        free = f"feature NOT IN ({alone}) AND split_part(feature, '_', 1) IN ('pfam', 'smart')"
+        fixed = f"""SELECT * EXCLUDE (w, lim, total, free), CASE WHEN free AND total > 0 AND total < lim THEN w * (lim / total) ELSE w END AS w
+  FROM (SELECT *, {free} AS free, {limit} AS lim, sum(CASE WHEN {free} THEN w * n END) OVER (PARTITION BY seed, query, sp, qp, split_part(feature, '_', 1)) AS total FROM raw_part)"""
     wt = "" if weights_sql is None else f", wt AS ({weights_sql})"
     return PATHS + PAIRS + also + wt + f""",
 n_lin AS (SELECT o_orderkey AS protein_id, count(rank) AS n FROM orders LEFT JOIN lin ON protein_id = o_orderkey GROUP BY o_orderkey),
@@ -82,10 +90,11 @@ near AS (SELECT c.seed, c.query, c.sp, c.qp, s.feature, s.k, max(1 - abs(s.posit
     arg_max(least(q.len, s.len) / greatest(q.len, s.len), (1 - abs(s.position - q.position), -q.k)) AS ratio
   FROM cand c JOIN member s ON s.protein_id = c.seed AND s.path = c.sp JOIN member q ON q.protein_id = c.query AND q.path = c.qp AND q.feature = s.feature GROUP BY ALL),
 feat AS (SELECT seed, query, sp, qp, feature, sum(match) / count(*) AS match, sum(ratio) / count(*) AS ratio FROM near GROUP BY ALL),
-part AS (SELECT x.*, {weight} AS w FROM (SELECT c.seed, c.query, c.sp, c.qp, s.feature, CASE WHEN q.n IS NULL THEN 0.0 ELSE least(q.n / s.n, 1.0) END AS share, coalesce(f.match, 0.0) AS match, coalesce(f.ratio, 0.0) AS ratio
+raw_part AS (SELECT x.*, {weight} AS w FROM (SELECT c.seed, c.query, c.sp, c.qp, s.feature, s.n, CASE WHEN q.n IS NULL THEN 0.0 ELSE least(q.n / s.n, 1.0) END AS share, coalesce(f.match, 0.0) AS match, coalesce(f.ratio, 0.0) AS ratio
     FROM cand c JOIN nf s ON s.protein_id = c.seed AND s.path = c.sp
     LEFT JOIN nf q ON q.protein_id = c.query AND q.path = c.qp AND q.feature = s.feature
     LEFT JOIN feat f ON f.seed = c.seed AND f.query = c.query AND f.sp = c.sp AND f.qp = c.qp AND f.feature = s.feature) x {wjoin}),
+part AS ({fixed}),
 scaled AS (SELECT seed, query, sp, qp, {totals} AS scale FROM part GROUP BY ALL),
 three AS (SELECT seed, query, sp, qp, {parts} FROM part JOIN scaled USING (seed, query, sp, qp) GROUP BY ALL),
 nc AS (SELECT protein_id, path, clan, count(*) AS n FROM member WHERE clan IS NOT NULL GROUP BY ALL),
@@ -387,6 +396,16 @@ def score_weighted(spark, d):
     return _rounded(_score(spark, d, OPTIONS, w), *_OUT).select("seed", "query", *_OUT)
 
 
+_CW = CONSTRAINED_SQL[len(f"WITH {INST}, "):]
+
+
+@query("score_constrained", f"WITH {_score_sql(0.7, 0.0, 0.3, 'SELECT * FROM cw', also=', ' + _CW, constraints=CONSTRAINED.constraints)} SELECT seed, query, {SCORES} FROM best")
+def score_constrained(spark, d):
+    rows = S.instances(spark, d)
+    w = weights.constrained_weights(rows, A.feature_counts(rows), CONSTRAINED)
+    return _rounded(_score(spark, d, CONSTRAINED, w), *_OUT).select("seed", "query", *_OUT)
+
+
 _REVERSED = _PLAIN.replace("SELECT lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS seed, o_orderkey AS query FROM orders) WHERE seed IS NOT NULL", "SELECT o_orderkey AS seed, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS query FROM orders) WHERE query IS NOT NULL")
 
 
@@ -483,6 +502,15 @@ def domains_unscored(spark, d):
     return reports.unscored_domains(S.instances(spark, d), ids, S.accessions(spark), S.profile_lengths(spark), "G")
 
 
+@query("legacy_cs", f"""WITH {LIN}, c AS (SELECT protein_id, clan, sum(CAST(linearized AS INTEGER)) AS n_path, count(*) AS n_all FROM arch WHERE clan IS NOT NULL GROUP BY 1, 2)
+SELECT protein_id, round(sum(n_path * n_all / (greatest(n_path, n_all) * greatest(n_path, n_all))) / count(*), 12) AS cs FROM c WHERE n_path > 0 GROUP BY 1""")
+def legacy_cs(spark, d):
+    """A query's linearized clans against all of its own, as partial paths are valued."""
+    c = _arch(spark, d).where("clan is not null").groupBy("protein_id", "clan").agg(F.sum(F.col("linearized").cast("int")).alias("n"), F.count(F.lit(1)).alias("m")).where("n > 0")
+    most = F.greatest("n", "m")
+    return _rounded(c.groupBy("protein_id").agg((F.sum(F.col("n") * F.col("m") / (most * most)) / F.count(F.lit(1))).alias("cs")), "cs")
+
+
 @query("domain_split_counts", f"WITH {ARCH}{PAIRS} SELECT CAST(seed AS VARCHAR) AS seed_id, count(*) AS n FROM pairs JOIN arch ON protein_id = seed GROUP BY 1")
 def domain_split_counts(spark, d):
     rows = S.pairs(spark, d).join(_arch(spark, d).withColumnRenamed("protein_id", "seed"), "seed").select(F.concat_ws("#", "seed", "query").alias("pair_id"))

@@ -55,7 +55,7 @@ def proteins(universe: DataFrame, instances: DataFrame, options: ScoringOptions)
     A protein's instances are few; that a protein is one row makes every later step local to it.
     """
     arch = architecture(instances, options)
-    fields = F.struct("i", "feature", "clan", "position", "start", "stop")
+    fields = F.struct("i", "feature", "clan", "linearized", "position", "start", "stop")
     lin = F.array_sort(F.collect_list(F.when(F.col("linearized"), F.struct(F.col("stop").alias("by"), "i", fields.alias("e")))))
     normal = F.array_sort(F.collect_list(F.when(~F.col("linearized"), F.struct("i", fields.alias("e")))))
     grouped = arch.groupBy("protein_id").agg(F.transform(lin, lambda x: x["e"]).alias("lin"), F.transform(normal, lambda x: x["e"]).alias("normal"))

@@ -26,6 +26,11 @@ def successors(before: list[list[int]]) -> dict[int, list[int]]:
     return after
 
 
+def _tool(feature: str) -> str:
+    prefix = feature.split("_", 1)[0]
+    return "coils2" if prefix == "coils" else prefix
+
+
 def _group(elements: list[dict]) -> dict[str, list[dict]]:
     out: dict[str, list[dict]] = {}
     for e in elements:
@@ -55,6 +60,12 @@ def score_elements(seed_lin: list, seed_normal: list, query_lin: list, query_nor
     """(final, ms, ps, cs, ls) of two chosen sets of instances, as the column expressions give it."""
     s, q = _group(seed_lin + seed_normal), _group(query_lin + query_normal)
     w = {f: 1.0 if weights is None and not distance else (weights or {}).get(f, 0.5 if distance else 1.0) for f in s}
+    if o.constraints and weights is not None and not distance:
+        for tool, limit in o.constraints.items():
+            own = [f for f, es in s.items() if es[0]["linearized"] and f not in o.constraints and _tool(f) == tool]
+            short = sum(w[f] * len(s[f]) for f in own)
+            if 0 < short < limit:
+                w |= {f: w[f] * limit / short for f in own}
     total = sum(w.values())
     scale = (1 / total if total > 1 else 1.0) if distance else (1 / total if total else 0.0)
     ms = ps = ls = 0.0

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.expressions import tool_of
 from ..options import ScoringOptions
 from . import greedy
 from .linearise import routed, with_path_counts, with_paths, with_predecessors
@@ -74,6 +75,8 @@ def _pair_score(s: Column, q: Column, weights: Column | None, options: ScoringOp
         return F.when(theirs.isNull(), F.struct(w(f).alias("w"), F.lit(0.0).alias("share"), F.lit(0.0).alias("match"), F.lit(0.0).alias("ratio"))).otherwise(met)
 
     parts = F.transform(F.map_keys(feats), lambda f: _let(other[f], lambda theirs: part(f, feats[f], theirs)))
+    if options.constraints and weights is not None and not distance:
+        parts = _rescaled(parts, feats, options)
 
     def totals(p: Column) -> Column:
         def of(scale: Column, what: str) -> Column:
@@ -107,6 +110,27 @@ def _pair_score(s: Column, q: Column, weights: Column | None, options: ScoringOp
     return _let(_let(parts, totals), result)
 
 
+def _rescaled(parts: Column, feats: Column, options: ScoringOptions) -> Column:
+    """The weights of a constrained tool, scaled up to its constraint where those of the path's linearized instances
+    (each instance counts) fall short of it; features with a constraint of their own stay."""
+    limits = F.create_map(*[F.lit(x) for kv in options.constraints.items() for x in kv])
+    rows = F.transform(F.arrays_zip(F.map_keys(feats).alias("f"), parts.alias("p")), lambda x: F.struct(tool_of(x["f"]).alias("tool"), (F.element_at(feats[x["f"]], 1)["linearized"] & limits[x["f"]].isNull()).alias("free"), F.size(feats[x["f"]]).alias("n"), x["p"].alias("p")))
+
+    def scaled(all_: Column) -> Column:
+        def one(x: Column) -> Column:
+            def by(total: Column) -> Column:
+                limit = limits[x["tool"]]
+                factor = F.when(x["free"] & limit.isNotNull() & (total > 0) & (total < limit), limit / total).otherwise(F.lit(1.0))
+                p = x["p"]
+                return F.struct((p["w"] * factor).alias("w"), p["share"].alias("share"), p["match"].alias("match"), p["ratio"].alias("ratio"))
+
+            return _let(_sum(F.transform(F.filter(all_, lambda y: y["free"] & (y["tool"] == x["tool"])), lambda y: y["p"]["w"] * y["n"])), by)
+
+        return F.transform(all_, one)
+
+    return _let(rows, scaled)
+
+
 _BEST = "struct<final:double,ms:double,ps:double,cs:double,ls:double,seed_path:array<int>,query_path:array<int>>"
 
 

@@ -9,7 +9,7 @@ _TOP = "feature map<string,map<string,string>>, clan map<string,string>, interpr
 _TOOL = "map<string,struct<evalue:string,instance:array<array<string>>>>"
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
+def read_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """One row per document: proteome (the file's name without suffix) and its parsed top level. Key order is kept,
     since it numbers the instances."""
     text = spark.read.text(path, wholetext=True).select("value", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.json)?$", 1).alias("proteome"))

@@ -141,3 +141,14 @@ def with_featureless(instances: DataFrame, sequences: DataFrame) -> DataFrame:
     have = instances.select("protein_id").distinct()
     rest = sequences.select(F.col("id").alias("protein_id"), "length").join(have, "protein_id", "left_anti")
     return instances.unionByName(rest, allowMissingColumns=True)
+
+
+def read_domains(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of a domain table with header, as text."""
+    return spark.read.csv(path, sep="\t", header=True)
+
+
+def read_score_table(spark: SparkSession, path: str) -> DataFrame:
+    """seed, query, fwd_final, rev_final from a score table; NA is null."""
+    rows = spark.read.csv(path, sep="\t", header=True)
+    return rows.select(F.col("Seed").alias("seed"), F.col("Query").alias("query"), F.expr("try_cast(split(Score, '/')[0] as double)").alias("fwd_final"), F.expr("try_cast(get(split(Score, '/'), 1) as double)").alias("rev_final"))

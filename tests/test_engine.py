@@ -4,6 +4,7 @@ import itertools
 import json
 import os
 import random
+from dataclasses import replace
 
 import pytest
 
@@ -94,9 +95,12 @@ def test_random_architectures_against_a_plain_scorer(spark):
     pairs = [(a, b) for a in names for b in names if a != b and rng.random() < 0.3]
     o = ScoringOptions(weight_multiplicity=0.6, weight_clan=0.2, weight_position=0.2)
     got, dist = score(spark, ps, pairs, o), score(spark, ps, pairs, o, distance=True)
+    c = replace(o, constraints={"pfam": 0.9, "smart_C": 0.1})
+    fixed = spark.createDataFrame([("pfam_A", 0.2), ("pfam_B", 0.3), ("smart_C", 0.4), ("tmhmm_D", 0.5)], "feature string, weight double")
+    tied = score(spark, ps, pairs, c, lambda inst: inst.select("protein_id").distinct().crossJoin(fixed))
 
     def side(p):
-        es = [{"feature": f, "clan": c, "start": s, "stop": e, "position": (s + e) / 2 / 100, "i": i} for i, (f, c, s, e) in enumerate(ps[p])]
+        es = [{"feature": f, "clan": c, "start": s, "stop": e, "position": (s + e) / 2 / 100, "i": i, "linearized": not f.startswith("tmhmm")} for i, (f, c, s, e) in enumerate(ps[p])]
         lin = sorted((e for e in es if not e["feature"].startswith("tmhmm")), key=lambda e: (e["stop"], e["i"]))
         return lin, [e for e in es if e["feature"].startswith("tmhmm")]
 
@@ -105,8 +109,9 @@ def test_random_architectures_against_a_plain_scorer(spark):
         sp, qp = plain_paths([(e["start"], e["stop"]) for e in s_lin]), plain_paths([(e["start"], e["stop"]) for e in q_lin])
         if not q_lin:
             sp = sp[-1:]
-        for rows, far in ((got, False), (dist, True)):
-            best = max(greedy.score_elements([s_lin[k] for k in x], s_norm, [q_lin[k] for k in y], q_norm, None, o, far)[0] for x in sp for y in qp)
+        for rows, far in ((got, False), (dist, True), (tied, None)):
+            own = {f: 0.2 + 0.1 * k for k, f in enumerate(("pfam_A", "pfam_B", "smart_C", "tmhmm_D"))} if far is None else None
+            best = max(greedy.score_elements([s_lin[k] for k in x], s_norm, [q_lin[k] for k in y], q_norm, own, c if far is None else o, bool(far))[0] for x in sp for y in qp)
             if sorted(ps[a]) != sorted(ps[b]):
                 assert rows[a, b]["final"] == pytest.approx(best), (a, b, far)
 
@@ -228,6 +233,64 @@ def test_maintenance_errors(spark):
     assert M.outdated(old, spark.createDataFrame([("pfam", "2")], "tool string, value string")).count() == 1
 
 
+DOC = {
+    "feature": {
+        "p1": {"length": 100, "pfam": {"pfam_A": {"evalue": 1e-9, "instance": [[1, 10, 1e-5, 30.0, 1, 10]]}}, "tmhmm": {"tmhmm_transmembrane": {"evalue": "NA", "instance": [[50, 70, "NA"]]}}},
+        "p2": {"length": 100, "pfam": {"pfam_A": {"evalue": 1e-9, "instance": [[1, 10, 1e-5]]}, "pfam_B": {"evalue": 0.5, "instance": [[1, 10, 1e-5]]}}, "tmhmm": {}},
+        "p3": {"length": 50, "pfam": {}, "tmhmm": {}},
+    },
+    "clan": {"pfam_A": "CL1"},
+    "interproID": {"pfam_A": "PF00001.3"},
+    "length": {"pfam_A": "33"},
+    "version": {"pfam": {"version": "35"}},
+}
+
+
+def test_commands_end_to_end(spark, tmp_path):
+    from quiltspan.__main__ import COMMANDS, main
+
+    (tmp_path / "a.json").write_text(json.dumps(DOC))
+    (tmp_path / "tools.txt").write_text("#linearized\npfam\n#normal\ntmhmm\n#checked\n")
+    (tmp_path / "pairs.tsv").write_text("p1\tp2\np1\tp3\n")
+    (tmp_path / "ids.txt").write_text(">p1\nnone\n")
+    (tmp_path / "four.txt").write_text("p1 t1 p2 t2\nbad line\np1 t1 gone t9\n")
+    (tmp_path / "x.fa").write_text(">p1\nMK\n>p9\nMK\n")
+    (tmp_path / "g.fa").write_text(">g1|t1|p1|1\nMK\n>g1|t2|p2|1\nMK\n")
+    (tmp_path / "map.tsv").write_text("p2\tncbi2\np3\tncbi3\n")
+    t = lambda *x: [str(tmp_path / y) if y in os.listdir(tmp_path) or y.startswith("out") else y for y in x]
+    base = ("--tools", "tools.txt")
+    main(t("score", "--seeds", "a.json", "--queries", "a.json", "--pairs", "pairs.tsv", "--reference", "a.json", "--mapping", "map.tsv", "--out", "out1", *base))
+    rows = {(r["seed"], r["query"]): r for r in spark.read.parquet(str(tmp_path / "out1/scores")).collect()}
+    assert set(rows) == {("p1", "p2"), ("p1", "p3")} and rows["p1", "p3"]["fwd_final"] == 0 and 0 < rows["p1", "p2"]["fwd_final"] < 1 and rows["p1", "p2"]["rev_final"] == 1.0
+    dom = spark.read.csv(str(tmp_path / "out1/domains_forward"), sep="\t", header=True).where("pair_id = 'p1#p2'").collect()
+    assert {(r["ortholog"], r["feature"], r["path"]) for r in dom} == {("p1", "pfam_A", "Y"), ("p1", "tmhmm_transmembrane", "Y"), ("p2", "pfam_A", "Y"), ("p2", "pfam_B", "N")}
+    assert {r["interpro"] for r in dom if r["feature"] == "pfam_A"} == {"PF00001"}
+    assert spark.read.csv(str(tmp_path / "out1/phyloprofile"), sep="\t", header=True).count() == 2
+    back = text.read_score_table(spark, str(tmp_path / "out1/scores_tsv")).where("query = 'p2'").first()
+    assert back["rev_final"] == 1.0
+    main(t("distance", "--seeds", "a.json", "--queries", "a.json", "--out", "out2", "--no-domains", *base))
+    assert spark.read.parquet(str(tmp_path / "out2/scores")).count() == 9
+    main(t("taxa", "--annotations", "a.json", "--pairs", "four.txt", "--out", "out3", *base))
+    assert spark.read.parquet(str(tmp_path / "out3/scores")).count() == 1 and spark.read.json(str(tmp_path / "out3/missing")).first()["taxon"] == "t9"
+    main(t("groups", "--annotations", "a.json", "--fasta", "g.fa", "--out", "out4", *base))
+    assert spark.read.parquet(str(tmp_path / "out4/scores")).first()["query"] == "p2"
+    main(t("extract", "--annotations", "a.json", "--ids", "ids.txt", "--out", "out5", *base))
+    assert [r[0] for r in spark.read.csv(str(tmp_path / "out5/missing")).collect()] == ["none"]
+    main(t("find", "--annotations", "a.json", "--features", "pfam_a,pfam_b", "--every", "--out", "out6", *base))
+    assert [r[0] for r in spark.read.csv(str(tmp_path / "out6/proteins")).collect()] == ["p2"]
+    for k, x in enumerate((("merge", "--annotations", "a.json"), ("update", "--annotations", "a.json", "--new", "a.json"), ("complexity", "--annotations", "a.json"), ("domains", "--annotations", "a.json", "--ids", "ids.txt", "--group", "G"), ("versions", "--annotations", "a.json"), ("overlaps", "--annotations", "a.json", "--pair-of-tools", "pfam,tmhmm"), ("check", "--annotations", "a.json", "--fasta", "x.fa")), 10):
+        main(t(*x, "--out", f"out{k}", *base))
+    assert [r[0] for r in spark.read.csv(str(tmp_path / "out16/missing")).collect()] == ["p9"]
+    main(["merge-scores", "--scores", f"{tmp_path}/out1/scores,{tmp_path}/out2/scores", "--out", str(tmp_path / "out20")])
+    assert spark.read.parquet(str(tmp_path / "out20")).count() == 6
+    main(["scores-to-json", "--scores", str(tmp_path / "out1/scores_tsv"), "--out", str(tmp_path / "out21")])
+    main(["split-domains", "--domains", str(tmp_path / "out1/domains_forward"), "--out", str(tmp_path / "out22")])
+    assert "seed_id=p1" in os.listdir(tmp_path / "out22") and len(COMMANDS) >= 20
+    with pytest.raises(Exception, match="unknown protein"):
+        (tmp_path / "bad.tsv").write_text("p1\tnobody\n")
+        main(t("score", "--seeds", "a.json", "--queries", "a.json", "--pairs", "bad.tsv", "--out", "out30", *base))
+
+
 def test_streamed_pairs(spark, tmp_path):
     from quiltspan.streaming import incremental
 
