@@ -19,6 +19,7 @@ from .plans import linearise as L
 from .plans import scoring, weights
 from .sources import predictors, text
 from .sources import surrogate as S
+from .storage import cut
 
 #: The surrogate's e-values are discounts; its cut is 0.08.
 OPTIONS = ScoringOptions(instance_evalue=0.08, count_correction="loge")
@@ -284,8 +285,8 @@ def interval_precedence_overlap(spark, d):
 
 @query("graph_reduced", f"WITH {RED} SELECT protein_id, u, v FROM red")
 def graph_reduced(spark, d):
-    rank = A.ranked(_arch(spark, d))
-    return L.reduced(S.universe(spark, d), L.precedence(rank, OPTIONS), rank)
+    rank = cut(A.ranked(_arch(spark, d)), "rank")
+    return L.reduced(S.universe(spark, d), cut(L.precedence(rank, OPTIONS), "edges"), rank)
 
 
 @query("path_counts", f"WITH {PATHS} SELECT protein_id, count(*) AS n_paths FROM paths GROUP BY 1")
@@ -360,8 +361,8 @@ def common_feature(spark, d):
 # scores
 
 
-def _score(spark, d, options=OPTIONS, weight=None, distance=False, reverse=False):
-    p = _prepared(spark, d, options)
+def _score(spark, d, options=OPTIONS, weight=None, distance=False, reverse=False, prepared=None):
+    p = _prepared(spark, d, options) if prepared is None else prepared
     pairs = S.pairs(spark, d)
     if reverse:
         pairs = pairs.select(F.col("query").alias("seed"), F.col("seed").alias("query"))
@@ -411,7 +412,8 @@ _REVERSED = _PLAIN.replace("SELECT lag(o_orderkey) OVER (PARTITION BY o_custkey
 
 @query("score_bidirectional", f"WITH fwd AS (WITH {_PLAIN} SELECT seed, query, final FROM best), rev AS (WITH {_REVERSED} SELECT query AS seed, seed AS query, final AS r FROM best) SELECT seed, query, round(final, 12) AS fwd_final, round(r, 12) AS rev_final FROM fwd LEFT JOIN rev USING (seed, query)")
 def score_bidirectional(spark, d):
-    both = scoring.bidirectional(_score(spark, d), _score(spark, d, reverse=True))
+    p = _prepared(spark, d)
+    both = scoring.bidirectional(_score(spark, d, prepared=p), _score(spark, d, reverse=True, prepared=p))
     return _rounded(both, "fwd_final", "rev_final")
 
 
@@ -478,9 +480,10 @@ FROM sides s JOIN inst x ON x.protein_id = s.protein_id LEFT JOIN onpath o ON o.
 LEFT JOIN share ON share.seed = s.seed AND share.query = s.query AND share.feature = x.feature LEFT JOIN acc ON acc.feature = x.feature LEFT JOIN plen ON plen.feature = x.feature"""
 
 
-def _domains(spark, d, scores):
-    p, rows = A.proteins(S.universe(spark, d), S.instances(spark, d), OPTIONS), S.instances(spark, d)
-    members = reports.path_members(scores, p)
+def _domains(spark, d, options, weight=None, distance=False):
+    p, rows = _prepared(spark, d, options), S.instances(spark, d)
+    scores = cut(_score(spark, d, options, weight, distance, prepared=p).select("seed", "query", "seed_path", "query_path"), "scores")
+    members = cut(reports.path_members(scores, p), "members")
     w = reports.path_weights(members, rows, None)
     out = reports.domain_report(scores, rows, members, w, S.accessions(spark), S.profile_lengths(spark))
     return out.select("pair_id", "ortholog", "seq_length", "feature", "start", "stop", "weight", "path", "interpro", "evalue", "phmm_length")
@@ -488,12 +491,12 @@ def _domains(spark, d, scores):
 
 @query("domains_report", _domain_sql(_PLAIN))
 def domains_report(spark, d):
-    return _domains(spark, d, _score(spark, d).select("seed", "query", "seed_path", "query_path"))
+    return _domains(spark, d, OPTIONS)
 
 
 @query("domains_report_fad", _domain_sql(_DISTANCE))
 def domains_report_fad(spark, d):
-    return _domains(spark, d, _score(spark, d, WITH_CLANS, _distance_weights(spark), True).select("seed", "query", "seed_path", "query_path"))
+    return _domains(spark, d, WITH_CLANS, _distance_weights(spark), True)
 
 
 @query("domains_unscored", f"WITH {INST}, acc AS (SELECT * FROM (VALUES ('pfam_ECONOMY', 'IPR000001.3'), ('pfam_SMALL', 'IPR000002.1'), ('smart_PROMO', 'IPR000003')) t(feature, interpro)), plen AS (SELECT * FROM (VALUES ('pfam_ECONOMY', 120), ('smart_MEDIUM', 77)) t(feature, phmm_length)) SELECT 'G#' || CAST(protein_id AS VARCHAR) AS pair_id, protein_id AS ortholog, length AS seq_length, inst.feature, start, stop, coalesce(acc.interpro, 'NA') AS interpro, phmm_length FROM inst LEFT JOIN acc ON acc.feature = inst.feature LEFT JOIN plen ON plen.feature = inst.feature WHERE protein_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import tool_of
 from ..options import ScoringOptions
+from ..storage import cut
 from . import greedy
 from .linearise import routed, with_path_counts, with_paths, with_predecessors
 
@@ -15,8 +16,8 @@ TIES = 10
 
 
 def prepare(proteins: DataFrame, options: ScoringOptions) -> DataFrame:
-    """Predecessors and path counts of every protein, once for all its pairs."""
-    return with_path_counts(with_predecessors(proteins, options))
+    """Predecessors and path counts of every protein, written once for all its pairs and both directions."""
+    return cut(with_path_counts(with_predecessors(proteins, options)), "proteins")
 
 
 def _by_feature(elements: Column) -> Column:
@@ -146,7 +147,7 @@ def _best_of(seed_views: Column, query_views: Column, weights: Column | None, op
     return F.aggregate(every, F.lit(None).cast(_BEST), lambda a, b: better(a, b.cast(_BEST)))
 
 
-def score_pairs(pairs: DataFrame, seeds: DataFrame, queries: DataFrame, options: ScoringOptions, weights: DataFrame | None = None, distance: bool = False, mode: bool = True) -> DataFrame:
+def score_pairs(pairs: DataFrame, seeds: DataFrame, queries: DataFrame, options: ScoringOptions, weights: DataFrame | None = None, distance: bool = False) -> DataFrame:
     """Score ``pairs`` (seed, query) of prepared proteins.
 
     Returns seed, query, final, ms, ps, cs, ls, seed_path, query_path, mode. Paths are enumerated once per protein and
@@ -157,23 +158,15 @@ def score_pairs(pairs: DataFrame, seeds: DataFrame, queries: DataFrame, options:
 
     ``weights``: (protein_id, feature, weight) of the seeds, or for the distance variant (feature, weight) for all.
     """
-    need_seed, need_query = pairs.select(F.col("seed").alias("protein_id")).distinct(), pairs.select(F.col("query").alias("protein_id")).distinct()
     sides = []
-    for side, need, is_seed in ((seeds, need_seed, True), (queries, need_query, False)):
-        rows = routed(side.join(need, "protein_id", "left_semi"), options, is_seed)
-        sides.append(rows)
-    limit = options.paths_limit
-    plain = [with_views(with_paths(x.where(~F.col("greedy")))) for x in sides]
-    flags = [x.select(F.col("protein_id"), "greedy", (F.col("n_paths") > limit if limit > 1 else F.lit(False)).alias("over")) for x in sides]
-    s_flag, q_flag = (f.select(F.col("protein_id").alias(n), F.col("greedy").alias(f"{n}_greedy"), F.col("over").alias(f"{n}_over")) for f, n in zip(flags, ("seed", "query"), strict=True))
-    marked = pairs.join(s_flag, "seed").join(q_flag, "query")
-    over = marked.where("seed_over or query_over")
-    within = marked.where("not (seed_over or query_over)")
-
-    easy = within.where("not seed_greedy and not query_greedy").select("seed", "query")
+    for side, name in ((seeds, "seed"), (queries, "query")):
+        needed = side.join(pairs.select(F.col(name).alias("protein_id")).distinct(), "protein_id", "left_semi")
+        over = F.col("n_paths") > options.paths_limit if options.paths_limit > 1 else F.lit(False)
+        sides.append(routed(needed, options, name == "seed").withColumn("over", over))
+    plain = [with_views(with_paths(x.where("not greedy and not over"))) for x in sides]
     s = plain[0].select(F.col("protein_id").alias("seed"), F.col("views").alias("s_views"), F.col("whole_view").alias("s_all"), F.col("whole").alias("s_whole"))
     q = plain[1].select(F.col("protein_id").alias("query"), F.col("views").alias("q_views"), F.col("whole_view").alias("q_all"), F.col("whole").alias("q_whole"), F.col("n_lin").alias("q_lin"))
-    rows = easy.join(s, "seed").join(q, "query")
+    rows = pairs.select("seed", "query").join(s, "seed").join(q, "query")
     weight_map = None
     if weights is not None and distance:
         # one map for all seeds: as many entries as the weight file has
@@ -190,10 +183,18 @@ def score_pairs(pairs: DataFrame, seeds: DataFrame, queries: DataFrame, options:
     cols = ["final", "ms", "ps", "cs", "ls", "seed_path", "query_path"]
     out = best.select("seed", "query", *[f"b.{c}" for c in cols], F.lit("exhaustive/exhaustive").alias("mode"))
 
-    hard = within.where("seed_greedy or query_greedy")
-    out = out.union(greedy.score(hard, sides[0], sides[1], options, weights, distance).select("seed", "query", *cols, "mode"))
-    if limit > 1:
-        out = out.union(over.select("seed", "query", *[F.lit(None).cast(t) for t in ["double"] * 5 + ["array<int>"] * 2], F.lit(None).cast("string")))
+    # one row tells whether any protein needs another route; most inputs have none, and their plan ends here
+    marks = sides[0].select("greedy", "over").union(sides[1].select("greedy", "over")).agg(F.max("greedy").alias("greedy"), F.max("over").alias("over")).first()
+    if not (marks["greedy"] or marks["over"]):
+        return out
+    flags = [x.select(F.col("protein_id").alias(n), F.col("greedy").alias(f"{n}_greedy"), F.col("over").alias(f"{n}_over")) for x, n in zip(sides, ("seed", "query"), strict=True)]
+    marked = pairs.select("seed", "query").join(flags[0], "seed").join(flags[1], "query")
+    if marks["greedy"]:
+        hard = marked.where("(seed_greedy or query_greedy) and not (seed_over or query_over)")
+        out = out.union(greedy.score(hard, sides[0], sides[1], options, weights, distance).select("seed", "query", *cols, "mode"))
+    if marks["over"]:
+        none = [F.lit(None).cast(t) for t in ["double"] * 5 + ["array<int>"] * 2 + ["string"]]
+        out = out.union(marked.where("seed_over or query_over").select("seed", "query", *none))
     return out
 
 
