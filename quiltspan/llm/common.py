@@ -1,49 +1,16 @@
-"""What the operators of this subpackage share: tables in the shared folder, reading, and connected components."""
+"""What the operators of this subpackage share: reading, batches of texts, and connected components."""
 
 from __future__ import annotations
 
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words as the contracts define them: maximal runs without space, tab, LF, VT, FF, CR.
-WORD = r"[^\x20\x09-\x0D]+"
-
-_own_dir: list[str] = []
+from ..storage import cut, new_path, shared_dir
 
+__all__ = ["WORD", "ascii_lower", "connected_components", "cut", "new_path", "shared_dir", "table", "text_batches"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is read from ``spark.checkpoint.dir``. Only a local master, as in tests, may do without that setting; it then
-    gets a temporary folder that goes when the process ends.
-    """
-    set_ = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if set_:
-        return set_.rstrip("/")
-    if not (spark.sparkContext.master or "").startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if not _own_dir:
-        import atexit
-
-        _own_dir.append(tempfile.mkdtemp(prefix="quiltspan-"))
-        atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
-    return "file://" + _own_dir[0]
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: its lineage ends there, and lost executors
-    lose nothing of it."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Words as the contracts define them: maximal runs without space, tab, LF, VT, FF, CR.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,7 +21,7 @@ def text_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     """``df``, after bounding the rows of a batch that goes to a Python worker: whole texts are long, and a batch is
     held several times over (in the JVM, in the pipe and in the worker)."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(df.sparkSession.conf.get(key)) > rows:
+    if not 0 < int(df.sparkSession.conf.get(key)) <= rows:
         df.sparkSession.conf.set(key, rows)
     return df
 

@@ -30,14 +30,14 @@ def water_fill(sizes: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epochs:
     return rows.select("source", "source_size", "weight", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(F.col("level") * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epochs: int = 3, seed: str = "mix", share: float = 1.0, whole_rows: bool = False) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epochs: int = 3, seed: str = "mix", share: float = 1.0, whole_rows: bool = False, digits: int = 3) -> DataFrame:
     """doc_id, source, size, source_size, target, repeats, taken for each row of ``docs``, and the row itself as the
     struct ``row`` if ``whole_rows``.
 
     size is the number of words of the text. A source's target over its size is the number of epochs: each of its
     documents is taken the whole number of times, and once more if it comes, in the order of MD5(seed, doc_id),
     before the fraction of the source's words is filled. To find that place no source is gathered in one task: the
-    order is cut in 4,096 ranges of the digest, one row per source and range gives each range's start, and only rows
+    order is cut in 16 ** ``digits`` ranges of the digest (the result is the same for any number), one row per source and range gives each range's start, and only rows
     of the same source and range meet in a window. taken = size * repeats, at most ``max_epochs`` times size, and a
     source's taken words miss its target by half a document at most.
 
@@ -52,7 +52,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epochs: int = 3
         F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("key"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("draw"),
-    ).withColumn("part", F.substring("draw", 1, 3))
+    ).withColumn("part", F.substring("draw", 1, digits))
     parts = cut(base.groupBy("source", "part").agg(F.sum("size").alias("part_size")), "mix-parts")
     by_part = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.select("source", "part", F.coalesce(F.sum("part_size").over(by_part), F.lit(0)).alias("start"))

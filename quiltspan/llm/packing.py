@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from .common import cut, table, text_batches
 
 SEQUENCE = 1024
-SALTS = 256
+#: Rows of one length that are ranked together; a bound on a task's sort, not on what is packed.
+ROWS_PER_RANK = 1_000_000
 #: The text of the vocabulary's one special token, which the tokenizer reads as id 50256.
 SPECIAL = "<|endoftext|>"
 
@@ -122,40 +123,33 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, i
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, length: int = SEQUENCE, salts: int = SALTS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, length: int = SEQUENCE, rows_per_rank: int = ROWS_PER_RANK) -> DataFrame:
     """Pack all documents into sequences of at most ``length`` tokens.
 
     One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. Documents are tokenized
     once and cut every ``length`` ids; only the rests are shorter. The driver sees the histogram of lengths (at most
-    ``length`` rows) and builds the patterns; pieces get their rank within their length from counts by length and
-    salt, so that a length that many copies share is ranked in many tasks, and meet their slot in an equi-join on
-    length and salt, within which ranks are compared. A pattern's slots are as many as its pieces, and their number
-    follows from the histogram, not from the documents.
+    ``length`` rows) and builds the patterns; pieces meet their slot by their rank within their length. Ranks come
+    from counts by length and salt, with so many salts that a length that a third of all pieces share still has
+    groups of about ``rows_per_rank`` rows at most, so that no length is ranked in one task. Slots are cut at the
+    borders of salts and joined to pieces by length and salt; within these, ranks are compared.
 
     Null text: the empty text, one piece of the id 0. Null or repeated doc_ids and repeated rows are documents of
     their own. Empty table: no rows. Very long texts become many pieces. Other columns may have any names.
     """
     spark = docs.sparkSession
-    pieces = cut(cut_pieces(docs, tokenizer, length).withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)).cast("int")), "pieces")
-    counts = {(r["length"], r["salt"]): r["n"] for r in pieces.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most length * salts rows
-    histogram: dict[int, int] = {}
-    firsts = []
-    for (n, salt), count in sorted(counts.items()):
-        firsts.append((n, salt, histogram.get(n, 0), count))
-        histogram[n] = histogram.get(n, 0) + count
-    by_length: dict[int, list[tuple[int, int, int, int]]] = {}
-    for n, a, b, sequence, offset in slots(shortest_pack_first(histogram, length)):
-        by_length.setdefault(n, []).append((a, b, sequence, offset))
-    # slots cut at the borders of salts: for each length both lists run through the same ranks
-    rows = []
-    for n, salt, first, count in firsts:
-        for a, b, sequence, offset in by_length[n]:
-            if a < first + count and b > first:
-                lo, hi = max(a, first), min(b, first + count)
-                rows.append((n, salt, lo - first, hi - first, sequence + lo - a, offset))
-    cols = list(zip(*rows, strict=True)) or [()] * 6
-    names = ("length", "salt", "lo", "hi", "first_sequence", "offset")
-    plan = spark.createDataFrame(pa.table({k: pa.array(v, pa.int32() if k == "salt" else pa.int64()) for k, v in zip(names, cols, strict=True)}))
+    pieces = cut(cut_pieces(docs, tokenizer, length), "pieces")
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``length`` rows
+    salts = 16 + sum(histogram.values()) // (3 * rows_per_rank)
+    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)).cast("int"))
+    table_ = slots(shortest_pack_first(histogram, length))  # a few for each length, whatever the number of documents
+    cols = list(zip(*table_, strict=True)) or [()] * 5
+    names = ("length", "a", "b", "sequence", "offset")
+    slot_rows = spark.createDataFrame(pa.table({k: pa.array(v, pa.int64()) for k, v in zip(names, cols, strict=True)}))
+    counts = pieces.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    met = firsts.join(slot_rows, "length").where("a < first + n and b > first")
+    plan = met.select("length", "salt", (F.greatest("a", "first") - F.col("first")).alias("lo"), (F.least("b", F.col("first") + F.col("n")) - F.col("first")).alias("hi"), (F.col("sequence") + F.greatest("a", "first") - F.col("a")).alias("first_sequence"), "offset")
     ranks = Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32")
     ranked = pieces.withColumn("rank", F.row_number().over(ranks).cast("long") - 1)
     out = ranked.join(plan, ["length", "salt"]).where("rank >= lo and rank < hi")

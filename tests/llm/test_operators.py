@@ -371,7 +371,7 @@ def test_packing_round_trip(spark):
     rng = random.Random(2)
     texts = [" ".join("".join(rng.choice("abcdefgh é") for _ in range(6)) for _ in range(rng.choice([1, 5, 50, 400, 3000]))) for _ in range(60)] + [None, "", "same text", "same text", "a <|endoftext|> b"]
     d = docs(spark, texts).where("doc_id <> 3")
-    rows = packing.pack(d, salts=4).collect()
+    rows = packing.pack(d, rows_per_rank=8).collect()
     tok = Tokenizer.from_file(packing.default_tokenizer())
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in rows:
@@ -393,7 +393,7 @@ def test_packing_round_trip(spark):
             at += r["length"]
         assert at <= 1024
     assert packing.pack(d.where("false")).count() == 0
-    assert packing.pack(d.union(d), salts=4).groupBy("sequence_id", "offset").count().where("count > 1").count() == 0
+    assert packing.pack(d.union(d), rows_per_rank=8).groupBy("sequence_id", "offset").count().where("count > 1").count() == 0
 
 
 # 10
