@@ -71,7 +71,7 @@ def score(spark, a, distance: bool = False) -> None:
         if not a.one_way:
             api.domains(out, seeds, queries, o, ref, True).write.option("sep", "\t").option("header", True).csv(f"{a.out}/domains_reverse")
     if a.mapping:
-        reports.phyloprofile(out, text.two_columns(spark.read.text(a.mapping), "protein_id", "ncbi_id")).write.option("sep", "\t").option("header", True).csv(f"{a.out}/phyloprofile")
+        reports.phylogenetic_profile(out, text.two_columns(spark.read.text(a.mapping), "protein_id", "ncbi_id")).write.option("sep", "\t").option("header", True).csv(f"{a.out}/phylogenetic_profile")
     reports.write_run_record(spark, f"{a.out}/run", {k: v for k, v in vars(a).items() if k != "command"}, a.command, "1")
 
 

@@ -437,11 +437,11 @@ def _distance(spark, d):
 
 _DISTANCE = _score_sql(0.6, 0.2, 0.2, _DIST, True)
 for _c in ("ms", "ps", "cs"):
-    query(f"fad_{_c}", f"WITH {_DISTANCE} SELECT seed, query, round({_c}, 12) + 0.0 AS {_c} FROM best")(lambda spark, d, c=_c: _distance(spark, d).select("seed", "query", c))
+    query(f"distance_{_c}", f"WITH {_DISTANCE} SELECT seed, query, round({_c}, 12) + 0.0 AS {_c} FROM best")(lambda spark, d, c=_c: _distance(spark, d).select("seed", "query", c))
 
 
-@query("fad_score", f"WITH {_DISTANCE} SELECT seed, query, {SCORES} FROM best")
-def fad_score(spark, d):
+@query("distance_score", f"WITH {_DISTANCE} SELECT seed, query, {SCORES} FROM best")
+def distance_score(spark, d):
     return _distance(spark, d).select("seed", "query", *_OUT)
 
 
@@ -494,8 +494,8 @@ def domains_report(spark, d):
     return _domains(spark, d, OPTIONS)
 
 
-@query("domains_report_fad", _domain_sql(_DISTANCE))
-def domains_report_fad(spark, d):
+@query("domains_report_distance", _domain_sql(_DISTANCE))
+def domains_report_distance(spark, d):
     return _domains(spark, d, WITH_CLANS, _distance_weights(spark), True)
 
 
@@ -520,11 +520,11 @@ def domain_split_counts(spark, d):
     return rows.groupBy(F.substring_index("pair_id", "#", 1).alias("seed_id")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("phyloprofile", f"WITH {UNLIN[5:]} SELECT seed AS gene_id, 'ncbi' || CAST(c_nationkey AS VARCHAR) AS ncbi_id, query AS ortho_id, round(ms, 12) AS fas_f, 0.0::DOUBLE AS fas_b FROM u JOIN orders ON o_orderkey = query JOIN customer ON c_custkey = o_custkey")
-def phyloprofile(spark, d):
+@query("phylogenetic_profile", f"WITH {UNLIN[5:]} SELECT seed AS gene_id, 'ncbi' || CAST(c_nationkey AS VARCHAR) AS ncbi_id, query AS ortho_id, round(ms, 12) AS forward_score, 0.0::DOUBLE AS reverse_score FROM u JOIN orders ON o_orderkey = query JOIN customer ON c_custkey = o_custkey")
+def phylogenetic_profile(spark, d):
     mapping = S.read(spark, d, "orders").join(S.read(spark, d, "customer"), F.expr("o_custkey = c_custkey")).select(F.col("o_orderkey").alias("protein_id"), F.concat(F.lit("ncbi"), F.col("c_nationkey").cast("string")).alias("ncbi_id"))
     scores = _unlinearized(spark, d).select("seed", "query", F.round("ms", 12).alias("fwd_final"), F.lit(None).cast("double").alias("rev_final"))
-    return reports.phyloprofile(scores, mapping)
+    return reports.phylogenetic_profile(scores, mapping)
 
 
 _GROUPS = "m AS (SELECT o_custkey AS grp, c_nationkey AS taxon, o_orderkey AS protein_id, o_orderkey AS pos FROM orders JOIN customer ON c_custkey = o_custkey), g AS (SELECT grp, first_value(protein_id) OVER w AS seed, first_value(taxon) OVER w AS seed_taxon, protein_id AS query, taxon AS query_taxon, pos, min(pos) OVER (PARTITION BY grp) AS first FROM m WINDOW w AS (PARTITION BY grp ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)), groups AS (SELECT grp, seed, seed_taxon, query, query_taxon FROM g WHERE pos > first)"

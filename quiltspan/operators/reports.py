@@ -65,11 +65,11 @@ def unscored_domains(instances: DataFrame, ids: DataFrame, accessions: DataFrame
     return rows.select(F.concat(F.lit(f"{group}#"), F.col("protein_id").cast("string")).alias("pair_id"), F.col("protein_id").alias("ortholog"), F.col("length").alias("seq_length"), "feature", "start", "stop", F.coalesce("interpro", F.lit("NA")).alias("interpro"), F.col("plen").alias("phmm_length"))
 
 
-def phyloprofile(scores: DataFrame, mapping: DataFrame) -> DataFrame:
+def phylogenetic_profile(scores: DataFrame, mapping: DataFrame) -> DataFrame:
     """gene, taxon, ortholog and both scores (missing reverse: 0). An ortholog without taxon is an error."""
     rows = scores.join(mapping.select(F.col("protein_id").alias("query"), "ncbi_id"), "query", "left")
     ok = F.when(F.col("ncbi_id").isNull(), F.raise_error(F.concat(F.lit("no taxon for "), F.col("query").cast("string")))).otherwise(F.lit(True))
-    return rows.where(ok.cast("boolean")).select(F.col("seed").alias("gene_id"), "ncbi_id", F.col("query").alias("ortho_id"), F.col("fwd_final").alias("fas_f"), F.coalesce("rev_final", F.lit(0.0)).alias("fas_b"))
+    return rows.where(ok.cast("boolean")).select(F.col("seed").alias("gene_id"), "ncbi_id", F.col("query").alias("ortho_id"), F.col("fwd_final").alias("forward_score"), F.coalesce("rev_final", F.lit(0.0)).alias("reverse_score"))
 
 
 def group_domains(domains: DataFrame, groups: DataFrame) -> DataFrame:

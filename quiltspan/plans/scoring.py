@@ -75,7 +75,7 @@ def _pair_score(s: Column, q: Column, weights: Column | None, options: ScoringOp
         met = _let(F.transform(mine, lambda e: nearest(e, theirs)), lambda b: F.struct(w(f).alias("w"), F.least(F.size(theirs) / n, F.lit(1.0)).alias("share"), (_sum(F.transform(b, lambda x: x["match"])) / n).alias("match"), (_sum(F.transform(b, lambda x: x["ratio"])) / n).alias("ratio")))
         return F.when(theirs.isNull(), F.struct(w(f).alias("w"), F.lit(0.0).alias("share"), F.lit(0.0).alias("match"), F.lit(0.0).alias("ratio"))).otherwise(met)
 
-    parts = F.transform(F.map_keys(feats), lambda f: _let(other[f], lambda theirs: part(f, feats[f], theirs)))
+    parts = F.transform(F.map_entries(feats), lambda e: _let(other[e["key"]], lambda theirs: part(e["key"], e["value"], theirs)))
     if options.constraints and weights is not None and not distance:
         parts = _rescaled(parts, feats, options)
 

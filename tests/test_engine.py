@@ -219,7 +219,7 @@ def test_reports(spark, tmp_path):
     assert line["protein_id"] == "p" and json.loads(line["tools"]["pfam"])["pfam_A"]["instance"] == [[1.0, 10.0], [5.0, 6.0]] or len(json.loads(line["tools"]["pfam"])["pfam_A"]["instance"]) == 2
     assert reports.parse_weight_file('{"weights": {"f": 1}}') == ({"f": 1.0}, 0.5)
     with pytest.raises(Exception, match="no taxon"):
-        reports.phyloprofile(s, spark.createDataFrame([], "protein_id string, ncbi_id string")).collect()
+        reports.phylogenetic_profile(s, spark.createDataFrame([], "protein_id string, ncbi_id string")).collect()
 
 
 def test_maintenance_errors(spark):
@@ -265,7 +265,7 @@ def test_commands_end_to_end(spark, tmp_path):
     dom = spark.read.csv(str(tmp_path / "out1/domains_forward"), sep="\t", header=True).where("pair_id = 'p1#p2'").collect()
     assert {(r["ortholog"], r["feature"], r["path"]) for r in dom} == {("p1", "pfam_A", "Y"), ("p1", "tmhmm_transmembrane", "Y"), ("p2", "pfam_A", "Y"), ("p2", "pfam_B", "N")}
     assert {r["interpro"] for r in dom if r["feature"] == "pfam_A"} == {"PF00001"}
-    assert spark.read.csv(str(tmp_path / "out1/phyloprofile"), sep="\t", header=True).count() == 2
+    assert spark.read.csv(str(tmp_path / "out1/phylogenetic_profile"), sep="\t", header=True).count() == 2
     back = text.read_score_table(spark, str(tmp_path / "out1/scores_tsv")).where("query = 'p2'").first()
     assert back["rev_final"] == 1.0
     main(t("distance", "--seeds", "a.json", "--queries", "a.json", "--out", "out2", "--no-domains", *base))
