@@ -309,6 +309,14 @@ def test_pii_base():
     assert set(base) <= set(all_)
 
 
+def test_pii_emails_are_the_pattern_s():
+    rng = random.Random(6)
+    for _ in range(4000):
+        text = "".join(rng.choice("ab.-_@ é%\n") for _ in range(rng.randint(0, 24)))
+        assert list(pii.emails(text)) == [m.span() for m in pii.PATTERNS["email"].finditer(text)]
+    assert pii.spans("a" * 300_000 + " x@y.z " + "b" * 300_000)[0] == [("email", 300_001, 300_006)]
+
+
 @pytest.mark.parametrize(
     "text,kind,span",
     [
