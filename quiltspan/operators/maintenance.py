@@ -100,11 +100,15 @@ def identical_pairs(pairs: DataFrame, instances: DataFrame) -> DataFrame:
     return pairs.join(s, "seed").join(q, "query").where("s_c = q_c and seed <> query").select("seed", "query")
 
 
-def ortholog_groups(members: DataFrame) -> DataFrame:
-    """(grp, taxon, protein_id, pos): each group's first row is its seed; the others are its members. More than one
-    seed taxon is an error."""
+def ortholog_groups(members: DataFrame, one_seed_taxon: bool = False) -> DataFrame:
+    """(grp, taxon, protein_id, pos): each group's first row is its seed; the others are its members. With
+    ``one_seed_taxon``, seeds of more than one taxon are an error."""
     first = Window.partitionBy("grp")
     rows = members.withColumn("seed", F.min_by("protein_id", "pos").over(first)).withColumn("seed_taxon", F.min_by("taxon", "pos").over(first)).withColumn("first_pos", F.min("pos").over(first))
+    if one_seed_taxon:
+        taxa = rows.agg(F.count_distinct("seed_taxon").alias("_taxa"))  # one row
+        bad = F.when(F.col("_taxa") > 1, F.raise_error(F.lit("the groups' seeds are of more than one taxon"))).otherwise(F.lit(True))
+        rows = rows.crossJoin(taxa).where(bad.cast("boolean"))
     return rows.where("pos > first_pos").select("grp", "seed", "seed_taxon", F.col("protein_id").alias("query"), F.col("taxon").alias("query_taxon"))
 
 

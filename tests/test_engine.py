@@ -229,6 +229,10 @@ def test_maintenance_errors(spark):
         M.merge_annotations(both).collect()
     with pytest.raises(Exception, match="unknown protein"):
         M.check_ids(spark.createDataFrame([("q",)], "protein_id string"), inst).collect()
+    mixed = spark.createDataFrame([("g", "t1", "a", 0), ("g", "t2", "b", 1), ("h", "t2", "b", 2), ("h", "t1", "c", 3)], "grp string, taxon string, protein_id string, pos long")
+    assert {(r["seed"], r["query"]) for r in M.ortholog_groups(mixed).collect()} == {("a", "b"), ("b", "c")}
+    with pytest.raises(Exception, match="more than one taxon"):
+        M.ortholog_groups(mixed, True).collect()
     old = spark.createDataFrame([("pfam", "1")], "tool string, value string")
     assert M.outdated(old, spark.createDataFrame([("pfam", "2")], "tool string, value string")).count() == 1
 
