@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,13 +36,19 @@ LOOKALIKES |= {chr(z + k): str(k) for z in (0x0660, 0x06F0, 0x0966) for k in ran
 LOOKALIKES |= {chr(c): n for c in (*range(0x2100, 0x2190), *range(0x2460, 0x24F0), *range(0xFE50, 0xFF60), *range(0x1D400, 0x1D800), *range(0x1FBF0, 0x1FBFA)) if len(n := unicodedata.normalize("NFKC", chr(c))) == 1 and "!" <= n <= "~"}
 LOOKALIKES |= {"․": ".", "。": ".", "‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-", " ": " ", " ": " ", " ": " "}
 INVISIBLE = "­​‌‍⁠﻿"
-DIGITS = {w: str(k) for k, ws in enumerate(("zero oh", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine")) for w in ws.split()}
+#: English, German, French and Spanish.
+DIGITS = {
+    w: str(k)
+    for k, ws in enumerate(("zero oh null zéro cero", "one eins un uno", "two zwei zwo deux dos", "three drei trois tres", "four vier quatre cuatro", "five fünf fuenf cinq cinco", "six sechs seis", "seven sieben sept siete", "eight acht huit ocho", "nine neun neuf nueve"))
+    for w in ws.split()
+}
 
 _ODD = re.compile("[" + "".join(map(re.escape, [*LOOKALIKES, *INVISIBLE])) + "]")
 _NAMED = "|".join(DIGITS)
-#: Four or more spelled digits in a row, also between written ones.
-_SPELLED = re.compile(rf"(?<![^\W_])(?:\+\s?|plus[\s-]+)?(?:(?:{_NAMED}|[0-9]+)[\s.()-]{{1,3}}){{3,}}(?:{_NAMED}|[0-9]+)(?![^\W_])", re.I)
+#: Digits in a row of which some may be spelled.
+_SPELLED = re.compile(rf"(?<![^\W_])(?:\+\s?|(?:plus|más)[\s-]+)?(?:(?:{_NAMED}|[0-9]+)[\s.()-]{{1,3}})+(?:{_NAMED}|[0-9]+)(?![^\W_])", re.I)
 _DIGIT_WORD = re.compile(rf"(?<![^\W_])(?:{_NAMED})(?![^\W_])", re.I)
+_PLUS_WORD = re.compile(r"(?:plus|más)[\s-]+", re.I)
 _GAP = re.compile(r"[\s-]{1,3}(?=[A-Za-z0-9])")
 _NAME, _LABEL = r"[A-Za-z0-9._%+-]{1,64}", r"[A-Za-z0-9-]{1,63}"
 _AT = r"(?:\s{0,3}[\[({<]\s{0,3}(?:at|@|arroba)\s{0,3}[\])}>]\s{0,3}|\s{1,3}at\s{1,3}|\s{0,3}@\s{0,3})"
@@ -132,14 +140,22 @@ class Tape:
 
 
 def _spelled_edits(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int]]]:
-    """The edits, and the runs that as spelled have the digits of a phone number (a plus need not be spelled)."""
+    """The edits, and the runs that as spelled have the digits of a phone number (a plus need not be spelled).
+
+    Four spelled digits make a run; fewer do if the number is valid as a whole, with a plus or as a card number.
+    """
     edits, runs = [], []
     for m in _SPELLED.finditer(text):
         words = list(_DIGIT_WORD.finditer(text, m.start(), m.end()))
-        if len(words) < 4:
+        if not words:
             continue
-        if m[0][:4].lower() == "plus":
-            edits.append((m.start(), m.start() + re.match(r"plus[\s-]+", m[0], re.I).end(), "+"))
+        plus = _PLUS_WORD.match(m[0])
+        digits = _DIGIT_WORD.sub(lambda x: DIGITS[x[0].lower()], m[0])
+        phone = (plus or "+" in text[max(0, m.start() - 1) : m.start() + 1]) and _valid("phone", digits)
+        if len(words) < 4 and not phone and not _valid("card", digits):
+            continue
+        if plus:
+            edits.append((m.start(), m.start() + plus.end(), "+"))
         for x in words:  # white space after a digit word joins it to the next digit
             gap = _GAP.match(text, x.end(), m.end())
             edits.append((x.start(), gap.end() if gap else x.end(), DIGITS[x[0].lower()]))
@@ -172,9 +188,9 @@ def _hint(text: str) -> bool:
 
 
 def hidden(text: str, found: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Spans that show only after normalisation and overlap none of their kind in ``found``."""
+    """Spans that show only after normalisation and that no span of their kind in ``found`` contains."""
     odd = not text.isascii() and not _ODD_ONES.isdisjoint(text)
-    spelled = _DIGIT_WORD.search(text) is not None and _SPELLED.search(text) is not None
+    spelled = _DIGIT_WORD.search(text) is not None and bool(_spelled_edits(text)[0])
     grouped = _GROUPED.search(text) is not None
     if not (odd or spelled or grouped or _hint(text)):
         return []
@@ -192,12 +208,21 @@ def hidden(text: str, found: list[tuple[str, int, int]]) -> list[tuple[str, int,
         tape.rewrite(_number_edits(tape.text))
     if tape.text == text:
         return []
+    contains = {kind: _container([(s, e) for k, s, e in found if k == kind]) for kind in KINDS}
     out = []
     for kind, a, b in exact(tape.text):
         s, e = tape.source(a, b)
-        if not any(k == kind and x < e and s < y for k, x, y in found):
+        if not contains[kind](s, e):
             out.append((kind, s, e))
-    return out + [("phone", s, e) for s, e in runs if not any(x < e and s < y for _, x, y in found + out)]
+    within = _container([(s, e) for _, s, e in found + out])
+    return out + [("phone", s, e) for s, e in runs if not within(s, e)]
+
+
+def _container(spans: list[tuple[int, int]]) -> Callable[[int, int], bool]:
+    """Whether one of the spans contains [s, e), by the furthest end of those that start no later."""
+    spans = sorted(spans)
+    starts, ends = [s for s, _ in spans], list(accumulate((e for _, e in spans), max))
+    return lambda s, e: (k := bisect_right(starts, s)) > 0 and ends[k - 1] >= e
 
 
 def spans(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
@@ -231,7 +256,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     The counts and the digest are of the exact patterns; ``spans`` also has what normalisation uncovers. Look-alike
     characters, invisible characters, spelled digits and at/dot disguises are rewritten by transducers that keep, for
     every character they put out, the source span it stands for; a match is thus mapped back to the source text, and
-    added unless it overlaps an exact one of its kind.
+    added unless an exact one of its kind contains it. Spans of a kind may thus overlap; masking joins them.
 
     Null text counts as empty (all counts 0, empty spans). Repeated rows and null ids get a row each, empty tables
     none. Long texts are read whole, in time that grows as their length. Other columns may have any names.

@@ -342,6 +342,30 @@ def test_pii_hidden(text, kind, span):
     assert span not in pii.mask(text) and f"[{kind.upper()}]" in pii.mask(text)
 
 
+@pytest.mark.parametrize(
+    "text,kind,span",
+    [
+        ("mail jоhn.smith@example.com now", "email", "jоhn.smith@example.com"),
+        ("mail john.smith@example.cоm now", "email", "john.smith@example.cоm"),
+        ("call +49 30 1234567 eight nine.", "phone", "+49 30 1234567 eight nine"),
+        ("call +49 30 1234567 acht", "phone", "+49 30 1234567 acht"),
+        ("pay 4111 1111 1111 111 one", "card", "4111 1111 1111 111 one"),
+        ("Ruf an: plus vier neun drei null eins zwei drei vier fünf", "phone", "plus vier neun drei null eins zwei drei vier fünf"),
+        ("le cinq cinq cinq un deux trois quatre cinq six", "phone", "cinq cinq cinq un deux trois quatre cinq six"),
+        ("el cinco cinco cinco uno dos tres cuatro cinco seis", "phone", "cinco cinco cinco uno dos tres cuatro cinco seis"),
+    ],
+)
+def test_pii_hidden_beyond_an_exact_span(text, kind, span):
+    base, all_ = pii.spans(text)
+    assert (kind, span) in [(k, text[s:e]) for k, s, e in all_] and set(base) <= set(all_)
+    assert pii.mask(text) == text.replace(span, f"[{kind.upper()}]")
+
+
+def test_pii_short_spelled_runs_in_no_number():
+    for text in ("1 2 three of 12 345", "un ou deux, 12 un 34", "die acht 2 drei", "10 20 one two 3"):
+        assert pii.spans(text) == ([], [])
+
+
 def test_pii_leaves_clean_text_alone():
     for text in ("look at the dot on it", "one two three go", "at home. dot com", "version 1.2", "nicht ä é ü", "we met at noon at example.com", "see @ the end. Then", "1234.5678", "El 1º de mayo, m² y nº 5"):
         assert pii.spans(text) == ([], []) and pii.mask(text) == text
