@@ -466,6 +466,38 @@ def test_mixing(spark):
 # pipeline
 
 
+def test_pipeline_removes_copies_at_a_similarity_of_0_8(spark, tmp_path):
+    import corpus_pipeline
+    from quiltspan.llm import near_copies
+
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(3000)]
+    texts = []
+    for n in [40, 60, 100, 100, 200, 400] * 10:
+        t = [rng.choice(words) for _ in range(n)]
+        edited = list(t)
+        edited[rng.randrange(5, n - 5)] = "changed"
+        far = list(t)
+        for k in range(0, n, 8):
+            far[k] = "other"
+        texts += [" ".join(t), " ".join(edited), " ".join(far)]
+    texts += [None, "", "one two", "One  two", "one three"]
+
+    def plain(t):
+        w = (t or "").lower().split()
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+    sets = [plain(t) for t in texts]
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if (sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))]
+    want = components(len(texts), links)
+    assert sum(len(sets[a] & sets[b]) < len(sets[a]) for a, b in links) >= 50
+    d = docs(spark, texts)
+    got = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, d, str(tmp_path)).collect()}
+    assert got == set(want)
+    assert corpus_pipeline.drop_near_duplicates(spark, d.where("false"), str(tmp_path)).count() == 0
+    assert near_copies.similarity(near_copies.shingles("a b c d e f"), near_copies.shingles("A b c d e f g")) == pytest.approx(2 / 3)
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
