@@ -498,6 +498,18 @@ def test_pipeline_removes_copies_at_a_similarity_of_0_8(spark, tmp_path):
     assert near_copies.similarity(near_copies.shingles("a b c d e f"), near_copies.shingles("A b c d e f g")) == pytest.approx(2 / 3)
 
 
+def test_pipeline_keeps_one_row_of_a_group_whatever_its_id(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    a, b, c, e = (" ".join(f"w{rng.randrange(1000)}" for _ in range(50)) for _ in range(4))
+    rows = [(3, a), (5, a), (5, b), (None, a), (None, c), (None, c), (None, e), (7, e), (9, b), (9, b)]
+    d = spark.createDataFrame([(k, t, "en", f"s{n}", 1) for n, (k, t) in enumerate(rows)], DOCS)
+    for x in (d, d.repartition(3), d.union(d)):
+        got = corpus_pipeline.drop_near_duplicates(spark, x, str(tmp_path)).collect()
+        assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted([(3, a), (5, b), (None, c), (7, e)], key=str)
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
