@@ -196,6 +196,13 @@ def pairs_allvsall(spark, d):
     return c.select(F.col("c_custkey").alias("seed")).crossJoin(c.select(F.col("c_custkey").alias("query")))
 
 
+@query("pairs_allvsall_groups", "SELECT a.o_orderkey AS seed, b.o_orderkey AS query FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey")
+def pairs_allvsall_groups(spark, d):
+    """All against all inside each group, of all proteins: ``pairs_allvsall`` is one segment of few nations."""
+    o = S.read(spark, d, "orders")
+    return o.select("o_custkey", F.col("o_orderkey").alias("seed")).join(o.select("o_custkey", F.col("o_orderkey").alias("query")), "o_custkey").select("seed", "query")
+
+
 OLD = ", old AS (SELECT CASE WHEN seed % 2 = 0 THEN query ELSE seed END AS seed, CASE WHEN seed % 2 = 0 THEN seed ELSE query END AS query FROM pairs WHERE (seed + query) % 3 = 0)"
 
 
