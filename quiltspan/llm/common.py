@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,15 +19,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """``df``, after bounding the rows of a batch that goes to a Python worker: whole texts are long, and a batch is
-    held several times over (in the JVM, in the pipe and in the worker)."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(df.sparkSession.conf.get(key)) <= rows:
-        df.sparkSession.conf.set(key, rows)
+def text_batches(df: DataFrame, rows: int = 1000, mbytes: int = 8) -> DataFrame:
+    """``df``, after bounding the rows and bytes of a batch that goes to a Python worker: whole texts are long, and a
+    batch is held several times over (in the JVM, in the pipe and in the worker). These are options of the session;
+    Spark has none for a single plan. Tighter ones of the caller's stay."""
+    conf = df.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", mbytes << 20)):
+        key = f"spark.sql.execution.arrow.{name}"
+        if not 0 < _bytes(conf.get(key)) <= most:
+            conf.set(key, str(most))
     return df
 
 
+def _bytes(setting: str) -> int:
+    number, unit = re.fullmatch(r"\s*(-?[0-9]+)\s*([kmgt]?)b?\s*", setting.lower()).groups()
+    return int(number) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit]
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z alone."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

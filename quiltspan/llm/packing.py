@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from .common import cut, table, text_batches
 
 SEQUENCE = 1024
 #: Rows of one length that are ranked together; a bound on a task's sort, not on what is packed.
 ROWS_PER_RANK = 1_000_000
-#: The text of the vocabulary's one special token, which the tokenizer reads as id 50256.
-SPECIAL = "<|endoftext|>"
+#: Texts are encoded in parts of about so many characters, which bounds what the tokenizer holds at once.
+PART = 200_000
+#: A rest of so many ids or more is cut once more.
+LEAST_CUT = 32
 
 
 def default_tokenizer() -> str:
@@ -36,76 +41,113 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-@cache
-def _ranks(path: str):
-    """The same vocabulary in the faster library, where its ranks lie beside ``path``; else None."""
-    import base64
-    import os
-
-    ranks = path.removesuffix(".json") + ".tiktoken"
-    if not os.path.exists(ranks):
-        return None
-    import public_tokenizers
-    import tiktoken
-
-    with open(ranks, "rb") as f:
-        pairs = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=pairs, special_tokens={})
-
-
-def token_ids(path: str, text: str | None) -> np.ndarray:
-    """The ids of ``text`` (null: of the empty text) without special tokens added, then id 0."""
-    text, fast = text or "", _ranks(path)
-    ids = _tokenizer(path).encode(text, add_special_tokens=False).ids if fast is None or SPECIAL in text else fast.encode_ordinary(text)
-    return np.asarray([*ids, 0], dtype="<u4")
+_EDGE = re.compile(r"\S(?=\s)")
+
+
+def parts(text: str, size: int = PART) -> list[str]:
+    """``text`` in parts of about ``size`` characters, cut where a white space follows another character. Tokens never
+    reach over such a place, since the vocabulary's pattern has white space at a token's beginning only; the ids of the
+    parts are those of the whole. A run without such a place stays whole."""
+    out, at = [], 0
+    while len(text) - at > size:
+        edge = _EDGE.search(text, at + size - 1)
+        if edge is None:
+            break
+        out.append(text[at : edge.end()])
+        at = edge.end()
+    return [*out, text[at:]]
+
+
+def token_ids(path: str, texts: Sequence[str | None]) -> Iterator[np.ndarray]:
+    """For each text (null: the empty text) its ids, without special tokens added, then id 0. So many texts are
+    encoded at once that their parts have about PART characters, or that they are one part."""
+    encode = _tokenizer(path).encode_batch_fast
+    held: list[str] = []
+    owner: list[int] = []
+    done: list[list[int]] = [[] for _ in texts]
+    chars = first = 0
+    for k, text in enumerate(texts):
+        for part in parts(text or ""):
+            held.append(part)
+            owner.append(k)
+            chars += len(part)
+            if chars >= PART:
+                for j, e in zip(owner, encode(held, add_special_tokens=False), strict=True):
+                    done[j] += e.ids
+                held, owner, chars = [], [], 0
+        if not held:
+            for j in range(first, k + 1):
+                yield np.asarray([*done[j], 0], dtype="<u4")
+                done[j] = []
+            first = k + 1
+    for j, e in zip(owner, encode(held, add_special_tokens=False), strict=True) if held else ():
+        done[j] += e.ids
+    for j in range(first, len(texts)):
+        yield np.asarray([*done[j], 0], dtype="<u4")
+
+
+def cuts(n: int, length: int, draw: int) -> list[int]:
+    """Where a document of ``n`` ids is cut: every ``length`` ids, and its rest once more at a place that ``draw``
+    chooses, so that rests of one length, of which there may be very many, give pieces of all lengths."""
+    starts = list(range(0, n, length))
+    rest = n - starts[-1]
+    if LEAST_CUT <= rest < length:
+        starts.append(starts[-1] + 1 + draw % (rest - 1))
+    return [*starts, n]
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str | None = None, length: int = SEQUENCE) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens: each document's ids in pieces of ``length``, the rest in a last one."""
+    """piece, doc_id, start, length, ids_crc32, doc_tokens: each document's ids in pieces of ``length`` at most.
+
+    ``piece`` numbers the pieces, by partition and place there: equal rows differ in it."""
     path = tokenizer or default_tokenizer()
     kind = docs.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 40
         for batch in batches:
             ids, rows = batch.column("doc_id"), []
-            for k, text in enumerate(batch.column("text")):
-                tokens = token_ids(path, text.as_py())
+            for k, tokens in enumerate(token_ids(path, batch.column("text").to_pylist())):
                 n, raw = len(tokens), tokens.tobytes()
-                rows += [(k, s, min(length, n - s), zlib.crc32(raw[4 * s : 4 * (s + length)]), n) for s in range(0, n, length)]
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(cols[0], pa.int64())), *[pa.array(c, pa.int64()) for c in cols[1:]]], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                at = cuts(n, length, xxh64_intdigest(number.to_bytes(8, "little") + raw[:64]))
+                for s, e in zip(at, at[1:], strict=False):
+                    rows.append((k, number, s, e - s, zlib.crc32(raw[4 * s : 4 * e]), n))
+                    number += 1
+            cols = list(zip(*rows, strict=True)) or [[]] * 6
+            names = ["piece", "doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+            arrays = [pa.array(c, pa.int64()) for c in cols[1:]]
+            yield pa.RecordBatch.from_arrays([arrays[0], ids.take(pa.array(cols[0], pa.int64())), *arrays[1:]], names=names)
 
-    return text_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long")
+    schema = f"piece long, doc_id {kind.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long"
+    return text_batches(docs).select("doc_id", "text").mapInArrow(run, schema)
 
 
 def shortest_pack_first(histogram: dict[int, int], size: int = SEQUENCE) -> list[tuple[tuple[int, ...], int]]:
     """Packing patterns (lengths, count) for so many pieces of each length.
 
-    Lengths are placed longest first, all pieces of a length at once, into the open patterns that have the most room
-    left; a pattern's count is split where only some of its packs get a piece. The loop runs over lengths and
-    patterns, never over pieces, so it costs the same for a thousand documents and for 10^12.
+    Lengths are placed longest first. Each piece goes to the shortest pack, that with the most room, and opens a new
+    one where it does not fit; all packs of a pattern get their pieces at once, and the pattern's count is split where
+    only some of them get one. New packs take as many pieces of the length as they hold. The loop runs over lengths
+    and patterns, never over pieces, so that it costs the same for a thousand documents and for 10^12.
     """
-    open_: dict[int, list[tuple[tuple[int, ...], int]]] = {}  # room left -> patterns
-    full: list[tuple[tuple[int, ...], int]] = []
+    open_: list[list[tuple[tuple[int, ...], int]]] = [[] for _ in range(size + 1)]  # by the room left
     for n in sorted(histogram, reverse=True):
-        left = histogram[n]
-        placed: list[tuple[int, tuple[tuple[int, ...], int]]] = []
-        for room in sorted((r for r in open_ if r >= n), reverse=True):
-            while left and open_[room]:
-                pattern, count = open_[room].pop()
-                some = min(left, count)
-                if some < count:
-                    open_[room].append((pattern, count - some))
-                left -= some
-                placed.append((room - n, ((*pattern, n), some)))
-        if left:
-            placed.append((size - n, ((n,), left)))
-        for room, packed in placed:
-            if room:
-                open_.setdefault(room, []).append(packed)
-            else:
-                full.append(packed)
-    return full + [p for room in sorted(open_) for p in open_[room]]
+        left, room = histogram[n], size
+        while left and room >= n:
+            if not open_[room]:
+                room -= 1
+                continue
+            pattern, count = open_[room].pop()
+            some = min(left, count)
+            if some < count:
+                open_[room].append((pattern, count - some))
+            open_[room - n].append(((*pattern, n), some))
+            left -= some
+        each = size // n
+        for pieces, packs in ((each, left // each), (left % each, 1)):
+            if pieces and packs:
+                open_[size - pieces * n].append(((n,) * pieces, packs))
+    return [p for patterns in open_ for p in patterns]
 
 
 def slots(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int]]:
@@ -127,20 +169,22 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = SEQUENCE,
     """Pack all documents into sequences of at most ``length`` tokens.
 
     One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. Documents are tokenized
-    once and cut every ``length`` ids; only the rests are shorter. The driver sees the histogram of lengths (at most
-    ``length`` rows) and builds the patterns; pieces meet their slot by their rank within their length. Ranks come
-    from counts by length and salt, with so many salts that a length that a third of all pieces share still has
-    groups of about ``rows_per_rank`` rows at most, so that no length is ranked in one task. Slots are cut at the
-    borders of salts and joined to pieces by length and salt; within these, ranks are compared.
+    once and cut every ``length`` ids; a rest of LEAST_CUT ids or more is cut in two at a place drawn for each row.
+    The driver sees the histogram of lengths (at most ``length`` rows) and builds the patterns; pieces meet their slot
+    by their rank within their length. Ranks come from counts by length and salt, a hash of the piece's own number,
+    with so many salts that the commonest length has groups of about ``rows_per_rank`` rows, so that no length is
+    ranked in one task. Slots are cut at the borders of salts and joined to pieces by length and salt; within these,
+    ranks are compared.
 
     Null text: the empty text, one piece of the id 0. Null or repeated doc_ids and repeated rows are documents of
     their own. Empty table: no rows. Very long texts become many pieces. Other columns may have any names.
     """
     spark = docs.sparkSession
     pieces = cut(cut_pieces(docs, tokenizer, length), "pieces")
-    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``length`` rows
-    salts = 16 + sum(histogram.values()) // (3 * rows_per_rank)
-    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)).cast("int"))
+    # at most ``length`` rows
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    salts = 16 + max(histogram.values(), default=0) // rows_per_rank
+    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("piece"), F.lit(salts)).cast("int"))
     table_ = slots(shortest_pack_first(histogram, length))  # a few for each length, whatever the number of documents
     cols = list(zip(*table_, strict=True)) or [()] * 5
     names = ("length", "a", "b", "sequence", "offset")
@@ -149,11 +193,20 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = SEQUENCE,
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
     met = firsts.join(slot_rows, "length").where("a < first + n and b > first")
-    plan = met.select("length", "salt", (F.greatest("a", "first") - F.col("first")).alias("lo"), (F.least("b", F.col("first") + F.col("n")) - F.col("first")).alias("hi"), (F.col("sequence") + F.greatest("a", "first") - F.col("a")).alias("first_sequence"), "offset")
-    ranks = Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32")
+    from_, to = F.greatest("a", "first"), F.least("b", F.col("first") + F.col("n"))
+    plan = met.select(
+        "length",
+        "salt",
+        (from_ - F.col("first")).alias("lo"),
+        (to - F.col("first")).alias("hi"),
+        (F.col("sequence") + from_ - F.col("a")).alias("first_sequence"),
+        "offset",
+    )
+    ranks = Window.partitionBy("length", "salt").orderBy("piece")
     ranked = pieces.withColumn("rank", F.row_number().over(ranks).cast("long") - 1)
     out = ranked.join(plan, ["length", "salt"]).where("rank >= lo and rank < hi")
-    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("first_sequence") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset")
+    sequence = (F.col("first_sequence") + F.col("rank") - F.col("lo")).alias("sequence_id")
+    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", sequence, "offset")
 
 
 def op9_pack_documents(spark, sf_dir):

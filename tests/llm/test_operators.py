@@ -397,6 +397,37 @@ def test_shortest_pack_first():
     assert packing.shortest_pack_first({}) == []
 
 
+def test_shortest_pack_first_fills_packs_of_one_length():
+    for n in (1, 342, 400, 512, 513, 1024):
+        patterns = packing.shortest_pack_first({n: 1001})
+        each = 1024 // n
+        assert sum(c for _, c in patterns) == -(-1001 // each) and sum(len(p) * c for p, c in patterns) == 1001
+
+
+def test_token_ids_of_parts_are_those_of_the_whole():
+    from tokenizers import Tokenizer
+
+    rng = random.Random(4)
+    path = packing.default_tokenizer()
+    tok = Tokenizer.from_file(path)
+    texts = ["".join(rng.choice(["a", "Bc", " ", "  ", "\n", "\t", "1", "é", "'s", "...", "\u00a0", "<|endoftext|>"]) for _ in range(rng.randint(0, 400))) for _ in range(200)]
+    for t in texts:
+        cut = packing.parts(t, 7)
+        assert "".join(cut) == t
+        assert [i for x in cut for i in tok.encode(x, add_special_tokens=False).ids] == tok.encode(t, add_special_tokens=False).ids
+    texts += [None, "", " " * 5_000_000 + "x", "\n" * 5_000_000, "a" * 1_000_000, "some words. " * 300_000, "end"]
+    for t, ids in zip(texts, packing.token_ids(path, texts), strict=True):
+        assert ids.tolist() == [*tok.encode(t or "", add_special_tokens=False).ids, 0]
+
+
+def test_packing_one_length_and_repeated_rows(spark):
+    d = spark.createDataFrame([(None, "same text again " * 130)], "doc_id long, text string").crossJoin(spark.range(600)).drop("id")
+    rows = packing.pack(d, rows_per_rank=50).collect()
+    assert len({(r["sequence_id"], r["offset"]) for r in rows}) == len(rows) and len(rows) == 1200
+    tokens = sum(r["length"] for r in rows)
+    assert tokens == 600 * rows[0]["doc_tokens"] and len({r["sequence_id"] for r in rows}) <= 1.01 * tokens / 1024 + 1
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
