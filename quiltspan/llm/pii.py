@@ -22,6 +22,8 @@ PATTERNS = {
     "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
+#: The same addresses in linear time: a digit run is tried from its start alone and is never given back.
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 # Rewriting rules of the transducers. Letters that look like ASCII ones:
 LOOKALIKES = dict(
     zip(
@@ -53,8 +55,9 @@ _GAP = re.compile(r"[\s-]{1,3}(?=[A-Za-z0-9])")
 _NAME, _LABEL = r"[A-Za-z0-9._%+-]{1,64}", r"[A-Za-z0-9-]{1,63}"
 _AT = r"(?:\s{0,3}[\[({<]\s{0,3}(?:at|@|arroba)\s{0,3}[\])}>]\s{0,3}|\s{1,3}at\s{1,3}|\s{0,3}@\s{0,3})"
 _DOT = r"(?:\s{0,3}[\[({<]\s{0,3}(?:dot|punkt|point|punto|\.)\s{0,3}[\])}>]\s{0,3}|\s{1,3}dot\s{1,3}|\s{1,2}\.\s{1,2}|\.)"
-#: Without brackets only an address in one of these domains is one.
+#: Without brackets only an address in one of these domains is one: "look at the dot on it" has the form of another.
 _DOMAINS = frozenset("com org net edu gov mil int info biz name io co ai app dev me tv eu de fr es it nl be at ch uk ie us ca au nz in jp cn ru br mx pl se no fi dk pt gr cz".split())
+_DOMAINS |= frozenset("online shop site xyz club tech store blog news email cloud live pro art top space website agency example test invalid".split())
 #: A disguised address has a bracketed or spelled dot, or a bracketed at sign.
 _DISGUISED = re.compile(rf"(?<![A-Za-z0-9._%+-]){_NAME}(?P<at>{_AT}){_LABEL}(?P<rest>(?:{_DOT}{_LABEL})+)", re.I)
 _BRACKETED = re.compile(r"[\[({<]\s{0,3}(?:at|@|arroba|dot|punkt|point|punto|\.)\s{0,3}[\])}>]", re.I)
@@ -110,7 +113,7 @@ def exact(text: str) -> list[tuple[str, int, int]]:
     for kind in KINDS[1:]:
         if kind == "phone" and "+" not in text:
             continue
-        for m in PATTERNS[kind].finditer(text):
+        for m in (_IP if kind == "ip" else PATTERNS[kind]).finditer(text):
             if _valid(kind, m[0]):
                 out.append((kind, m.start(), m.end()))
     return out
@@ -251,32 +254,38 @@ def mask(text: str | None) -> str | None:
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for every whole text.
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans, has_pii for every whole text.
 
     The counts and the digest are of the exact patterns; ``spans`` also has what normalisation uncovers. Look-alike
     characters, invisible characters, spelled digits and at/dot disguises are rewritten by transducers that keep, for
     every character they put out, the source span it stands for; a match is thus mapped back to the source text, and
     added unless an exact one of its kind contains it. Spans of a kind may thus overlap; masking joins them.
+    ``n_spans`` counts all of them and ``has_pii`` tells whether there are any.
+
+    Limits of the disguises: a local part of up to 64 and labels of up to 63 characters (those of mail itself), and,
+    where neither the at sign nor a dot is in brackets, one of the top-level domains in _DOMAINS.
 
     Null text counts as empty (all counts 0, empty spans). Repeated rows and null ids get a row each, empty tables
     none. Long texts are read whole, in time that grows as their length. Other columns may have any names.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
+    names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_spans", "has_pii"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols: list[list] = [[] for _ in names[1:]]
             for t in batch.column("text"):
                 base, all_ = spans(t.as_py())
-                for k, x in enumerate(KINDS):
-                    cols[k].append(sum(s[0] == x for s in base))
-                cols[4].append(hashlib.sha256(_joined(base).encode()).hexdigest())
-                cols[5].append(_joined(all_))
-            arrays = [pa.array(c, pa.int64() if k < 4 else pa.string()) for k, c in enumerate(cols)]
+                counts = [sum(s[0] == x for s in base) for x in KINDS]
+                digest = hashlib.sha256(_joined(base).encode()).hexdigest()
+                for col, value in zip(cols, (*counts, digest, _joined(all_), len(all_), bool(all_)), strict=True):
+                    col.append(value)
+            kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64(), pa.bool_()]
+            arrays = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], names=names)
 
-    return text_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    schema = f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long, has_pii boolean"
+    return text_batches(docs).select("doc_id", "text").mapInArrow(run, schema)
 
 
 def mask_pii(docs: DataFrame) -> DataFrame:

@@ -317,9 +317,50 @@ def test_pii_emails_are_the_pattern_s():
     assert pii.spans("a" * 300_000 + " x@y.z " + "b" * 300_000)[0] == [("email", 300_001, 300_006)]
 
 
+def test_pii_base_against_the_plain_patterns():
+    """All four kinds, as the contract's patterns and tests give them, on random texts."""
+
+    def luhn(d):
+        return sum(x if k % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for k, x in enumerate(map(int, reversed(d)))) % 10 == 0
+
+    def plain(text):
+        for kind in pii.KINDS:
+            for m in pii.PATTERNS[kind].finditer(text):
+                digits = re.sub("[^0-9]", "", m[0])
+                if kind == "ip" and any(int(p) > 255 for p in m[0].split(".")):
+                    continue
+                if kind == "card" and not (16 <= len(digits) <= 19 and luhn(digits)):
+                    continue
+                if kind == "phone" and not 8 <= len(digits) <= 15:
+                    continue
+                yield kind, m.start(), m.end()
+
+    rng = random.Random(8)
+    parts = ["4111 1111 1111 1111", "4012-8888-8888-1881", "1.2.3.4", "255.255.255.0", "256.1.1.1", "+49 30 1234567", "+1(555)0100-22", "a@b.c", "x.y@z-w.de", "12", ".", " ", "-", "+", "(", ")", "007", "é", "\n", "word"]
+    found = 0
+    for _ in range(4000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 9)))
+        got, want = pii.exact(text), list(plain(text))
+        assert got == want, text
+        found += len(want)
+    assert found > 2000
+
+
+def test_pii_long_texts_take_linear_time():
+    import time
+
+    spots = "a@b.de +49 30 1234567 1.2.3.4 "
+    for text, n in (("7" * 1_000_000, 0), ("1." * 500_000, 125_000), (spots * 17_000 + "о", 51_000), ("+1" + "(" * 500_000 + "+1" + " " * 500_000, 0), ("eins zwei " * 100_000, 0)):
+        began = time.process_time()
+        base, all_ = pii.spans(text)
+        assert len(base) == n and len(all_) >= n
+        assert time.process_time() - began < 60
+
+
 @pytest.mark.parametrize(
     "text,kind,span",
     [
+        ("bob at example dot online", "email", "bob at example dot online"),
         ("mail bob [at] example [dot] com now", "email", "bob [at] example [dot] com"),
         ("bob at example dot com", "email", "bob at example dot com"),
         ("bob(at)example.com", "email", "bob(at)example.com"),
@@ -376,6 +417,7 @@ def test_pii_rows(spark):
     got = {r["doc_id"]: r for r in pii.find_pii(d).collect()}
     assert got[0]["spans"] == "email:2:8" and got[0]["base_sha256"] == hashlib.sha256(b"email:2:8").hexdigest()
     assert got[1]["spans"] == got[2]["spans"] == "" and got[3]["n_email"] == 20000
+    assert [(got[k]["n_spans"], got[k]["has_pii"]) for k in range(4)] == [(1, True), (0, False), (0, False), (20000, True)]
     masked = {r["doc_id"]: r for r in pii.mask_pii(d).collect()}
     assert masked[0]["text"] == "x [EMAIL] y" and masked[0]["n_chars"] == 11 and masked[1]["text"] is None
     assert pii.find_pii(d.where("false")).count() == 0
