@@ -16,7 +16,11 @@ from .common import table, text_batches
 # Fixed word lists: elements and attribute words.
 BLOCK = frozenset("html body head title article section main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre header footer nav aside form fieldset figure figcaption address details summary hr center dialog menu search hgroup".split())
 VOID = frozenset("hr".split())
+#: Elements whose text is no text of the page; of RAW ones the content is not even markup, BREAKABLE ones hold no blocks,
+#: so that a block's beginning ends them.
 DROPPED = frozenset("script style noscript template iframe object svg math select textarea button canvas audio video map title".split())
+RAW = frozenset("script style textarea title iframe".split())
+BREAKABLE = frozenset("svg math select button audio video canvas map".split())
 AUTO_CLOSED = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th")}
 CLOSES_P = BLOCK - {"html", "body", "head", "title"}
 GOOD_TAGS = frozenset("article main".split())
@@ -25,10 +29,14 @@ GOOD_WORDS = frozenset("article content entry story post main maincontent articl
 BAD_WORDS = frozenset("ad ads adbox advert advertisement advertising sponsor sponsored promo comment comments commentlist discussion reply replies respond disqus related recommended recommendations share sharing social cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup login register paywall breadcrumb breadcrumbs pagination pager copyright legal disclaimer widget teaser outbrain taboola".split())
 #: Words of the page's frame; an article or main element inside such an element is content all the same.
 FRAME_WORDS = frozenset("nav navbar navigation menu header masthead footer sidebar aside banner topbar toolbar".split())
+#: Beside one of these a word says nothing of the element itself: has-comments, tag-social, share-price, comments-open.
+NEUTRAL = frozenset("has no not with without is tag tags category topic enabled disabled open closed price prices count layout wrapper page".split())
 
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([A-Za-z][^\s/>]*)([^>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^>\"']*+)*+)>)", re.S)
 _LOOSE_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z))", re.S)
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|style|aria-hidden|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_DROPPED_END = re.compile(r"</(script|style|noscript|template|iframe|object|svg|math|select|textarea|button|canvas|audio|video|map|title)\s*>", re.I)
+_RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 _SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 _LEGAL = re.compile(r"©|\(c\) ?\d{4}|all rights reserved|alle rechte|tous droits|todos los derechos", re.I)
 
@@ -37,28 +45,47 @@ IN_GOOD, IN_BAD, BASE, LINKS, LEGAL, HEADING, SENTENCE = 3.0, -5.0, -0.9, -3.0,
 NEXT_TO, NEXT_ACROSS, SIBLING = 0.6, 0.15, 0.4
 
 
-def _region(tag: str, attrs: str, above: int) -> int:
-    """1 content, -1 frame of the page, -2 never content, 0 none; above: that of the parent."""
+#: A block of so many words, not mostly links, is running text; a region with so much of it outweighs its class words.
+RUNNING, OUTWEIGHS, ELSEWHERE = 12, 25, 20
+NESTED = 8
+
+
+def _words(attrs: str) -> tuple[set[str], bool]:
+    """The words of class, id and role, but for those beside a NEUTRAL one, and whether the element is hidden."""
     words: set[str] = set()
     hidden = False
-    if attrs and attrs.strip():
-        for m in _ATTR.finditer(attrs):
-            name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-            if name in ("class", "id", "role"):
-                words.update(w.lower() for w in _SPLIT.split(value) if w)
-            elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-                hidden = True
+    for m in _ATTR.finditer(attrs):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name in ("class", "id", "role"):
+            for token in value.split():
+                parts = {w.lower() for w in _SPLIT.split(token) if w}
+                if parts.isdisjoint(NEUTRAL):
+                    words |= parts
+        elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+            hidden = True
+        elif name == "style" and re.search(r"display\s*:\s*none", value, re.I):
+            hidden = True
+    return words, hidden
+
+
+def _region(tag: str, attrs: str, above: int, trusted: bool) -> int:
+    """1 content, -1 frame of the page, -2 beside the content, -3 hidden, 0 none; above: that of the parent.
+
+    ``trusted``: neither the element's words nor its tag are held against it."""
+    words, hidden = _words(attrs) if attrs and attrs.strip() else (set(), False)
     if tag in ("html", "body"):
         return 0
-    if hidden or above == -2 or words & BAD_WORDS:
+    if hidden or tag == "head" or above == -3:
+        return -3
+    if above == -2 or not trusted and words & BAD_WORDS:
         return -2
     if tag in GOOD_TAGS:
         return 1
     if tag == "header" and above == 1:  # the head of the article, not of the page
         return 1
-    if tag in BAD_TAGS:
-        return -2 if tag in ("nav", "form", "head", "aside", "footer") else -1
-    if words & FRAME_WORDS:
+    if tag in BAD_TAGS and not trusted:
+        return -2 if tag in ("nav", "form", "aside", "footer") else -1
+    if words & FRAME_WORDS and not trusted:
         return -1
     if above:
         return above
@@ -72,16 +99,20 @@ class Block:
         self.text, self.region, self.parent, self.holder, self.tag, self.link = text, region, parent, holder, tag, link
 
 
-def blocks(page: str) -> list[Block]:
-    """The text blocks of a page in page order. Malformed and unfinished markup is read as far as it goes."""
+def blocks(page: str, trusted: frozenset[int] = frozenset()) -> list[Block]:
+    """The text blocks of a page in page order. Malformed and unfinished markup is read as far as it goes: a dropped
+    element that nothing ends drops its tag alone (of scripts and styles, the rest of the page). ``trusted``: the
+    numbers of elements whose words and tags are not held against them."""
     out: list[Block] = []
     stack: list[tuple[str, int, int, int]] = [("", 0, 0, 0)]  # tag, region, element, the element that set the region
     open_: Counter[str] = Counter()
     pieces: list[str] = []
     link_chars = n = at = 0
     in_link = False
+    muted = 0  # dropped elements that are open
     size = len(page)
     tags = _TAG
+    ends = {m[1].lower(): m.start() for m in _DROPPED_END.finditer(page)}  # where each one's last end tag is
 
     def flush() -> None:
         nonlocal link_chars
@@ -97,11 +128,18 @@ def blocks(page: str) -> list[Block]:
         while True:
             tag = stack.pop()[0]
             open_[tag] -= 1
+            muted_less(tag)
             if tag == name:
                 return
 
+    def muted_less(tag: str) -> None:
+        nonlocal muted
+        muted -= tag in DROPPED
+
     def say(raw: str) -> None:
         nonlocal link_chars
+        if muted:
+            return
         text = html.unescape(raw) if "&" in raw else raw
         pieces.append(text)
         if in_link:
@@ -134,22 +172,34 @@ def blocks(page: str) -> list[Block]:
         if m[1]:
             if name == "a":
                 in_link = False
+            elif name in DROPPED:
+                if open_[name] > 0:
+                    pop_to(name)
             elif name in BLOCK:
                 flush()
                 if open_[name] > 0:
                     pop_to(name)
             continue
         if name in DROPPED:
-            flush() if name == "title" else None
-            if not m[3].rstrip().endswith("/") or name in ("script", "style", "title", "textarea"):
-                end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-                at = end.end() if end else size
+            if name == "title":
+                flush()
+            if m[3].rstrip().endswith("/") and name not in RAW:
+                continue
+            if name in RAW:
+                end = _RAW_END[name].search(page, at) if ends.get(name, -1) >= at else None
+                at = end.end() if end else size if name in ("script", "style") else at
+            elif ends.get(name, -1) >= at:
+                stack.append((name, *stack[-1][1:]))
+                open_[name] += 1
+                muted += 1
         elif name == "a":
             in_link = True
         elif name == "br" or name == "img" or name == "input":
             pieces.append(" ")
         elif name in BLOCK:
             flush()
+            while stack[-1][0] in BREAKABLE and not (stack[-1][0] == "button" and name == "div"):
+                pop_to(stack[-1][0])
             for other in AUTO_CLOSED.get(name, ()):
                 if stack[-1][0] == other:
                     pop_to(other)
@@ -160,7 +210,7 @@ def blocks(page: str) -> list[Block]:
                 continue
             n += 1
             above = stack[-1]
-            region = _region(name, m[3], above[1])
+            region = _region(name, m[3], above[1], n in trusted)
             stack.append((name, region, n, n if region != above[1] else above[3]))
             open_[name] += 1
     flush()
@@ -171,7 +221,7 @@ def evidence(b: Block) -> float:
     """The classifier's log odds that a block is content."""
     words = b.text.count(" ") + 1
     s = BASE + min(2.2, 0.4 * math.log1p(words))
-    s += IN_GOOD if b.region == 1 else IN_BAD * (1.6 if b.region == -2 else 1.0) if b.region < 0 else 0.0
+    s += IN_GOOD if b.region == 1 else IN_BAD * (1.0, 1.6, 3.0)[-1 - b.region] if b.region < 0 else 0.0
     s += LINKS * b.link / len(b.text)
     s += HEADING if b.tag in ("h1", "h2", "h3") else 0.0
     s += SENTENCE if b.text[-1] in ".!?:;…\"”»" or words > 12 else 0.0
@@ -272,8 +322,31 @@ def min_cut(terminal: list[float], edges: list[tuple[int, int, float]]) -> list[
     return [bool(x) for x in label]
 
 
+def weighed(page: str) -> list[Block]:
+    """The blocks, after weighing class words and tags against the text they stand for: where a page's running text is
+    all in one region of boilerplate (a form around the page, an article of class ``promo``), that element is trusted;
+    so are such elements within it, NESTED of them."""
+    trusted: frozenset[int] = frozenset()
+    for _ in range(NESTED):
+        found = blocks(page, trusted)
+        running: Counter[int] = Counter()
+        elsewhere = 0
+        for b in found:
+            words = b.text.count(" ") + 1
+            if words > RUNNING and 2 * b.link < len(b.text) and b.region > -3:
+                if b.region < 0:
+                    running[b.holder] += words
+                else:
+                    elsewhere += words
+        most = max(running.items(), key=lambda x: x[1], default=(0, 0))
+        if most[1] < OUTWEIGHS or elsewhere >= ELSEWHERE or most[0] in trusted:
+            return found
+        trusted |= {most[0]}
+    return blocks(page, trusted)
+
+
 def main_text(page: str | None) -> str:
-    found = blocks(page or "")
+    found = weighed(page or "")
     if not found:
         return ""
     edges, last = [], {}
@@ -295,7 +368,10 @@ def extract(pages: DataFrame) -> DataFrame:
     The page is cut into blocks of text at block-level elements. A classifier of region (elements and class words),
     length, sentences, headings and links gives each block the log odds of being content; they are the capacities to
     the two terminals. Edges between neighbours in the page and between neighbours with the same parent make a
-    labelling smooth; the minimum cut is the best one. Scripts, styles and form controls are no text at all.
+    labelling smooth; the minimum cut is the best one. Scripts, styles and form controls are no text at all. A class
+    word is evidence, not a verdict: words beside a neutral one (``has-comments``) do not count, and where all of a
+    page's running text is in one region of boilerplate, that element's words and tag are not held against it. The
+    costs are set by hand in log-odds units: no table labels pages to learn them from.
 
     Character references are decoded, white space inside a block becomes one space, and blocks are joined by one.
     Null or empty html, and pages without content: empty text, 0 characters. Unfinished markup is read as far as it

@@ -98,6 +98,61 @@ def test_html():
         html.main_text(odd)
 
 
+LONG = "This paragraph has a good many words in it, so that it is running text, and it ends as sentences do. It goes on for a while, too."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<article class="post has-comments"><p>{LONG}</p></article><div class="comments"><p>I liked it a lot, and so did all of my friends from the old town.</p></div>',
+        f'<nav><a href=x>a</a></nav><div id="share-price"><p>{LONG}</p></div><footer>x</footer>',
+        f'<article class="post tag-social comments-open"><p>{LONG}</p></article>',
+        f'<div class="has-cookie-notice"><div class="promo"><p>{LONG}</p></div></div>',
+        f'<form action="/p"><div class="menu"><a>b</a></div><div><p>{LONG}</p></div></form>',
+        f'<article><svg><path d="x"><p>{LONG}</p></article>',
+        f'<article><noscript><p>{LONG}</p></article>',
+        f'<article><select><option>one<p>{LONG}</p></article>',
+        f'<article><p>{LONG}</p></article><div><svg><g>graph</g></div><script>no text',
+        f'<article><div><object data=x>old</div><p>{LONG}</p></article><object>y</object>',
+        f'<article><button><div>Menu</div></button><svg viewBox="0"><text>pic</text></svg><p>{LONG}</p><textarea>t',
+        f'<div class="article-comment" style="display: none"><p>{LONG} {LONG}</p></div><main><p>{LONG}</p></main>',
+    ],
+)
+def test_html_class_words_are_evidence_and_unclosed_elements_lose_nothing(page):
+    got = html.main_text(page)
+    assert LONG in got and len(got) < len(LONG) + 12 and "liked" not in got
+
+
+def test_html_templates():
+    """Pages put together at random from ten kinds of furniture, with an article that is known."""
+    rng = random.Random(13)
+    word = lambda: rng.choice("river stone light market paper window garden letter winter bridge music field story water road glass".split())
+    sentence = lambda n: " ".join(word() for _ in range(n)).capitalize() + "."
+    right = 0
+    for _ in range(200):
+        paragraphs = [" ".join(sentence(rng.randint(9, 18)) for _ in range(rng.randint(2, 5))) for _ in range(rng.randint(2, 7))]
+        head = sentence(5)[:-1]
+        inner = f"<h1>{head}</h1>" + "".join(f"<p>{p}</p>" for p in paragraphs)
+        ad, comment = f'<div class="{rng.choice(["ad", "advert", "promo-box", "sponsored"])}"><p>{sentence(6)}</p></div>', sentence(14)
+        if rng.random() < 0.5:
+            inner = inner.replace("</p><p>", f"</p>{ad}<p>", 1)
+        body = rng.choice(['<article class="post has-comments">{}</article>', '<div id="content">{}</div>', "<main><div>{}</div></main>", '<div class="entry-content">{}</div>']).format(inner)
+        links = "".join(f"<li><a href=/{k}>{word()}</a></li>" for k in range(rng.randint(3, 9)))
+        top = rng.choice(["<nav><ul>{}</ul></nav>", '<div class="menu"><ul>{}</ul></div>', "<header><ul>{}</ul></header>"]).format(links)
+        side = rng.choice(["", "<aside><h3>More</h3><p>{}</p></aside>", '<div class="sidebar"><p>{}</p></div>', '<div class="related-posts"><p>{}</p></div>']).format(sentence(13))
+        foot = rng.choice(["<footer><p>{}</p></footer>", '<div id="footer">&copy; 2021 {}</div>']).format(sentence(6))
+        below = rng.choice(["", f'<div class="comments"><p>{comment}</p></div>', f'<section id="comment-list"><div class="comment"><p>{comment}</p></div></section>'])
+        page = f"<html><head><title>{word()}</title><script>var x='<p>';</script></head><body>{top}{body}{side if rng.random() < 0.5 else ''}{below}{foot}</body></html>"
+        right += html.main_text(page) == " ".join([head, *paragraphs])
+    assert right >= 190
+
+
+def test_html_long_pages():
+    assert html.main_text(f"<article>{'<p>' + LONG * 40}</article>" * 100).count(LONG) == 4000
+    html.main_text("<form>" * 3000 + LONG)
+    html.main_text("<svg>" * 20_000 + "</svg>" + "<textarea>" * 20_000 + LONG + "<!--" + "<a '" * 20_000)
+
+
 def test_min_cut_is_minimal():
     rng = random.Random(2)
     for _ in range(150):
