@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator, Sequence
+from functools import cache
+from math import exp
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, table, text_batches
 
-#: At most so many labelled rows are learned from, the first in the order of a hash of the text.
+#: At most so many labelled texts are learned from, the first in the order of a hash of the text.
 MAX_TRAINING = 20_000
 THRESHOLD = 0.7
 #: A term enters the lexicon if the lower bound (so many standard errors) of its log odds ratio is above this.
@@ -29,10 +31,103 @@ SPAN = 4  # words that a negation or target reaches
 
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[.!?;:\n]|[\"“”«»]")
 _WORDS = re.compile(r"[^\W\d_]+")
-_END = frozenset(".!?;:\n")
-_QUOTE = frozenset('"“”«»')
 
+#: What the machines read and write. Words are OTHER, TARGET, NEGATION, REPORT, INSULT or THREAT; the last four are
+#: what insults and threats become.
+OTHER, TARGET, NEGATION, REPORT, END, COLON, QUOTE, INSULT, THREAT, REPORTED, NEGATED, AIMED, MEANT = range(13)
+SYMBOLS = range(13)
 FEATURES = ("plain", "aimed", "negated", "reported", "threat", "best", "density", "count")
+_CLASS = {INSULT: 0, AIMED: 1, NEGATED: 2, REPORTED: 3, MEANT: 4}
+
+State = Hashable
+
+
+class Transducer:
+    """A deterministic weighted transducer: arcs (state, symbol) -> (next state, symbol written, weight added)."""
+
+    def __init__(self, start: State, rule: Callable[[State, int], tuple[State, int, float]]) -> None:
+        """The states that ``rule`` reaches from ``start``, and their arcs, each once."""
+        self.start = start
+        self.arcs: dict[tuple[State, int], tuple[State, int, float]] = {}
+        todo, seen = [start], {start}
+        while todo:
+            state = todo.pop()
+            for symbol in SYMBOLS:
+                arc = rule(state, symbol)
+                self.arcs[state, symbol] = arc
+                if arc[0] not in seen:
+                    seen.add(arc[0])
+                    todo.append(arc[0])
+
+    def then(self, other: Transducer) -> Transducer:
+        """The composition: ``other`` reads what this one writes; weights add up."""
+
+        def rule(state: State, symbol: int) -> tuple[State, int, float]:
+            p, middle, w = self.arcs[state[0], symbol]
+            q, out, v = other.arcs[state[1], middle]
+            return (p, q), out, w + v
+
+        return Transducer((self.start, other.start), rule)
+
+    def table(self) -> tuple[list[int], list[int], list[float]]:
+        """Next place, symbol written and weight by place + symbol; the start is at 0."""
+        names = [self.start, *({s for s, _ in self.arcs} - {self.start})]
+        place = {s: k * len(SYMBOLS) for k, s in enumerate(names)}
+        rows = [self.arcs[s, x] for s in names for x in SYMBOLS]
+        return [place[r[0]] for r in rows], [r[1] for r in rows], [r[2] for r in rows]
+
+    def run(self, symbols: Sequence[int]) -> tuple[list[int], list[float]]:
+        state, out, weights = self.start, [], []
+        for x in symbols:
+            state, y, w = self.arcs[state, x]
+            out.append(y)
+            weights.append(w)
+        return out, weights
+
+
+def reported_speech(weight: float = -1.6) -> Transducer:
+    """From a word of saying to the end of its clause, or of the quotation, insults and threats are REPORTED."""
+
+    def rule(state: State, x: int) -> tuple[State, int, float]:
+        said, quoted = state
+        if x == QUOTE:
+            return (said, not quoted), x, 0.0
+        if x == REPORT:
+            return (True, quoted), x, 0.0
+        if x in (END, COLON):
+            return (said and (quoted or x == COLON), quoted), x, 0.0
+        return (state, REPORTED, weight) if said and x in (INSULT, THREAT) else (state, x, 0.0)
+
+    return Transducer((False, False), rule)
+
+
+def _after(opener: int, changes: dict[int, int], weight: float) -> Transducer:
+    """Within SPAN words after ``opener``, in its clause, symbols change. States: words since then, SPAN + 1 for none."""
+
+    def rule(state: State, x: int) -> tuple[State, int, float]:
+        if x in (END, COLON):
+            return SPAN + 1, x, 0.0
+        if x == QUOTE:
+            return state, x, 0.0
+        since = 0 if x == opener else min(state + 1, SPAN + 1)
+        return (since, changes[x], weight) if x in changes and since <= SPAN else (since, x, 0.0)
+
+    return Transducer(SPAN + 1, rule)
+
+
+def negation(weight: float = -0.9) -> Transducer:
+    return _after(NEGATION, {INSULT: NEGATED, THREAT: NEGATED}, weight)
+
+
+def target(weight: float = 0.4) -> Transducer:
+    """An insult after a target is AIMED, and a threat is MEANT. Read backwards, it is before a target."""
+    return _after(TARGET, {INSULT: AIMED, THREAT: MEANT}, weight)
+
+
+@cache
+def grammar() -> tuple[tuple, tuple]:
+    """The tables of the composed machine, and of the target machine that reads its output backwards."""
+    return reported_speech().then(negation()).then(target()).table(), target().table()
 
 
 def terms(text: str) -> set[str]:
@@ -42,76 +137,58 @@ def terms(text: str) -> set[str]:
 
 
 class Grammar:
-    """Insult, threat, target, negation and reported-speech transducers, composed over the words of a clause.
+    """Insult and threat lexica, and the composition of the reported-speech, negation and target transducers.
 
-    Reading a clause, the composed machine's state is (words since a negation, words since a target, reported or
-    not). An insult or threat term moves weight to the output in the class that the state gives it: reported, negated,
-    aimed (a target within SPAN words before or after it) or plain. A clause's best path is its heaviest class.
+    A text's words become symbols; the composed machine reads them once forwards, and the target machine reads what it
+    wrote backwards, for targets that follow. Each insult or meant threat comes out as one class, with its weight in
+    the lexicon times the exponential of the weights of its arcs.
     """
 
     def __init__(self, lexicon: dict[str, float]) -> None:
         self.lexicon = {w: 2.0 for w in INSULTS} | lexicon
-        self.known: dict[str, float] = {}
-
-    def weight(self, word: str) -> float:
-        """The largest weight among the word and its beginnings."""
-        got = self.known.get(word)
-        if got is None:
-            lex = self.lexicon
-            got = max([lex.get(word, 0.0), *(lex.get(word[:k] + "*", 0.0) for k in PREFIXES if len(word) > k)])
-            if len(self.known) < 50_000:
-                self.known[word] = got
+        marks = [(".!?;\n", END), (":", COLON), ('"“”«»', QUOTE)]
+        self.known: dict[str, tuple[int, float]] = {c: (x, 0.0) for cs, x in marks for c in cs}
+        self.known |= {w: (x, 0.0) for ws, x in ((TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT)) for w in ws}
+
+    def symbol(self, word: str) -> tuple[int, float]:
+        """A word's symbol, and the largest weight among the word and its beginnings."""
+        lex = self.lexicon
+        w = max([lex.get(word, 0.0), *(lex.get(word[:k] + "*", 0.0) for k in PREFIXES if len(word) > k)])
+        got = (INSULT, w) if w > 0 else (THREAT, 2.0) if word in THREATS else (OTHER, 0.0)
+        if len(self.known) < 200_000:
+            self.known[word] = got
         return got
 
     def features(self, text: str | None) -> list[float]:
-        """FEATURES of a whole text: sums over clauses by class, the heaviest clause, weight per word, matches."""
-        f = dict.fromkeys(FEATURES, 0.0)
-        no = aim = 99
-        reported = quoted = False
-        pending: list[tuple[int, float, str]] = []  # insults that a following target may still aim: (word number, weight, class)
-        n = clause_best = 0
-
-        def close(upto: int) -> None:
-            nonlocal clause_best
-            while pending and pending[0][0] <= upto:
-                _, w, kind = pending.pop(0)
-                f[kind] += w
-                clause_best = max(clause_best, w * (1.5 if kind == "aimed" else 1.0))
-
-        for token in _TOKEN.findall((text or "").lower()):
-            if token in _END:
-                close(1 << 60)
-                f["best"] = max(f["best"], clause_best)
-                no = aim = 99
-                clause_best = 0
-                reported = reported and (quoted or token == ":")
-                continue
-            if token in _QUOTE:
-                quoted = not quoted
-                continue
-            n += 1
-            no, aim = no + 1, aim + 1
-            if pending:
-                close(n - SPAN - 1)
-            if token in TARGETS:
-                aim = 0
-                for k, (at, w, kind) in enumerate(pending):
-                    if kind == "plain":
-                        pending[k] = (at, w, "aimed")
-            elif token in NEGATIONS:
-                no = 0
-            elif token in REPORTS:
-                reported = True
-            w = self.weight(token)
-            threat = token in THREATS and (aim <= SPAN or w > 0)
-            if w > 0 or threat:
-                kind = "reported" if reported else "negated" if no <= SPAN else "threat" if threat and not w else "aimed" if aim <= SPAN else "plain"
-                pending.append((n, w or 2.0, kind))
-                f["count"] += 1
-        close(1 << 60)
-        f["best"] = max(f["best"], clause_best)
-        f["density"] = 100 * sum(f[k] for k in FEATURES[:5]) / (n + 50)
-        return [f[k] for k in FEATURES]
+        """FEATURES of a whole text: weights by class, the heaviest clause, weight per word, matches."""
+        sums = [0.0] * 5
+        known, symbol = self.known, self.symbol
+        read = [known.get(t) or symbol(t) for t in _TOKEN.findall((text or "").lower())]
+        matches = best = 0
+        if any(w for _, w in read):
+            (to, write, weight), (back_to, back_write, back_weight) = grammar()
+            state, wrote, gained = 0, [], []
+            for x, _ in read:
+                at = state + x
+                state = to[at]
+                wrote.append(write[at])
+                gained.append(weight[at])
+            state = 0
+            clause = 0.0
+            for k in range(len(read) - 1, -1, -1):
+                at = state + wrote[k]
+                state = back_to[at]
+                x = back_write[at]
+                kind = _CLASS.get(x)
+                if kind is not None and read[k][1]:
+                    matches += 1
+                    sums[kind] += read[k][1]
+                    clause = max(clause, read[k][1] * exp(gained[k] + back_weight[at]))
+                elif x in (END, COLON):
+                    best, clause = max(best, clause), 0.0
+            best = max(best, clause)
+        words = sum(x != END and x != COLON and x != QUOTE for x, _ in read)
+        return [*sums, best, 100 * sum(sums) / (words + 50), float(matches)]
 
 
 def _design(rows: np.ndarray) -> np.ndarray:
@@ -134,11 +211,17 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int =
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING) -> DataFrame:
-    """text, toxic of at most ``most`` labelled documents outside the held-out fold (crc32(doc_id) mod 3 = 1)."""
+    """text, toxic of at most ``most`` different texts of labelled documents outside the held-out fold
+    (crc32(doc_id) mod 3 = 1): the first in the order of a hash of the text, toxic if any of its labels is 1.
+
+    Labels without a document take no part, and a doc_id or text that repeats counts once.
+    """
     marks = labels.where("doc_id is not null and toxic is not null and pmod(crc32(cast(cast(doc_id as string) as binary)), 3) <> 1").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    # the choice has at most ``most`` rows of two numbers, a proven bound
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    keyed = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("h"))
+    met = keyed.select("doc_id", "h").join(marks, "doc_id").groupBy("h").agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id"))
+    chosen = cut(met.orderBy("h").limit(most), "toxicity-chosen")
+    # the choice has at most ``most`` rows of three numbers, a proven bound
+    return keyed.join(F.broadcast(chosen), ["doc_id", "h"]).groupBy("h").agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING) -> tuple[dict[str, float], tuple | None]:
@@ -204,7 +287,7 @@ def score_column(lexicon: dict[str, float], fitted: tuple | None):
 def score_toxicity(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for every whole text; only the text enters a score.
 
-    Learned from the labelled documents whose crc32(doc_id as text) mod 3 is not 1, at most ``most`` of them. Null
+    Learned from the labelled documents whose crc32(doc_id as text) mod 3 is not 1, at most ``most`` different texts. Null
     and empty texts score like a text without a match. Null doc_id: not held out. Repeated rows are scored each.
     Without usable labels the fixed word list alone scores. Empty tables give no rows. Other columns may have any names.
     """

@@ -256,11 +256,66 @@ def test_toxicity(spark):
     assert len(none) == d.count() and toxicity.score_toxicity(d.where("false"), labels).count() == 0
 
 
+def test_toxicity_training_rows(spark):
+    """The quota counts texts of labelled documents: neither labels without one nor repeated rows use it up."""
+    d = docs(spark, [f"text {k}" for k in range(200)])
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(20_000)], "doc_id long, quality int, toxic int")
+    free = [k for k in range(200) if zlib.crc32(str(k).encode()) % 3 != 1]
+    got = {(r["text"], r["toxic"]) for r in toxicity.training_rows(d, labels, most=1000).collect()}
+    assert got == {(f"text {k}", k % 2) for k in free}
+    assert toxicity.training_rows(d, labels, most=20).count() == 20
+    same = spark.createDataFrame([(free[0], "again")], "doc_id long, text string").crossJoin(spark.range(5000)).drop("id")
+    rows = same.union(d.select("doc_id", "text"))
+    assert sorted(r["text"] for r in toxicity.training_rows(rows, labels, most=1000).collect()).count("again") == 1
+    assert toxicity.training_rows(rows, labels, most=10).count() == 10
+
+
+def test_transducers_compose():
+    """The composition writes what the machines write one after the other, and that is what a plain search finds."""
+    T = toxicity
+    parts = T.reported_speech(), T.negation(), T.target()
+    whole = parts[0].then(parts[1]).then(parts[2])
+    rng = random.Random(3)
+    for _ in range(400):
+        line = [rng.choice([T.OTHER, T.OTHER, T.OTHER, T.TARGET, T.NEGATION, T.REPORT, T.END, T.COLON, T.QUOTE, T.INSULT, T.THREAT]) for _ in range(rng.randint(0, 25))]
+        at, weights = line, [0.0] * len(line)
+        for m in parts:
+            at, w = m.run(at)
+            weights = [a + b for a, b in zip(weights, w, strict=True)]
+        got, total = whole.run(line)
+        assert got == at and total == pytest.approx(weights)
+        to, write, weight = whole.table()
+        state = 0
+        for k, x in enumerate(line):
+            assert (write[state + x], weight[state + x]) == (got[k], pytest.approx(total[k]))
+            state = to[state + x]
+
+        def near(k, what, line=line):
+            words = 0
+            for x in reversed(line[:k]):
+                if x in (T.END, T.COLON):
+                    return False
+                words += x != T.QUOTE
+                if x == what:
+                    return words <= T.SPAN
+            return False
+
+        said = quoted = False
+        for k, x in enumerate(line):
+            quoted ^= x == T.QUOTE
+            said = True if x == T.REPORT else said and (x not in (T.END, T.COLON) or quoted or x == T.COLON)
+            if x in (T.INSULT, T.THREAT):
+                want = T.REPORTED if said else T.NEGATED if near(k, T.NEGATION) else {T.INSULT: T.AIMED, T.THREAT: T.MEANT}[x] if near(k, T.TARGET) else x
+                assert got[k] == want
+
+
 def test_grammar():
     f = lambda t: dict(zip(toxicity.FEATURES, toxicity.Grammar({}).features(t), strict=True))
     assert f("you are an idiot.")["aimed"] == 2 and f("an idiot, you are.")["aimed"] == 2
     assert f("he is not an idiot.")["negated"] == 2 and f('she said: "idiot".')["reported"] == 2
-    assert f("I will kill you.")["threat"] == 2 or f("you I will kill.")["threat"] == 2
+    assert f("I will kill you.")["threat"] == 2 and f("you I will kill.")["threat"] == 2 and f("to kill time.")["count"] == 0
+    assert f("an idiot. you are")["plain"] == 2 and f("idiot " * 50_000)["plain"] == 100_000
+    assert f("you idiot.")["best"] > f("idiot.")["best"] > f("no idiot.")["best"] > f("she said: idiot.")["best"] > 0
     assert f("the tree. blue sky.") == dict.fromkeys(toxicity.FEATURES, 0.0)
 
 
