@@ -556,20 +556,34 @@ def test_shortest_pack_first_fills_packs_of_one_length():
         assert sum(c for _, c in patterns) == -(-1001 // each) and sum(len(p) * c for p, c in patterns) == 1001
 
 
-def test_token_ids_of_parts_are_those_of_the_whole():
+def test_token_ids_are_the_tokenizer_s(monkeypatch):
+    """Both ways of encoding, and every cut, give the ids of the whole text by the named tokenizer."""
     from tokenizers import Tokenizer
 
     rng = random.Random(4)
     path = packing.default_tokenizer()
-    tok = Tokenizer.from_file(path)
-    texts = ["".join(rng.choice(["a", "Bc", " ", "  ", "\n", "\t", "1", "é", "'s", "...", "\u00a0", "<|endoftext|>"]) for _ in range(rng.randint(0, 400))) for _ in range(200)]
+    tok, mine = Tokenizer.from_file(path), packing.encoder(path)
+    want = lambda t: [*tok.encode(t or "", add_special_tokens=False).ids, 0]
+    parts = ["a", "Bc", " ", "  ", "\n", "\t", "1", "é", "'s", "...", "\u00a0", "\x1c", "\u3000", "\x85", "<|endoftext|>", "日本", "\r\n", "!", ",", "é.", "'ll", "x:"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 200))) for _ in range(1500)]
+    texts += [" " * n + "x" for n in (98, 99, 100, 101, 5000)] + ["y" * n + " z" for n in (1999, 2000, 2001, 9000)]
+    for t in [*texts, None, "", " " * 5_000_000 + "x", "\n" * 5_000_000, "a" * 1_000_000, "some words. " * 300_000, " ", "end "]:
+        assert mine.ids(t).tolist() == want(t)
+    assert not mine.plain(" " * 100) and not mine.plain("a<|endoftext|>") and mine.plain("a b") == (mine.ranks is not None)
+    monkeypatch.setattr(packing, "PART", 7)
     for t in texts:
-        cut = packing.parts(t, 7)
-        assert "".join(cut) == t
-        assert [i for x in cut for i in tok.encode(x, add_special_tokens=False).ids] == tok.encode(t, add_special_tokens=False).ids
-    texts += [None, "", " " * 5_000_000 + "x", "\n" * 5_000_000, "a" * 1_000_000, "some words. " * 300_000, "end"]
-    for t, ids in zip(texts, packing.token_ids(path, texts), strict=True):
-        assert ids.tolist() == [*tok.encode(t or "", add_special_tokens=False).ids, 0]
+        assert mine.ids(t).tolist() == want(t)
+
+
+def test_token_ids_of_every_character():
+    """Letters, digits and white space are the same ones to both libraries."""
+    mine = packing.encoder(packing.default_tokenizer())
+    if mine.ranks is None:
+        pytest.skip("no ranks beside the tokenizer")
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for k in range(0, len(chars), 64):
+        text = "".join(f"a{c}b {c}1{c}{c}, {c} .{c}\n" for c in chars[k : k + 64])
+        assert mine.ranks.encode_ordinary(text) == mine.tokenizer.encode(text, add_special_tokens=False).ids, k
 
 
 def test_packing_one_length_and_repeated_rows(spark):
