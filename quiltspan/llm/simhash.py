@@ -7,7 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -19,7 +19,11 @@ DISTANCE = 2
 #: Two fingerprints that differ in so many bits share at least 8 - DISTANCE of their 8 positional bytes.
 MIN_SHARED = 8 - DISTANCE
 _CHUNK = 65_536
-_POPCOUNT = np.array([bin(i).count("1") for i in range(65_536)], np.uint8)
+_POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+#: Four blocks of two positions; a key is two of the blocks, and of four blocks two bytes that differ spoil two at most.
+KEYS = [(*a, *b) for a, b in combinations([(0, 1), (2, 3), (4, 5), (6, 7)], 2)]
+#: Lists of more members are posted anew under longer keys.
+HOT_LIST = 1_000
 
 
 def fingerprint(text: str | None) -> int:
@@ -52,75 +56,105 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return text_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
 
 
-def _forest(values: np.ndarray) -> np.ndarray:
-    """For distinct 16-bit values: the index of the smallest value that each reaches by steps of at most DISTANCE bits."""
-    n = len(values)
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n places the smallest one that the edges (a, b) reach."""
     root = np.arange(n)
-    order = np.argsort(values)
-    values = values[order]
-    place = np.full(65_536, -1, np.int64)
-    place[values] = np.arange(n)
-    if n <= 256:
-        a, b = np.nonzero(np.triu(_POPCOUNT[values[:, None] ^ values[None, :]] <= DISTANCE, 1))
-    else:  # by the 16 + 120 values within two bits of each
-        masks = [1 << i for i in range(16)] + [(1 << i) | (1 << j) for i, j in combinations(range(16), 2)]
-        a, b = [], []
-        for m in masks:
-            to = place[values ^ m]
-            at = np.flatnonzero(to > np.arange(n))
-            a.append(at)
-            b.append(to[at])
-        a, b = np.concatenate(a), np.concatenate(b)
-    while True:
+    while len(a):
         before = root.copy()
-        np.minimum.at(root, b, root[a])
-        np.minimum.at(root, a, root[b])
+        low = np.minimum(root[a], root[b])
+        np.minimum.at(root, a, low)
+        np.minimum.at(root, b, low)
         root = root[root]
         if (root == before).all():
             break
-    out = np.empty(n, np.int64)
-    out[order] = order[root]
-    return out
+    return root
+
+
+def tally(rests: np.ndarray, shared: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a, b) of places, a < b, of a posting list whose members share ``shared`` bytes and have the other bytes
+    ``rests`` (n x m): those that share at least MIN_SHARED of all, and of these the ones at DISTANCE bits or fewer."""
+    count = np.full((len(rests), len(rests)), shared, np.uint8)
+    for column in rests.T:
+        count += column[:, None] == column[None, :]
+    a, b = np.nonzero(np.triu(count >= MIN_SHARED, 1))
+    close = _POPCOUNT[rests[a] ^ rests[b]].sum(axis=1) <= DISTANCE
+    return a[close], b[close]
+
+
+def _pairs_of_two_bytes(rests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs at DISTANCE bits or fewer among members that differ in two bytes alone (n x 2, each once): all of
+    them share enough bytes, so that each is looked up under the 16 + 120 values within two bits of its own."""
+    value = rests[:, 0].astype(np.int64) | rests[:, 1].astype(np.int64) << 8
+    place = np.full(65_536, -1, np.int64)
+    place[value] = np.arange(len(value))
+    a, b = [], []
+    for m in [1 << i for i in range(16)] + [(1 << i) | (1 << j) for i, j in combinations(range(16), 2)]:
+        to = place[value ^ m]
+        at = np.flatnonzero(to > np.arange(len(value)))
+        a.append(at)
+        b.append(to[at])
+    return np.concatenate(a), np.concatenate(b)
 
 
-def links(distinct: DataFrame) -> DataFrame:
+def _keyed(positions: tuple[int, ...]) -> tuple[Column, Column]:
+    """The bytes at ``positions`` of fp (the others zero), and the other ones."""
+    mask = sum(0xFF << 8 * k for k in positions)
+    signed = mask - (1 << 64) if mask >> 63 else mask
+    return F.col("fp").bitwiseAND(F.lit(signed)), F.col("fp").bitwiseAND(F.lit(~signed))
+
+
+def links(distinct: DataFrame, hot: int = HOT_LIST) -> DataFrame:
     """Edges (a, b) that connect the same fingerprints as all pairs at DISTANCE bits or fewer.
 
-    ``distinct``: fp, each once. The index posts a fingerprint under every choice of MIN_SHARED of its eight
-    positional bytes, that is once for each pair of positions left out. A posting list therefore holds exactly
-    fingerprints with the guaranteed number of byte matches, without tallying the far longer lists of single bytes,
-    and each pair at up to two bits lies in at least one list. A list's members differ in two bytes, so it has 65,536
-    members at most. Within it bits are compared, and what is emitted is a forest, not all pairs.
+    ``distinct``: fp, each once. The index posts a fingerprint under the bytes at each of the six choices of four
+    positions in KEYS: two bytes that differ leave one of them whole, so that each pair that shares six bytes meets in
+    a list. There the shared positional bytes of each pair are tallied, pairs with fewer than MIN_SHARED go, and the
+    bits of the others are compared. A list of more than ``hot`` members is not tallied but posted anew under each
+    choice of two more positions, by which its pairs share six bytes for certain; such a list differs in two bytes,
+    so that it has 65,536 members at most. What leaves a list is a forest, not all pairs.
     """
-    outs = []
-    for k, (i, j) in enumerate(combinations(range(8), 2)):
-        mask = ~((0xFF << 8 * i) | (0xFF << 8 * j)) & 0xFFFFFFFFFFFFFFFF
-        signed = mask - (1 << 64) if mask >> 63 else mask
-        rest = F.shiftrightunsigned("fp", 8 * i).bitwiseAND(F.lit(255)).bitwiseOR(F.shiftleft(F.shiftrightunsigned("fp", 8 * j).bitwiseAND(F.lit(255)), 8))
-        outs.append(F.struct(F.lit(k).cast("byte").alias("k"), F.col("fp").bitwiseAND(F.lit(signed)).alias("shared"), rest.cast("int").alias("rest")))
-    # the distinct fingerprints are few bytes, but each posts 28 rows: dealt out anew by number, which stays as given
-    spread = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    posts = spread.select(F.explode(F.array(*outs)).alias("p")).select("p.*")
-    lists = posts.groupBy("k", "shared").agg(F.collect_list("rest").alias("rests")).where(F.size("rests") > 1)
-    left = list(combinations(range(8), 2))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out_a, out_b = [], []
-            for k, shared, rests in zip(*(batch.column(c) for c in ("k", "shared", "rests")), strict=True):
-                i, j = left[k.as_py()]
-                values = np.asarray(rests.values, np.int64)
-                root = _forest(values)
-                at = np.flatnonzero(root != np.arange(len(root)))
-                if len(at):
-                    base = np.array([shared.as_py()], np.int64).view(np.uint64)
-                    full = base | ((values & 255).astype(np.uint64) << np.uint64(8 * i)) | ((values >> 8).astype(np.uint64) << np.uint64(8 * j))
-                    out_a.append(full[at].view(np.int64))
-                    out_b.append(full[root[at]].view(np.int64))
-            empty = np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x or [empty])) for x in (out_a, out_b)], names=["a", "b"])
-
-    return lists.mapInArrow(run, "a long, b long")
+    def run(positions: list[tuple[int, ...]]):
+        def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out_a, out_b = [], []
+                for k, shared, rests in zip(*(batch.column(c) for c in ("k", "shared", "rests")), strict=True):
+                    fixed = positions[k.as_py()]
+                    members = np.asarray(rests.values, np.int64) | shared.as_py()
+                    free = [p for p in range(8) if p not in fixed]
+                    rest = members.view(np.uint8).reshape(-1, 8)[:, free]
+                    a, b = tally(rest, len(fixed)) if len(members) <= hot else _pairs_of_two_bytes(rest)
+                    root = _roots(len(members), a, b)
+                    at = np.flatnonzero(root != np.arange(len(root)))
+                    out_a.append(members[at])
+                    out_b.append(members[root[at]])
+                empty = np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x or [empty])) for x in (out_a, out_b)], names=["a", "b"])
+
+        return edges
+
+    def posted(rows: DataFrame, keys: list[tuple[int, ...]], of: list[int] | None = None) -> DataFrame:
+        """k (the key's number), shared, rest of each row under each key; ``of``: the first key's number each refines."""
+        out = []
+        for k, positions in enumerate(keys):
+            key, rest = _keyed(positions)
+            post = F.struct(F.lit(k).alias("k"), key.alias("shared"), rest.alias("rest"))
+            out.append(post if of is None else F.when(F.col("first") == of[k], post))
+        return rows.select(F.explode(F.array_compact(F.array(*out))).alias("p")).select("p.*")
+
+    def lists(posts: DataFrame) -> DataFrame:
+        return posts.groupBy("k", "shared").agg(F.collect_list("rest").alias("rests")).where(F.size("rests") > 1)
+
+    # the distinct fingerprints are few bytes, but each posts six rows: dealt out anew by number, which stays as given
+    spread = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    posts = posted(spread, KEYS)
+    long = cut(posts.groupBy("k", "shared").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("k", "shared"), "hot-lists")
+    schema = "a long, b long"
+    out = lists(posts.join(long, ["k", "shared"], "left_anti")).mapInArrow(run(KEYS), schema)
+    finer = [(n, tuple(sorted({*key, *more}))) for n, key in enumerate(KEYS) for more in combinations([p for p in range(8) if p not in key], 2)]
+    hot_rows = posts.join(long, ["k", "shared"], "left_semi").select(F.col("k").alias("first"), F.col("shared").bitwiseOR(F.col("rest")).alias("fp"))
+    again = posted(hot_rows, [key for _, key in finer], [n for n, _ in finer])
+    return out.union(lists(again).mapInArrow(run([key for _, key in finer]), schema))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

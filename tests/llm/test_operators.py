@@ -383,18 +383,26 @@ def test_simhash_against_brute_force(spark):
     assert simhash.near_duplicates(d.union(d)).count() == 2 * len(texts)
 
 
-def test_forest_both_ways():
+def test_tally_is_all_pairs():
     rng = np.random.default_rng(1)
+    for n in (2, 30, 400):
+        rest = rng.integers(0, 256, (n, 4), dtype=np.uint8)
+        rest[n // 2 :] = rest[: n - n // 2] ^ (1 << rng.integers(0, 8, (n - n // 2, 4)) * (rng.random((n - n // 2, 4)) < 0.4)).astype(np.uint8)
+        want = [(a, b) for a in range(n) for b in range(a + 1, n) if int((rest[a] == rest[b]).sum()) >= 2 and sum(int(x).bit_count() for x in rest[a] ^ rest[b]) <= 2]
+        assert list(zip(*simhash.tally(rest, 4), strict=True)) == want
     for n in (5, 200, 3000):
-        v = rng.choice(65536, n, replace=False)
-        links = [(a, b) for a in range(n) for b in np.flatnonzero(simhash._POPCOUNT[v ^ v[a]] <= 2) if a != b]
-        order = np.argsort(v)
-        place = np.argsort(order)
-        comp = components(n, [(place[a], place[b]) for a, b in links])
-        assert [place[r] for r in simhash._forest(v)] == [comp[p] for p in place]
+        v = np.random.default_rng(n).choice(65536, n, replace=False)
+        two = np.stack([v & 255, v >> 8], axis=1).astype(np.uint8)
+        assert sorted(zip(*simhash._pairs_of_two_bytes(two), strict=True)) == list(zip(*simhash.tally(two, 6), strict=True))
 
 
-def test_simhash_links_join_what_all_pairs_join(spark):
+def test_keys_meet_every_pair():
+    for two in __import__("itertools").combinations(range(8), 2):
+        assert any(not set(two) & set(key) for key in simhash.KEYS)
+
+
+@pytest.mark.parametrize("hot", [1000, 2])
+def test_simhash_links_join_what_all_pairs_join(spark, hot):
     rng = random.Random(3)
     fps = {rng.getrandbits(64) for _ in range(200)}
     for f in list(fps)[:100]:
@@ -404,7 +412,7 @@ def test_simhash_links_join_what_all_pairs_join(spark):
     fps = sorted(fps)
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     at = {s: k for k, s in enumerate(signed)}
-    got = components(len(fps), [(at[r["a"]], at[r["b"]]) for r in simhash.links(spark.createDataFrame([(s,) for s in signed], "fp long")).collect()])
+    got = components(len(fps), [(at[r["a"]], at[r["b"]]) for r in simhash.links(spark.createDataFrame([(s,) for s in signed], "fp long"), hot).collect()])
     want = components(len(fps), [(a, b) for a in range(len(fps)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 2])
     assert got == want
 
