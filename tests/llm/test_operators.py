@@ -337,6 +337,62 @@ def test_binomial_bound():
     assert quality.upper_bound(3, 3, 0.05) == 1.0
 
 
+def test_binomial_bound_against_exact_sums():
+    from fractions import Fraction
+    from math import comb
+
+    rng = random.Random(2)
+    for _ in range(60):
+        n = rng.randint(1, 400)
+        k, alpha = rng.randint(0, n - 1), rng.choice([0.05, 0.001, 0.0001])
+        p = quality.upper_bound(k, n, alpha)
+        tail = lambda p, k=k, n=n: float(sum(comb(n, i) * Fraction(p) ** i * (1 - Fraction(p)) ** (n - i) for i in range(k + 1)))
+        assert tail(p) == pytest.approx(alpha, rel=1e-6)
+    assert quality.upper_bound(50_000, 10_000_000, 0.001) == pytest.approx(0.005 + 3.09 * (0.005 * 0.995 / 1e7) ** 0.5, rel=1e-3)
+
+
+def test_cutoffs_against_a_plain_search():
+    rng = np.random.default_rng(6)
+    for _ in range(40):
+        good, bad = (np.zeros(quality.BINS + 1, np.int64) for _ in range(2))
+        np.add.at(good, rng.integers(0, rng.integers(5, 150), rng.integers(0, 3000)), 1)
+        np.add.at(bad, rng.integers(20, 200, rng.integers(0, 300)), 1)
+        n, risk, alpha, cost = int(good.sum()), 0.02, 0.001, 20.0
+        passed = []
+        for b in range(quality.BINS, 0, -1):
+            if not n or quality.upper_bound(int(good[b:].sum()), n, alpha) > risk:
+                break
+            passed.append(b)
+        gain = {b: bad[b:].sum() / bad.sum() - cost * good[b:].sum() / n for b in passed} if bad.sum() else {}
+        got = quality.cutoff(good, bad, risk, alpha, cost)
+        if not gain or max(gain.values()) <= 0:
+            assert got == quality.BINS + 1
+        else:
+            assert gain[got] >= max(gain.values()) - 1e-12
+    n = quality.least_labels(0.12, 0.05, 5)
+    assert quality.upper_bound(0, n, 0.05 / 30) <= 0.02 < quality.upper_bound(0, n - 1, 0.05 / 30)
+
+
+def test_quality_strata(spark):
+    """Languages with labels enough are strata, the others one together, those without labels go by all labels."""
+    rng = random.Random(5)
+    rows, marks = [], []
+    for lang, n in (("en", 900), ("de", 900), ("fr", 250), ("es", 250), ("xx", 40), (None, 0), ("zz", 0)):
+        for bad in (False, True):
+            for _ in range(n if not bad else max(20, n // 4)):
+                k = len(rows)
+                text = " ".join(rng.choice("ab bc cd de ef fg gh".split()) + str(rng.randrange(1000)) + ("***" if bad else "") for _ in range(30))
+                rows.append((k, text, lang, "s", 1))
+                if n:
+                    marks.append((k, int(not bad), 0))
+    d, labels = spark.createDataFrame(rows, DOCS), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in quality.judge(d, labels).collect()}
+    strata = {r[2]: got[r[0]]["stratum"] for r in rows}
+    assert strata == {"en": "lang en", "de": "lang de", "fr": "small", "es": "small", "xx": "small", None: "all", "zz": "all"}
+    for r in rows:
+        assert got[r[0]]["kept"] == ("***" not in r[1]), r
+
+
 def test_quality_rules(spark):
     rng = random.Random(4)
     good = [" ".join(rng.choice("ab bc cd de ef fg gh hi ij jk kl lm mn".split()) + str(rng.randrange(1000)) for _ in range(30)) for _ in range(800)]
