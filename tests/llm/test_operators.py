@@ -206,14 +206,14 @@ def test_warc_round_trip(spark, tmp_path, compression, keep):
     rows = [(k, f"http://a/{k}\r\nX: y é" if k % 2 else None, t) for k, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as digest", "2 as n").repartition(2)
     warc.write_warc(df, str(tmp_path / "w"), compression=compression, per_file=4)
-    got = {int(r["record_id"]): r for r in warc.read_warc(spark, str(tmp_path / "w"), keep).collect()}
+    got = {int(r["record_id"].removeprefix("urn:page:")): r for r in warc.read_warc(spark, str(tmp_path / "w"), keep).collect()}
     assert set(got) == set(range(len(texts)))
     last = {t or "": k for k, t in enumerate(texts)}
     for k, t in enumerate(texts):
         raw, r = (t or "").encode(), got[k]
         assert r["payload_bytes"] == len(raw) and r["payload_digest"] == base64.b32encode(hashlib.sha1(raw).digest()).decode()
         first = last[t or ""]
-        assert (r["record_type"], r["refers_to"]) == (("response", None) if first == k else ("revisit", str(first)))
+        assert (r["record_type"], r["refers_to"]) == (("response", None) if first == k else ("revisit", f"urn:page:{first}"))
         if keep and first == k:
             assert bytes(r["payload"]) == raw
 
@@ -221,11 +221,59 @@ def test_warc_round_trip(spark, tmp_path, compression, keep):
 def test_warc_shorter_payloads_and_empty(spark, tmp_path):
     df = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (None, "u", "ab"), (3, "u", "abcdef"), (4, "u", "abcdef")], "page_id long, url string, html string")
     warc.write_warc(df, str(tmp_path / "a"), min_bytes=3)
-    assert sorted((str(r["record_id"]), r["record_type"]) for r in warc.read_warc(spark, str(tmp_path / "a")).collect()) == [("", "response"), ("1", "response"), ("2", "response"), ("3", "revisit"), ("4", "response")]
+    got = warc.read_warc(spark, str(tmp_path / "a")).collect()
+    assert sorted((r["record_id"].removeprefix("urn:page:"), r["record_type"]) for r in got) == [("", "response"), ("1", "response"), ("2", "response"), ("3", "revisit"), ("4", "response")]
     warc.write_warc(df.where("false"), str(tmp_path / "b"))
     assert warc.read_warc(spark, str(tmp_path / "b")).count() == 0
 
 
+def foreign_archive(version, inner=b"WARC/1.0\r\nContent-Length: 1\r\n\r\nx\r\n\r\n"):
+    """An archive as crawlers write them: an info record, a request, responses, a revisit; and what is in it."""
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nContent-Length: 99999\r\n\r\n"
+    rows = [
+        ("warcinfo", "<urn:uuid:a-0>", "application/warc-fields", b"software: x\r\nformat: WARC\r\n\r\n", None),
+        ("request", "<urn:uuid:a-1>", "application/http; msgtype=request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", b""),
+        ("response", "<urn:uuid:a-2>", "application/http; msgtype=response", http + b"<p>hello</p>", b"<p>hello</p>"),
+        ("response", "<urn:uuid:a-3>", "application/http; msgtype=response", http + inner + b"\xff\x00" + inner, inner + b"\xff\x00" + inner),
+        ("metadata", "<urn:uuid:a-4>", "text/plain", b"WARC/1.5\r\nWARC/1.1 no magic", None),
+        ("conversion", "<urn:uuid:a-5>", "text/plain", "é".encode() * 300, None),
+    ]
+    records = []
+    for kind, id_, content, block, _ in rows:
+        records.append(f"WARC/{version}\r\nWARC-Type: {kind}\r\nWARC-Record-ID: {id_}\r\nWARC-Date: 2020-01-01T00:00:00Z\r\ncontent-type: {content}\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n")
+    return records, {id_[1:-1]: (kind, block if payload is None else payload) for kind, id_, _, block, payload in rows}
+
+
+@pytest.mark.parametrize("version", ["1.0", "1.1"])
+@pytest.mark.parametrize("packed", ["plain", "members", "stream"])
+def test_warc_reads_foreign_archives(spark, tmp_path, version, packed):
+    import gzip
+
+    records, want = foreign_archive(version)
+    raw = {"plain": b"".join(records), "members": b"".join(map(gzip.compress, records)), "stream": gzip.compress(b"".join(records))}[packed]
+    (tmp_path / ("a.warc" if packed == "plain" else "a.warc.gz")).write_bytes(raw)
+    got = {r["record_id"]: r for r in warc.read_warc(spark, str(tmp_path)).collect()}
+    assert {k: (r["record_type"], bytes(r["payload"])) for k, r in got.items()} == want
+    assert all(r["payload_digest"] == warc.payload_digest(bytes(r["payload"])) and r["payload_bytes"] == len(r["payload"]) for r in got.values())
+
+
+def test_warc_members_can_be_read_alone(spark, tmp_path):
+    import zlib as z
+
+    texts = ["a" * k for k in range(30)] + ["x" * 17_000_000]
+    df = spark.createDataFrame([(k, "u", t) for k, t in enumerate(texts)], "page_id long, url string, html string").coalesce(1)
+    warc.write_warc(df, str(tmp_path / "w"))
+    (file,) = (tmp_path / "w").glob("*.warc.gz")
+    raw, found = file.read_bytes(), []
+    while raw:
+        d = z.decompressobj(31)
+        found.append(d.decompress(raw))
+        raw = d.unused_data
+    found = [x for x in found if x]
+    assert len(found) == 31 and all(x.startswith(b"WARC/1.1\r\n") and x.endswith(b"\r\n\r\n") for x in found)
+    assert warc.read_warc(spark, str(tmp_path / "w"), False).count() == 31
+
+
 # 5
 
 
