@@ -73,6 +73,34 @@ def test_embedding_against_brute_force(spark, block):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got.values())
 
 
+@pytest.mark.parametrize("n,dim", [(1_000, 3), (10_000, 8), (100_000, 16), (10_000, 64), (1_000_000, 64), (100_000, 256)])
+def test_embedding_filters_find_links_at_the_least_cosine(n, dim):
+    """Pairs at a cosine of exactly 0.9 share a filter of those planned for n vectors, whose buckets stay small."""
+    rng = np.random.default_rng(n + dim)
+    m = 500
+    x, z = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in rng.standard_normal((2, m, dim)))
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    y = 0.9 * x + np.sqrt(0.19) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    (r, d), (s, e) = embedding.decode(x, n), embedding.decode(y, n)
+    both = set(zip(r.tolist(), d.tolist(), strict=True)) & set(zip(s.tolist(), e.tolist(), strict=True))
+    assert len({k for k, _ in both}) >= 0.97 * m
+    assert len(r) / m <= 60
+    height, words = embedding.plan(dim, n)
+    if height < embedding.HIGHEST:
+        assert n * len(r) / m / (embedding.CODES * words**2) <= 2 * embedding.MEMBERS
+
+
+def test_embedding_first_shared_direction():
+    rng = np.random.default_rng(2)
+    for n, most in ((40, 60), (300, 6000)):
+        lists = [np.unique(rng.integers(0, most, rng.integers(0, 30))) for _ in range(n)]
+        i, j = np.nonzero(np.triu(rng.random((n, n)) < 0.8, 1))
+        want = [not set(lists[a]) & set(lists[b]) for a, b in zip(i, j, strict=True)]
+        assert embedding._first_here(i, j, lists).tolist() == want
+        few = rng.choice(len(i), 50, replace=False)
+        assert embedding._first_here(i[few], j[few], lists).tolist() == [want[k] for k in few]
+
+
 def test_embedding_odd_rows(spark):
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [None, 1.0]), (8, [float("inf"), 1.0]), (9, [1.0, 0.0, 0.0]), (None, [1.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id int, embedding array<float>")
