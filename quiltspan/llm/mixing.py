@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, cut, table
@@ -27,46 +27,87 @@ def water_fill(sizes: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epochs:
     rows = rows.withColumn("capped", F.col("cap").cast("double") * F.col("w_left") <= (F.col("total") - F.col("cap_before")) * F.col("weight"))
     level = (F.col("total") - F.coalesce(F.sum(F.when(F.col("capped"), F.col("cap"))).over(all_), F.lit(0)).cast("double")) / F.sum(F.when(~F.col("capped"), F.col("weight"))).over(all_).cast("double")
     rows = rows.withColumn("level", level)
-    return rows.select("source", "source_size", "weight", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(F.col("level") * F.col("weight")).alias("target"))
+    others = [c for c in sizes.columns if c not in ("source", "source_size")]
+    return rows.select(*others, "source", "source_size", "weight", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(F.col("level") * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epochs: int = 3, seed: str = "mix", share: float = 1.0, whole_rows: bool = False, digits: int = 3) -> DataFrame:
+def mix(
+    docs: DataFrame,
+    weights: Sequence[int] = (1, 2, 3),
+    max_epochs: int = 3,
+    seed: str = "mix",
+    share: float = 1.0,
+    whole_rows: bool = False,
+    rows_per_range: int = 50_000,
+) -> DataFrame:
     """doc_id, source, size, source_size, target, repeats, taken for each row of ``docs``, and the row itself as the
     struct ``row`` if ``whole_rows``.
 
     size is the number of words of the text. A source's target over its size is the number of epochs: each of its
-    documents is taken the whole number of times, and once more if it comes, in the order of MD5(seed, doc_id),
-    before the fraction of the source's words is filled. To find that place no source is gathered in one task: the
-    order is cut in 16 ** ``digits`` ranges of the digest (the result is the same for any number), one row per source and range gives each range's start, and only rows
-    of the same source and range meet in a window. taken = size * repeats, at most ``max_epochs`` times size, and a
-    source's taken words miss its target by half a document at most.
-
-    Null text: size 0, taken 0. Null source: a source of its own, the last. Null doc_id counts as the text 'null'.
-    Repeated rows are rows of their own (equal rows are interchangeable, so that reruns agree). All sizes zero: all
-    targets zero. Empty table: empty result. Other columns may have any names.
+    documents is taken the whole number of times, and once more if it comes, in the order of MD5(seed, doc_id) and
+    size, before the fraction of the source's words is filled: while the words before it and half its own are fewer.
+    Those documents are the first ones in that order, so that a source needs no more than the place where they end.
+    The order is cut in ranges of the digest, of about ``rows_per_range`` rows of a source that holds all of them;
+    sums by source and range tell in which one the place lies, only that range's rows meet in a window, and every
+    document is then judged where it stands, against one row for its source: texts are never shuffled.
+
+    taken = size * repeats, at most ``max_epochs`` times size, and a source's taken words miss its target by half a
+    document at most. Null text: size 0, taken 0. Null source: a source of its own, the last. A null doc_id is drawn by
+    its text. Repeated rows are rows of their own; where equal ones lie at the place, so many of them are taken as
+    fit, whichever (they are interchangeable, so that reruns agree). All sizes zero: all targets zero. Empty table:
+    empty result. Other columns may have any names.
     """
+    text_draw = F.concat(F.lit("null:"), F.coalesce(F.md5("text"), F.lit("")))
     base = docs.select(
         *([F.struct(*docs.columns).alias("row")] if whole_rows else []),
         "doc_id",
         "source",
         F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("key"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("draw"),
-    ).withColumn("part", F.substring("draw", 1, digits))
-    parts = cut(base.groupBy("source", "part").agg(F.sum("size").alias("part_size")), "mix-parts")
-    by_part = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = parts.select("source", "part", F.coalesce(F.sum("part_size").over(by_part), F.lit(0)).alias("start"))
-    targets = water_fill(parts.groupBy("source").agg(F.sum("part_size").alias("source_size")), weights, max_epochs, share)
-    # one row per source and range: small beside the documents, and joined by its size as Spark finds it
-    plan = starts.join(targets, starts["source"].eqNullSafe(targets["source"])).select(F.coalesce(F.concat(F.lit("s"), starts["source"]), F.lit("n")).alias("key"), "part", "start", "source_size", "target")
+        F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), text_draw))).alias("draw"),
+    )
+    ranges, digits = docs.count() / rows_per_range, 1
+    while 16**digits < ranges:
+        digits += 1
+    slim = cut(base.select("source", "key", "size", "draw", F.substring("draw", 1, digits).alias("part")), "mix-sizes")
+    parts = slim.groupBy("source", "key", "part").agg(F.sum("size").alias("part_size"))
+    by_part = Window.partitionBy("key").orderBy("part")
+    parts = cut(parts.withColumn("end", F.sum("part_size").over(by_part.rowsBetween(Window.unboundedPreceding, 0))), "mix-parts")
+    targets = water_fill(parts.groupBy("source", "key").agg(F.sum("part_size").alias("source_size")), weights, max_epochs, share)
     epochs = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    plan = plan.withColumn("whole", F.floor(epochs)).withColumn("quota", F.col("target") - F.col("whole") * F.col("source_size"))
-    joined = base.join(plan, ["key", "part"])
-    within = Window.partitionBy("key", "part").orderBy("draw", "size").rowsBetween(Window.unboundedPreceding, -1)
-    done = F.col("start") + F.coalesce(F.sum("size").over(within), F.lit(0))
-    extra = (done.cast("double") + F.col("size") / F.lit(2.0) < F.col("quota")).cast("int")
-    out = joined.withColumn("repeats", (F.col("whole") + extra).cast("int"))
-    return out.select(*(["row"] if whole_rows else []), "doc_id", "source", "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"))
+    targets = targets.withColumn("whole", F.floor(epochs)).withColumn("quota", F.col("target") - F.col("whole") * F.col("source_size"))
+    targets = cut(targets.select("key", "source_size", "target", "whole", "quota"), "mix-targets")
+
+    # the first range that fills the quota, and in it the first row that is not taken once more
+    fills = parts.join(targets, "key").where("end >= quota")
+    first = fills.groupBy("key").agg(F.min(F.struct("part", (F.col("end") - F.col("part_size")).alias("start"), "quota")).alias("f")).select("key", "f.*")
+    order = Window.partitionBy("key").orderBy("draw", "size")
+    rows = slim.join(first, ["key", "part"])
+    done = F.col("start") + F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("once_more", done.cast("double") + F.col("size") / F.lit(2.0) < F.col("quota"))
+    place = F.struct("draw", "size")
+    rows = rows.select("key", place.alias("place"), "once_more", F.min(F.when(~F.col("once_more"), place)).over(Window.partitionBy("key")).alias("stop"))
+    stops = rows.groupBy("key").agg(F.first("stop").alias("stop"), F.sum((F.col("once_more") & (F.col("place") == F.col("stop"))).cast("long")).alias("equal"))
+    # one row per source; a range without such a row is taken whole, and what follows it is not
+    stops = stops.join(first.select("key", F.col("part").alias("last_part")), "key")
+    plan = cut(targets.join(stops, "key", "left"), "mix-plan")
+
+    joined = base.join(plan, "key")
+    before = F.when(F.col("stop").isNull(), F.substring("draw", 1, digits) <= F.col("last_part")).otherwise(place < F.col("stop"))
+    before = F.coalesce(before, F.lit(False))
+
+    def taken(rows: DataFrame, once_more: Column) -> DataFrame:
+        out = rows.withColumn("repeats", (F.col("whole") + once_more.cast("int")).cast("int"))
+        out = out.withColumn("taken", F.col("size") * F.col("repeats"))
+        return out.select(*(["row"] if whole_rows else []), "doc_id", "source", "size", "source_size", "target", "repeats", "taken")
+
+    if not plan.agg(F.max("equal")).first()[0]:
+        return taken(joined, before)
+    # rows that repeat at the place: so many of them as fit
+    at = (place == F.col("stop")) & (F.col("equal") > 0)
+    at = F.coalesce(at, F.lit(False))
+    number = F.row_number().over(Window.partitionBy("key").orderBy(F.lit(0)))
+    return taken(joined.where(~at), before).union(taken(joined.where(at).withColumn("number", number), F.col("number") <= F.col("equal")))
 
 
 def op10_mix_sources(spark, sf_dir):
@@ -75,7 +116,7 @@ def op10_mix_sources(spark, sf_dir):
 
 OP10_SQL = r"""
 WITH base AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS draw FROM documents),
+         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null:' || coalesce(md5(text), ''))) AS draw FROM documents),
 sizes AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM base GROUP BY source),
 weighed AS (SELECT source, source_size, source_size * 3 AS cap, CAST(1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS BIGINT) AS weight FROM sizes),
 sums AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / CAST(weight AS DOUBLE), source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cap_before,

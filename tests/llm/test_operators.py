@@ -794,12 +794,34 @@ def test_mixing(spark):
         assert r["taken"] == r["size"] * r["repeats"] and r["taken"] <= 3 * r["size"]
         taken[r["source"]] += r["taken"]
     assert all(abs(taken[s] - target[s]) <= 60 for s in order)
+    # by the rule itself: rows in their order, taken once more while the words before and half their own are fewer
+    draw = lambda r: hashlib.md5(f"mix:{r['doc_id'] if r['doc_id'] is not None else 'null:' + hashlib.md5(b'a b').hexdigest()}".encode()).hexdigest()
+    for s in order:
+        done, whole = 0, int(target[s] // sizes[s]) if sizes[s] else 0
+        for r in sorted((r for r in got if r["source"] == s), key=lambda r: (draw(r), r["size"])):
+            assert r["repeats"] == whole + (done + r["size"] / 2 < target[s] - whole * sizes[s]), r
+            done += r["size"]
+    for n in (1, 100):
+        assert sorted(map(str, mixing.mix(d, rows_per_range=n).collect())) == sorted(map(str, got))
     again = mixing.mix(d.repartition(3)).collect()
     key = lambda r: str(tuple(r))
     assert sorted(got, key=key) == sorted(again, key=key)
     assert mixing.mix(d.where("false")).count() == 0 and all(r["taken"] == 0 for r in mixing.mix(d.where("doc_id = 5000")).collect())
 
 
+def test_mixing_repeated_rows(spark):
+    """Equal rows, without ids or with one, are taken so many times as fit."""
+    for k in (None, 7):
+        d = spark.createDataFrame([(k, "a b c d", "x")], "doc_id long, text string, source string").crossJoin(spark.range(300)).drop("id")
+        d = d.union(spark.createDataFrame([(j, "a b c d", "y") for j in range(100, 400)], "doc_id long, text string, source string"))
+        got = mixing.mix(d, weights=(3, 5)).collect()
+        taken = Counter()
+        for r in got:
+            taken[r["source"]] += r["taken"]
+        assert len(got) == 600 and abs(taken["x"] - 900) <= 2 and abs(taken["y"] - 1500) <= 2
+        assert Counter(r["repeats"] for r in got if r["source"] == "x") == {0: 75, 1: 225}
+
+
 # pipeline
 
 
