@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,15 +62,17 @@ def score(spark, a, distance: bool = False) -> None:
     old = spark.read.parquet(a.old).select("seed", "query") if a.old else None
     ref, w = _counts(spark, a, seeds), None
     if distance and a.weight_file:
-        named, _ = reports.parse_weight_file(_read(a.weight_file))
+        named, default = reports.parse_weight_file(_read(a.weight_file))
+        o = replace(o, distance_default=default)
         w = spark.createDataFrame(list(named.items()), "feature string, weight double")
     out = api.score(seeds, queries, o, pairs, ref, bidirectional=not a.one_way, old=old, distance=distance, distance_weights=w)
     _write_scores(out, a)
     if not a.no_domains:
         out = spark.read.parquet(f"{a.out}/scores")
-        api.domains(out, seeds, queries, o, ref).write.option("sep", "\t").option("header", True).csv(f"{a.out}/domains_forward")
+        far = {"distance": distance, "distance_weights": w}
+        api.domains(out, seeds, queries, o, ref, **far).write.option("sep", "\t").option("header", True).csv(f"{a.out}/domains_forward")
         if not a.one_way:
-            api.domains(out, seeds, queries, o, ref, True).write.option("sep", "\t").option("header", True).csv(f"{a.out}/domains_reverse")
+            api.domains(out, seeds, queries, o, ref, True, **far).write.option("sep", "\t").option("header", True).csv(f"{a.out}/domains_reverse")
     if a.mapping:
         reports.phylogenetic_profile(out, text.two_columns(spark.read.text(a.mapping), "protein_id", "ncbi_id")).write.option("sep", "\t").option("header", True).csv(f"{a.out}/phylogenetic_profile")
     reports.write_run_record(spark, f"{a.out}/run", {k: v for k, v in vars(a).items() if k != "command"}, a.command, "1")

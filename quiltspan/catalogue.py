@@ -711,7 +711,7 @@ _RUNS = "WITH c AS (SELECT doc_id AS id, regexp_replace(text, '[^e]', '.', 'g')
 @query("coil_runs", _RUNS + " SELECT id, CAST(min(pos) AS INTEGER) AS start, CAST(max(pos) AS INTEGER) AS stop FROM r GROUP BY id, g")
 def coil_runs(spark, d):
     masked = S.read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.regexp_replace("text", "(?s)[^e]", ".").alias("sequence"))
-    return predictors.long_runs(masked, "e", "coils_coiled_coil").select("id", "start", "stop")
+    return predictors.runs(masked, "e", "coils_coiled_coil").select("id", "start", "stop")
 
 
 @query("disorder_runs", "WITH m AS (SELECT o_custkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos, o_totalprice > 150000 AS hit FROM orders), l AS (SELECT *, max(pos) OVER (PARTITION BY id) AS last FROM m), g AS (SELECT *, pos - row_number() OVER (PARTITION BY id ORDER BY pos) AS g FROM l WHERE hit) SELECT id, CAST(min(pos) AS INTEGER) AS start, CAST(max(pos) + 1 AS INTEGER) AS stop FROM g GROUP BY id, g HAVING max(pos) + 1 <= max(last)")

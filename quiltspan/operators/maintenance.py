@@ -94,10 +94,15 @@ def proteins_with(instances: DataFrame, patterns: list[str], every: bool) -> Dat
 
 
 def identical_pairs(pairs: DataFrame, instances: DataFrame) -> DataFrame:
-    """Pairs of different proteins whose annotations are equal: same fingerprint, then same content."""
-    whole = instances.groupBy("protein_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("tool", "feature", "start", "stop")))).alias("content"))
-    s, q = whole.select(F.col("protein_id").alias("seed"), F.col("content").alias("s_c")), whole.select(F.col("protein_id").alias("query"), F.col("content").alias("q_c"))
-    return pairs.join(s, "seed").join(q, "query").where("s_c = q_c and seed <> query").select("seed", "query")
+    """Pairs of different proteins whose annotations are equal, e-values included, as scoring compares them. They are
+    met by a fingerprint of 64 bits, which goes through the joins, and then by what it stands for."""
+    content = F.array_sort(F.collect_list(F.struct("tool", "feature", "start", "stop", "evalue")))
+    whole = instances.groupBy("protein_id").agg(content.alias("content"))
+    mark = whole.select("protein_id", F.xxhash64("content").alias("h"))
+    s, q = mark.select(F.col("protein_id").alias("seed"), "h"), mark.select(F.col("protein_id").alias("query"), F.col("h").alias("q_h"))
+    met = pairs.where("seed <> query").select("seed", "query").join(s, "seed").join(q, "query").where("h = q_h").select("seed", "query")
+    s, q = whole.select(F.col("protein_id").alias("seed"), "content"), whole.select(F.col("protein_id").alias("query"), F.col("content").alias("q_content"))
+    return met.join(s, "seed").join(q, "query").where("content = q_content").select("seed", "query")
 
 
 def ortholog_groups(members: DataFrame, one_seed_taxon: bool = False) -> DataFrame:

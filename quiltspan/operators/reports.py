@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import four_significant, unversioned
@@ -20,27 +20,33 @@ def _details(instances: DataFrame, accessions: DataFrame, phmm: DataFrame) -> Da
     return rows.withColumn("interpro", unversioned(F.col("interpro")))
 
 
-def domain_report(scores: DataFrame, instances: DataFrame, in_paths: DataFrame, seed_weights: DataFrame, accessions: DataFrame, phmm: DataFrame, reverse: bool = False) -> DataFrame:
+def domain_report(scores: DataFrame, instances: DataFrame, in_paths: DataFrame, seed_weights: DataFrame, accessions: DataFrame, phmm: DataFrame, reverse: bool = False, query_instances: DataFrame | None = None) -> DataFrame:
     """A row per instance of each pair's seed, and of its query where that is another protein.
 
     ``in_paths``: (seed, query, side, i) of the instances on the best paths. ``seed_weights``: (seed, query, feature,
     weight) of the features on the seed's path. An instance of another feature has no weight. ``reverse`` swaps the
-    pair's label.
+    pair's label. ``query_instances``: the queries' annotation, where it is not the seeds' one.
     """
-    details = _details(instances, accessions, phmm)
     label = F.concat_ws("#", "query", "seed") if reverse else F.concat_ws("#", "seed", "query")
-    both = scores.select("seed", "query", F.lit("seed").alias("side"), F.col("seed").alias("protein_id")).union(scores.where("seed <> query").select("seed", "query", F.lit("query"), "query"))
-    rows = both.join(details, "protein_id")
+    pairs = {"seed": scores.select("seed", "query", F.lit("seed").alias("side"), F.col("seed").alias("protein_id"))}
+    pairs["query"] = scores.where("seed <> query").select("seed", "query", F.lit("query").alias("side"), F.col("query").alias("protein_id"))
+    if query_instances is None:
+        rows = pairs["seed"].union(pairs["query"]).join(_details(instances, accessions, phmm), "protein_id")
+    else:
+        both = (pairs[k].join(_details(x, accessions, phmm), "protein_id") for k, x in (("seed", instances), ("query", query_instances)))
+        rows = next(both)
+        for other in both:
+            rows = rows.unionByName(other, allowMissingColumns=True)
     rows = rows.join(in_paths.withColumn("path", F.lit("Y")), ["seed", "query", "side", "i"], "left").join(seed_weights, ["seed", "query", "feature"], "left")
     rows = rows.withColumns({"pair_id": label, "path": F.coalesce("path", F.lit("N"))})
     return rows.select("pair_id", F.col("protein_id").alias("ortholog"), F.col("length").alias("seq_length"), *DOMAIN_COLUMNS[3:])
 
 
-def path_members(scores: DataFrame, proteins: DataFrame) -> DataFrame:
+def path_members(scores: DataFrame, proteins: DataFrame, query_proteins: DataFrame | None = None) -> DataFrame:
     """(seed, query, side, i) of the instances on the best paths, those of tools without linearization included."""
     out = None
-    for side in ("seed", "query"):
-        p = proteins.select(F.col("protein_id").alias(side), "lin", "normal")
+    for side, own in (("seed", proteins), ("query", proteins if query_proteins is None else query_proteins)):
+        p = own.select(F.col("protein_id").alias(side), "lin", "normal")
         on = F.concat(F.transform(F.coalesce(f"{side}_path", F.array().cast("array<int>")), lambda k: F.element_at("lin", k + 1)["i"]), F.transform("normal", lambda e: e["i"]))
         one = scores.join(p, side).select("seed", "query", F.lit(side).alias("side"), F.explode(on).alias("i"))
         out = one if out is None else out.union(one)
@@ -49,13 +55,31 @@ def path_members(scores: DataFrame, proteins: DataFrame) -> DataFrame:
 
 def path_weights(members: DataFrame, instances: DataFrame, weights: DataFrame | None, digits: int | None = 4) -> DataFrame:
     """(seed, query, feature, weight) of the features on the seed's path: scaled to sum to 1, or uniform."""
-    feats = members.where("side = 'seed'").join(instances.select(F.col("protein_id").alias("seed"), "i", "feature"), ["seed", "i"]).select("seed", "query", "feature").distinct()
+    feats = _path_features(members, instances)
     if weights is None:
         feats = feats.withColumn("w", F.lit(1.0))
     else:
         feats = feats.join(weights.select(F.col("protein_id").alias("seed"), "feature", F.col("weight").alias("w")), ["seed", "feature"], "left")
+    return _scaled(feats, F.lit(1.0) / F.col("total"), digits)
+
+
+def distance_path_weights(members: DataFrame, instances: DataFrame, weights: DataFrame | None, default: float = 0.5, digits: int | None = 4) -> DataFrame:
+    """As ``path_weights`` for the distance variant: the weight file's (feature, weight) or its default, scaled to sum
+    to 1 where they sum to more."""
+    feats = _path_features(members, instances)
+    named = feats.withColumn("weight", F.lit(None).cast("double")) if weights is None else feats.join(weights.select("feature", "weight"), "feature", "left")
+    feats = named.select("seed", "query", "feature", F.coalesce("weight", F.lit(float(default))).alias("w"))
+    return _scaled(feats, F.when(F.col("total") > 1, F.lit(1.0) / F.col("total")).otherwise(F.lit(1.0)), digits)
+
+
+def _path_features(members: DataFrame, instances: DataFrame) -> DataFrame:
+    own = instances.select(F.col("protein_id").alias("seed"), "i", "feature")
+    return members.where("side = 'seed'").join(own, ["seed", "i"]).select("seed", "query", "feature").distinct()
+
+
+def _scaled(feats: DataFrame, scale: Column, digits: int | None) -> DataFrame:
     total = feats.groupBy("seed", "query").agg(F.sum("w").alias("total"))
-    share = F.col("w") / F.col("total")
+    share = F.col("w") * scale
     return feats.join(total, ["seed", "query"]).select("seed", "query", "feature", (F.round(share, digits) if digits is not None else share).alias("weight"))
 
 

@@ -29,6 +29,7 @@ class ScoringOptions:
     digits: int | None = None
     exact_rounding: bool = False
     constraints: dict[str, float] = field(default_factory=dict)
+    distance_default: float = 0.5  # the distance variant's weight of features that its weight file does not name
 
     def __post_init__(self) -> None:
         weights = (self.weight_multiplicity, self.weight_clan, self.weight_position)

@@ -59,7 +59,7 @@ def _nearest(e: dict, others: list[dict]) -> tuple[float, float]:
 def score_elements(seed_lin: list, seed_normal: list, query_lin: list, query_normal: list, weights: dict | None, o: ScoringOptions, distance: bool) -> tuple:
     """(final, ms, ps, cs, ls) of two chosen sets of instances, as the column expressions give it."""
     s, q = _group(seed_lin + seed_normal), _group(query_lin + query_normal)
-    w = {f: 1.0 if weights is None and not distance else (weights or {}).get(f, 0.5 if distance else 1.0) for f in s}
+    w = {f: 1.0 if weights is None and not distance else (weights or {}).get(f, o.distance_default if distance else 1.0) for f in s}
     if o.constraints and weights is not None and not distance:
         for tool, limit in o.constraints.items():
             own = [f for f, es in s.items() if es[0]["linearized"] and f not in o.constraints and _tool(f) == tool]

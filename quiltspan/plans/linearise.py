@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..options import ScoringOptions
@@ -36,14 +38,33 @@ def reduced(proteins: DataFrame, edges: DataFrame, rank: DataFrame) -> DataFrame
     return direct.union(first).union(last).union(bare)
 
 
-def _predecessors_exact(lin: str = "lin"):
-    """For each rank the ranks before it in the reduced graph; precedence is transitive, so one step suffices."""
-    ranks = F.transform(F.col(lin), lambda x, k: k)
+#: Path counts stop here: they double with each pair of intervals that overlap, and nothing enumerates so many.
+MOST_PATHS = 10**18
 
-    def before(v, a, b):
-        return F.element_at(F.col(lin), a + 1)["stop"] < F.element_at(F.col(lin), b + 1)["start"]
 
-    return F.transform(ranks, lambda v: F.filter(ranks, lambda u: (u < v) & before(v, u, v) & ~F.exists(ranks, lambda w: (w > u) & (w < v) & before(v, u, w) & before(v, w, v))))
+def _predecessors_exact() -> Column:
+    """For each rank the ranks before it in the reduced graph, per protein on Arrow batches.
+
+    In order of ends, those that may stand before v are the first ranks, up to the last that ends before v starts. Of
+    these the ones that no other stands between are those that end no earlier than any of them starts: a run of ranks
+    that reaches to the last one, found by two binary searches. (Spark's functions on arrays evaluate a bound value
+    anew for each element that a nested one visits: cubic in the instances.)
+    """
+
+    @F.arrow_udf("array<array<int>>")
+    def run(lin: pa.Array) -> pa.Array:
+        spans, sizes = lin.flatten(), lin.value_lengths().to_pylist()
+        starts, stops = spans.field("start").to_pylist(), spans.field("stop").to_pylist()
+        out, at = [], 0
+        for n in sizes:
+            mine, ends = starts[at : at + n], stops[at : at + n]
+            latest = list(accumulate(mine, max))
+            last = [bisect_left(ends, s) for s in mine]
+            out.append([list(range(bisect_left(ends, latest[k - 1]), k)) if k else [] for k in last])
+            at += n
+        return pa.array(out, pa.list_(pa.list_(pa.int32())))
+
+    return run(F.col("lin"))
 
 
 def _predecessors_general(options: ScoringOptions):
@@ -82,12 +103,20 @@ def with_predecessors(proteins: DataFrame, options: ScoringOptions) -> DataFrame
 
 
 def with_path_counts(proteins: DataFrame) -> DataFrame:
-    """n_paths: START -> END paths, by one fold over the ranks, without enumerating them."""
-    step = F.aggregate("before", F.array().cast("array<bigint>"), lambda acc, b: F.concat(acc, F.array(F.when(F.size(b) == 0, F.lit(1).cast("bigint")).otherwise(F.aggregate(b, F.lit(0).cast("bigint"), lambda s, u: s + F.element_at(acc, u + 1))))))
-    inner = F.array_distinct(F.flatten("before"))
-    out = proteins.withColumn("ending", step).withColumn("inner", inner)
-    total = F.aggregate(F.transform("ending", lambda n, k: F.when(F.array_contains("inner", k), F.lit(0).cast("bigint")).otherwise(n)), F.lit(0).cast("bigint"), lambda s, n: s + n)
-    return out.withColumn("n_paths", F.greatest(total, F.lit(1).cast("bigint"))).drop("ending", "inner")
+    """n_paths: START -> END paths, by one fold over the ranks, without enumerating them; MOST_PATHS stands for more."""
+    zero, one, most = (F.lit(x).cast("bigint") for x in (0, 1, MOST_PATHS))
+
+    def total(counts: Column) -> Column:
+        return F.aggregate(counts, zero, lambda s, n: F.least(s + n, most))
+
+    def ending(acc: Column, b: Column) -> Column:
+        n = F.when(F.size(b) == 0, one).otherwise(total(F.transform(b, lambda u: F.element_at(acc, u + 1))))
+        return F.concat(acc, F.array(n))
+
+    out = proteins.withColumn("ending", F.aggregate("before", F.array().cast("array<bigint>"), ending))
+    out = out.withColumn("inner", F.array_distinct(F.flatten("before")))
+    last = F.transform("ending", lambda n, k: F.when(F.array_contains("inner", k), zero).otherwise(n))
+    return out.withColumn("n_paths", F.greatest(total(last), one)).drop("ending", "inner")
 
 
 def with_paths(proteins: DataFrame) -> DataFrame:

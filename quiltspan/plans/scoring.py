@@ -59,7 +59,7 @@ def _pair_score(s: Column, q: Column, weights: Column | None, options: ScoringOp
     """struct(final, ms, ps, cs, ls) of one seed view against one query view."""
     d = options.digits
     r = (lambda c: c) if d is None else (lambda c: F.round(c, d))
-    w = _weight(weights, 0.5 if distance else 1.0)
+    w = _weight(weights, options.distance_default if distance else 1.0)
     feats, other = s["feats"], q["feats"]
 
     def nearest(e: Column, theirs: Column) -> Column:

@@ -11,17 +11,8 @@ from pyspark.sql import functions as F
 
 
 def runs(masked: DataFrame, char: str, feature: str) -> DataFrame:
-    """1-based closed intervals of the runs of ``char`` in ``masked`` (id, sequence): gaps and islands in one row."""
-    n = F.length("sequence")
-    at = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: F.substr("sequence", k, F.lit(1)) == char)
-    starts = F.filter("at", lambda k: ~F.array_contains("at", k - 1))
-    stops = F.filter("at", lambda k: ~F.array_contains("at", k + 1))
-    spans = masked.withColumn("at", at).select("id", F.explode(F.arrays_zip(starts.alias("start"), stops.alias("stop"))).alias("s"))
-    return spans.select("id", F.lit(feature).alias("feature"), "s.start", "s.stop", F.lit(None).cast("double").alias("evalue"))
-
-
-def long_runs(masked: DataFrame, char: str, feature: str) -> DataFrame:
-    """As ``runs``, for long sequences: splits at the runs' borders and adds up lengths, linear in the sequence."""
+    """1-based closed intervals of the runs of ``char`` in ``masked`` (id, sequence): splits at the runs' borders and
+    adds up lengths, linear in the sequence."""
     parts = masked.select("id", F.regexp_extract_all("sequence", F.lit(rf"([{char}]+|[^{char}]+)"), 1).alias("p"))
     ends = F.aggregate("p", F.array().cast("array<int>"), lambda a, x: F.array_append(a, F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + F.length(x)))
     rows = parts.withColumn("e", ends).select("id", F.explode(F.arrays_zip("p", "e")).alias("x")).where(F.col("x.p").startswith(char))

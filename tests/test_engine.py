@@ -128,6 +128,114 @@ def test_greedy_route(spark):
     assert limited["x", "y"]["final"] is not None
 
 
+def test_very_many_paths_and_instances(spark):
+    """200 overlapping pairs have 2^200 paths, 5,000 intervals in a row have one: both take the greedy route."""
+    pairs = [(("pfam_A", "smart_B")[k % 2], None, 10 * (k // 2) + k % 2, 10 * (k // 2) + 5 + k % 2) for k in range(400)]
+    row = [("pfam_A" if k % 3 else "smart_B", None, 3 * k + 1, 3 * k + 2) for k in range(5000)]
+    universe, inst = arch(spark, {"pairs": pairs, "row": row, "a": [A1]}, 20_000)
+    o = ScoringOptions()
+    p = scoring.prepare(A.proteins(universe, inst, o), o)
+    assert {r["protein_id"]: r["n_paths"] for r in p.collect()} == {"pairs": L.MOST_PATHS, "row": 1, "a": 1}
+    r = {(x["seed"], x["query"]): x for x in scoring.score_pairs(spark.createDataFrame([("a", "pairs"), ("pairs", "a"), ("a", "row"), ("row", "a")], "seed string, query string"), p, p, o).collect()}
+    assert len(r) == 4 and all(x["final"] is not None and "priority" in x["mode"] for x in r.values())
+    assert len(r["row", "a"]["seed_path"]) == 5000 and len(r["pairs", "a"]["seed_path"]) == 200
+
+
+def test_predecessors_against_the_definition(spark):
+    rng = random.Random(9)
+    ps = {}
+    for k in range(60):
+        starts = [rng.randint(1, 40) for _ in range(rng.randint(0, 9))]
+        ps[f"p{k}"] = [("pfam_A", None, s, s + rng.randint(0, 12)) for s in starts]
+    universe, inst = arch(spark, ps)
+    got = {r["protein_id"]: r for r in scoring.prepare(A.proteins(universe, inst, ScoringOptions()), ScoringOptions()).collect()}
+    for p, fs in ps.items():
+        spans = sorted(((s, e) for _, _, s, e in fs), key=lambda x: x[1])
+        ok = lambda u, v, spans=spans: u < v and spans[u][1] < spans[v][0]
+        n = len(spans)
+        want = [[u for u in range(n) if ok(u, v) and not any(ok(u, w) and ok(w, v) for w in range(n))] for v in range(n)]
+        assert got[p]["before"] == want and got[p]["n_paths"] == len(plain_paths(spans))
+
+
+def test_distance_weight_file_default(spark):
+    """The default weighs what the file does not name, in scores and in the domain table."""
+    ps = {"s": [A1, B1, ("smart_C", None, 40, 50)], "q": [A1]}
+    universe, inst = arch(spark, ps)
+    w = spark.createDataFrame([("pfam_A", 0.4)], "feature string, weight double")
+    pairs = spark.createDataFrame([("s", "q")], "seed string, query string")
+    for default, scale in ((0.5, 1 / 1.4), (0.1, 1.0), (0.8, 1 / 2.0)):
+        o = ScoringOptions(distance_default=default)
+        p = scoring.prepare(A.proteins(universe, inst, o), o)
+        r = scoring.score_pairs(pairs, p, p, o, w, True)
+        assert r.first()["ms"] == pytest.approx(1 - 2 * default * scale)
+        members = reports.path_members(r, p)
+        got = {x["feature"]: x["weight"] for x in reports.distance_path_weights(members, inst, w, default).collect()}
+        assert got == {"pfam_A": round(0.4 * scale, 4), "pfam_B": pytest.approx(round(default * scale, 4)), "smart_C": pytest.approx(round(default * scale, 4))}
+
+
+def test_greedy_against_a_plain_walk(spark):
+    """At each place the walk goes on to the successor whose path so far scores best; the last one among equals."""
+    rng = random.Random(21)
+    ps = {}
+    for k in range(14):
+        fs = []
+        for _ in range(rng.randint(4, 9)):
+            s = rng.randint(1, 80)
+            fs.append((rng.choice(["pfam_A", "pfam_B", "smart_C"]), "K" if rng.random() < 0.4 else None, s, s + rng.randint(3, 14)))
+        ps[f"p{k}"] = fs
+    pairs = [(a, b) for a in ps for b in ps if a != b and rng.random() < 0.4]
+    o = ScoringOptions(max_features=1, weight_multiplicity=0.6, weight_clan=0.2, weight_position=0.2)
+    got = score(spark, ps, pairs, o)
+
+    def lin(p):
+        es = [{"feature": f, "clan": c, "start": s, "stop": e, "position": (s + e) / 2 / 100, "i": i, "linearized": True} for i, (f, c, s, e) in enumerate(ps[p])]
+        return sorted(es, key=lambda e: (e["stop"], e["i"]))
+
+    def following(es, at):
+        ok = lambda u, v: u is None or es[u]["stop"] < es[v]["start"]
+        some = [v for v in range(len(es)) if (at is None or v > at) and ok(at, v)]
+        return [v for v in some if not any(w != v and ok(w, v) and w < v for w in some)]
+
+    def go(es, value, wanted=None):
+        path, at = [], None
+        while some := following(es, at):
+            some = [v for v in some if wanted and es[v]["feature"] == wanted] or some
+            scores = [value(path + [v]) for v in some] if len(some) > 1 else [0]
+            at = max(v for v, x in zip(some, scores, strict=True) if x == max(scores))
+            path.append(at)
+        return path
+
+    def multiplicity(mine, theirs):
+        return sum(min(sum(t["feature"] == f for t in theirs) / sum(m["feature"] == f for m in mine), 1) for f in {m["feature"] for m in mine}) / len({m["feature"] for m in mine})
+
+    def places(mine, theirs):
+        by = {}
+        for m in mine:
+            near = [1 - abs(m["position"] - t["position"]) for t in theirs if t["feature"] == m["feature"]]
+            by.setdefault(m["feature"], []).append(max([0, *near]))
+        return sum(sum(x) / len(x) for x in by.values()) / len(by)
+
+    def clans(mine, all_):
+        n = {c: sum(m["clan"] == c for m in mine) for c in {m["clan"] for m in mine} if c}
+        t = {c: sum(m["clan"] == c for m in all_) for c in n}
+        return sum(n[c] * t[c] / max(n[c], t[c]) ** 2 for c in n if t[c]) / len(n) if n else 0
+
+    for a, b in pairs:
+        s, q = lin(a), lin(b)
+        value = lambda mine, theirs, all_: 0.6 * multiplicity(mine, theirs) + 0.2 * clans(mine, all_) + 0.2 * places(mine, theirs)
+        ways = {tuple(go(q, lambda p: round(value([q[k] for k in p], s, q), 12), f)) for f in [*{e["feature"] for e in q}, None]}
+        best = max(max(value([s[k] for k in go(s, lambda p, w=w: round(value([s[k] for k in p], [q[k] for k in w], [q[k] for k in w]), 12))], [q[k] for k in w], [q[k] for k in w]) for _ in (0,)) for w in ways)
+        assert got[a, b]["mode"] == "priority/priority"
+        assert got[a, b]["final"] == pytest.approx(best), (a, b)
+
+
+def test_complexity_against_the_definition(spark):
+    universe, inst = arch(spark, {"p": [("pfam_A", None, 1, 10), ("pfam_B", None, 5, 12), ("pfam_C", None, 20, 30), ("pfam_D", None, 22, 33), ("pfam_E", None, 25, 34)], "q": [], "r": [A1]})
+    p = scoring.prepare(A.proteins(universe, inst, ScoringOptions()), ScoringOptions())
+    # START has two successors, each of them three, those none but the end
+    assert {r["protein_id"]: (r["n_paths"], r["greedy_steps"]) for r in L.complexity(p).collect()} == {"p": (6, 5), "q": (1, 0), "r": (1, 0)}
+
+
 def test_options_are_checked():
     for bad in ({"weight_clan": 0.5}, {"max_overlap_share": 2}, {"count_correction": "ln"}, {"constraints": {"pfam": 1.5}}):
         with pytest.raises(ValueError):
@@ -179,8 +287,7 @@ def test_text_formats(spark, tmp_path):
 def test_predictor_outputs(spark):
     df = lambda rows, schema="id string, value string": spark.createDataFrame(rows, schema)
     masked = df([("a", "xxNNxNx"), ("b", "NN"), ("c", "")], "id string, sequence string")
-    for f in (predictors.runs, predictors.long_runs):
-        assert sorted((r["id"], r["start"], r["stop"]) for r in f(masked, "x", "coils").collect()) == [("a", 1, 2), ("a", 5, 5), ("a", 7, 7)]
+    assert sorted((r["id"], r["start"], r["stop"]) for r in predictors.runs(masked, "x", "coils").collect()) == [("a", 1, 2), ("a", 5, 5), ("a", 7, 7)]
     residues = df([("a", k, c) for k, c in enumerate("**..*.*")], "id string, pos int, mark string")
     assert sorted((r["start"], r["stop"]) for r in predictors.islands(residues).collect()) == [(0, 2), (4, 5)]
     assert [(r["start"], r["stop"]) for r in predictors.transmembrane(df([("a", "%pred NB(0): o 1 6, M 7 29, i 30 40, M 41 60"), ("a", "x")])).collect()] == [(7, 29), (41, 60)]
