@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_TOP = "feature map<string,map<string,string>>, clan map<string,string>, interproID map<string,string>, length map<string,string>, version map<string,map<string,string>>"
+_TOP = "feature map<string,map<string,string>>, clan map<string,string>, interproID map<string,string>, length map<string,string>, count map<string,string>, version map<string,map<string,string>>"
 _TOOL = "map<string,struct<evalue:string,instance:array<array<string>>>>"
 
 
 def read_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """One row per document: proteome (the file's name without suffix) and its parsed top level. Key order is kept,
-    since it numbers the instances."""
-    text = spark.read.text(path, wholetext=True).select("value", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.json)?$", 1).alias("proteome"))
+    """One row per document: proteome (the file's name without suffix and shard) and its parsed top level. Key order is
+    kept, since it numbers the instances. A document is read whole, 2 GB at most: ``documents.write`` splits larger
+    ones into shards."""
+    text = spark.read.text(path, wholetext=True).select("value", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(-[0-9]{5})?(\.json)?$", 1).alias("proteome"))
     return text.select("proteome", F.from_json("value", _TOP).alias("doc")).select("proteome", "doc.*")
 
 
@@ -35,7 +36,12 @@ def proteins(documents: DataFrame) -> DataFrame:
 
 def dimension(documents: DataFrame, column: str, value: str) -> DataFrame:
     """(feature, value) of one of the maps clan, interproID, length."""
-    return documents.select(F.explode(column).alias("feature", value)).distinct()
+    return dimension_rows(documents, column, value).distinct()
+
+
+def dimension_rows(documents: DataFrame, column: str, value: str) -> DataFrame:
+    """(feature, value) of a map, a row for each document that has the entry."""
+    return documents.select(F.explode(column).alias("feature", value))
 
 
 def versions(documents: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,3 +41,12 @@ def cut(df: DataFrame, name: str = "table") -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def rename_files(spark: SparkSession, path: str, ending: str, name: Callable[[int, int], str]) -> None:
+    """Name the files of a finished write with ``ending``: ``name(k, n)`` of the k-th of n, in order of their names."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = sorted((f.getPath() for f in fs.listStatus(there) if f.getPath().getName().endswith(ending)), key=lambda p: p.getName())
+    for k, file in enumerate(files):
+        fs.rename(file, there.suffix(f"/{name(k, len(files))}"))

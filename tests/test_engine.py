@@ -451,3 +451,70 @@ def test_registered_query(spark, duck, name):
 def test_entry_without_the_training_data_subpackage():
     assert set(catalogue.QUERIES) <= set(__spark_entry__.queries()) and set(catalogue.ORACLES) <= set(__spark_entry__.oracle_sql())
     assert set(catalogue.ORACLES) <= set(catalogue.QUERIES)
+
+
+# annotation documents
+
+
+def _document(spark, name, rows, lengths, clans=(), versions=(("pfam", {"v": "1"}),)):
+    from quiltspan.operators import documents as D
+
+    inst = D.completed(spark.createDataFrame(rows, "protein_id string, tool string, feature string, start int, stop int, evalue double"))
+    proteins = spark.createDataFrame(lengths, "protein_id string, length int")
+    t = lambda x, c: spark.createDataFrame(list(x), f"feature string, {c}")
+    return D.Document(inst, proteins, t(clans, "clan string"), t([], "interpro string"), t([], "plen int"), spark.createDataFrame(list(versions), "tool string, info map<string,string>"), D.counted(inst))
+
+
+def test_documents_round_trip(spark, tmp_path):
+    from quiltspan.operators import documents as D
+
+    rows = [(f"p{k % 7}", "pfam", f'pfam_{"AB"[k % 2]}"x', 3 * k + 1, 3 * k + 9, None if k % 3 else 0.25 * k) for k in range(30)] + [("p1", "tmhmm", "tmhmm_t", 5, 6, None)]
+    doc = _document(spark, "x", rows, [(f"p{k}", 100 + k) for k in range(8)], [('pfam_A"x', "CL1"), ("pfam_none", "CL2")])
+    for n, files in ((100, 1), (3, 3)):
+        D.write(doc, str(tmp_path / f"d{n}"), "tax", ["pfam", "smart"], n)
+        names = sorted(f.name for f in (tmp_path / f"d{n}").iterdir() if f.suffix == ".json")
+        assert names == (["tax.json"] if files == 1 else names) and 1 <= len(names) <= files
+        whole = [json.loads((tmp_path / f"d{n}" / f).read_text()) for f in names]
+        assert {p for d in whole for p in d["feature"]} == {f"p{k}" for k in range(8)}
+        assert all({"length", "pfam", "smart"} <= set(x) for d in whole for x in d["feature"].values())
+        assert sum(v for d in whole for v in d["count"].values()) == 31 and whole[0]["version"] == {"pfam": {"v": "1"}}
+        back = D.read(spark, str(tmp_path / f"d{n}" / "*.json"))
+        key = lambda x: sorted(map(str, x.select("protein_id", "tool", "feature", "start", "stop", "evalue").collect()))
+        assert key(back.instances) == key(doc.instances)
+        assert {(r[0], r[1]) for r in back.clans.collect()} == {('pfam_A"x', "CL1")}
+        assert {tuple(r) for r in back.counts.collect()} == {tuple(r) for r in D.counted(doc.instances).collect()}
+        assert D.lacking(back) == ["accessions", "lengths"]
+
+
+def test_documents_built_merged_updated(spark, tmp_path):
+    from quiltspan.operators import documents as D
+
+    hits = spark.createDataFrame([("a", "pfam_F1", 0.001, 1, 9, 0.002, 5.5, 1, 8)], "id string, feature string, feature_evalue double, start int, stop int, evalue double, bit_score double, hmm_from int, hmm_to int")
+    coils = predictors.runs(spark.createDataFrame([("a", "NNxx"), ("b", "N")], "id string, sequence string"), "x", "coils_coiled_coil")
+    fasta = spark.createDataFrame([("a", 4), ("b", 1)], "id string, length int")
+    families = spark.createDataFrame([("F1", "PF1.2", "CL7"), ("F2", "PF2.1", "NA")], "id string, accession string, clan string")
+    plens = spark.createDataFrame([("pfam_F1", 50)], "feature string, plen int")
+    versions = spark.createDataFrame([("pfam", {"v": "3"})], "tool string, info map<string,string>")
+    doc = D.build([hits, coils], fasta, families, plens, versions)
+    D.write(doc, str(tmp_path / "a"), "a", ["pfam", "coils"])
+    back = json.loads((tmp_path / "a" / "a.json").read_text())
+    assert back["feature"]["b"] == {"length": 1, "coils": {}, "pfam": {}}
+    assert back["feature"]["a"]["pfam"] == {"pfam_F1": {"evalue": 0.001, "instance": [[1, 9, 0.002, 5.5, 1, 8]]}}
+    assert back["feature"]["a"]["coils"] == {"coils_coiled_coil": {"evalue": "NA", "instance": [[3, 4, "NA"]]}}
+    assert (back["clan"], back["interproID"], back["length"], back["count"]) == ({"pfam_F1": "CL7"}, {"pfam_F1": "PF1.2"}, {"pfam_F1": 50}, {"coils_coiled_coil": 1, "pfam_F1": 1})
+    other = _document(spark, "y", [("c", "pfam", "pfam_F1", 2, 3, 0.5)], [("c", 9)], [("pfam_F1", "CL8")], [("pfam", {"v": "4"}), ("smart", {"v": "1"})])
+    get = lambda df: {r[0]: r[1] for r in df.collect()}
+    m = D.merge([doc, other])
+    assert get(m.clans) == {"pfam_F1": "CL8"} and get(m.versions) == {"pfam": {"v": "3"}, "smart": {"v": "1"}}
+    assert get(m.counts) == {"pfam_F1": 2, "coils_coiled_coil": 1} and get(m.proteins) == {"a": 4, "b": 1, "c": 9}
+    with pytest.raises(Exception, match="more than one"):
+        D.merge([doc, doc]).proteins.collect()
+    newer = _document(spark, "z", [("a", "pfam", "pfam_F2", 2, 3, 0.5)], [("a", 5)])
+    u = D.update(doc, newer)
+    assert get(u.proteins) == {"a": 5, "b": 1} and {r["feature"] for r in u.instances.collect()} == {"pfam_F2"}
+    assert get(u.counts) == {"pfam_F1": 1, "coils_coiled_coil": 1, "pfam_F2": 1} and get(u.versions) == {"pfam": {"v": "1"}}
+    full = D.add_information(_document(spark, "w", [("a", "pfam", "pfam_F1", 2, 3, 0.5)], [("a", 5)], versions=[]), families, plens, versions)
+    assert D.lacking(full) == [] and get(full.accessions) == {"pfam_F1": "PF1.2"} and get(full.versions) == {"pfam": {"v": "3"}}
+    assert [tuple(r) for r in D.check_versions(doc, spark.createDataFrame([("pfam", "v", "9")], "tool string, key string, value string")).collect()] == [("pfam", "v", "3", "9")]
+    assert get(D.fill(doc, m).proteins) == {"a": 4, "b": 1, "c": 9} and get(D.extract(m, spark.createDataFrame([("c",)], "protein_id string")).counts) == {"pfam_F1": 1}
+    assert [r[0] for r in D.require_tools(doc, ["pfam", "smart"]).collect()] == ["smart"]
