@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from . import api
 from .operators import maintenance as M
+from .operators import documents as D
 from .operators import overlap, reports
 from .options import ScoringOptions
 from .plans import linearise
@@ -58,6 +59,8 @@ def _counts(spark, a, annotations: api.Annotations) -> DataFrame | None:
 @command("--seeds", "--queries", "--pairs")
 def score(spark, a, distance: bool = False) -> None:
     seeds, queries, o = _load(spark, a, a.seeds), _load(spark, a, a.queries), _options(a)
+    for side in (seeds, queries):
+        api.require_tools(side, [t for t, linearized, _ in text.parse_tool_list(_read(a.tools)) if linearized])
     pairs = text.read_pairs(spark, a.pairs) if a.pairs else None
     old = spark.read.parquet(a.old).select("seed", "query") if a.old else None
     ref, w = _counts(spark, a, seeds), None
@@ -93,33 +96,91 @@ def taxa(spark, a) -> None:
 
 @command("--annotations", "--fasta")
 def groups(spark, a) -> None:
-    members = text.extended_headers(text.read_fasta(spark, a.fasta)).drop("sequence", "flag")
-    found, scores = api.score_groups(_load(spark, a, a.annotations), members, _options(a), not a.one_way)
+    members = text.extended_headers(text.read_fasta(spark, a.fasta)).drop("sequence")
+    if a.names:
+        members = members.where(F.col("grp").isin(a.names.split(",")))
+    rows, o = _load(spark, a, a.annotations), _options(a)
+    found, scores = api.score_groups(rows, members, o, not a.one_way)
+    found = found.join(members.select("grp", F.col("protein_id").alias("query"), "flag").dropDuplicates(["grp", "query"]), ["grp", "query"])
     found.write.parquet(f"{a.out}/groups")
     _write_scores(scores, a)
-
-
-@command("--annotations", "--ids")
+    out = spark.read.parquet(f"{a.out}/scores")
+    reports.group_profile(out, found).write.option("sep", "\t").option("header", True).csv(f"{a.out}/phylogenetic_profile")
+    if not a.no_domains:
+        ref = None if o.uniform_weights else rows.feature_counts()
+        for way in (False, True)[: 1 if a.one_way else 2]:
+            d = api.domains(out, rows, rows, o, ref, way).withColumns({k: F.get(F.split("pair_id", "#"), F.lit(n)) for n, k in enumerate(("seed", "query"))})
+            reports.group_domains(d, found).drop("seed", "query", "grp", "query_taxon").write.option("sep", "\t").option("header", True).csv(f"{a.out}/domains_{'reverse' if way else 'forward'}")
+
+
+def _documents(spark, paths: str) -> list[D.Document]:
+    return [D.read(spark, p) for p in paths.split(",")]
+
+
+def _write_document(doc: D.Document, a) -> None:
+    tools = [t for t, _, _ in text.parse_tool_list(_read(a.tools))] if a.tools else []
+    D.write(doc, f"{a.out}/annotation", a.name, tools)
+
+
+def _known(spark, a) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Family records, profile lengths and versions (JSON: tool to key to value), empty where no file is given."""
+    families = text.domain_family_blocks(spark, a.families) if a.families else spark.createDataFrame([], "id string, accession string, clan string, length int")
+    lengths = text.two_columns(spark.read.text(a.lengths), "feature", "plen").withColumn("plen", F.expr("try_cast(plen as int)")) if a.lengths else families.select(F.concat(F.lit("pfam_"), "id").alias("feature"), F.col("length").alias("plen"))
+    stored = json.loads(_read(a.versions)) if a.versions else {}
+    versions = spark.createDataFrame([(t, {k: str(v) for k, v in x.items()}) for t, x in stored.items()], "tool string, info map<string,string>")
+    return families, lengths, versions
+
+
+def _labelled(spark, path: str) -> DataFrame:
+    """Lines ``id``, tab, ``value``."""
+    return spark.read.csv(path, sep="\t", schema="id string, value string", quote="")
+
+
+@command("--fasta", "--hits", "--name")
+def annotate(spark, a) -> None:
+    """From predictors' outputs (tool=path,...) to an annotation document."""
+    parts = []
+    for hit in a.hits.split(","):
+        tool, _, path = hit.partition("=")
+        if tool in ("pfam", "smart"):
+            reports_ = spark.read.option("lineSep", "//\n").text(path)
+            parts.append(predictors.profile_hits(reports_, tool, a.feature_evalue, a.instance_evalue))
+        elif tool == "coils":
+            parts.append(predictors.runs(text.read_fasta(spark, path), "x", "coils_coiled_coil"))
+        elif tool == "flps":
+            parts.append(predictors.biased_regions(spark.read.text(path), a.flps_threshold))
+        elif tool == "signalp":
+            parts.append(predictors.signal_peptides(spark.read.text(path)))
+        elif tool in ("tmhmm", "seg"):
+            parts.append((predictors.transmembrane if tool == "tmhmm" else predictors.low_complexity)(_labelled(spark, path)))
+        else:
+            raise ValueError(f"unknown predictor: {tool}")
+    families, lengths, versions = _known(spark, a)
+    _write_document(D.build(parts, text.unique_ids(text.read_fasta(spark, a.fasta)), families, lengths, versions), a)
+
+
+@command("--annotations", "--ids", "--name")
 def extract(spark, a) -> None:
-    rows = _load(spark, a, a.annotations)
-    ids = text.id_list(spark.read.text(a.ids))
-    kept, counts = M.sub_proteome(rows.instances, ids)
-    kept.write.parquet(f"{a.out}/instances")
-    counts.write.parquet(f"{a.out}/counts")
-    M.missing_ids(ids, rows.proteins).write.csv(f"{a.out}/missing")
+    (doc,), ids = _documents(spark, a.annotations), text.id_list(spark.read.text(a.ids))
+    _write_document(D.extract(doc, ids), a)
+    M.missing_ids(ids, doc.proteins).write.csv(f"{a.out}/missing")
 
 
-@command("--annotations")
+@command("--annotations", "--name")
 def merge(spark, a) -> None:
-    rows = M.merge_annotations(_load(spark, a, a.annotations).instances)
-    rows.write.parquet(f"{a.out}/instances")
-    M.merged_counts(rows.groupBy("proteome", "feature").agg(F.count(F.lit(1)).alias("n"))).write.parquet(f"{a.out}/counts")
+    _write_document(D.merge(_documents(spark, a.annotations)), a)
 
 
-@command("--annotations", "--new")
+@command("--annotations", "--new", "--name")
 def update(spark, a) -> None:
-    both = _load(spark, a, a.annotations).instances.withColumn("src", F.lit(0)).unionByName(_load(spark, a, a.new).instances.withColumn("src", F.lit(1)))
-    M.last_wins(both, ["protein_id"], "src").drop("src").write.parquet(f"{a.out}/instances")
+    (old,), (new,) = _documents(spark, a.annotations), _documents(spark, a.new)
+    _write_document(D.update(old, new), a)
+
+
+@command("--annotations", "--name")
+def add_information(spark, a) -> None:
+    (doc,) = _documents(spark, a.annotations)
+    _write_document(D.add_information(doc, *_known(spark, a)), a)
 
 
 @command("--annotations", "--features")
@@ -173,27 +234,40 @@ def overlaps(spark, a) -> None:
     overlap.overlap_statistics(_load(spark, a, a.annotations).instances, one, two, a.threshold).write.json(f"{a.out}/overlaps")
 
 
-@command("--annotations", "--fasta")
+@command("--annotations", "--fasta", "--name")
 def check(spark, a) -> None:
-    ids = text.read_fasta(spark, a.fasta).select(F.col("id").alias("protein_id"))
-    M.missing_ids(ids, _load(spark, a, a.annotations).proteins).write.csv(f"{a.out}/missing")
-
-
-@command("--table", "--families", "--fasta")
+    """Sequences without annotation, maps that lack and versions that differ; with --new, a document with its proteins
+    filled in."""
+    (doc,), fasta = _documents(spark, a.annotations), text.read_fasta(spark, a.fasta)
+    M.missing_ids(fasta.select(F.col("id").alias("protein_id")), doc.proteins).write.csv(f"{a.out}/missing")
+    spark.createDataFrame([(x,) for x in D.lacking(doc)], "map string").write.csv(f"{a.out}/lacking")
+    if a.versions:
+        installed = _known(spark, a)[2].select("tool", F.explode("info").alias("key", "value"))
+        D.check_versions(doc, installed).write.csv(f"{a.out}/outdated", header=True)
+    if a.new:
+        _write_document(D.fill(doc, _documents(spark, a.new)[0]), a)
+
+
+@command("--table", "--fasta", "--name")
 def parse_interpro(spark, a) -> None:
     cols = json.loads(a.columns)
     raw = spark.read.csv(a.table, sep="\t")
     rows = raw.select(*[F.col(f"_c{k}").cast("int" if n in ("length", "start", "stop") else "string").alias(n) for n, k in cols.items()])
-    families = text.domain_family_blocks(spark, a.families)
-    lengths = families.select(F.concat(F.lit("pfam_"), F.col("id")).alias("feature"), F.col("length").alias("plen"))
-    parsed = text.interpro_table(rows, families, lengths, [t for t, _, _ in text.parse_tool_list(_read(a.tools))])
-    text.with_featureless(parsed, text.read_fasta(spark, a.fasta)).write.parquet(f"{a.out}/instances")
+    families, lengths, versions = _known(spark, a)
+    parsed = text.interpro_table(rows, families.withColumn("accession_base", F.substring_index("accession", ".", 1)), lengths, [t for t, _, _ in text.parse_tool_list(_read(a.tools))])
+    doc = D.build([parsed.drop("clan")], text.read_fasta(spark, a.fasta), families, lengths, versions)
+    accessions = parsed.where("interpro is not null").groupBy("feature").agg(F.max("interpro").alias("interpro"))
+    _write_document(replace(doc, accessions=accessions), a)
 
 
-@command("--residues")
+@command("--residues", "--name")
 def disorder(spark, a) -> None:
-    """Residue tables: id, pos, mark, separated by tabs."""
-    predictors.islands(spark.read.csv(a.residues, sep="\t", schema="id string, pos int, mark string")).write.csv(f"{a.out}/regions", header=True)
+    """Residue tables (id, pos, mark, separated by tabs) as a document of disordered regions; sequences without a
+    result are listed."""
+    residues = spark.read.csv(a.residues, sep="\t", schema="id string, pos int, mark string")
+    doc, failed = D.disorder(residues)
+    _write_document(doc, a)
+    failed.write.csv(f"{a.out}/failed")
 
 
 @command("--annotations", "--pairs")
@@ -209,11 +283,12 @@ def parser() -> argparse.ArgumentParser:
     for name, (f, arguments) in COMMANDS.items():
         p = sub.add_parser(name, help=f.__doc__)
         for x in arguments:
-            p.add_argument(x, required=x not in ("--pairs",) or name in ("taxa", "stream"))
+            p.add_argument(x, required=x != "--pairs" or name in ("taxa", "stream"))
         p.add_argument("--out", required=True)
-        for x in ("--tools", "--extra", "--reference", "--old", "--mapping", "--constraints", "--weight-file"):
-            p.add_argument(x)
-        for x, v in (("feature-evalue", d.feature_evalue), ("instance-evalue", d.instance_evalue), ("max-overlap-share", d.max_overlap_share), ("threshold", 0.5)):
+        for x in ("--tools", "--extra", "--reference", "--old", "--mapping", "--constraints", "--weight-file", "--families", "--lengths", "--versions", "--new", "--names"):
+            if x not in arguments:
+                p.add_argument(x)
+        for x, v in (("feature-evalue", d.feature_evalue), ("instance-evalue", d.instance_evalue), ("max-overlap-share", d.max_overlap_share), ("threshold", 0.5), ("flps-threshold", 1e-7)):
             p.add_argument(f"--{x}", type=float, default=v)
         for x, v in (("max-overlap", d.max_overlap), ("max-features", d.max_features), ("max-paths", d.max_paths), ("paths-limit", d.paths_limit), ("digits", 4)):
             p.add_argument(f"--{x}", type=int, default=v)

@@ -8,7 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import annotation
+from ..sources import annotation, predictors
 from ..storage import cut, rename_files
 from . import maintenance as M
 
@@ -158,6 +158,18 @@ def extract(doc: Document, ids: DataFrame) -> Document:
     return replace(doc, instances=instances, proteins=proteins, counts=counts)
 
 
+def disorder(residues: DataFrame) -> tuple[Document, DataFrame]:
+    """The document of disordered regions from residues (id, pos from 0, mark), with the tool's one feature, and the
+    ids of sequences whose residues have no mark at all."""
+    spark = residues.sparkSession
+    whole = residues.groupBy("id").agg((F.max("pos") + 1).alias("length"), F.max(F.col("mark").isNotNull()).alias("ok"))
+    regions = predictors.islands(residues.where("mark is not null")).withColumn("feature", F.lit("aucpred_disordered_region"))
+    empty = spark.createDataFrame([], "id string, accession string, clan string")
+    lengths = spark.createDataFrame([], "feature string, plen int")
+    versions = spark.createDataFrame([], "tool string, info map<string,string>")
+    return build([regions], whole.where("ok").select("id", "length"), empty, lengths, versions), whole.where("not ok").select("id")
+
+
 def require_tools(doc: Document, tools: Sequence[str]) -> DataFrame:
     """The tools that no protein of the document has a feature of, nor a version of: asked for, but not annotated."""
     spark = doc.instances.sparkSession

@@ -102,6 +102,21 @@ def group_domains(domains: DataFrame, groups: DataFrame) -> DataFrame:
     return rows.withColumn("pair_id", F.concat(F.col("grp").cast("string"), F.lit("#"), F.concat_ws("|", F.col("grp").cast("string"), F.col("query_taxon").cast("string"), F.col("query").cast("string"))))
 
 
+def group_profile(scores: DataFrame, groups: DataFrame) -> DataFrame:
+    """A row for each group that has a scored pair: the group, the taxon's number (of names like ``x@9606@1``), the
+    member as ``group|taxon|protein|flag``, and both scores to three decimals (missing reverse: 0)."""
+    rows = scores.join(groups.select("grp", "seed", "query", "query_taxon", *(["flag"] if "flag" in groups.columns else [])), ["seed", "query"])
+    taxon = F.col("query_taxon").cast("string")
+    flag = F.coalesce(F.col("flag").cast("string"), F.lit("1")) if "flag" in groups.columns else F.lit("1")
+    return rows.select(
+        F.col("grp").cast("string").alias("geneID"),
+        F.concat(F.lit("ncbi"), F.coalesce(F.get(F.split(taxon, "@"), F.lit(1)), taxon)).alias("ncbiID"),
+        F.concat_ws("|", F.col("grp").cast("string"), taxon, F.col("query").cast("string"), flag).alias("orthoID"),
+        F.round("fwd_final", 3).alias("FAS_F"),
+        F.round(F.coalesce("rev_final", F.lit(0.0)), 3).alias("FAS_B"),
+    )
+
+
 def score_table(scores: DataFrame) -> DataFrame:
     """The eight text columns of a score file: forward and reverse joined by a slash, four significant digits.
 
@@ -132,22 +147,14 @@ def write_run_record(spark: SparkSession, path: str, options: dict, command: str
     spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(path)
 
 
-def annotation_lines(instances: DataFrame) -> DataFrame:
-    """One JSON line per protein: {"protein_id", "length", "features": {tool: {feature: {"evalue", "instance"}}}}."""
-    tuple_ = F.array(F.col("start").cast("double"), F.col("stop").cast("double"), F.col("evalue"))
-    by_feature = instances.groupBy("protein_id", "length", "tool", "feature").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", tuple_.alias("t")))), lambda x: x["t"]).alias("instance"), F.min("i").alias("i"))
-    by_tool = by_feature.groupBy("protein_id", "length", "tool").agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("i", "feature", "instance"))), lambda x: F.struct(x["feature"], F.struct(x["instance"].alias("instance"))))).alias("features"), F.min("i").alias("i"))
-    whole = by_tool.groupBy("protein_id", "length").agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("i", "tool", F.to_json("features").alias("f")))), lambda x: F.struct(x["tool"], x["f"]))).alias("tools"))
-    return whole.select(F.to_json(F.struct("protein_id", "length", "tools")).alias("value"))
-
-
 def version_report(versions: DataFrame) -> DataFrame:
     """tool, key, value rows of a proteome's version map."""
     return versions.select("proteome", "tool", F.explode("info").alias("key", "value"))
 
 
 def score_lines(scores: DataFrame) -> DataFrame:
-    return scores.select(F.concat_ws(" ", F.lit("#"), F.col("seed").cast("string"), F.col("query").cast("string"), F.format_string("%.3f", "final")).alias("line"))
+    """A tab-separated line ``#``, seed, query, final score for each pair."""
+    return scores.select(F.concat_ws("\t", F.lit("#"), F.col("seed").cast("string"), F.col("query").cast("string"), F.col("final").cast("string")).alias("line"))
 
 
 def parse_weight_file(text: str) -> tuple[dict[str, float], float]:

@@ -321,9 +321,6 @@ def test_reports(spark, tmp_path):
     d = spark.createDataFrame([("x#y", 1), ("z#y", 2)], "pair_id string, start int")
     reports.write_split_domains(d, str(tmp_path / "d"))
     assert {x for x in os.listdir(tmp_path / "d") if x.startswith("seed")} == {"seed_id=x", "seed_id=z"}
-    _, inst = arch(spark, {"p": [A1, ("pfam_A", None, 5, 6)]})
-    line = json.loads(reports.annotation_lines(inst).first()[0])
-    assert line["protein_id"] == "p" and json.loads(line["tools"]["pfam"])["pfam_A"]["instance"] == [[1.0, 10.0], [5.0, 6.0]] or len(json.loads(line["tools"]["pfam"])["pfam_A"]["instance"]) == 2
     assert reports.parse_weight_file('{"weights": {"f": 1}}') == ({"f": 1.0}, 0.5)
     with pytest.raises(Exception, match="no taxon"):
         reports.phylogenetic_profile(s, spark.createDataFrame([], "protein_id string, ncbi_id string")).collect()
@@ -385,13 +382,19 @@ def test_commands_end_to_end(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out3/scores")).count() == 1 and spark.read.json(str(tmp_path / "out3/missing")).first()["taxon"] == "t9"
     main(t("groups", "--annotations", "a.json", "--fasta", "g.fa", "--out", "out4", *base))
     assert spark.read.parquet(str(tmp_path / "out4/scores")).first()["query"] == "p2"
-    main(t("extract", "--annotations", "a.json", "--ids", "ids.txt", "--out", "out5", *base))
+    main(t("extract", "--annotations", "a.json", "--ids", "ids.txt", "--name", "sub", "--out", "out5", *base))
     assert [r[0] for r in spark.read.csv(str(tmp_path / "out5/missing")).collect()] == ["none"]
     main(t("find", "--annotations", "a.json", "--features", "pfam_a,pfam_b", "--every", "--out", "out6", *base))
     assert [r[0] for r in spark.read.csv(str(tmp_path / "out6/proteins")).collect()] == ["p2"]
-    for k, x in enumerate((("merge", "--annotations", "a.json"), ("update", "--annotations", "a.json", "--new", "a.json"), ("complexity", "--annotations", "a.json"), ("domains", "--annotations", "a.json", "--ids", "ids.txt", "--group", "G"), ("versions", "--annotations", "a.json"), ("overlaps", "--annotations", "a.json", "--pair-of-tools", "pfam,tmhmm"), ("check", "--annotations", "a.json", "--fasta", "x.fa")), 10):
+    for k, x in enumerate((("merge", "--annotations", "a.json", "--name", "m"), ("update", "--annotations", "a.json", "--new", "a.json", "--name", "u"), ("complexity", "--annotations", "a.json"), ("domains", "--annotations", "a.json", "--ids", "ids.txt", "--group", "G"), ("versions", "--annotations", "a.json"), ("overlaps", "--annotations", "a.json", "--pair-of-tools", "pfam,tmhmm"), ("check", "--annotations", "a.json", "--fasta", "x.fa", "--name", "c")), 10):
         main(t(*x, "--out", f"out{k}", *base))
     assert [r[0] for r in spark.read.csv(str(tmp_path / "out16/missing")).collect()] == ["p9"]
+    for k, name in ((5, "sub"), (10, "m"), (11, "u")):
+        found = json.loads((tmp_path / f"out{k}" / "annotation" / f"{name}.json").read_text())
+        assert set(found) == {"feature", "clan", "interproID", "length", "count", "version"} and set(found["feature"]) == ({"p1"} if k == 5 else {"p1", "p2", "p3"})
+    profile = spark.read.csv(str(tmp_path / "out4/phylogenetic_profile"), sep="\t", header=True).collect()
+    assert [(r["geneID"], r["ncbiID"], r["orthoID"]) for r in profile] == [("g1", "ncbit2", "g1|t2|p2|1")]
+    assert {r["pair_id"] for r in spark.read.csv(str(tmp_path / "out4/domains_forward"), sep="\t", header=True).collect()} == {"g1#g1|t2|p2"}
     main(["merge-scores", "--scores", f"{tmp_path}/out1/scores,{tmp_path}/out2/scores", "--out", str(tmp_path / "out20")])
     assert spark.read.parquet(str(tmp_path / "out20")).count() == 6
     main(["scores-to-json", "--scores", str(tmp_path / "out1/scores_tsv"), "--out", str(tmp_path / "out21")])
@@ -402,6 +405,59 @@ def test_commands_end_to_end(spark, tmp_path):
         main(t("score", "--seeds", "a.json", "--queries", "a.json", "--pairs", "bad.tsv", "--out", "out30", *base))
 
 
+def test_annotate_and_score(spark, tmp_path):
+    """From predictors' outputs to a document, its completion and check, and scores from it."""
+    from quiltspan.__main__ import main
+
+    put = lambda name, value: (tmp_path / name).write_text(value) and str(tmp_path / name)
+    fasta = put("x.fa", ">p1 one\nMKLV\n>p2\nMMKK\n>p3\nAA\n")
+    tools = put("tools.txt", "#linearized\npfam\n#normal\ncoils\ntmhmm\n#checked\n")
+    report = """Query:       p1  [L=120]
+    1.2e-30  100.1   0.1    2e-20   90.0   0.1    1.2  1  Dom1   text
+Domain annotation for each model:
+>> Dom1  text
+   1 !   50.5   0.1   1e-20   2e-18       3      40 ..       5      44 ..       4      45 .. 0.95
+//
+"""
+    pfam = put("pfam.out", report + report.replace("p1", "p2").replace("120", "90"))
+    coils, tmhmm = put("coils.fa", ">p1\nNNxx\n>p2\nxNNN\n>p3\nNN\n"), put("tmhmm.txt", "p2\t%pred NB(0): o 1 1, M 2 3\n")
+    families = put("fam.dat", "#=GF ID   Dom1\n#=GF AC   PF001.3\n#=GF CL   CL9\n#=GF ML   55\n//\n")
+    lengths, versions = put("len.txt", "pfam_Dom1 77\n"), put("versions.json", '{"pfam": {"version": "35"}}')
+    out = lambda k: str(tmp_path / f"out{k}")
+    known = ("--families", families, "--lengths", lengths, "--versions", versions, "--tools", tools)
+    main(["annotate", "--fasta", fasta, "--hits", f"pfam={pfam},coils={coils},tmhmm={tmhmm}", "--name", "tax", "--out", out(1), *known])
+    path = out(1) + "/annotation/tax.json"
+    doc = json.loads(open(path).read())
+    assert doc["feature"]["p1"]["pfam"] == {"pfam_Dom1": {"evalue": 1.2e-30, "instance": [[4, 45, 1e-20, 50.5, 3, 40]]}} and doc["feature"]["p3"] == {"length": 2, "coils": {}, "pfam": {}, "tmhmm": {}}
+    assert (doc["clan"], doc["interproID"], doc["length"], doc["version"]) == ({"pfam_Dom1": "CL9"}, {"pfam_Dom1": "PF001.3"}, {"pfam_Dom1": 77}, {"pfam": {"version": "35"}})
+    main(["score", "--seeds", path, "--queries", path, "--tools", tools, "--out", out(2)])
+    rows = {(r["seed"], r["query"]): r["fwd_final"] for r in spark.read.parquet(out(2) + "/scores").collect()}
+    assert len(rows) == 9 and rows["p1", "p1"] == 1.0 and 0 < rows["p1", "p2"] < 1 and rows["p1", "p3"] == 0
+    old = {k: v for k, v in doc.items() if k not in ("interproID", "version", "length")}
+    old["feature"] = {k: v for k, v in old["feature"].items() if k != "p3"}
+    bare = put("bare.json", json.dumps(old))
+    newer = put("newer.json", '{"pfam": {"version": "36"}}')
+    main(["add-information", "--annotations", bare, "--name", "full", "--out", out(3), *known])
+    full = json.loads(open(out(3) + "/annotation/full.json").read())
+    assert all(full[k] == doc[k] for k in ("interproID", "version", "length", "clan", "count"))
+    main(["check", "--annotations", path, "--fasta", fasta, "--name", "c", "--out", out(4), "--versions", newer])
+    assert [tuple(r) for r in spark.read.csv(out(4) + "/outdated", header=True).collect()] == [("pfam", "version", "35", "36")]
+    main(["check", "--annotations", bare, "--fasta", fasta, "--name", "c", "--out", out(5), "--new", path])
+    assert [r[0] for r in spark.read.csv(out(5) + "/missing").collect()] == ["p3"] and {r[0] for r in spark.read.csv(out(5) + "/lacking").collect()} == {"accessions", "versions", "lengths"}
+    assert set(json.loads(open(out(5) + "/annotation/c.json").read())["feature"]) == {"p1", "p2", "p3"}
+    table = put("ipr.tsv", "p1\tmd5\t120\tPfam\tPF001\tx\t4\t45\t1e-9\tT\tdate\tIPR7\n")
+    main(["parse-interpro", "--table", table, "--fasta", fasta, "--name", "i", "--out", out(6), *known])
+    i = json.loads(open(out(6) + "/annotation/i.json").read())
+    assert i["feature"]["p1"]["pfam"] == {"pfam_Dom1": {"evalue": "NA", "instance": [[4, 45, 1e-9]]}} and i["interproID"] == {"pfam_Dom1": "IPR7"} and i["feature"]["p2"]["pfam"] == {}
+    residues = put("res.tsv", "".join(f"a\t{k}\t{c}\n" for k, c in enumerate("**..*.")) + "b\t0\t\n")
+    main(["disorder", "--residues", residues, "--name", "d", "--out", out(7)])
+    d = json.loads(open(out(7) + "/annotation/d.json").read())
+    assert d["feature"] == {"a": {"length": 6, "aucpred": {"aucpred_disordered_region": {"evalue": "NA", "instance": [[0, 2, "NA"], [4, 5, "NA"]]}}}} and d["count"] == {"aucpred_disordered_region": 2}
+    assert [r[0] for r in spark.read.csv(out(7) + "/failed").collect()] == ["b"]
+    with pytest.raises(ValueError, match="missing in the annotation: smart"):
+        main(["score", "--seeds", path, "--queries", path, "--tools", put("t2.txt", "#linearized\npfam\nsmart\n"), "--out", out(8)])
+
+
 def test_streamed_pairs(spark, tmp_path):
     from quiltspan.streaming import incremental
 
