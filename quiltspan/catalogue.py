@@ -10,16 +10,17 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .functions.expressions import corrected_count
+from . import api
+from .functions.expressions import corrected_count, four_significant
+from .operators import documents, overlap, reports
 from .operators import maintenance as M
-from .operators import overlap, reports
 from .options import ScoringOptions
 from .plans import architecture as A
 from .plans import linearise as L
-from .plans import scoring, weights
+from .plans import greedy, scoring, weights
 from .sources import predictors, text
 from .sources import surrogate as S
-from .storage import cut
+from .storage import cut, new_path
 
 #: The surrogate's e-values are discounts; its cut is 0.08.
 OPTIONS = ScoringOptions(instance_evalue=0.08, count_correction="loge")
@@ -44,15 +45,15 @@ red AS (SELECT protein_id, u, v FROM direct
   UNION ALL SELECT protein_id, -1, rank FROM lin WHERE NOT EXISTS (SELECT 1 FROM edge e WHERE e.protein_id = lin.protein_id AND e.v = lin.rank)
   UNION ALL SELECT protein_id, rank, 1000000 FROM lin WHERE NOT EXISTS (SELECT 1 FROM edge e WHERE e.protein_id = lin.protein_id AND e.u = lin.rank)
   UNION ALL SELECT o_orderkey, -1, 1000000 FROM orders WHERE o_orderkey NOT IN (SELECT protein_id FROM lin))"""
-PATHS = RED.replace("inst AS", "RECURSIVE inst AS", 1) + """, walk AS (SELECT o_orderkey AS protein_id, -1 AS node, CAST([] AS INTEGER[]) AS path FROM orders
+PATHS = "RECURSIVE " + RED + """, walk AS (SELECT o_orderkey AS protein_id, -1 AS node, CAST([] AS INTEGER[]) AS path FROM orders
   UNION ALL SELECT w.protein_id, r.v, CASE WHEN r.v = 1000000 THEN w.path ELSE list_append(w.path, r.v) END FROM walk w JOIN red r ON w.protein_id = r.protein_id AND w.node = r.u),
 paths AS (SELECT protein_id, path FROM walk WHERE node = 1000000)"""
 PAIRS = """, pairs AS (SELECT * FROM (SELECT lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS seed, o_orderkey AS query FROM orders) WHERE seed IS NOT NULL)"""
 
 
-def _score_sql(w_ms: float, w_cs: float, w_ps: float, weights_sql: str | None = None, distance: bool = False, also: str = "", constraints: dict | None = None) -> str:
+def _score_sql(w_ms: float, w_cs: float, w_ps: float, weights_sql: str | None = None, distance: bool = False, also: str = "", constraints: dict | None = None, default: float = 0.5) -> str:
     """CTEs up to ``best``: seed, query and the best pair of paths with its scores, for all pairs."""
-    weight = "1.0" if weights_sql is None and not distance else f"coalesce(wt.weight, {0.5 if distance else 1.0})"
+    weight = "1.0" if weights_sql is None and not distance else f"coalesce(wt.weight, {default if distance else 1.0})"
     wjoin = "" if weights_sql is None else ("LEFT JOIN wt ON wt.feature = x.feature" if distance else "LEFT JOIN wt ON wt.protein_id = x.seed AND wt.feature = x.feature")
     if distance:
         totals = "CASE WHEN sum(w) > 1 THEN 1 / sum(w) ELSE 1.0 END"
@@ -168,11 +169,9 @@ def clan_counts(spark, d):
     return A.clan_counts(_arch(spark, d))
 
 
-@query("parse_time_prune", f"WITH {INST} SELECT DISTINCT protein_id, feature FROM inst WHERE evalue <= 0.03")
+@query("parse_time_prune", f"WITH {INST} SELECT protein_id, feature, i, start, stop FROM inst WHERE evalue <= 0.03")
 def parse_time_prune(spark, d):
-    rows = S.instances(spark, d)
-    kept = rows.where("evalue <= 0.03")
-    return rows.select("protein_id", "feature").distinct().join(kept, ["protein_id", "feature"], "left_semi")
+    return A.pruned(S.instances(spark, d), 0.001, 0.03).select("protein_id", "feature", "i", "start", "stop")
 
 
 @query("id_restriction", f"WITH {ARCH} SELECT protein_id, count(*) AS n FROM arch WHERE protein_id IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT') GROUP BY 1")
@@ -190,15 +189,15 @@ def pairs_listed(spark, d):
     return S.pairs(spark, d)
 
 
-@query("pairs_allvsall", "WITH s AS (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey < 5) SELECT a.c_custkey AS seed, b.c_custkey AS query FROM s a CROSS JOIN s b")
+@query("pairs_allvsall", "SELECT a.s_suppkey AS seed, b.s_suppkey AS query FROM supplier a CROSS JOIN supplier b")
 def pairs_allvsall(spark, d):
-    c = S.read(spark, d, "customer").where("c_mktsegment = 'BUILDING' and c_nationkey < 5")
-    return c.select(F.col("c_custkey").alias("seed")).crossJoin(c.select(F.col("c_custkey").alias("query")))
+    ids = S.read(spark, d, "supplier").select(F.col("s_suppkey").alias("protein_id"))
+    return api.all_pairs(ids, ids)
 
 
 @query("pairs_allvsall_groups", "SELECT a.o_orderkey AS seed, b.o_orderkey AS query FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey")
 def pairs_allvsall_groups(spark, d):
-    """All against all inside each group, of all proteins: ``pairs_allvsall`` is one segment of few nations."""
+    """All against all inside each group, of all proteins."""
     o = S.read(spark, d, "orders")
     return o.select("o_custkey", F.col("o_orderkey").alias("seed")).join(o.select("o_custkey", F.col("o_orderkey").alias("query")), "o_custkey").select("seed", "query")
 
@@ -217,14 +216,22 @@ def old_results_antijoin(spark, d):
     return M.without_old(p, _old(p))
 
 
-@query("pair_sample")
+@query("pair_sample", f"WITH {INST}{PAIRS} SELECT seed, query FROM pairs ORDER BY md5('1:' || CAST(seed AS VARCHAR) || ':' || CAST(query AS VARCHAR)), seed, query LIMIT 100")
 def pair_sample(spark, d):
     return M.sample_pairs(S.pairs(spark, d), 100)
 
 
-@query("identity_pairs", f"WITH {INST}{PAIRS}, w AS (SELECT protein_id, list((tool, feature, start, stop) ORDER BY tool, feature, start, stop) AS c FROM inst GROUP BY 1) SELECT seed, query FROM pairs JOIN w a ON a.protein_id = seed JOIN w b ON b.protein_id = query AND a.c = b.c WHERE seed <> query")
+_TWINS = "twin AS (SELECT protein_id, tool, feature, start, stop, evalue FROM inst UNION ALL SELECT -1 - protein_id, tool, feature, start, stop, CASE WHEN protein_id % 3 = 0 THEN evalue + 1 ELSE evalue END FROM inst)"
+
+
+@query("identity_pairs", f"WITH {INST}, {_TWINS}, w AS (SELECT protein_id, list((tool, feature, start, stop, evalue) ORDER BY tool, feature, start, stop, evalue) AS c FROM twin GROUP BY 1) SELECT a.protein_id AS seed, b.protein_id AS query FROM w a JOIN w b ON b.protein_id = -1 - a.protein_id AND a.c = b.c WHERE a.protein_id >= 0")
 def identity_pairs(spark, d):
-    return M.identical_pairs(S.pairs(spark, d), S.instances(spark, d))
+    """Each protein and a twin, which for every third one has other e-values."""
+    rows = S.instances(spark, d).select("protein_id", "tool", "feature", "start", "stop", "evalue")
+    other = F.when(F.col("protein_id") % 3 == 0, F.col("evalue") + 1).otherwise(F.col("evalue"))
+    twins = rows.withColumn("evalue", other).withColumn("protein_id", -1 - F.col("protein_id"))
+    pairs = rows.select(F.col("protein_id").alias("seed"), (-1 - F.col("protein_id")).alias("query")).distinct()
+    return M.identical_pairs(pairs, rows.union(twins))
 
 
 # weights
@@ -307,7 +314,12 @@ def paths_enumerated(spark, d):
     return p.select("protein_id", F.explode("paths").alias("p")).select("protein_id", F.concat_ws(",", F.col("p").cast("array<string>")).alias("path"))
 
 
-@query("complexity")
+_STEPS = """nexts AS (SELECT protein_id, u, count(*) AS n, min(v) AS first FROM red WHERE v < 1000000 GROUP BY 1, 2),
+steps AS (SELECT o_orderkey AS protein_id, -1 AS node, CAST(0 AS BIGINT) AS total FROM orders
+  UNION ALL SELECT s.protein_id, n.first, s.total + CASE WHEN n.n > 1 THEN n.n ELSE 0 END FROM steps s JOIN nexts n ON n.protein_id = s.protein_id AND n.u = s.node)"""
+
+
+@query("complexity", f"WITH {PATHS}, {_STEPS} SELECT protein_id, n_paths, greedy_steps FROM (SELECT protein_id, count(*) AS n_paths FROM paths GROUP BY 1) JOIN (SELECT protein_id, max(total) AS greedy_steps FROM steps GROUP BY 1) USING (protein_id)")
 def complexity(spark, d):
     return L.complexity(_prepared(spark, d))
 
@@ -328,6 +340,8 @@ def path_limit_na(spark, d):
 
 # scores without linearization
 
+#: A share as score files print it: four significant digits.
+_FOUR = "CASE WHEN {0} = 0 THEN '0.0' ELSE CAST(round({0}, CAST(3 - floor(log10({0})) AS INTEGER)) AS VARCHAR) END"
 UNLIN = f"""WITH {ARCH}{PAIRS}, s AS (SELECT seed, query, a.feature, a.i, a.position AS sp, a.stop - a.start + 1 AS sl, q.i AS qi, q.position AS qp, q.stop - q.start + 1 AS ql
   FROM pairs JOIN arch a ON a.protein_id = seed LEFT JOIN arch q ON q.protein_id = query AND q.feature = a.feature),
 n AS (SELECT seed, query, feature, i, count(qi) AS n_q, max(1 - abs(sp - qp)) AS match, arg_max(least(sl, ql) / greatest(sl, ql), (1 - abs(sp - qp), -qi)) FILTER (qi IS NOT NULL) AS ratio FROM s GROUP BY ALL),
@@ -351,18 +365,13 @@ def score_unlinearised(spark, d):
 
 @query("nearest_match", UNLIN + " SELECT seed, query, feature, i, round(match, 12) AS match, round(ratio, 12) AS ratio FROM n WHERE n_q > 0")
 def nearest_match(spark, d):
-    a = _arch(spark, d).select("protein_id", "feature", "i", "position", (F.col("stop") - F.col("start") + 1).alias("len"))
-    q = a.select(F.col("protein_id").alias("query"), "feature", F.col("i").alias("q_i"), F.col("position").alias("q_pos"), F.col("len").alias("q_len"))
-    met = S.pairs(spark, d).join(a.withColumnRenamed("protein_id", "seed"), "seed").join(q, ["query", "feature"])
-    near = F.max(F.struct((1 - F.abs(F.col("position") - F.col("q_pos"))).alias("match"), (-F.col("q_i")).alias("o"), (F.least("len", "q_len") / F.greatest("len", "q_len")).alias("ratio")))
-    return _rounded(met.groupBy("seed", "query", "feature", "i").agg(near.alias("b")).select("seed", "query", "feature", "i", "b.match", "b.ratio"), "match", "ratio")
+    near = scoring.nearest_instances(S.pairs(spark, d), _arch(spark, d)).where("n_q > 0").drop("n_q")
+    return _rounded(near, "match", "ratio")
 
 
 @query("common_feature", f"WITH {LIN}{PAIRS}, t AS (SELECT protein_id, list(DISTINCT feature) AS f FROM lin GROUP BY 1) SELECT seed, query, list_has_any(a.f, b.f) AS common FROM pairs JOIN t a ON a.protein_id = seed JOIN t b ON b.protein_id = query")
 def common_feature(spark, d):
-    t = A.ranked(_arch(spark, d)).groupBy("protein_id").agg(F.collect_set("feature").alias("f"))
-    s, q = t.select(F.col("protein_id").alias("seed"), F.col("f").alias("a")), t.select(F.col("protein_id").alias("query"), F.col("f").alias("b"))
-    return S.pairs(spark, d).join(s, "seed").join(q, "query").select("seed", "query", F.arrays_overlap("a", "b").alias("common"))
+    return scoring.common_feature(S.pairs(spark, d), _arch(spark, d))
 
 
 # scores
@@ -414,7 +423,14 @@ def score_constrained(spark, d):
     return _rounded(_score(spark, d, CONSTRAINED, w), *_OUT).select("seed", "query", *_OUT)
 
 
-_REVERSED = _PLAIN.replace("SELECT lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS seed, o_orderkey AS query FROM orders) WHERE seed IS NOT NULL", "SELECT o_orderkey AS seed, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS query FROM orders) WHERE query IS NOT NULL")
+def _changed(sql: str, old: str, new: str) -> str:
+    """``sql`` with ``old`` replaced, which must be there."""
+    if old not in sql:
+        raise ValueError(f"not in the SQL: {old}")
+    return sql.replace(old, new)
+
+
+_REVERSED = _changed(_PLAIN, "SELECT lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS seed, o_orderkey AS query FROM orders) WHERE seed IS NOT NULL", "SELECT o_orderkey AS seed, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS query FROM orders) WHERE query IS NOT NULL")
 
 
 @query("score_bidirectional", f"WITH fwd AS (WITH {_PLAIN} SELECT seed, query, final FROM best), rev AS (WITH {_REVERSED} SELECT query AS seed, seed AS query, final AS r FROM best) SELECT seed, query, round(final, 12) AS fwd_final, round(r, 12) AS rev_final FROM fwd LEFT JOIN rev USING (seed, query)")
@@ -432,10 +448,10 @@ def score_empty_query(spark, d):
     return _rounded(s, "final").select("seed", "query", "final", F.concat_ws(",", F.col("seed_path").cast("array<string>")).alias("seed_path"))
 
 
-@query("score_lines", f"WITH {UNLIN[5:]} SELECT '# ' || seed || ' ' || query || ' ' || CASE WHEN ms >= 0.5 THEN 'high' ELSE 'low' END AS line FROM u")
+@query("score_lines", f"WITH {UNLIN[5:]} SELECT '#' || chr(9) || seed || chr(9) || query || chr(9) || {_FOUR.format('ms')} AS line FROM u")
 def score_lines(spark, d):
-    u = _unlinearized(spark, d).withColumn("level", F.when(F.col("ms") >= 0.5, "high").otherwise("low"))
-    return u.select(F.concat_ws(" ", F.lit("#"), F.col("seed").cast("string"), F.col("query").cast("string"), "level").alias("line"))
+    u = _unlinearized(spark, d)
+    return reports.score_lines(u.select("seed", "query", four_significant("ms").alias("final")))
 
 
 def _distance(spark, d):
@@ -452,23 +468,56 @@ def distance_score(spark, d):
     return _distance(spark, d).select("seed", "query", *_OUT)
 
 
+#: A weight file of the distance variant with a default of its own.
+_WEIGHT_FILE = '{"weights": {"pfam_ECONOMY": 0.4, "smart_PROMO": 0.2, "tmhmm_LARGE": 0.05}, "default": 0.15}'
+_DEFAULTED = _score_sql(0.6, 0.2, 0.2, _DIST, True, default=0.15)
+
+
+def _weight_file(spark):
+    named, default = reports.parse_weight_file(_WEIGHT_FILE)
+    return spark.createDataFrame(list(named.items()), "feature string, weight double"), replace(WITH_CLANS, distance_default=default)
+
+
+@query("distance_weight_file", f"WITH {_DEFAULTED} SELECT seed, query, {SCORES} FROM best")
+def distance_weight_file(spark, d):
+    w, o = _weight_file(spark)
+    return _rounded(_score(spark, d, o, w, True), *_OUT).select("seed", "query", *_OUT)
+
+
 @query("greedy_score")
 def greedy_score(spark, d):
     return _score(spark, d, replace(OPTIONS, max_features=5, max_paths=6)).where("mode <> 'exhaustive/exhaustive'").select("seed", "query", *_OUT, "mode")
 
 
-@query("legacy_ms_ps", f"""WITH {LIN}{PAIRS}, s AS (SELECT seed, query, q.feature, q.rank, q.position AS qp, a.position AS sp FROM pairs JOIN lin q ON q.protein_id = query LEFT JOIN arch a ON a.protein_id = seed AND a.feature = q.feature),
+_LEGACY = f"""WITH {LIN}{PAIRS}, s AS (SELECT seed, query, q.feature, q.rank, q.position AS qp, a.position AS sp FROM pairs JOIN lin q ON q.protein_id = query LEFT JOIN arch a ON a.protein_id = seed AND a.feature = q.feature),
 n AS (SELECT seed, query, feature, rank, count(sp) AS n_s, coalesce(max(1 - abs(qp - sp)), 0.0) AS match FROM s GROUP BY ALL),
-f AS (SELECT seed, query, feature, least(max(n_s) / count(*), 1.0) AS share, avg(match) AS p FROM n GROUP BY ALL) SELECT seed, query, round(avg(share), 12) AS ms, round(avg(p), 12) AS ps FROM f GROUP BY ALL""")
+f AS (SELECT seed, query, feature, least(max(n_s) / count(*), 1.0) AS share, avg(match) AS p FROM n GROUP BY ALL),
+m AS (SELECT seed, query, avg(share) AS ms, avg(p) AS ps FROM f GROUP BY ALL),
+c AS (SELECT protein_id, clan, sum(CAST(linearized AS INTEGER)) AS n_path, count(*) AS n_all FROM arch WHERE clan IS NOT NULL GROUP BY 1, 2),
+k AS (SELECT protein_id AS query, sum(n_path * n_all / (greatest(n_path, n_all) * greatest(n_path, n_all))) / count(*) AS cs FROM c WHERE n_path > 0 GROUP BY 1),
+legacy AS (SELECT seed, query, ms, ps, coalesce(cs, 0.0) AS cs FROM m LEFT JOIN k USING (query))"""
+
+
+def _partial(spark, d):
+    """A query's linearized instances against the whole seed, as the greedy walk values its paths."""
+    p = _prepared(spark, d)
+    queries = p.where(F.size("lin") > 0)
+    return _rounded(greedy.partial_scores(S.pairs(spark, d), p, queries, WITH_CLANS), "final", "ms", "ps", "cs")
+
+
+@query("legacy_ms_ps", _LEGACY + " SELECT seed, query, round(ms, 12) AS ms, round(ps, 12) AS ps FROM legacy")
 def legacy_ms_ps(spark, d):
-    """A query's linearized instances against the whole seed, as partial paths are valued: roles swapped."""
-    arch = _arch(spark, d)
-    q = arch.where("linearized").select(F.col("protein_id").alias("query"), "feature", F.col("i").alias("q_i"), F.col("position").alias("qp"))
-    s = arch.select(F.col("protein_id").alias("seed"), "feature", F.col("position").alias("sp"))
-    met = S.pairs(spark, d).join(q, "query").join(s, ["seed", "feature"], "left")
-    n = met.groupBy("seed", "query", "feature", "q_i").agg(F.count("sp").alias("n_s"), F.coalesce(F.max(1 - F.abs(F.col("qp") - F.col("sp"))), F.lit(0.0)).alias("match"))
-    f = n.groupBy("seed", "query", "feature").agg(F.least(F.max("n_s") / F.count(F.lit(1)), F.lit(1.0)).alias("share"), F.avg("match").alias("p"))
-    return _rounded(f.groupBy("seed", "query").agg(F.avg("share").alias("ms"), F.avg("p").alias("ps")), "ms", "ps")
+    return _partial(spark, d).select("seed", "query", "ms", "ps")
+
+
+@query("legacy_cs", _LEGACY + " SELECT seed, query, round(cs, 12) AS cs FROM legacy")
+def legacy_cs(spark, d):
+    return _partial(spark, d).select("seed", "query", "cs")
+
+
+@query("legacy_score", _LEGACY + " SELECT seed, query, round(ms * 0.6 + cs * 0.2 + ps * 0.2, 12) AS final FROM legacy")
+def legacy_score(spark, d):
+    return _partial(spark, d).select("seed", "query", "final")
 
 
 # reports
@@ -476,12 +525,15 @@ def legacy_ms_ps(spark, d):
 _ACC = "acc AS (SELECT * FROM (VALUES ('pfam_ECONOMY', 'IPR000001'), ('pfam_SMALL', 'IPR000002'), ('smart_PROMO', 'IPR000003')) t(feature, interpro)), plen AS (SELECT * FROM (VALUES ('pfam_ECONOMY', 120), ('smart_MEDIUM', 77)) t(feature, phmm_length))"
 
 
-def _domain_sql(best: str) -> str:
+_UNIFORM = "SELECT seed, query, feature, round(1.0 / CAST(count(*) OVER (PARTITION BY seed, query) AS DOUBLE), 4) AS weight FROM types"
+
+
+def _domain_sql(best: str, share: str = _UNIFORM) -> str:
     return f"""WITH {best}, {_ACC},
 sides AS (SELECT seed, query, 'seed' AS side, seed AS protein_id, sp AS path FROM best UNION ALL SELECT seed, query, 'query', query, qp FROM best WHERE seed <> query),
 onpath AS (SELECT s.seed, s.query, s.side, l.i FROM sides s JOIN lin l ON l.protein_id = s.protein_id AND list_contains(s.path, l.rank) UNION ALL SELECT s.seed, s.query, s.side, a.i FROM sides s JOIN arch a ON a.protein_id = s.protein_id AND NOT a.linearized),
 types AS (SELECT DISTINCT o.seed, o.query, x.feature FROM onpath o JOIN inst x ON x.protein_id = o.seed AND x.i = o.i WHERE o.side = 'seed'),
-share AS (SELECT seed, query, feature, round(1.0 / CAST(count(*) OVER (PARTITION BY seed, query) AS DOUBLE), 4) AS weight FROM types)
+share AS ({share})
 SELECT CAST(s.seed AS VARCHAR) || '#' || CAST(s.query AS VARCHAR) AS pair_id, s.protein_id AS ortholog, x.length AS seq_length, x.feature, x.start, x.stop, share.weight, CASE WHEN o.i IS NULL THEN 'N' ELSE 'Y' END AS path, coalesce(acc.interpro, 'NA') AS interpro, x.evalue, plen.phmm_length
 FROM sides s JOIN inst x ON x.protein_id = s.protein_id LEFT JOIN onpath o ON o.seed = s.seed AND o.query = s.query AND o.side = s.side AND o.i = x.i
 LEFT JOIN share ON share.seed = s.seed AND share.query = s.query AND share.feature = x.feature LEFT JOIN acc ON acc.feature = x.feature LEFT JOIN plen ON plen.feature = x.feature"""
@@ -491,7 +543,7 @@ def _domains(spark, d, options, weight=None, distance=False):
     p, rows = _prepared(spark, d, options), S.instances(spark, d)
     scores = cut(_score(spark, d, options, weight, distance, prepared=p).select("seed", "query", "seed_path", "query_path"), "scores")
     members = cut(reports.path_members(scores, p), "members")
-    w = reports.path_weights(members, rows, None)
+    w = reports.distance_path_weights(members, rows, weight, options.distance_default) if distance else reports.path_weights(members, rows, None)
     out = reports.domain_report(scores, rows, members, w, S.accessions(spark), S.profile_lengths(spark))
     return out.select("pair_id", "ortholog", "seq_length", "feature", "start", "stop", "weight", "path", "interpro", "evalue", "phmm_length")
 
@@ -501,9 +553,13 @@ def domains_report(spark, d):
     return _domains(spark, d, OPTIONS)
 
 
-@query("domains_report_distance", _domain_sql(_DISTANCE))
+_SCALED = "SELECT seed, query, feature, round(w * CASE WHEN sum(w) OVER (PARTITION BY seed, query) > 1 THEN 1 / sum(w) OVER (PARTITION BY seed, query) ELSE 1.0 END, 4) AS weight FROM (SELECT types.*, coalesce(wt.weight, 0.15) AS w FROM types LEFT JOIN wt ON wt.feature = types.feature)"
+
+
+@query("domains_report_distance", _domain_sql(_DEFAULTED, _SCALED))
 def domains_report_distance(spark, d):
-    return _domains(spark, d, WITH_CLANS, _distance_weights(spark), True)
+    w, o = _weight_file(spark)
+    return _domains(spark, d, o, w, True)
 
 
 @query("domains_unscored", f"WITH {INST}, acc AS (SELECT * FROM (VALUES ('pfam_ECONOMY', 'IPR000001.3'), ('pfam_SMALL', 'IPR000002.1'), ('smart_PROMO', 'IPR000003')) t(feature, interpro)), plen AS (SELECT * FROM (VALUES ('pfam_ECONOMY', 120), ('smart_MEDIUM', 77)) t(feature, phmm_length)) SELECT 'G#' || CAST(protein_id AS VARCHAR) AS pair_id, protein_id AS ortholog, length AS seq_length, inst.feature, start, stop, coalesce(acc.interpro, 'NA') AS interpro, phmm_length FROM inst LEFT JOIN acc ON acc.feature = inst.feature LEFT JOIN plen ON plen.feature = inst.feature WHERE protein_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
@@ -512,19 +568,15 @@ def domains_unscored(spark, d):
     return reports.unscored_domains(S.instances(spark, d), ids, S.accessions(spark), S.profile_lengths(spark), "G")
 
 
-@query("legacy_cs", f"""WITH {LIN}, c AS (SELECT protein_id, clan, sum(CAST(linearized AS INTEGER)) AS n_path, count(*) AS n_all FROM arch WHERE clan IS NOT NULL GROUP BY 1, 2)
-SELECT protein_id, round(sum(n_path * n_all / (greatest(n_path, n_all) * greatest(n_path, n_all))) / count(*), 12) AS cs FROM c WHERE n_path > 0 GROUP BY 1""")
-def legacy_cs(spark, d):
-    """A query's linearized clans against all of its own, as partial paths are valued."""
-    c = _arch(spark, d).where("clan is not null").groupBy("protein_id", "clan").agg(F.sum(F.col("linearized").cast("int")).alias("n"), F.count(F.lit(1)).alias("m")).where("n > 0")
-    most = F.greatest("n", "m")
-    return _rounded(c.groupBy("protein_id").agg((F.sum(F.col("n") * F.col("m") / (most * most)) / F.count(F.lit(1))).alias("cs")), "cs")
-
-
-@query("domain_split_counts", f"WITH {ARCH}{PAIRS} SELECT CAST(seed AS VARCHAR) AS seed_id, count(*) AS n FROM pairs JOIN arch ON protein_id = seed GROUP BY 1")
+@query("domain_split_counts", f"WITH {ARCH}{PAIRS} SELECT CAST(seed AS VARCHAR) AS seed_id, feature, count(*) AS n FROM pairs JOIN arch ON protein_id = seed WHERE seed % 50 = 0 GROUP BY 1, 2")
 def domain_split_counts(spark, d):
-    rows = S.pairs(spark, d).join(_arch(spark, d).withColumnRenamed("protein_id", "seed"), "seed").select(F.concat_ws("#", "seed", "query").alias("pair_id"))
-    return rows.groupBy(F.substring_index("pair_id", "#", 1).alias("seed_id")).agg(F.count(F.lit(1)).alias("n"))
+    """Domain rows split to a folder for each seed that is asked for (every fiftieth), and read back."""
+    rows = S.pairs(spark, d).join(_arch(spark, d).withColumnRenamed("protein_id", "seed"), "seed").select(F.concat_ws("#", "seed", "query").alias("pair_id"), "feature")
+    ids = S.universe(spark, d).where("protein_id % 50 = 0").select(F.col("protein_id").cast("string").alias("seed_id"))
+    path = new_path(spark, "split-domains")
+    reports.write_split_domains(rows, path, ids)
+    back = spark.read.option("sep", "\t").option("header", True).schema("pair_id string, feature string, seed_id string").csv(path)
+    return back.groupBy("seed_id", "feature").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("phylogenetic_profile", f"WITH {UNLIN[5:]} SELECT seed AS gene_id, 'ncbi' || CAST(c_nationkey AS VARCHAR) AS ncbi_id, query AS ortho_id, round(ms, 12) AS forward_score, 0.0::DOUBLE AS reverse_score FROM u JOIN orders ON o_orderkey = query JOIN customer ON c_custkey = o_custkey")
@@ -549,7 +601,7 @@ def ortholog_groups(spark, d):
 @query("group_filter", f"WITH {_GROUPS} SELECT grp, seed, query FROM groups WHERE grp IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY')")
 def group_filter(spark, d):
     names = S.read(spark, d, "customer").where("c_mktsegment = 'MACHINERY'").select(F.col("c_custkey").alias("grp"))
-    return M.ortholog_groups(_members(spark, d).join(names, "grp", "left_semi")).select("grp", "seed", "query")
+    return M.ortholog_groups(_members(spark, d), names=names).select("grp", "seed", "query")
 
 
 @query("group_domains", f"WITH {ARCH}, {_GROUPS} SELECT CAST(grp AS VARCHAR) || '#' || concat_ws('|', CAST(grp AS VARCHAR), CAST(query_taxon AS VARCHAR), CAST(query AS VARCHAR)) AS pair_id, feature, start, stop FROM groups JOIN arch ON protein_id = query")
@@ -664,16 +716,19 @@ def scores_update(spark, d):
     return M.update_scores(p.withColumn("final", F.lit(0.25)), _old(p).withColumn("final", F.lit(0.75)))
 
 
-@query("results_union", f"WITH {INST}{PAIRS} SELECT seed, query, c_nationkey AS taxon FROM pairs JOIN orders ON o_orderkey = query JOIN customer ON c_custkey = o_custkey")
+@query("results_union", f"WITH {INST}{PAIRS} SELECT seed, query, CASE WHEN seed % 3 = 0 THEN 0 WHEN seed % 3 = 1 THEN 1 ELSE 2 END AS run FROM pairs")
 def results_union(spark, d):
-    tax = _members(spark, d).select(F.col("protein_id").alias("query"), "taxon")
-    rows = S.pairs(spark, d).join(tax, "query").select("seed", "query", "taxon")
-    return rows.where("taxon < 12").union(rows.where("taxon >= 12")).orderBy("taxon", "seed", "query")
+    p = S.pairs(spark, d)
+    return M.union_results([p.where(f"seed % 3 = {k}") for k in range(3)])
 
 
-@query("tsv_to_json_pairs", f"WITH {INST}{PAIRS} SELECT '{{\"' || CAST(seed AS VARCHAR) || '_' || CAST(query AS VARCHAR) || '\":[\"0.5\",\"NA\"]}}' AS value FROM pairs")
+@query("tsv_to_json_pairs", f"WITH {UNLIN[5:]} SELECT '{{\"' || CAST(seed AS VARCHAR) || '_' || CAST(query AS VARCHAR) || '\":[\"' || {_FOUR.format('ms')} || '\",\"NA\"]}}' AS value FROM u")
 def tsv_to_json_pairs(spark, d):
-    return reports.score_json(S.pairs(spark, d).withColumns({"fwd_final": F.lit(0.5), "rev_final": F.lit(None).cast("double")}))
+    """Scores written as a table, read from it, and given as JSON."""
+    u = _unlinearized(spark, d).select("seed", "query", F.lit("x").alias("mode"), *[F.col("ms").alias(f"fwd_{k}") for k in _OUT], *[F.lit(None).cast("double").alias(f"rev_{k}") for k in _OUT])
+    path = new_path(spark, "score-table")
+    reports.write_score_table(u, path)
+    return reports.score_json(text.read_score_table(spark, path))
 
 
 @query("version_mismatch", "SELECT o_orderpriority AS tool, count(DISTINCT o_orderstatus) AS n_versions FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderstatus) > 1")
@@ -682,27 +737,33 @@ def version_mismatch(spark, d):
     return M.version_mismatches(v)
 
 
-@query("version_report", "SELECT user_id AS proteome, event_type AS tool, 'k' AS key, CAST(json_extract(props, '$.k') AS VARCHAR) AS value FROM events WHERE json_extract(props, '$.k') IS NOT NULL")
+@query("version_report", "SELECT user_id AS proteome, event_type AS tool, 'k' AS key, CAST(json_extract(props, '$.k') AS VARCHAR) AS value FROM events")
 def version_report(spark, d):
     v = S.read(spark, d, "events").select(F.col("user_id").alias("proteome"), F.col("event_type").alias("tool"), F.from_json("props", "map<string,string>").alias("info"))
-    return reports.version_report(v).where("key = 'k' and value is not null")
+    return reports.version_report(v)
 
 
-@query("dims_lookup", f"WITH {INST}, {_ACC} SELECT DISTINCT inst.feature, clan, coalesce(acc.interpro, 'NA') AS interpro, phmm_length FROM inst LEFT JOIN acc ON acc.feature = inst.feature LEFT JOIN plen ON plen.feature = inst.feature")
+@query("dims_lookup", f"""WITH {INST}, f AS (SELECT DISTINCT feature FROM inst), fam AS (SELECT * FROM (VALUES ('pfam_ECONOMY', 'PF1.3', 'CL1'), ('pfam_SMALL', 'PF2.1', 'NA')) t(feature, accession, clan)), plen AS (SELECT * FROM (VALUES ('pfam_ECONOMY', 120), ('smart_MEDIUM', 77)) t(feature, plen))
+SELECT feature, 'clan' AS kind, clan AS value FROM f JOIN fam USING (feature) WHERE clan <> 'NA' UNION ALL SELECT feature, 'accession', accession FROM f JOIN fam USING (feature) UNION ALL SELECT feature, 'length', CAST(plen AS VARCHAR) FROM f JOIN plen USING (feature)""")
 def dims_lookup(spark, d):
-    rows = S.instances(spark, d).select("feature", "clan").distinct()
-    joined = rows.join(S.accessions(spark), "feature", "left").join(S.profile_lengths(spark), "feature", "left")
-    return joined.select("feature", "clan", F.coalesce(F.substring_index("interpro", ".", 1), F.lit("NA")).alias("interpro"), F.col("plen").alias("phmm_length"))
+    families = spark.createDataFrame([("ECONOMY", "PF1.3", "CL1"), ("SMALL", "PF2.1", "NA")], "id string, accession string, clan string")
+    found = documents.looked_up(S.instances(spark, d), families, S.profile_lengths(spark))
+    rows = [found[n].select("feature", F.lit(k).alias("kind"), F.col(c).cast("string").alias("value")) for n, k, c in (("clans", "clan", "clan"), ("accessions", "accession", "interpro"), ("lengths", "length", "plen"))]
+    return rows[0].union(rows[1]).union(rows[2])
 
 
 # text formats
 
 
-@query("pair_file_four_columns", "WITH p AS (SELECT string_split(trim(regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '^ ', '')), ' ') AS p FROM documents) SELECT p[1] AS id1, p[2] AS tax1, p[3] AS id2, p[4] AS tax2, count(*) AS n FROM p WHERE len(p) >= 4 GROUP BY ALL")
+@query("pair_file_four_columns", f"WITH {INST}{PAIRS} SELECT 'p' || CAST(seed AS VARCHAR) AS id1, 't' || CAST(seed % 7 AS VARCHAR) AS tax1, 'p' || CAST(query AS VARCHAR) AS id2, 't' || CAST(query % 7 AS VARCHAR) AS tax2 FROM pairs WHERE query % 5 <> 0")
 def pair_file_four_columns(spark, d):
-    first = F.array_join(F.slice(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " "), 1, 4), " ")
-    lines = S.read(spark, d, "documents").select(first.alias("value"))
-    return text.four_columns(lines).groupBy("id1", "tax1", "id2", "tax2").agg(F.count(F.lit(1)).alias("n"))
+    """A file of pairs with their taxa, in which every fifth line lacks a column."""
+    p = S.pairs(spark, d)
+    cells = [F.concat(F.lit(a), (F.col(c) % m if m else F.col(c)).cast("string")) for a, c, m in (("p", "seed", 0), ("t", "seed", 7), ("p", "query", 0), ("t", "query", 7))]
+    path = new_path(spark, "pair-file")
+    line = F.when(F.col("query") % 5 == 0, F.concat_ws(" ", *cells[:3])).otherwise(F.concat_ws("  ", *cells[:2], F.concat_ws("\t", *cells[2:])))
+    p.select(line.alias("value")).write.text(path)
+    return text.four_columns(spark.read.text(path))
 
 
 _RUNS = "WITH c AS (SELECT doc_id AS id, regexp_replace(text, '[^e]', '.', 'g') AS s FROM (SELECT doc_id, replace(text, chr(10), ' ') AS text FROM documents)), p AS (SELECT id, unnest(range(1, CAST(length(s) AS BIGINT) + 1)) AS pos, s FROM c), r AS (SELECT id, pos, pos - row_number() OVER (PARTITION BY id ORDER BY pos) AS g FROM p WHERE s[pos] = 'e')"

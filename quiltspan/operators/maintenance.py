@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,9 +107,11 @@ def identical_pairs(pairs: DataFrame, instances: DataFrame) -> DataFrame:
     return met.join(s, "seed").join(q, "query").where("content = q_content").select("seed", "query")
 
 
-def ortholog_groups(members: DataFrame, one_seed_taxon: bool = False) -> DataFrame:
+def ortholog_groups(members: DataFrame, one_seed_taxon: bool = False, names: DataFrame | None = None) -> DataFrame:
     """(grp, taxon, protein_id, pos): each group's first row is its seed; the others are its members. With
-    ``one_seed_taxon``, seeds of more than one taxon are an error."""
+    ``one_seed_taxon``, seeds of more than one taxon are an error. ``names`` (grp) restricts the groups."""
+    if names is not None:
+        members = members.join(names.select("grp").distinct(), "grp", "left_semi")
     first = Window.partitionBy("grp")
     rows = members.withColumn("seed", F.min_by("protein_id", "pos").over(first)).withColumn("seed_taxon", F.min_by("taxon", "pos").over(first)).withColumn("first_pos", F.min("pos").over(first))
     if one_seed_taxon:
@@ -124,7 +128,23 @@ def taxon_pairs(pairs: DataFrame) -> DataFrame:
 
 def sample_pairs(pairs: DataFrame, n: int, seed: int = 1) -> DataFrame:
     """A random sample of n pairs, the same for the same seed."""
-    return pairs.orderBy(F.xxhash64(F.lit(seed), "seed", "query"), "seed", "query").limit(n)
+    draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("seed").cast("string"), F.col("query").cast("string")))
+    return pairs.orderBy(draw, "seed", "query").limit(n)
+
+
+def union_results(results: Sequence[DataFrame]) -> DataFrame:
+    """Result tables of several runs as one, in order of the runs: ``run`` is a table's number."""
+    out = None
+    for k, r in enumerate(results):
+        r = r.withColumn("run", F.lit(k))
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+def extract_for_sequences(instances: DataFrame, sequences: DataFrame) -> DataFrame:
+    """The annotation of the sequences (id) of a FASTA table; one without annotation is an error."""
+    ids = check_ids(sequences.select(F.col("id").alias("protein_id")), instances)
+    return instances.join(ids.distinct(), "protein_id", "left_semi")
 
 
 def check_ids(ids: DataFrame, have: DataFrame) -> DataFrame:

@@ -136,9 +136,13 @@ def score_json(scores: DataFrame) -> DataFrame:
     return scores.select(F.to_json(F.create_map(F.concat_ws("_", F.col("seed").cast("string"), F.col("query").cast("string")), values)).alias("value"))
 
 
-def write_split_domains(domains: DataFrame, path: str) -> None:
-    """One folder per seed: the text before the first # of the pair's label."""
-    domains.withColumn("seed_id", F.substring_index("pair_id", "#", 1)).write.partitionBy("seed_id").option("sep", "\t").option("header", True).csv(path)
+def write_split_domains(domains: DataFrame, path: str, ids: DataFrame | None = None) -> None:
+    """One folder per seed: the text before the first # of the pair's label. ``ids`` (seed_id) restricts the seeds."""
+    rows = domains.withColumn("seed_id", F.substring_index("pair_id", "#", 1))
+    if ids is not None:
+        rows = rows.join(ids.select("seed_id").distinct(), "seed_id", "left_semi")
+    # a seed's rows in one file, but for a seed with very many, which Spark splits
+    rows.hint("rebalance", "seed_id").write.partitionBy("seed_id").option("sep", "\t").option("header", True).csv(path)
 
 
 def write_run_record(spark: SparkSession, path: str, options: dict, command: str, version: str) -> None:

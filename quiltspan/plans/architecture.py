@@ -18,6 +18,13 @@ def number_instances(instances: DataFrame) -> DataFrame:
     return instances.withColumn("i", F.row_number().over(order) - 1)
 
 
+def pruned(instances: DataFrame, feature_limit: float, instance_limit: float) -> DataFrame:
+    """What stays of predicted instances when an annotation is made: those within their limit, of features within
+    theirs (feature_evalue is optional). A feature that keeps no instance goes with them."""
+    kept = instances.where(passes("evalue", instance_limit))
+    return kept.where(passes("feature_evalue", feature_limit)) if "feature_evalue" in instances.columns else kept
+
+
 def no_linearization(instances: DataFrame) -> DataFrame:
     """Every tool as one whose features may overlap."""
     return instances.withColumn("linearized", F.lit(False))

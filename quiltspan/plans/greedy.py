@@ -95,18 +95,44 @@ def score_elements(seed_lin: list, seed_normal: list, query_lin: list, query_nor
     return ms * o.weight_multiplicity + cs * o.weight_clan + ps * o.weight_position, ms, ps, cs, ls
 
 
-def partial_score(lin: list, seed_all: list, seed_clans: dict, o: ScoringOptions) -> float:
-    """A query path, as far as it has come, against the whole seed with uniform weights (multiplicity and position)."""
+def partial_parts(lin: list, seed_all: list, query_clans: dict) -> tuple[float, float, float]:
+    """(ms, ps, cs) of a query path, as far as it has come, against the whole seed with uniform weights, its clans
+    against all of the query's own."""
     mine, theirs = _group(lin), _group(seed_all)
     if not mine:
-        return 0.0
+        return 0.0, 0.0, 0.0
     ms = sum(min(len(theirs.get(f, ())) / len(es), 1.0) for f, es in mine.items()) / len(mine)
     ps = sum(sum(_nearest(e, theirs.get(f, []))[0] for e in es) / len(es) for f, es in mine.items()) / len(mine)
     clans = _tally(lin)
-    cs = sum(n * seed_clans[c] / max(n, seed_clans[c]) ** 2 for c, n in clans.items() if c in seed_clans) / len(clans) if clans else 0.0
+    cs = sum(n * query_clans[c] / max(n, query_clans[c]) ** 2 for c, n in clans.items() if c in query_clans) / len(clans) if clans else 0.0
+    return ms, ps, cs
+
+
+def partial_score(lin: list, seed_all: list, query_clans: dict, o: ScoringOptions) -> float:
+    ms, ps, cs = partial_parts(lin, seed_all, query_clans)
     return ms * o.weight_multiplicity + cs * o.weight_clan + ps * o.weight_position
 
 
+def partial_scores(pairs: DataFrame, seeds: DataFrame, queries: DataFrame, o: ScoringOptions) -> DataFrame:
+    """seed, query, final, ms, ps, cs of all of each query's linearized instances, by ``partial_score``: how the greedy
+    walk values a query's paths."""
+    s = seeds.select(F.col("protein_id").alias("seed"), F.col("lin").alias("s_lin"), F.col("normal").alias("s_normal"))
+    q = queries.select(F.col("protein_id").alias("query"), "lin", "normal")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for r in b.to_pylist():
+                clans = _tally(r["lin"] + r["normal"])
+                seed_all = r["s_lin"] + r["s_normal"]
+                rows.append((partial_score(r["lin"], seed_all, clans, o), *partial_parts(r["lin"], seed_all, clans)))
+            cols = list(zip(*rows, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([b.column("seed"), b.column("query"), *(pa.array(c, pa.float64()) for c in cols)], names=["seed", "query", "final", "ms", "ps", "cs"])
+
+    t = pairs.schema["seed"].dataType.simpleString(), pairs.schema["query"].dataType.simpleString()
+    return pairs.select("seed", "query").join(s, "seed").join(q, "query").mapInArrow(run, f"seed {t[0]}, query {t[1]}, final double, ms double, ps double, cs double")
+
+
 def walk(after: dict[int, list[int]], value, prefer=None) -> list[int]:
     """From START to END, at each node to the successor whose extended path has the highest value, the last among
     equals; ``prefer`` narrows the candidates where any fits."""
@@ -144,7 +170,7 @@ def best_pair(row: dict, o: ScoringOptions, distance: bool) -> tuple:
         return score_elements([s_lin[k] for k in sp], s_normal, [q_lin[k] for k in qp], q_normal, weights, o, distance)
 
     if row["query_greedy"]:
-        clans = _tally(q_lin)
+        clans = _tally(q_lin + q_normal)
         everything = s_lin + s_normal
         value = lambda p: partial_score([q_lin[k] for k in p], everything, clans, o)
         queries = {tuple(walk(q_after, value, lambda v, f=f: q_lin[v]["feature"] == f)) for f in [*dict.fromkeys(e["feature"] for e in q_lin), None]}

@@ -198,24 +198,38 @@ def score_pairs(pairs: DataFrame, seeds: DataFrame, queries: DataFrame, options:
     return out
 
 
-def unlinearized_scores(pairs: DataFrame, arch: DataFrame) -> DataFrame:
-    """seed, query, ms, ps, ls with uniform weights when no overlap is resolved, by joins and aggregations alone.
-
-    Each seed instance meets the query's instances of its feature; the nearest is found per instance, averaged per
-    feature and then over the seed's features.
-    """
+def nearest_instances(pairs: DataFrame, arch: DataFrame) -> DataFrame:
+    """seed, query, feature, i, n_q, match, ratio: for each instance of the seed how many the query has of its feature,
+    and the closeness and length ratio of the nearest one (the first of equally near ones), null without any."""
     a = arch.select("protein_id", "feature", "i", "position", (F.col("stop") - F.col("start") + 1).alias("len"))
-    s = a.select(F.col("protein_id").alias("seed"), "feature", F.col("i").alias("s_i"), F.col("position").alias("s_pos"), F.col("len").alias("s_len"))
+    s = a.select(F.col("protein_id").alias("seed"), "feature", "i", F.col("position").alias("s_pos"), F.col("len").alias("s_len"))
     q = a.select(F.col("protein_id").alias("query"), "feature", F.col("i").alias("q_i"), F.col("position").alias("q_pos"), F.col("len").alias("q_len"))
     met = pairs.select("seed", "query").join(s, "seed").join(q, ["query", "feature"], "left")
     match = F.lit(1.0) - F.abs(F.col("s_pos") - F.col("q_pos"))
     ratio = F.least("s_len", "q_len") / F.greatest("s_len", "q_len")
     nearest = F.max(F.when(F.col("q_i").isNotNull(), F.struct(match.alias("match"), (-F.col("q_i")).alias("order"), ratio.alias("ratio"))))
-    per_instance = met.groupBy("seed", "query", "feature", "s_i").agg(nearest.alias("b"), F.count("q_i").alias("n_q"))
-    per_feature = per_instance.groupBy("seed", "query", "feature").agg(F.count(F.lit(1)).alias("n_s"), F.max("n_q").alias("n_q"), F.avg(F.coalesce("b.match", F.lit(0.0))).alias("p"), F.avg(F.coalesce("b.ratio", F.lit(0.0))).alias("l"))
+    rows = met.groupBy("seed", "query", "feature", "i").agg(nearest.alias("b"), F.count("q_i").alias("n_q"))
+    return rows.select("seed", "query", "feature", "i", "n_q", "b.match", "b.ratio")
+
+
+def unlinearized_scores(pairs: DataFrame, arch: DataFrame) -> DataFrame:
+    """seed, query, ms, ps, ls with uniform weights when no overlap is resolved, by joins and aggregations alone.
+
+    Each seed instance meets the query's instances of its feature; the nearest is found per instance, averaged per
+    feature and then over the seed's features.
+    """
+    near = nearest_instances(pairs, arch)
+    per_feature = near.groupBy("seed", "query", "feature").agg(F.count(F.lit(1)).alias("n_s"), F.max("n_q").alias("n_q"), F.avg(F.coalesce("match", F.lit(0.0))).alias("p"), F.avg(F.coalesce("ratio", F.lit(0.0))).alias("l"))
     return per_feature.groupBy("seed", "query").agg(F.avg(F.least(F.col("n_q") / F.col("n_s"), F.lit(1.0))).alias("ms"), F.avg("p").alias("ps"), F.avg("l").alias("ls"))
 
 
+def common_feature(pairs: DataFrame, arch: DataFrame) -> DataFrame:
+    """seed, query, common: whether the two share a feature of tools whose overlaps are resolved."""
+    t = arch.where("linearized").groupBy("protein_id").agg(F.collect_set("feature").alias("features"))
+    s, q = t.select(F.col("protein_id").alias("seed"), F.col("features").alias("a")), t.select(F.col("protein_id").alias("query"), F.col("features").alias("b"))
+    return pairs.select("seed", "query").join(s, "seed").join(q, "query").select("seed", "query", F.arrays_overlap("a", "b").alias("common"))
+
+
 def bidirectional(forward: DataFrame, reverse: DataFrame) -> DataFrame:
     """Forward scores beside those of the swapped pairs."""
     back = reverse.select(F.col("query").alias("seed"), F.col("seed").alias("query"), F.col("final").alias("rev_final"))
