@@ -36,20 +36,21 @@ def transmembrane(lines: DataFrame) -> DataFrame:
     """Segments `` M start end`` of ``%pred`` lines (id, value)."""
     parts = lines.where("value like '%\\%pred%'").select("id", F.explode(F.filter(F.split("value", ","), lambda x: x.startswith(" M"))).alias("x"))
     p = F.split(F.trim("x"), r"\s+")
-    return parts.select("id", F.lit("tmhmm_transmembrane").alias("feature"), p[1].cast("int").alias("start"), p[2].cast("int").alias("stop"), F.lit(None).cast("double").alias("evalue"))
+    at = lambda k: F.get(p, F.lit(k)).try_cast("int")
+    return parts.select("id", F.lit("tmhmm_transmembrane").alias("feature"), at(1).alias("start"), at(2).alias("stop"), F.lit(None).cast("double").alias("evalue"))
 
 
 def signal_peptides(lines: DataFrame) -> DataFrame:
     """Tables with the decision in the tenth column and the cleavage site in the fifth."""
     p = F.split(F.trim("value"), r"\s+")
     rows = lines.where("value not like '#%' and value not like '%Temporary files in%' and trim(value) <> ''").withColumn("p", p).where(F.get("p", F.lit(9)) == "Y")
-    return rows.select(F.col("p")[0].alias("id"), F.lit("signalp_SIGNALP").alias("feature"), F.lit(1).alias("start"), (F.col("p")[4].cast("int") - 1).alias("stop"), F.lit(None).cast("double").alias("evalue"))
+    return rows.select(F.col("p")[0].alias("id"), F.lit("signalp_SIGNALP").alias("feature"), F.lit(1).alias("start"), (F.get("p", F.lit(4)).try_cast("int") - 1).alias("stop"), F.lit(None).cast("double").alias("evalue"))
 
 
 def low_complexity(lines: DataFrame) -> DataFrame:
     """Lines ``name from-to`` of records (id, value)."""
     rows = lines.select("id", F.regexp_extract("value", r"^\s*\S+\s+(\d+)-(\d+)\s*$", 1).alias("a"), F.regexp_extract("value", r"^\s*\S+\s+(\d+)-(\d+)\s*$", 2).alias("b")).where("a <> ''")
-    return rows.select("id", F.lit("seg_low_complexity_regions").alias("feature"), F.col("a").cast("int").alias("start"), F.col("b").cast("int").alias("stop"), F.lit(None).cast("double").alias("evalue"))
+    return rows.select("id", F.lit("seg_low_complexity_regions").alias("feature"), F.expr("try_cast(a as int)").alias("start"), F.expr("try_cast(b as int)").alias("stop"), F.lit(None).cast("double").alias("evalue"))
 
 
 def biased_regions(lines: DataFrame, threshold: float) -> DataFrame:
@@ -58,7 +59,7 @@ def biased_regions(lines: DataFrame, threshold: float) -> DataFrame:
     p = F.split(F.trim("value"), "\t")
     rows = lines.withColumn("p", p).where(F.size("p") >= 8).withColumn("o", F.when(F.size("p") > 8, F.lit(1)).otherwise(F.lit(0)))
     get = lambda k: F.get("p", F.col("o") + k)
-    return rows.select(F.col("p")[0].alias("id"), F.concat_ws("_", F.lit("flps"), get(1), get(7)).alias("feature"), get(3).cast("int").alias("start"), get(4).cast("int").alias("stop"), get(6).cast("double").alias("evalue"), F.lit(float(threshold)).alias("feature_evalue"))
+    return rows.select(F.col("p")[0].alias("id"), F.concat_ws("_", F.lit("flps"), get(1), get(7)).alias("feature"), get(3).try_cast("int").alias("start"), get(4).try_cast("int").alias("stop"), get(6).try_cast("double").alias("evalue"), F.lit(float(threshold)).alias("feature_evalue"))
 
 
 _QUERY = re.compile(r"^Query:\s+(\S+)\s+\[L=(\d+)\]", re.M)

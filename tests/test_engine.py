@@ -9,7 +9,7 @@ from dataclasses import replace
 import pytest
 
 import __spark_entry__
-from quiltspan import catalogue
+from quiltspan import catalogue, catalogue_files  # noqa: F401
 from quiltspan.functions.expressions import corrected_count, exact_round, four_significant
 from quiltspan.operators import maintenance as M
 from quiltspan.operators import reports
