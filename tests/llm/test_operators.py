@@ -857,6 +857,56 @@ def test_pipeline_removes_copies_at_a_similarity_of_0_8(spark, tmp_path):
     assert near_copies.similarity(near_copies.shingles("a b c d e f"), near_copies.shingles("A b c d e f g")) == pytest.approx(2 / 3)
 
 
+def test_near_copies_in_long_lists(spark, tmp_path):
+    """Chains and clusters of many near copies, of which the lists hold more than three: components are those of all
+    pairs at the similarity."""
+    import corpus_pipeline
+
+    rng = random.Random(14)
+    words = [f"w{k}" for k in range(5000)]
+    texts = []
+    for _ in range(8):
+        t = [rng.choice(words) for _ in range(120)]
+        for _ in range(14):  # each near the one before, the ends far apart
+            t = list(t)
+            t[rng.randrange(120)] = rng.choice(words)
+            texts.append(" ".join(t))
+        base = [rng.choice(words) for _ in range(120)]
+        for _ in range(12):
+            t = list(base)
+            for _ in range(rng.choice([1, 2, 3])):
+                t[rng.randrange(120)] = rng.choice(words)
+            texts.append(" ".join(t))
+    plain = lambda t: {tuple(t[k : k + 5]) for k in range(len(t) - 4)}
+    sets = [plain(t.split()) for t in texts]
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = components(len(texts), links)
+    got = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs(spark, texts), str(tmp_path)).collect()}
+    assert got == set(want)
+
+
+def test_pipeline_stages_on_empty_tables_and_long_texts(spark, tmp_path):
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    long = "a word or two, and more of them. " * 30_000
+    d = spark.createDataFrame([(1, long, "en", "s", len(long)), (2, "x" * 1_000_000, "en", None, 1), (3, None, None, "s", None), (4, "", "en", "s", 0)], DOCS)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, d.where("false"), str(tmp_path)).count() == 0, name
+        out = stage(spark, d, str(tmp_path))
+        assert out.count() >= 2, name
+        if name != "packing":
+            assert {r["doc_id"] for r in out.collect()} <= {1, 2, 3, 4} and out.columns == d.columns
+
+
+def test_long_texts_of_measures_and_fingerprints():
+    text = "one two three four five six\n" * 100_000
+    n, *_ , repeated = quality.measure(text)[:5]
+    assert n == repeated == 600_000
+    assert simhash.fingerprint(text) == simhash.fingerprint(text[: len(text) // 2]) and simhash.fingerprint("x" * 5_000_000) != 0
+
+
 def test_pipeline_keeps_one_row_of_a_group_whatever_its_id(spark, tmp_path):
     import corpus_pipeline
 
