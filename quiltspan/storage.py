@@ -50,3 +50,9 @@ def rename_files(spark: SparkSession, path: str, ending: str, name: Callable[[in
     files = sorted((f.getPath() for f in fs.listStatus(there) if f.getPath().getName().endswith(ending)), key=lambda p: p.getName())
     for k, file in enumerate(files):
         fs.rename(file, there.suffix(f"/{name(k, len(files))}"))
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove the tables that this application has written to the shared folder, once its results are elsewhere."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)

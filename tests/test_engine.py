@@ -509,6 +509,16 @@ def test_entry_without_the_training_data_subpackage():
     assert set(catalogue.ORACLES) <= set(catalogue.QUERIES)
 
 
+def test_storage_is_cleared(spark):
+    from quiltspan import storage
+
+    kept = storage.cut(spark.range(5), "x")
+    folder = f"{storage.shared_dir(spark).removeprefix('file://')}/{spark.sparkContext.applicationId}"
+    assert kept.count() == 5 and os.listdir(folder)
+    storage.clear(spark)
+    assert not os.path.exists(folder) and storage.cut(spark.range(3), "x").count() == 3
+
+
 # annotation documents
 
 
