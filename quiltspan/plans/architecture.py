@@ -56,17 +56,23 @@ def feature_counts(instances: DataFrame) -> DataFrame:
 
 
 def proteins(universe: DataFrame, instances: DataFrame, options: ScoringOptions) -> DataFrame:
-    """One row per protein: ``lin`` (linearized instances by rank), ``normal`` (the others by i), ``whole`` (all
-    instances before the cuts, for comparing annotations).
+    """One row per protein: ``lin`` (linearized instances by rank), ``normal`` (the others by i), ``mark`` (128 bits of
+    all instances before the cuts, by which annotations are compared).
 
     A protein's instances are few; that a protein is one row makes every later step local to it.
     """
-    arch = architecture(instances, options)
+    kept = passes("evalue", options.instance_evalue)
+    if "feature_evalue" in instances.columns:
+        kept = kept & passes("feature_evalue", options.feature_evalue)
+    rows = instances if options.linearize else no_linearization(instances)
+    rows = rows.withColumns({"_kept": kept, "position": rounded(position(), options)})
     fields = F.struct("i", "feature", "clan", "linearized", "position", "start", "stop")
-    lin = F.array_sort(F.collect_list(F.when(F.col("linearized"), F.struct(F.col("stop").alias("by"), "i", fields.alias("e")))))
-    normal = F.array_sort(F.collect_list(F.when(~F.col("linearized"), F.struct("i", fields.alias("e")))))
-    grouped = arch.groupBy("protein_id").agg(F.transform(lin, lambda x: x["e"]).alias("lin"), F.transform(normal, lambda x: x["e"]).alias("normal"))
-    whole = instances.groupBy("protein_id").agg(F.array_sort(F.collect_list(F.struct("tool", "feature", "start", "stop", "evalue"))).alias("whole"))
+    lin = F.array_sort(F.collect_list(F.when(F.col("_kept") & F.col("linearized"), F.struct(F.col("stop").alias("by"), "i", fields.alias("e")))))
+    normal = F.array_sort(F.collect_list(F.when(F.col("_kept") & ~F.col("linearized"), F.struct("i", fields.alias("e")))))
+    whole = F.array_sort(F.collect_list(F.struct("tool", "feature", "start", "stop", "evalue")))
+    grouped = rows.groupBy("protein_id").agg(F.transform(lin, lambda x: x["e"]).alias("lin"), F.transform(normal, lambda x: x["e"]).alias("normal"), whole.alias("whole"))
     empty = F.array().cast(grouped.schema["lin"].dataType)
-    out = universe.join(whole, "protein_id", "left").join(grouped, "protein_id", "left")
-    return out.select("protein_id", F.coalesce("lin", empty).alias("lin"), F.coalesce("normal", empty).alias("normal"), F.coalesce("whole", F.array().cast(whole.schema["whole"].dataType)).alias("whole"))
+    none = F.array().cast(grouped.schema["whole"].dataType)
+    out = universe.join(grouped, "protein_id", "left").withColumn("whole", F.coalesce("whole", none))
+    mark = F.array(F.xxhash64("whole"), F.xxhash64(F.lit(1), "whole"))
+    return out.select("protein_id", F.coalesce("lin", empty).alias("lin"), F.coalesce("normal", empty).alias("normal"), mark.alias("mark"))

@@ -138,7 +138,7 @@ def with_paths(proteins: DataFrame) -> DataFrame:
 
 def routed(proteins: DataFrame, options: ScoringOptions, seed: bool) -> DataFrame:
     """``greedy``: too many features or paths to enumerate. A seed is routed from the limit on, a query beyond it."""
-    n = F.size("lin")
+    n = F.col("n_lin") if "n_lin" in proteins.columns else F.size("lin")
     many = n >= options.max_features if seed else n > options.max_features
     return proteins.withColumn("greedy", many | (F.col("n_paths") > options.max_paths))
 

@@ -17,29 +17,36 @@ TIES = 10
 
 def prepare(proteins: DataFrame, options: ScoringOptions) -> DataFrame:
     """Predecessors and path counts of every protein, written once for all its pairs and both directions."""
-    return cut(with_path_counts(with_predecessors(proteins, options)), "proteins")
+    return cut(with_path_counts(with_predecessors(proteins, options)).withColumn("n_lin", F.size("lin")), "proteins")
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once however often ``body`` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def _by_feature(elements: Column) -> Column:
-    """map feature -> instances, in the order given."""
+    """map feature -> instances, in the order given. ``elements`` is evaluated for each feature: bind it."""
     return F.map_from_entries(F.transform(F.array_distinct(F.transform(elements, lambda e: e["feature"])), lambda f: F.struct(f, F.filter(elements, lambda e: e["feature"] == f))))
 
 
 def _clans(elements: Column) -> Column:
-    named = F.filter(elements, lambda e: e["clan"].isNotNull())
-    return F.map_from_entries(F.transform(F.array_distinct(F.transform(named, lambda e: e["clan"])), lambda c: F.struct(c, F.size(F.filter(named, lambda e: e["clan"] == c)))))
+    def of(named: Column) -> Column:
+        return F.map_from_entries(F.transform(F.array_distinct(F.transform(named, lambda e: e["clan"])), lambda c: F.struct(c, F.size(F.filter(named, lambda e: e["clan"] == c)))))
+
+    return _let(F.filter(elements, lambda e: e["clan"].isNotNull()), of)
 
 
-def with_views(proteins: DataFrame) -> DataFrame:
-    """``views``: for each path, in order, what scoring needs: path, feats (feature -> instances), clans (clan -> n).
-    ``whole_view``: the same of all instances together."""
-    lin, normal = F.col("lin"), F.col("normal")
+def views(lin: Column, normal: Column, paths: Column) -> Column:
+    """For each path, in order, what scoring needs: path, feats (feature -> instances), clans (clan -> n)."""
 
-    def view(path: Column, some: Column) -> Column:
-        return F.struct(path.alias("path"), _by_feature(F.concat(some, normal)).alias("feats"), _clans(some).alias("clans"))
+    def view(path: Column) -> Column:
+        def of(some: Column) -> Column:
+            return _let(F.concat(some, normal), lambda both: F.struct(path.alias("path"), _by_feature(both).alias("feats"), _clans(some).alias("clans")))
 
-    out = proteins.withColumn("views", F.transform("paths", lambda p: view(p, F.transform(p, lambda k: F.element_at(lin, k + 1)))))
-    return out.withColumn("whole_view", view(F.transform(lin, lambda x, k: k), lin)).select("protein_id", "views", "whole_view", "whole", F.size("lin").alias("n_lin"))
+        return _let(F.transform(path, lambda k: F.element_at(lin, k + 1)), of)
+
+    return F.transform(paths, view)
 
 
 def _sum(values: Column) -> Column:
@@ -50,11 +57,6 @@ def _weight(weights: Column | None, default: float):
     return lambda f: F.lit(default) if weights is None else F.coalesce(weights[f], F.lit(default))
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of ``value``, which is evaluated once however often ``body`` names it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _pair_score(s: Column, q: Column, weights: Column | None, options: ScoringOptions, distance: bool) -> Column:
     """struct(final, ms, ps, cs, ls) of one seed view against one query view."""
     d = options.digits
@@ -151,22 +153,21 @@ def score_pairs(pairs: DataFrame, seeds: DataFrame, queries: DataFrame, options:
     """Score ``pairs`` (seed, query) of prepared proteins.
 
     Returns seed, query, final, ms, ps, cs, ls, seed_path, query_path, mode. Paths are enumerated once per protein and
-    not per pair; a pair then meets its two proteins in equi-joins, and its paths within its own row, without another
-    shuffle. In this order: a query without linearized instances is compared along the seed's last path alone; equal
-    annotations are compared whole; proteins with too many features or paths take the greedy route; the others are
-    compared along all pairs of paths. Pairs beyond ``paths_limit`` come out with null scores.
+    not per pair; a pair then meets its two proteins in equi-joins, by which their instances travel once and paths as
+    ranks, and its paths meet within its own row, without another shuffle. In this order: a query without linearized
+    instances is compared along the seed's last path alone; equal annotations are compared whole; proteins with too
+    many features or paths take the greedy route; the others are compared along all pairs of paths. Pairs beyond
+    ``paths_limit`` come out with null scores.
 
     ``weights``: (protein_id, feature, weight) of the seeds, or for the distance variant (feature, weight) for all.
     """
-    sides = []
-    for side, name in ((seeds, "seed"), (queries, "query")):
-        needed = side.join(pairs.select(F.col(name).alias("protein_id")).distinct(), "protein_id", "left_semi")
-        over = F.col("n_paths") > options.paths_limit if options.paths_limit > 1 else F.lit(False)
-        sides.append(routed(needed, options, name == "seed").withColumn("over", over))
-    plain = [with_views(with_paths(x.where("not greedy and not over"))) for x in sides]
-    s = plain[0].select(F.col("protein_id").alias("seed"), F.col("views").alias("s_views"), F.col("whole_view").alias("s_all"), F.col("whole").alias("s_whole"))
-    q = plain[1].select(F.col("protein_id").alias("query"), F.col("views").alias("q_views"), F.col("whole_view").alias("q_all"), F.col("whole").alias("q_whole"), F.col("n_lin").alias("q_lin"))
-    rows = pairs.select("seed", "query").join(s, "seed").join(q, "query")
+    over = F.col("n_paths") > options.paths_limit if options.paths_limit > 1 else F.lit(False)
+    marked = [routed(side, options, name == "seed").withColumn("over", over) for side, name in ((seeds, "seed"), (queries, "query"))]
+    sides = [m.join(pairs.select(F.col(name).alias("protein_id")).distinct(), "protein_id", "left_semi") for m, name in zip(marked, ("seed", "query"), strict=True)]
+    rows = pairs.select("seed", "query")
+    for side, name in zip(sides, ("seed", "query"), strict=True):
+        plain = with_paths(side.where("not greedy and not over"))
+        rows = rows.join(plain.select(F.col("protein_id").alias(name), *[F.col(c).alias(f"{name[0]}_{c}") for c in ("lin", "normal", "paths", "mark")]), name)
     weight_map = None
     if weights is not None and distance:
         # one map for all seeds: as many entries as the weight file has
@@ -175,26 +176,31 @@ def score_pairs(pairs: DataFrame, seeds: DataFrame, queries: DataFrame, options:
     elif weights is not None:
         rows = rows.join(weights.groupBy(F.col("protein_id").alias("seed")).agg(F.map_from_entries(F.collect_list(F.struct("feature", "weight"))).alias("w_map")), "seed", "left")
         weight_map = F.coalesce("w_map", F.create_map().cast("map<string,double>"))
-    same = (F.col("q_lin") > 0) & (F.col("s_whole") == F.col("q_whole"))
-    s_views = F.when(F.col("q_lin") == 0, F.slice("s_views", -1, 1)).when(same, F.array("s_all")).otherwise(F.col("s_views"))
-    q_views = F.when(same, F.array("q_all")).otherwise(F.col("q_views"))
-    rows = rows.select("seed", "query", s_views.alias("s_views"), q_views.alias("q_views"), *(["w_map"] if weights is not None else []))
-    best = rows.select("seed", "query", _best_of(F.col("s_views"), F.col("q_views"), weight_map, options, distance).alias("b"))
+    bare = F.size("q_lin") == 0
+    same = ~bare & (F.col("s_mark") == F.col("q_mark"))
+    every = {k: F.array(F.transform(f"{k}_lin", lambda x, n: n)) for k in "sq"}
+    s_paths = F.when(bare, F.slice("s_paths", -1, 1)).when(same, every["s"]).otherwise(F.col("s_paths"))
+    q_paths = F.when(same, every["q"]).otherwise(F.col("q_paths"))
+    best = _let(
+        views(F.col("s_lin"), F.col("s_normal"), s_paths),
+        lambda s: _let(views(F.col("q_lin"), F.col("q_normal"), q_paths), lambda q: _best_of(s, q, weight_map, options, distance)),
+    )
+    best = rows.select("seed", "query", best.alias("b"))
     cols = ["final", "ms", "ps", "cs", "ls", "seed_path", "query_path"]
     out = best.select("seed", "query", *[f"b.{c}" for c in cols], F.lit("exhaustive/exhaustive").alias("mode"))
 
-    # one row tells whether any protein needs another route; most inputs have none, and their plan ends here
-    marks = sides[0].select("greedy", "over").union(sides[1].select("greedy", "over")).agg(F.max("greedy").alias("greedy"), F.max("over").alias("over")).first()
+    # one row tells whether any prepared protein takes another route; most inputs have none, and their plan ends here
+    marks = marked[0].select("greedy", "over").union(marked[1].select("greedy", "over")).agg(F.max("greedy").alias("greedy"), F.max("over").alias("over")).first()
     if not (marks["greedy"] or marks["over"]):
         return out
     flags = [x.select(F.col("protein_id").alias(n), F.col("greedy").alias(f"{n}_greedy"), F.col("over").alias(f"{n}_over")) for x, n in zip(sides, ("seed", "query"), strict=True)]
-    marked = pairs.select("seed", "query").join(flags[0], "seed").join(flags[1], "query")
+    flagged = pairs.select("seed", "query").join(flags[0], "seed").join(flags[1], "query")
     if marks["greedy"]:
-        hard = marked.where("(seed_greedy or query_greedy) and not (seed_over or query_over)")
+        hard = flagged.where("(seed_greedy or query_greedy) and not (seed_over or query_over)")
         out = out.union(greedy.score(hard, sides[0], sides[1], options, weights, distance).select("seed", "query", *cols, "mode"))
     if marks["over"]:
         none = [F.lit(None).cast(t) for t in ["double"] * 5 + ["array<int>"] * 2 + ["string"]]
-        out = out.union(marked.where("seed_over or query_over").select("seed", "query", *none))
+        out = out.union(flagged.where("seed_over or query_over").select("seed", "query", *none))
     return out
 
 
