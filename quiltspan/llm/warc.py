@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
+from ..storage import rename_files
 from .common import cut, new_path, table, text_batches
 
 #: What the version lines that are read begin with; they end in one of VERSIONS.
@@ -72,7 +73,8 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, per_file: int =
         # the writer puts the byte 0 after each row: the members' last one, which is left out
         out = text_batches(out).select(_member(F.concat("value", F.lit(END)).cast("binary")).cast("string").alias("value"))
     out.write.option("lineSep", "\x00" if compression == "gzip" else END).option("maxRecordsPerFile", per_file).text(path)
-    _rename(pages.sparkSession, path, ".txt", ".warc.gz" if compression == "gzip" else ".warc")
+    ending = "warc.gz" if compression == "gzip" else "warc"
+    rename_files(pages.sparkSession, path, ".txt", lambda k, n: f"part-{k:05d}.{ending}")
 
 
 @F.arrow_udf(BinaryType())
@@ -86,16 +88,6 @@ def _member(records: pa.Array) -> pa.Array:
     return pa.array(out, pa.binary())
 
 
-def _rename(spark: SparkSession, path: str, old: str, new: str) -> None:
-    """Give the files of a finished write another ending, by which readers know what they hold."""
-    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for file in fs.listStatus(there):
-        name = file.getPath().getName()
-        if name.endswith(old):
-            fs.rename(file.getPath(), there.suffix(f"/{name.removesuffix(old)}{new}"))
-
-
 def base32_sha1(payload: Column) -> Column:
     """The bare upper-case base32 SHA-1 of a text's bytes: 20 bits at a time, from base 16 to base 32."""
     digest = F.sha1(payload)
