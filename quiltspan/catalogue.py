@@ -541,10 +541,8 @@ LEFT JOIN share ON share.seed = s.seed AND share.query = s.query AND share.featu
 
 def _domains(spark, d, options, weight=None, distance=False):
     p, rows = _prepared(spark, d, options), S.instances(spark, d)
-    scores = cut(_score(spark, d, options, weight, distance, prepared=p).select("seed", "query", "seed_path", "query_path"), "scores")
-    members = cut(reports.path_members(scores, p), "members")
-    w = reports.distance_path_weights(members, rows, weight, options.distance_default) if distance else reports.path_weights(members, rows, None)
-    out = reports.domain_report(scores, rows, members, w, S.accessions(spark), S.profile_lengths(spark))
+    scores = _score(spark, d, options, weight, distance, prepared=p)
+    out = reports.domain_report(scores, (p, rows), (p, rows), S.accessions(spark), S.profile_lengths(spark), weight, distance, options.distance_default)
     return out.select("pair_id", "ortholog", "seq_length", "feature", "start", "stop", "weight", "path", "interpro", "evalue", "phmm_length")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -62,3 +64,8 @@ def passes(evalue: str, limit: float) -> Column:
 
 def unversioned(accession: Column) -> Column:
     return F.coalesce(F.substring_index(accession, ".", 1), F.lit("NA"))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once however often ``body`` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.expressions import four_significant, unversioned
+from ..functions.expressions import four_significant, let, unversioned
 
 DOMAIN_COLUMNS = ["pair_id", "ortholog", "seq_length", "feature", "start", "stop", "weight", "path", "interpro", "evalue", "bit_score", "hmm_from", "hmm_to", "phmm_length"]
 
@@ -20,67 +20,87 @@ def _details(instances: DataFrame, accessions: DataFrame, phmm: DataFrame) -> Da
     return rows.withColumn("interpro", unversioned(F.col("interpro")))
 
 
-def domain_report(scores: DataFrame, instances: DataFrame, in_paths: DataFrame, seed_weights: DataFrame, accessions: DataFrame, phmm: DataFrame, reverse: bool = False, query_instances: DataFrame | None = None) -> DataFrame:
-    """A row per instance of each pair's seed, and of its query where that is another protein.
+def _carried(proteins: DataFrame, instances: DataFrame, accessions: DataFrame, phmm: DataFrame, name: str) -> DataFrame:
+    """A row per protein, under the id ``name``: ``all`` (its instances as the report shows them), lin and normal."""
+    fields = ["i", F.col("length").alias("seq_length"), *[c for c in DOMAIN_COLUMNS[3:] if c not in ("weight", "path")]]
+    rows = _details(instances, accessions, phmm).groupBy("protein_id").agg(F.collect_list(F.struct(*fields)).alias("all"))
+    both = proteins.select("protein_id", "lin", "normal").join(rows, "protein_id")
+    return both.select(F.col("protein_id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("all", "lin", "normal")])
 
-    ``in_paths``: (seed, query, side, i) of the instances on the best paths. ``seed_weights``: (seed, query, feature,
-    weight) of the features on the seed's path. An instance of another feature has no weight. ``reverse`` swaps the
-    pair's label. ``query_instances``: the queries' annotation, where it is not the seeds' one.
-    """
-    label = F.concat_ws("#", "query", "seed") if reverse else F.concat_ws("#", "seed", "query")
-    pairs = {"seed": scores.select("seed", "query", F.lit("seed").alias("side"), F.col("seed").alias("protein_id"))}
-    pairs["query"] = scores.where("seed <> query").select("seed", "query", F.lit("query").alias("side"), F.col("query").alias("protein_id"))
-    if query_instances is None:
-        rows = pairs["seed"].union(pairs["query"]).join(_details(instances, accessions, phmm), "protein_id")
-    else:
-        both = (pairs[k].join(_details(x, accessions, phmm), "protein_id") for k, x in (("seed", instances), ("query", query_instances)))
-        rows = next(both)
-        for other in both:
-            rows = rows.unionByName(other, allowMissingColumns=True)
-    rows = rows.join(in_paths.withColumn("path", F.lit("Y")), ["seed", "query", "side", "i"], "left").join(seed_weights, ["seed", "query", "feature"], "left")
-    rows = rows.withColumns({"pair_id": label, "path": F.coalesce("path", F.lit("N"))})
-    return rows.select("pair_id", F.col("protein_id").alias("ortholog"), F.col("length").alias("seq_length"), *DOMAIN_COLUMNS[3:])
-
-
-def path_members(scores: DataFrame, proteins: DataFrame, query_proteins: DataFrame | None = None) -> DataFrame:
-    """(seed, query, side, i) of the instances on the best paths, those of tools without linearization included."""
-    out = None
-    for side, own in (("seed", proteins), ("query", proteins if query_proteins is None else query_proteins)):
-        p = own.select(F.col("protein_id").alias(side), "lin", "normal")
-        on = F.concat(F.transform(F.coalesce(f"{side}_path", F.array().cast("array<int>")), lambda k: F.element_at("lin", k + 1)["i"]), F.transform("normal", lambda e: e["i"]))
-        one = scores.join(p, side).select("seed", "query", F.lit(side).alias("side"), F.explode(on).alias("i"))
-        out = one if out is None else out.union(one)
-    return out
-
-
-def path_weights(members: DataFrame, instances: DataFrame, weights: DataFrame | None, digits: int | None = 4) -> DataFrame:
-    """(seed, query, feature, weight) of the features on the seed's path: scaled to sum to 1, or uniform."""
-    feats = _path_features(members, instances)
-    if weights is None:
-        feats = feats.withColumn("w", F.lit(1.0))
-    else:
-        feats = feats.join(weights.select(F.col("protein_id").alias("seed"), "feature", F.col("weight").alias("w")), ["seed", "feature"], "left")
-    return _scaled(feats, F.lit(1.0) / F.col("total"), digits)
+
+def _on_path(side: str) -> Column:
+    """The instances on the best path, those of tools without linearization included."""
+    path = F.coalesce(f"{side}_path", F.array().cast("array<int>"))
+    return F.concat(F.transform(path, lambda k: F.element_at(f"{side}_lin", k + 1)), F.col(f"{side}_normal"))
 
 
-def distance_path_weights(members: DataFrame, instances: DataFrame, weights: DataFrame | None, default: float = 0.5, digits: int | None = 4) -> DataFrame:
-    """As ``path_weights`` for the distance variant: the weight file's (feature, weight) or its default, scaled to sum
-    to 1 where they sum to more."""
-    feats = _path_features(members, instances)
-    named = feats.withColumn("weight", F.lit(None).cast("double")) if weights is None else feats.join(weights.select("feature", "weight"), "feature", "left")
-    feats = named.select("seed", "query", "feature", F.coalesce("weight", F.lit(float(default))).alias("w"))
-    return _scaled(feats, F.when(F.col("total") > 1, F.lit(1.0) / F.col("total")).otherwise(F.lit(1.0)), digits)
+def path_weights(features: Column, w_map: Column | None, distance: bool = False, default: float = 0.5, digits: int | None = 4) -> Column:
+    """map feature -> weight of the features on a seed's path: those of ``w_map`` scaled to sum to 1, or uniform; for the
+    distance variant those of ``w_map`` or ``default``, scaled to sum to 1 where they sum to more."""
 
+    def of(weights: Column) -> Column:
+        total = F.aggregate(weights, F.lit(0.0), lambda a, w: a + F.coalesce(w, F.lit(0.0)))
 
-def _path_features(members: DataFrame, instances: DataFrame) -> DataFrame:
-    own = instances.select(F.col("protein_id").alias("seed"), "i", "feature")
-    return members.where("side = 'seed'").join(own, ["seed", "i"]).select("seed", "query", "feature").distinct()
+        def scaled(t: Column) -> Column:
+            scale = F.lit(1.0) / t
+            scale = F.when(t > 1, scale).otherwise(F.lit(1.0)) if distance else scale
+            share = lambda w: w * scale if digits is None else F.round(w * scale, digits)
+            return F.map_from_arrays(features, F.transform(weights, share))
 
+        return let(total, scaled)
 
-def _scaled(feats: DataFrame, scale: Column, digits: int | None) -> DataFrame:
-    total = feats.groupBy("seed", "query").agg(F.sum("w").alias("total"))
-    share = F.col("w") * scale
-    return feats.join(total, ["seed", "query"]).select("seed", "query", "feature", (F.round(share, digits) if digits is not None else share).alias("weight"))
+    if w_map is None:
+        raw = F.transform(features, lambda f: F.lit(default if distance else 1.0))
+    elif distance:
+        raw = F.transform(features, lambda f: F.coalesce(w_map[f], F.lit(float(default))))
+    else:
+        raw = F.transform(features, lambda f: w_map[f])
+    return let(raw, of)
+
+
+def domain_report(
+    scores: DataFrame,
+    seeds: tuple[DataFrame, DataFrame],
+    queries: tuple[DataFrame, DataFrame],
+    accessions: DataFrame,
+    phmm: DataFrame,
+    weights: DataFrame | None = None,
+    distance: bool = False,
+    default: float = 0.5,
+    reverse: bool = False,
+) -> DataFrame:
+    """A row per instance of each pair's seed, and of its query where that is another protein.
+
+    ``scores``: seed, query, seed_path, query_path. ``seeds`` and ``queries``: (proteins with lin and normal, instances)
+    of each side. A pair meets its two proteins in two equi-joins, with the weights of the features on the seed's path
+    made on the way, and its own row then gives all of its report. ``weights``: (protein_id, feature, weight) of the
+    seeds, for the distance variant (feature, weight) for all. An instance of a feature that is not on the seed's path
+    has no weight. ``reverse`` swaps the pair's label.
+    """
+    label = F.concat_ws("#", "query", "seed") if reverse else F.concat_ws("#", "seed", "query")
+    rows = scores.select("seed", "query", "seed_path", "query_path").join(_carried(*seeds, accessions, phmm, "seed"), "seed", "left")
+    w_map = None
+    if weights is not None and distance:
+        # one map for all seeds: as many entries as the weight file has
+        rows = rows.crossJoin(F.broadcast(weights.agg(F.map_from_entries(F.collect_list(F.struct("feature", "weight"))).alias("w_map"))))
+        w_map = F.col("w_map")
+    elif weights is not None:
+        rows = rows.join(weights.groupBy(F.col("protein_id").alias("seed")).agg(F.map_from_entries(F.collect_list(F.struct("feature", "weight"))).alias("w_map")), "seed", "left")
+        w_map = F.coalesce("w_map", F.create_map().cast("map<string,double>"))
+    on = F.coalesce(_on_path("seed"), F.array().cast(rows.schema["seed_normal"].dataType))
+    share = let(F.array_distinct(F.transform(on, lambda e: e["feature"])), lambda f: path_weights(f, w_map, distance, default))
+    rows = rows.select("seed", "query", "query_path", "seed_all", F.transform(on, lambda e: e["i"]).alias("seed_on"), share.alias("share"))
+    rows = rows.join(_carried(*queries, accessions, phmm, "query"), "query", "left")
+
+    def side(name: str, on: Column) -> Column:
+        every = F.coalesce(f"{name}_all", F.array().cast(rows.schema["seed_all"].dataType))
+        return let(on, lambda ids: F.transform(every, lambda x: F.struct(F.col(name).alias("ortholog"), x.alias("x"), F.when(F.array_contains(ids, x["i"]), "Y").otherwise("N").alias("path"))))
+
+    own = side("seed", F.col("seed_on"))
+    other = F.when(F.col("seed") != F.col("query"), side("query", F.transform(_on_path("query"), lambda e: e["i"])))
+    both = F.concat(own, F.coalesce(other, F.filter(own, lambda x: F.lit(False))))
+    out = rows.select(label.alias("pair_id"), "share", F.explode(both).alias("r")).select("pair_id", "r.ortholog", "r.path", "r.x.*", "share")
+    return out.withColumn("weight", F.col("share")[F.col("feature")]).select(*DOMAIN_COLUMNS)
 
 
 def unscored_domains(instances: DataFrame, ids: DataFrame, accessions: DataFrame, phmm: DataFrame, group: str) -> DataFrame:

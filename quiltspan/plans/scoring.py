@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import tool_of
+from ..functions.expressions import let, tool_of
 from ..options import ScoringOptions
 from ..storage import cut
 from . import greedy
@@ -20,11 +20,6 @@ def prepare(proteins: DataFrame, options: ScoringOptions) -> DataFrame:
     return cut(with_path_counts(with_predecessors(proteins, options)).withColumn("n_lin", F.size("lin")), "proteins")
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of ``value``, which is evaluated once however often ``body`` names it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _by_feature(elements: Column) -> Column:
     """map feature -> instances, in the order given. ``elements`` is evaluated for each feature: bind it."""
     return F.map_from_entries(F.transform(F.array_distinct(F.transform(elements, lambda e: e["feature"])), lambda f: F.struct(f, F.filter(elements, lambda e: e["feature"] == f))))
@@ -34,7 +29,7 @@ def _clans(elements: Column) -> Column:
     def of(named: Column) -> Column:
         return F.map_from_entries(F.transform(F.array_distinct(F.transform(named, lambda e: e["clan"])), lambda c: F.struct(c, F.size(F.filter(named, lambda e: e["clan"] == c)))))
 
-    return _let(F.filter(elements, lambda e: e["clan"].isNotNull()), of)
+    return let(F.filter(elements, lambda e: e["clan"].isNotNull()), of)
 
 
 def views(lin: Column, normal: Column, paths: Column) -> Column:
@@ -42,9 +37,9 @@ def views(lin: Column, normal: Column, paths: Column) -> Column:
 
     def view(path: Column) -> Column:
         def of(some: Column) -> Column:
-            return _let(F.concat(some, normal), lambda both: F.struct(path.alias("path"), _by_feature(both).alias("feats"), _clans(some).alias("clans")))
+            return let(F.concat(some, normal), lambda both: F.struct(path.alias("path"), _by_feature(both).alias("feats"), _clans(some).alias("clans")))
 
-        return _let(F.transform(path, lambda k: F.element_at(lin, k + 1)), of)
+        return let(F.transform(path, lambda k: F.element_at(lin, k + 1)), of)
 
     return F.transform(paths, view)
 
@@ -69,15 +64,15 @@ def _pair_score(s: Column, q: Column, weights: Column | None, options: ScoringOp
         n = e["stop"] - e["start"] + 1
         every = F.transform(theirs, lambda x, k: F.struct((F.lit(1.0) - F.abs(e["position"] - x["position"])).alias("match"), (-k).alias("order"), (F.least(x["stop"] - x["start"] + 1, n) / F.greatest(x["stop"] - x["start"] + 1, n)).alias("ratio")))
         none = F.struct(F.lit(0.0).alias("match"), F.lit(0).alias("order"), F.lit(0.0).alias("ratio"))
-        return _let(F.array_max(every), lambda top: F.when(top["match"] > 0, top).otherwise(none))
+        return let(F.array_max(every), lambda top: F.when(top["match"] > 0, top).otherwise(none))
 
     def part(f: Column, mine: Column, theirs: Column) -> Column:
         """(weight, share, match, ratio) of one feature; all but the weight 0 where the query has none."""
         n = F.size(mine)
-        met = _let(F.transform(mine, lambda e: nearest(e, theirs)), lambda b: F.struct(w(f).alias("w"), F.least(F.size(theirs) / n, F.lit(1.0)).alias("share"), (_sum(F.transform(b, lambda x: x["match"])) / n).alias("match"), (_sum(F.transform(b, lambda x: x["ratio"])) / n).alias("ratio")))
+        met = let(F.transform(mine, lambda e: nearest(e, theirs)), lambda b: F.struct(w(f).alias("w"), F.least(F.size(theirs) / n, F.lit(1.0)).alias("share"), (_sum(F.transform(b, lambda x: x["match"])) / n).alias("match"), (_sum(F.transform(b, lambda x: x["ratio"])) / n).alias("ratio")))
         return F.when(theirs.isNull(), F.struct(w(f).alias("w"), F.lit(0.0).alias("share"), F.lit(0.0).alias("match"), F.lit(0.0).alias("ratio"))).otherwise(met)
 
-    parts = F.transform(F.map_entries(feats), lambda e: _let(other[e["key"]], lambda theirs: part(e["key"], e["value"], theirs)))
+    parts = F.transform(F.map_entries(feats), lambda e: let(other[e["key"]], lambda theirs: part(e["key"], e["value"], theirs)))
     if options.constraints and weights is not None and not distance:
         parts = _rescaled(parts, feats, options)
 
@@ -91,7 +86,7 @@ def _pair_score(s: Column, q: Column, weights: Column | None, options: ScoringOp
             scale = (F.when(total > 1, F.lit(1.0) / total).otherwise(F.lit(1.0))) if distance else F.when(total > 0, F.lit(1.0) / total).otherwise(F.lit(0.0))
             return F.struct(*[r(of(scale, a)).alias(b) for a, b in (("share", "ms"), ("match", "ps"), ("ratio", "ls"))])
 
-        return _let(_sum(F.transform(p, lambda x: x["w"])), scaled)
+        return let(_sum(F.transform(p, lambda x: x["w"])), scaled)
 
     clans, theirs_ = s["clans"], q["clans"]
     shared = F.filter(F.map_keys(clans), lambda c: F.map_contains_key(theirs_, c))
@@ -110,7 +105,7 @@ def _pair_score(s: Column, q: Column, weights: Column | None, options: ScoringOp
         final = ms * options.weight_multiplicity + c * options.weight_clan + ps * options.weight_position
         return F.struct(final.alias("final"), ms.alias("ms"), ps.alias("ps"), c.alias("cs"), ls.alias("ls"))
 
-    return _let(_let(parts, totals), result)
+    return let(let(parts, totals), result)
 
 
 def _rescaled(parts: Column, feats: Column, options: ScoringOptions) -> Column:
@@ -127,11 +122,11 @@ def _rescaled(parts: Column, feats: Column, options: ScoringOptions) -> Column:
                 p = x["p"]
                 return F.struct((p["w"] * factor).alias("w"), p["share"].alias("share"), p["match"].alias("match"), p["ratio"].alias("ratio"))
 
-            return _let(_sum(F.transform(F.filter(all_, lambda y: y["free"] & (y["tool"] == x["tool"])), lambda y: y["p"]["w"] * y["n"])), by)
+            return let(_sum(F.transform(F.filter(all_, lambda y: y["free"] & (y["tool"] == x["tool"])), lambda y: y["p"]["w"] * y["n"])), by)
 
         return F.transform(all_, one)
 
-    return _let(rows, scaled)
+    return let(rows, scaled)
 
 
 _BEST = "struct<final:double,ms:double,ps:double,cs:double,ls:double,seed_path:array<int>,query_path:array<int>>"
@@ -142,7 +137,7 @@ def _best_of(seed_views: Column, query_views: Column, weights: Column | None, op
 
     def one(s: Column, q: Column) -> Column:
         names = ("final", "ms", "ps", "cs", "ls")
-        return _let(_pair_score(s, q, weights, options, distance), lambda x: F.struct(*[x[k].alias(k) for k in names], s["path"].alias("seed_path"), q["path"].alias("query_path")))
+        return let(_pair_score(s, q, weights, options, distance), lambda x: F.struct(*[x[k].alias(k) for k in names], s["path"].alias("seed_path"), q["path"].alias("query_path")))
 
     every = F.flatten(F.transform(query_views, lambda q: F.transform(seed_views, lambda s: one(s, q))))
     better = lambda a, b: F.when(a.isNull() | (F.round(b["final"], TIES) > F.round(a["final"], TIES)), b).otherwise(a)
@@ -181,9 +176,9 @@ def score_pairs(pairs: DataFrame, seeds: DataFrame, queries: DataFrame, options:
     every = {k: F.array(F.transform(f"{k}_lin", lambda x, n: n)) for k in "sq"}
     s_paths = F.when(bare, F.slice("s_paths", -1, 1)).when(same, every["s"]).otherwise(F.col("s_paths"))
     q_paths = F.when(same, every["q"]).otherwise(F.col("q_paths"))
-    best = _let(
+    best = let(
         views(F.col("s_lin"), F.col("s_normal"), s_paths),
-        lambda s: _let(views(F.col("q_lin"), F.col("q_normal"), q_paths), lambda q: _best_of(s, q, weight_map, options, distance)),
+        lambda s: let(views(F.col("q_lin"), F.col("q_normal"), q_paths), lambda q: _best_of(s, q, weight_map, options, distance)),
     )
     best = rows.select("seed", "query", best.alias("b"))
     cols = ["final", "ms", "ps", "cs", "ls", "seed_path", "query_path"]

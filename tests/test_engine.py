@@ -168,9 +168,10 @@ def test_distance_weight_file_default(spark):
         p = scoring.prepare(A.proteins(universe, inst, o), o)
         r = scoring.score_pairs(pairs, p, p, o, w, True)
         assert r.first()["ms"] == pytest.approx(1 - 2 * default * scale)
-        members = reports.path_members(r, p)
-        got = {x["feature"]: x["weight"] for x in reports.distance_path_weights(members, inst, w, default).collect()}
-        assert got == {"pfam_A": round(0.4 * scale, 4), "pfam_B": pytest.approx(round(default * scale, 4)), "smart_C": pytest.approx(round(default * scale, 4))}
+        none = [spark.createDataFrame([], f"feature string, {c}") for c in ("interpro string", "plen int")]
+        rows = reports.domain_report(r, (p, inst), (p, inst), *none, w, True, default).collect()
+        assert {x["feature"]: x["weight"] for x in rows if x["ortholog"] == "s"} == {"pfam_A": round(0.4 * scale, 4), "pfam_B": pytest.approx(round(default * scale, 4)), "smart_C": pytest.approx(round(default * scale, 4))}
+        assert [(x["feature"], x["weight"], x["path"]) for x in rows if x["ortholog"] == "q"] == [("pfam_A", round(0.4 * scale, 4), "Y")]
 
 
 def test_greedy_against_a_plain_walk(spark):
