@@ -5,7 +5,8 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,12 +38,28 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def cut(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: its lineage ends there, it is computed once
-    however often it is used, and lost executors lose nothing of it."""
+    however often it is used, and lost executors lose nothing of it. Its shuffle files go when it is written, if Spark
+    can do that."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with _shuffles_removed(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    if before is None:
+        yield
+        return
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def rename_files(spark: SparkSession, path: str, ending: str, name: Callable[[int, int], str]) -> None:
     """Name the files of a finished write with ``ending``: ``name(k, n)`` of the k-th of n, in order of their names."""
     there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
