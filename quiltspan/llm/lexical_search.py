@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import re
 from array import array
 from collections import Counter
 from collections.abc import Iterator
@@ -16,10 +15,9 @@ from pyspark.sql import functions as F
 
 from .common import cut, table, text_batches
 
-#: Terms are runs of ASCII letters and digits and of everything beyond ASCII; A-Z alone are lower-cased.
-TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-_TERM = re.compile(TERM)
-_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+#: Terms are runs of ASCII letters and digits and of everything beyond ASCII; A-Z alone are lower-cased. In UTF-8 the
+#: other characters are single bytes, so that they can be made blanks and A-Z small in one table.
+_TABLE = bytes(b if b >= 0x80 else ord(chr(b).lower()) if chr(b).isalnum() else 0x20 for b in range(256))
 #: A shard ends at so many postings or documents; one document may exceed the former.
 SHARD_POSTINGS, SHARD_DOCS = 1 << 20, 1 << 13
 #: Queries go to the shards in blocks of so many, or of so many terms together.
@@ -29,9 +27,14 @@ _FRONT = 128
 INDEX = "doc_ids binary, null_ids binary, terms array<string>, starts binary, impacts binary, bits array<binary>"
 
 
-def terms_of(text: str | None) -> list[str]:
-    lowered = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).decode("utf-8", "surrogatepass")
-    return _TERM.findall(lowered)
+def terms_of(text: bytes | str | None) -> list[bytes]:
+    """The terms of a text, given as UTF-8 or not, in UTF-8, whose order is that of the code points."""
+    utf8 = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text or b""
+    return utf8.translate(_TABLE).split()
+
+
+def _utf8(text: pa.StringScalar) -> bytes:
+    return text.as_buffer().to_pybytes() if text.is_valid else b""
 
 
 class WaveletTree:
@@ -121,10 +124,10 @@ class _Shard:
     def __init__(self) -> None:
         self.ids: list[int | None] = []
         self.lengths: list[int] = []
-        self.terms: dict[str, int] = {}
+        self.terms: dict[bytes, int] = {}
         self.term, self.tf, self.doc = array("i"), array("i"), array("i")
 
-    def add(self, doc_id: int | None, text: str | None) -> None:
+    def add(self, doc_id: int | None, text: bytes) -> None:
         found = terms_of(text)
         if not found:
             return
@@ -164,9 +167,14 @@ class _Shard:
 
 def corpus_size(docs: DataFrame) -> tuple[int, int]:
     """N, the documents with at least one term, and L, all their terms with repeats."""
-    n = F.regexp_count("text", F.lit(TERM))
-    row = docs.select(n.alias("n")).where("n > 0").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.col("n").cast("long")).alias("terms")).first()
-    return row["docs"], row["terms"] or 0
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [len(terms_of(_utf8(text))) for text in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (sum(x > 0 for x in n), sum(n))], names=["docs", "terms"])
+
+    row = text_batches(docs.select("text")).mapInArrow(count, "docs long, terms long").agg(F.sum("docs").alias("docs"), F.sum("terms").alias("terms")).first()
+    return row["docs"] or 0, row["terms"] or 0
 
 
 def build_index(docs: DataFrame, n_docs: int, n_terms: int) -> DataFrame:
@@ -177,7 +185,7 @@ def build_index(docs: DataFrame, n_docs: int, n_terms: int) -> DataFrame:
         shard = _Shard()
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                shard.add(doc_id, text.as_py())
+                shard.add(doc_id, _utf8(text))
                 if shard.full():
                     yield shard.row(n_docs, n_terms)
                     shard = _Shard()
@@ -227,7 +235,7 @@ def search(index: DataFrame, queries: list[tuple[int, Counter]], n_docs: int, k:
     return text_batches(index, 1).mapInArrow(run, "item_id long, doc_id long, score long")
 
 
-def _places(terms: pa.Array, wanted: list[str]) -> np.ndarray:
+def _places(terms: pa.Array, wanted: list[bytes]) -> np.ndarray:
     """The place of each wanted term among the sorted ``terms``, or -1."""
     return pc.fill_null(pc.index_in(pa.array(wanted, pa.string()), value_set=terms.cast(pa.string())), -1).to_numpy(zero_copy_only=False).astype(np.int64)
 
