@@ -489,6 +489,11 @@ def greedy_score(spark, d):
     return _score(spark, d, replace(OPTIONS, max_features=5, max_paths=6)).where("mode <> 'exhaustive/exhaustive'").select("seed", "query", *_OUT, "mode")
 
 
+@query("greedy_distance")
+def greedy_distance(spark, d):
+    return _score(spark, d, replace(OPTIONS, max_features=5, max_paths=6), _distance_weights(spark), True).where("mode <> 'exhaustive/exhaustive'").select("seed", "query", *_OUT, "mode")
+
+
 _LEGACY = f"""WITH {LIN}{PAIRS}, s AS (SELECT seed, query, q.feature, q.rank, q.position AS qp, a.position AS sp FROM pairs JOIN lin q ON q.protein_id = query LEFT JOIN arch a ON a.protein_id = seed AND a.feature = q.feature),
 n AS (SELECT seed, query, feature, rank, count(sp) AS n_s, coalesce(max(1 - abs(qp - sp)), 0.0) AS match FROM s GROUP BY ALL),
 f AS (SELECT seed, query, feature, least(max(n_s) / count(*), 1.0) AS share, avg(match) AS p FROM n GROUP BY ALL),

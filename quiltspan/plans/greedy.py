@@ -1,7 +1,9 @@
 """The greedy route for proteins with too many features or paths.
 
 A sequential arg-max along the graph cannot be a relational plan; it runs per pair on Arrow batches. The pair's two
-proteins come to it through equi-joins, so that Spark deals out the work.
+proteins come to it through equi-joins, so that Spark deals out the work. The seed's path goes by the final score
+against a query path. The query's path goes by a score against the whole seed: in the similarity variant by that of
+the path with uniform weights, in the distance variant by the distance score with the weight file's.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..options import ScoringOptions
+from .path_scorer import QueryPath, QueryPathByDistance, SeedPath, by_feature, clan_tally, tool_prefix
 
 _OUT = "final double, ms double, ps double, cs double, ls double, seed_path array<int>, query_path array<int>, mode string"
 
@@ -26,26 +29,6 @@ def successors(before: list[list[int]]) -> dict[int, list[int]]:
     return after
 
 
-def _tool(feature: str) -> str:
-    prefix = feature.split("_", 1)[0]
-    return "coils2" if prefix == "coils" else prefix
-
-
-def _group(elements: list[dict]) -> dict[str, list[dict]]:
-    out: dict[str, list[dict]] = {}
-    for e in elements:
-        out.setdefault(e["feature"], []).append(e)
-    return out
-
-
-def _tally(elements: list[dict]) -> dict[str, int]:
-    out: dict[str, int] = {}
-    for e in elements:
-        if e["clan"] is not None:
-            out[e["clan"]] = out.get(e["clan"], 0) + 1
-    return out
-
-
 def _nearest(e: dict, others: list[dict]) -> tuple[float, float]:
     n, best, ratio = e["stop"] - e["start"] + 1, 0.0, 0.0
     for o in others:
@@ -58,11 +41,11 @@ def _nearest(e: dict, others: list[dict]) -> tuple[float, float]:
 
 def score_elements(seed_lin: list, seed_normal: list, query_lin: list, query_normal: list, weights: dict | None, o: ScoringOptions, distance: bool) -> tuple:
     """(final, ms, ps, cs, ls) of two chosen sets of instances, as the column expressions give it."""
-    s, q = _group(seed_lin + seed_normal), _group(query_lin + query_normal)
+    s, q = by_feature(seed_lin + seed_normal), by_feature(query_lin + query_normal)
     w = {f: 1.0 if weights is None and not distance else (weights or {}).get(f, o.distance_default if distance else 1.0) for f in s}
     if o.constraints and weights is not None and not distance:
         for tool, limit in o.constraints.items():
-            own = [f for f, es in s.items() if es[0]["linearized"] and f not in o.constraints and _tool(f) == tool]
+            own = [f for f, es in s.items() if es[0]["linearized"] and f not in o.constraints and tool_prefix(f) == tool]
             short = sum(w[f] * len(s[f]) for f in own)
             if 0 < short < limit:
                 w |= {f: w[f] * limit / short for f in own}
@@ -80,7 +63,7 @@ def score_elements(seed_lin: list, seed_normal: list, query_lin: list, query_nor
         ms, ps, ls = ms + part[0] * w[f] * scale, ps + part[1] * w[f] * scale, ls + part[2] * w[f] * scale
     if distance:
         ms, ps, ls = 1.0 + ms, 1.0 + ps, 1.0 + ls
-    sc, qc = _tally(seed_lin), _tally(query_lin)
+    sc, qc = clan_tally(seed_lin), clan_tally(query_lin)
     both = [c for c in sc if c in qc]
     if not sc:
         cs = 0.0
@@ -98,12 +81,12 @@ def score_elements(seed_lin: list, seed_normal: list, query_lin: list, query_nor
 def partial_parts(lin: list, seed_all: list, query_clans: dict) -> tuple[float, float, float]:
     """(ms, ps, cs) of a query path, as far as it has come, against the whole seed with uniform weights, its clans
     against all of the query's own."""
-    mine, theirs = _group(lin), _group(seed_all)
+    mine, theirs = by_feature(lin), by_feature(seed_all)
     if not mine:
         return 0.0, 0.0, 0.0
     ms = sum(min(len(theirs.get(f, ())) / len(es), 1.0) for f, es in mine.items()) / len(mine)
     ps = sum(sum(_nearest(e, theirs.get(f, []))[0] for e in es) / len(es) for f, es in mine.items()) / len(mine)
-    clans = _tally(lin)
+    clans = clan_tally(lin)
     cs = sum(n * query_clans[c] / max(n, query_clans[c]) ** 2 for c, n in clans.items() if c in query_clans) / len(clans) if clans else 0.0
     return ms, ps, cs
 
@@ -123,7 +106,7 @@ def partial_scores(pairs: DataFrame, seeds: DataFrame, queries: DataFrame, o: Sc
         for b in batches:
             rows = []
             for r in b.to_pylist():
-                clans = _tally(r["lin"] + r["normal"])
+                clans = clan_tally(r["lin"] + r["normal"])
                 seed_all = r["s_lin"] + r["s_normal"]
                 rows.append((partial_score(r["lin"], seed_all, clans, o), *partial_parts(r["lin"], seed_all, clans)))
             cols = list(zip(*rows, strict=True)) or [[]] * 4
@@ -133,22 +116,28 @@ def partial_scores(pairs: DataFrame, seeds: DataFrame, queries: DataFrame, o: Sc
     return pairs.select("seed", "query").join(s, "seed").join(q, "query").mapInArrow(run, f"seed {t[0]}, query {t[1]}, final double, ms double, ps double, cs double")
 
 
-def walk(after: dict[int, list[int]], value, prefer=None) -> list[int]:
-    """From START to END, at each node to the successor whose extended path has the highest value, the last among
-    equals; ``prefer`` narrows the candidates where any fits."""
+#: Values of candidates are compared to so many decimals, so that the order of sums decides nothing.
+TIES = 10
+
+
+def walk(after: dict[int, list[int]], lin: list[dict], scorer, prefer: str | None = None) -> list[int]:
+    """From START to END, at each node to the successor that gives the path the highest value, the last among equals;
+    candidates of the feature ``prefer`` go first where there are any. ``scorer`` keeps the path's value as it grows,
+    so that a candidate is not scored from the beginning."""
     path: list[int] = []
     at = -1
     while after[at]:
-        some = [v for v in after[at] if prefer and prefer(v)] or after[at]
+        some = [v for v in after[at] if lin[v]["feature"] == prefer] or after[at]
         if len(some) > 1:
             best = None
             for v in some:
-                x = value([*path, v])
+                x = round(scorer.peek(lin[v]), TIES)
                 if best is None or x >= best[0]:
                     best = (x, v)
             at = best[1]
         else:
             at = some[0]
+        scorer.take(lin[at])
         path.append(at)
     return path
 
@@ -170,15 +159,20 @@ def best_pair(row: dict, o: ScoringOptions, distance: bool) -> tuple:
         return score_elements([s_lin[k] for k in sp], s_normal, [q_lin[k] for k in qp], q_normal, weights, o, distance)
 
     if row["query_greedy"]:
-        clans = _tally(q_lin + q_normal)
-        everything = s_lin + s_normal
-        value = lambda p: partial_score([q_lin[k] for k in p], everything, clans, o)
-        queries = {tuple(walk(q_after, value, lambda v, f=f: q_lin[v]["feature"] == f)) for f in [*dict.fromkeys(e["feature"] for e in q_lin), None]}
+        clans = clan_tally(q_lin + q_normal)
+
+        def scorer() -> QueryPath | QueryPathByDistance:
+            return QueryPathByDistance(s_lin, s_normal, weights, o) if distance else QueryPath(s_lin + s_normal, clans, o)
+
+        queries = {tuple(walk(q_after, q_lin, scorer(), f)) for f in [*dict.fromkeys(e["feature"] for e in q_lin), None]}
     else:
         queries = set(map(tuple, all_paths(row["q_before"])))
     best = None
     for qp in sorted(queries):
-        seeds = [walk(s_after, lambda p, qp=qp: score(p, qp)[0])] if row["seed_greedy"] else all_paths(row["s_before"])
+        if row["seed_greedy"]:
+            seeds = [walk(s_after, s_lin, SeedPath(s_normal, [q_lin[k] for k in qp], q_normal, weights, o, distance))]
+        else:
+            seeds = all_paths(row["s_before"])
         for sp in seeds:
             x = score(sp, list(qp))
             if best is None or round(x[0], 10) > round(best[0][0], 10):

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,30 +36,21 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str = "table") -> DataFrame:
+def cut(df: DataFrame, name: str = "table", free: bool = False) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: its lineage ends there, it is computed once
-    however often it is used, and lost executors lose nothing of it. Its shuffle files go when it is written, if Spark
-    can do that."""
+    however often it is used, and lost executors lose nothing of it. ``free``: after a large write, have the driver
+    collect its garbage, with which Spark removes the shuffle files that the write leaves; twice, as the last job's
+    plan is held until the next job."""
     path = new_path(df.sparkSession, name)
-    with _shuffles_removed(df.sparkSession):
-        df.write.parquet(path)
+    df.write.parquet(path)
+    if free:
+        for _ in range(2):
+            df.sparkSession.range(1).count()
+            gc.collect()
+            df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-@contextmanager
-def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    if before is None:
-        yield
-        return
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def rename_files(spark: SparkSession, path: str, ending: str, name: Callable[[int, int], str]) -> None:
     """Name the files of a finished write with ``ending``: ``name(k, n)`` of the k-th of n, in order of their names."""
     there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
