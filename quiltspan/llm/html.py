@@ -29,6 +29,9 @@ GOOD_WORDS = frozenset("article content entry story post main maincontent articl
 BAD_WORDS = frozenset("ad ads adbox advert advertisement advertising sponsor sponsored promo comment comments commentlist discussion reply replies respond disqus related recommended recommendations share sharing social cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup login register paywall breadcrumb breadcrumbs pagination pager copyright legal disclaimer widget teaser outbrain taboola".split())
 #: Words of the page's frame; an article or main element inside such an element is content all the same.
 FRAME_WORDS = frozenset("nav navbar navigation menu header masthead footer sidebar aside banner topbar toolbar".split())
+#: Text in such a place is never the article's, however much it is and however little there is elsewhere.
+FIRM_WORDS = frozenset("comment comments commentlist discussion reply replies respond disqus cookie cookies consent gdpr nav navbar navigation menu footer breadcrumb breadcrumbs pagination pager copyright legal disclaimer".split())
+FIRM_TAGS = frozenset("nav footer menu head".split())
 #: Beside one of these a word says nothing of the element itself: has-comments, tag-social, share-price, comments-open.
 NEUTRAL = frozenset("has no not with without is tag tags category topic enabled disabled open closed price prices count layout wrapper page".split())
 
@@ -45,9 +48,8 @@ IN_GOOD, IN_BAD, BASE, LINKS, LEGAL, HEADING, SENTENCE = 3.0, -5.0, -0.9, -3.0,
 NEXT_TO, NEXT_ACROSS, SIBLING = 0.6, 0.15, 0.4
 
 
-#: A block of so many words, not mostly links, is running text; a region with so much of it outweighs its class words.
-RUNNING, OUTWEIGHS, ELSEWHERE = 12, 25, 20
-NESTED = 8
+#: What is added to BASE where nothing else on the page is content: plain text of a bare page.
+BARE = 1.2
 
 
 def _words(attrs: str) -> tuple[set[str], bool]:
@@ -71,10 +73,11 @@ def _words(attrs: str) -> tuple[set[str], bool]:
 def _region(tag: str, attrs: str, above: int, trusted: bool) -> int:
     """1 content, -1 frame of the page, -2 beside the content, -3 hidden, 0 none; above: that of the parent.
 
-    ``trusted``: neither the element's words nor its tag are held against it."""
+    ``trusted``: neither the element's words nor its tag are held against it, unless they are firm."""
     words, hidden = _words(attrs) if attrs and attrs.strip() else (set(), False)
     if tag in ("html", "body"):
         return 0
+    trusted = trusted and tag not in FIRM_TAGS and words.isdisjoint(FIRM_WORDS)
     if hidden or tag == "head" or above == -3:
         return -3
     if above == -2 or not trusted and words & BAD_WORDS:
@@ -99,10 +102,11 @@ class Block:
         self.text, self.region, self.parent, self.holder, self.tag, self.link = text, region, parent, holder, tag, link
 
 
-def blocks(page: str, trusted: frozenset[int] = frozenset()) -> list[Block]:
+def blocks(page: str, trusted: frozenset[int] = frozenset(), parents: dict[int, int] | None = None, firm: set[int] | None = None) -> list[Block]:
     """The text blocks of a page in page order. Malformed and unfinished markup is read as far as it goes: a dropped
     element that nothing ends drops its tag alone (of scripts and styles, the rest of the page). ``trusted``: the
-    numbers of elements whose words and tags are not held against them."""
+    numbers of elements whose words and tags are not held against them. ``parents`` gets each element's parent,
+    ``firm`` the boilerplate elements that are never trusted."""
     out: list[Block] = []
     stack: list[tuple[str, int, int, int]] = [("", 0, 0, 0)]  # tag, region, element, the element that set the region
     open_: Counter[str] = Counter()
@@ -211,16 +215,20 @@ def blocks(page: str, trusted: frozenset[int] = frozenset()) -> list[Block]:
             n += 1
             above = stack[-1]
             region = _region(name, m[3], above[1], n in trusted)
+            if parents is not None:
+                parents[n] = above[2]
+                if region < 0 and region != above[1] and (name in FIRM_TAGS or not _words(m[3] or "")[0].isdisjoint(FIRM_WORDS)):
+                    firm.add(n)
             stack.append((name, region, n, n if region != above[1] else above[3]))
             open_[name] += 1
     flush()
     return out
 
 
-def evidence(b: Block) -> float:
+def evidence(b: Block, base: float = BASE) -> float:
     """The classifier's log odds that a block is content."""
     words = b.text.count(" ") + 1
-    s = BASE + min(2.2, 0.4 * math.log1p(words))
+    s = base + min(2.2, 0.4 * math.log1p(words))
     s += IN_GOOD if b.region == 1 else IN_BAD * (1.0, 1.6, 3.0)[-1 - b.region] if b.region < 0 else 0.0
     s += LINKS * b.link / len(b.text)
     s += HEADING if b.tag in ("h1", "h2", "h3") else 0.0
@@ -323,26 +331,39 @@ def min_cut(terminal: list[float], edges: list[tuple[int, int, float]]) -> list[
 
 
 def weighed(page: str) -> list[Block]:
-    """The blocks, after weighing class words and tags against the text they stand for: where a page's running text is
-    all in one region of boilerplate (a form around the page, an article of class ``promo``), that element is trusted;
-    so are such elements within it, NESTED of them."""
+    """The blocks, after weighing class words and tags against the text they stand for. Where no block is in a place
+    of content and none in a plain place looks like content, the boilerplate element with the most text that is not
+    links (a form around the page, an article of class ``promo``) is trusted, with the elements that hold all of that
+    text; and so on within it. Comments, cookie notices, footers and navigation are never trusted."""
     trusted: frozenset[int] = frozenset()
-    for _ in range(NESTED):
-        found = blocks(page, trusted)
-        running: Counter[int] = Counter()
-        elsewhere = 0
+    parents: dict[int, int] = {}
+    firm: set[int] = set()
+
+    def chain(n: int) -> list[int]:
+        out = [n]
+        while parents.get(n, n) != n:
+            n = parents[n]
+            out.append(n)
+        return out[::-1]
+
+    while True:
+        parents.clear()
+        firm.clear()
+        found = blocks(page, trusted, parents, firm)
+        if any(b.region == 1 or b.region == 0 and evidence(b) > 0 for b in found):
+            return found
+        held: dict[int, list[Block]] = {}
         for b in found:
-            words = b.text.count(" ") + 1
-            if words > RUNNING and 2 * b.link < len(b.text) and b.region > -3:
-                if b.region < 0:
-                    running[b.holder] += words
-                else:
-                    elsewhere += words
-        most = max(running.items(), key=lambda x: x[1], default=(0, 0))
-        if most[1] < OUTWEIGHS or elsewhere >= ELSEWHERE or most[0] in trusted:
+            if -3 < b.region < 0 and b.holder not in firm and b.holder not in trusted and evidence(b) - IN_BAD * (1.0, 1.6)[-1 - b.region] > 0:
+                held.setdefault(b.holder, []).append(b)
+        if not held:
             return found
-        trusted |= {most[0]}
-    return blocks(page, trusted)
+        holder, own = min(held.items(), key=lambda x: (-sum(len(b.text) for b in x[1]), x[0]))
+        shared = chain(own[0].parent)
+        for b in own[1:]:
+            other = chain(b.parent)
+            shared = shared[: next((k for k, (x, y) in enumerate(zip(shared, other, strict=False)) if x != y), min(len(shared), len(other)))]
+        trusted |= {holder, *shared}
 
 
 def main_text(page: str | None) -> str:
@@ -359,6 +380,8 @@ def main_text(page: str | None) -> str:
             edges.append((k - 1, k, SIBLING))
         last[b.parent] = k
     keep = min_cut([evidence(b) for b in found], edges)
+    if not any(keep):
+        keep = min_cut([evidence(b, BASE + BARE) for b in found], edges)
     return " ".join(b.text for b, yes in zip(found, keep, strict=True) if yes)
 
 
@@ -369,9 +392,9 @@ def extract(pages: DataFrame) -> DataFrame:
     length, sentences, headings and links gives each block the log odds of being content; they are the capacities to
     the two terminals. Edges between neighbours in the page and between neighbours with the same parent make a
     labelling smooth; the minimum cut is the best one. Scripts, styles and form controls are no text at all. A class
-    word is evidence, not a verdict: words beside a neutral one (``has-comments``) do not count, and where all of a
-    page's running text is in one region of boilerplate, that element's words and tag are not held against it. The
-    costs are set by hand in log-odds units: no table labels pages to learn them from.
+    word is evidence, not a verdict: words beside a neutral one (``has-comments``) do not count, and where a page has no
+    content elsewhere, the words and tag of the boilerplate element with its text are not held against it, unless they
+    are those of comments, cookie notices, footers or navigation. A page of plain short lines keeps them. The costs are set by hand in log-odds units: no table labels pages to learn them from.
 
     Character references are decoded, white space inside a block becomes one space, and blocks are joined by one.
     Null or empty html, and pages without content: empty text, 0 characters. Unfinished markup is read as far as it
