@@ -65,8 +65,10 @@ def measure(text: str | None) -> tuple:
     repeat = repeated_words(words)
     upper = sum(w.isupper() and len(w) > 1 for w in words)
     marks = sum(w[-1] in "!?" and w[-2:-1] == w[-1] for w in words)
-    top = Counter(words).most_common(1)[0][1] if n >= 20 else 0
+    top = Counter(words).most_common(1)[0][1] if n else 0
     share = max(n, 1)
+    # occurrences of the commonest word, less what chance adds to so many (two deviations)
+    top = max(0.0, top - 2 * math.sqrt(top))
     return n, chars, symbols, dup, repeat, min(1.0, symbols / share), repeat / share, dup / max(lines, 1), upper / share, marks / share, top / share
 
 
@@ -202,8 +204,8 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.12, alpha: float =
     The labelled documents are the holdout and the languages the strata (``cutoffs``), so that per stratum the rules
     together reject at most the share ``risk`` of good documents, in all strata at once with confidence 1 - ``alpha``.
     That is what is promised; the cutoffs in force reject far fewer (README), since ``cost`` weighs a good document
-    lost as 20 bad ones. The rule ``one_word`` (the commonest word's share) holds for texts of 20 words and more: in
-    shorter ones any word has a large share.
+    lost as 20 bad ones. The rule ``one_word`` takes the share of the commonest word's occurrences beyond what
+    chance gives so few of them (two deviations), so that it means the same in short texts and long ones.
 
     Null or empty text: no words, base_failed. Null lang: the language ''. Labels without a document, documents
     without a label and null labels are ignored in the holdout; a doc_id labelled more than once counts once, good if
