@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..storage import cut, new_path, shared_dir
 
-__all__ = ["WORD", "ascii_lower", "connected_components", "cut", "new_path", "shared_dir", "table", "text_batches"]
+__all__ = ["WORD", "ascii_lower", "connected_components", "cut", "new_path", "shared_dir", "table", "text_batches", "unused_name"]
 
 #: Words as the contracts define them: maximal runs without space, tab, LF, VT, FF, CR.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -36,6 +36,14 @@ def _bytes(setting: str) -> int:
     return int(number) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit]
 
 
+def unused_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores until no column of ``df`` has it."""
+    there = {c.lower() for c in df.columns}
+    while name.lower() in there:
+        name += "_"
+    return name
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z alone."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
