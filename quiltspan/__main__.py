@@ -62,7 +62,7 @@ def score(spark, a, distance: bool = False) -> None:
     for side in (seeds, queries):
         api.require_tools(side, [t for t, linearized, _ in text.parse_tool_list(_read(a.tools)) if linearized])
     pairs = text.read_pairs(spark, a.pairs) if a.pairs else None
-    old = spark.read.parquet(a.old).select("seed", "query") if a.old else None
+    old = text.read_scores(spark, a.old).select("seed", "query") if a.old else None
     ref, w = _counts(spark, a, seeds), None
     if distance and a.weight_file:
         named, default = reports.parse_weight_file(_read(a.weight_file))
@@ -77,7 +77,7 @@ def score(spark, a, distance: bool = False) -> None:
         if not a.one_way:
             api.domains(out, seeds, queries, o, ref, True, **far).write.option("sep", "\t").option("header", True).csv(f"{a.out}/domains_reverse")
     if a.mapping:
-        reports.phylogenetic_profile(out, text.two_columns(spark.read.text(a.mapping), "protein_id", "ncbi_id")).write.option("sep", "\t").option("header", True).csv(f"{a.out}/phylogenetic_profile")
+        reports.phylogenetic_profile(out, text.read_mapping(spark, a.mapping, "protein_id", "ncbi_id")).write.option("sep", "\t").option("header", True).csv(f"{a.out}/phylogenetic_profile")
     reports.write_run_record(spark, f"{a.out}/run", {k: v for k, v in vars(a).items() if k != "command"}, a.command, "1")
 
 
@@ -91,12 +91,12 @@ def taxa(spark, a) -> None:
     annotations = _load(spark, a, a.annotations)
     four = text.four_columns(spark.read.text(a.pairs))
     M.missing_by_taxon(four, annotations.proteins).write.json(f"{a.out}/missing")
-    _write_scores(api.score_taxa(annotations, four, _options(a), spark.read.parquet(a.old).select("seed", "query") if a.old else None, not a.one_way), a)
+    _write_scores(api.score_taxa(annotations, four, _options(a), text.read_scores(spark, a.old).select("seed", "query") if a.old else None, not a.one_way), a)
 
 
 @command("--annotations", "--fasta")
 def groups(spark, a) -> None:
-    members = text.extended_headers(text.read_fasta(spark, a.fasta)).drop("sequence")
+    members = text.extended_headers(text.read_fasta(spark, a.fasta, positions=True)).drop("sequence")
     if a.names:
         members = members.where(F.col("grp").isin(a.names.split(",")))
     rows, o = _load(spark, a, a.annotations), _options(a)
@@ -206,7 +206,7 @@ def split_domains(spark, a) -> None:
 
 @command("--scores")
 def merge_scores(spark, a) -> None:
-    files = [spark.read.parquet(p).withColumn("file_pos", F.lit(k)) for k, p in enumerate(a.scores.split(","))]
+    files = [text.read_scores(spark, p).withColumn("file_pos", F.lit(k)) for k, p in enumerate(a.scores.split(","))]
     out = files[0]
     for f in files[1:]:
         out = out.unionByName(f)
@@ -215,7 +215,7 @@ def merge_scores(spark, a) -> None:
 
 @command("--scores", "--new")
 def update_scores(spark, a) -> None:
-    M.update_scores(spark.read.parquet(a.scores), spark.read.parquet(a.new)).write.parquet(a.out)
+    M.update_scores(text.read_scores(spark, a.scores), text.read_scores(spark, a.new)).write.parquet(a.out)
 
 
 @command("--scores")

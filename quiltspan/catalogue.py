@@ -299,8 +299,26 @@ def interval_precedence_overlap(spark, d):
 
 @query("graph_reduced", f"WITH {RED} SELECT protein_id, u, v FROM red")
 def graph_reduced(spark, d):
-    rank = cut(A.ranked(_arch(spark, d)), "rank")
-    return L.reduced(S.universe(spark, d), cut(L.precedence(rank, OPTIONS), "edges"), rank)
+    return L.reduced(L.with_predecessors(A.proteins(S.universe(spark, d), S.instances(spark, d), OPTIONS), OPTIONS))
+
+
+_OVERLAPPING = replace(OPTIONS, max_overlap=20)
+
+
+@query(
+    "graph_reduced_overlap",
+    f"""WITH RECURSIVE {LIN}, edge AS (SELECT a.protein_id, a.rank AS u, b.rank AS v FROM lin a JOIN lin b ON a.protein_id = b.protein_id AND a.rank < b.rank
+  AND a.stop - b.start + 1 <= 20 AND a.stop - b.start + 1 <= 0.4 * (a.stop - a.start) AND a.stop - b.start + 1 <= 0.4 * (b.stop - b.start)),
+reach AS (SELECT protein_id, u, v FROM edge UNION SELECT reach.protein_id, reach.u, edge.v FROM reach JOIN edge ON edge.protein_id = reach.protein_id AND edge.u = reach.v)
+SELECT protein_id, CAST(u AS INTEGER) AS u, CAST(v AS INTEGER) AS v FROM edge WHERE NOT EXISTS (SELECT 1 FROM edge e JOIN reach r ON r.protein_id = e.protein_id AND r.u = e.v WHERE e.protein_id = edge.protein_id AND e.u = edge.u AND r.v = edge.v)
+UNION ALL SELECT protein_id, -1, CAST(rank AS INTEGER) FROM lin WHERE NOT EXISTS (SELECT 1 FROM edge WHERE edge.protein_id = lin.protein_id AND edge.v = lin.rank)
+UNION ALL SELECT protein_id, CAST(rank AS INTEGER), 1000000 FROM lin WHERE NOT EXISTS (SELECT 1 FROM edge WHERE edge.protein_id = lin.protein_id AND edge.u = lin.rank)
+UNION ALL SELECT o_orderkey, -1, 1000000 FROM orders WHERE o_orderkey NOT IN (SELECT protein_id FROM lin)""",
+)
+def graph_reduced_overlap(spark, d):
+    """With an allowed overlap an instance may follow another without all that follow it following the first."""
+    return L.reduced(L.with_predecessors(A.proteins(S.universe(spark, d), S.instances(spark, d), _OVERLAPPING), _OVERLAPPING))
+
 
 
 @query("path_counts", f"WITH {PATHS} SELECT protein_id, count(*) AS n_paths FROM paths GROUP BY 1")
@@ -489,9 +507,14 @@ def greedy_score(spark, d):
     return _score(spark, d, replace(OPTIONS, max_features=5, max_paths=6)).where("mode <> 'exhaustive/exhaustive'").select("seed", "query", *_OUT, "mode")
 
 
+def _greedy_distance(spark, d):
+    w, o = _weight_file(spark)
+    return _score(spark, d, replace(o, max_features=5, max_paths=6), w, True)
+
+
 @query("greedy_distance")
 def greedy_distance(spark, d):
-    return _score(spark, d, replace(OPTIONS, max_features=5, max_paths=6), _distance_weights(spark), True).where("mode <> 'exhaustive/exhaustive'").select("seed", "query", *_OUT, "mode")
+    return _greedy_distance(spark, d).where("mode <> 'exhaustive/exhaustive'").select("seed", "query", *_OUT, "mode")
 
 
 _LEGACY = f"""WITH {LIN}{PAIRS}, s AS (SELECT seed, query, q.feature, q.rank, q.position AS qp, a.position AS sp FROM pairs JOIN lin q ON q.protein_id = query LEFT JOIN arch a ON a.protein_id = seed AND a.feature = q.feature),

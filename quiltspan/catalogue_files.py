@@ -25,10 +25,10 @@ def _s(c: str | Column) -> Column:
 
 
 def _file(lines: DataFrame, name: str, order: str | None = None, line_sep: str = "\n") -> str:
-    """The path of a file (or several) of the lines in ``value``; one in order of ``order`` where order matters."""
+    """The path of files of the lines in ``value``, by name and line in order of ``order`` where order matters."""
     path = new_path(lines.sparkSession, name)
     if order:
-        lines = lines.coalesce(1).sortWithinPartitions(order)
+        lines = lines.orderBy(order)
     lines.select("value").write.option("lineSep", line_sep).text(path)
     return path
 
@@ -92,9 +92,7 @@ def mapping_file(spark, d):
     c = S.read(spark, d, "customer")
     line = lambda add: F.concat_ws("\t", F.concat(F.lit("p"), _s("c_custkey")), F.concat(F.lit("ncbi"), _s(F.col("c_nationkey") + add))).alias("value")
     lines = c.select(F.lit(0).alias("k"), line(0)).union(c.where("c_custkey % 3 = 0").select(F.lit(1), line(100)))
-    rows = spark.read.text(_file(lines, "mapping", "k")).withColumn("pos", F.monotonically_increasing_id())
-    named = rows.withColumn("p", F.split("value", "\t")).select(F.col("p")[0].alias("protein_id"), F.col("p")[1].alias("ncbi_id"), "pos")
-    return text.last_per_key(named, "protein_id", "pos")
+    return text.read_mapping(spark, _file(lines, "mapping", "k"), "protein_id", "ncbi_id")
 
 
 @query("two_column_file", "SELECT 'f' || CAST(p_partkey AS VARCHAR) AS feature, CAST(p_size AS VARCHAR) AS plen FROM part")
@@ -173,11 +171,22 @@ def extract_for_fasta(spark, d):
     return M.extract_for_sequences(rows, fasta).select("protein_id", "i", "feature", "start", "stop")
 
 
-@query("ortholog_headers", "SELECT 'g' || CAST(o_custkey AS VARCHAR) AS grp, 't' || CAST(c_nationkey AS VARCHAR) AS taxon, 'p' || CAST(o_orderkey AS VARCHAR) AS protein_id, CAST(o_orderkey % 2 AS VARCHAR) AS flag, 'MKV' AS sequence FROM orders JOIN customer ON c_custkey = o_custkey")
+@query("ortholog_headers", "SELECT 'g' || CAST(o_custkey AS VARCHAR) AS grp, 't' || CAST(c_nationkey AS VARCHAR) AS taxon, 'p' || CAST(o_orderkey AS VARCHAR) AS protein_id, CAST(o_orderkey % 2 AS VARCHAR) AS flag, 'MKV' AS sequence, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos FROM orders JOIN customer ON c_custkey = o_custkey")
 def ortholog_headers(spark, d):
     m = _members(spark, d)
     header = F.concat_ws("|", F.concat(F.lit(">g"), _s("grp")), F.concat(F.lit("t"), _s("taxon")), F.concat(F.lit("p"), _s("protein_id")), _s(F.col("protein_id") % 2))
-    return text.extended_headers(text.read_fasta(spark, _file(m.select(F.concat(header, F.lit("\nMK\nV")).alias("value")), "groups"))).drop("pos")
+    path = _file(m.select("protein_id", F.concat(header, F.lit("\nMK\nV")).alias("value")), "groups", "protein_id")
+    return text.extended_headers(text.read_fasta(spark, path, positions=True))
+
+
+@query("score_json_read", f"{UNLIN} SELECT CAST(seed AS VARCHAR) AS seed, CAST(query AS VARCHAR) AS query, round(ms, 12) AS fwd_final, CASE WHEN query % 2 = 0 THEN round(ps, 12) END AS rev_final, row_number() OVER (ORDER BY seed, query) - 1 AS pos FROM u")
+def score_json_read(spark, d):
+    """One score object of all pairs, over several files, read in parts."""
+    scores = _unlinearized(spark, d).select("seed", "query", F.round("ms", 12).alias("f"), F.when(F.col("query") % 2 == 0, F.round("ps", 12)).alias("r"))
+    lines = scores.select("seed", "query", F.format_string('"%s_%s": ["%s", "%s"],', _s("seed"), _s("query"), _s("f"), F.coalesce(_s("r"), F.lit("NA"))).alias("value"))
+    path = new_path(spark, "score-json")
+    lines.orderBy("seed", "query").select("value").write.text(path)
+    return text.read_score_json(spark, path)
 
 
 def _families(spark, d) -> DataFrame:

@@ -81,10 +81,6 @@ def version_mismatches(versions: DataFrame) -> DataFrame:
     return versions.groupBy("tool").agg(F.count_distinct("value").alias("n_versions")).where("n_versions > 1")
 
 
-def outdated(stored: DataFrame, installed: DataFrame) -> DataFrame:
-    return stored.join(installed.select("tool", F.col("value").alias("installed")), "tool").where("value <> installed")
-
-
 def proteins_with(instances: DataFrame, patterns: list[str], every: bool) -> DataFrame:
     """Proteins one of whose tools has features that end in any (or: all) of the patterns, case ignored."""
     names = instances.groupBy("protein_id", "tool").agg(F.concat(F.array_join(F.array_sort(F.collect_set("feature")), ";"), F.lit(";")).alias("names"))

@@ -2,21 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _posted(spans: DataFrame, top: str, own: bool) -> DataFrame:
+    """The intervals (start, stop) under bins: an interval of class c is at most 2^c long and lies in two bins of that
+    width at most. ``own``: bins of its class alone; otherwise of the wider classes too, up to the column ``top``."""
+    c = F.col("class")
+    levels = F.array(c) if own else F.sequence(c, F.greatest(c, F.col(top)))
+    rows = spans.withColumn("level", F.explode(levels))
+    bins = F.sequence(F.call_function("shiftright", F.least("start", "stop"), F.col("level")), F.call_function("shiftright", F.greatest("start", "stop"), F.col("level")))
+    return rows.withColumn("bin", F.explode(bins))
+
+
 def overlapping(instances: DataFrame, tool: str, other: str, threshold: float) -> DataFrame:
     """Instances of ``tool``, each marked by whether one of ``other`` overlaps it by the share ``threshold`` of both.
 
-    The overlap is taken from the later start to the end of the interval that starts first.
+    The overlap is taken from the later start to the end of the interval that starts first. Two intervals meet in
+    bins as wide as the longer one's class: the longer is posted under its own class, the shorter under all that are
+    wider as well, so that an interval is compared with those that are near it, not with all of its protein.
     """
-    a = instances.where(F.col("tool") == tool).select("protein_id", "i", "feature", "start", "stop")
-    b = instances.where(F.col("tool") == other).select("protein_id", F.col("start").alias("o_start"), F.col("stop").alias("o_stop"))
+    spans = instances.where(F.col("tool").isin(tool, other)).select("protein_id", "tool", "i", "feature", "start", "stop")
+    spans = spans.withColumn("class", F.length(F.bin(F.greatest(F.abs(F.col("stop") - F.col("start")), F.lit(1)))))
+    spans = spans.withColumn("top", F.max("class").over(Window.partitionBy("protein_id")))
+    a = spans.where(F.col("tool") == tool).drop("tool")
+    b = spans.where(F.col("tool") == other).select("protein_id", "start", "stop", "class", "top")
     inside = F.when(F.col("start").between(F.col("o_start"), F.col("o_stop")), F.col("o_stop") - F.col("start")).when(F.col("o_start").between(F.col("start"), F.col("stop")), F.col("stop") - F.col("o_start"))
     fits = (inside >= F.lit(threshold) * (F.col("o_stop") - F.col("o_start"))) & (inside >= F.lit(threshold) * (F.col("stop") - F.col("start")))
-    hit = a.join(b, "protein_id").where(fits).select("protein_id", "i").distinct().withColumn("hit", F.lit(1))
-    return a.join(hit, ["protein_id", "i"], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
+
+    def met(a_own: bool) -> DataFrame:
+        """Pairs whose longer interval is a's (of equal class, too), or b's."""
+        x = _posted(a, "top", a_own).select("protein_id", "level", "bin", "i", "start", "stop", F.col("class").alias("a_class"))
+        y = _posted(b, "top", not a_own).select("protein_id", "level", "bin", F.col("start").alias("o_start"), F.col("stop").alias("o_stop"), F.col("class").alias("b_class"))
+        longer = F.col("a_class") >= F.col("b_class") if a_own else F.col("a_class") < F.col("b_class")
+        return x.join(y, ["protein_id", "level", "bin"]).where(longer & fits).select("protein_id", "i")
+
+    hit = met(True).union(met(False)).distinct().withColumn("hit", F.lit(1))
+    return a.select("protein_id", "i", "feature", "start", "stop").join(hit, ["protein_id", "i"], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
 
 
 def overlap_statistics(instances: DataFrame, tool: str, other: str, threshold: float) -> DataFrame:

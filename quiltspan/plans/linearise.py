@@ -6,6 +6,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,18 +25,18 @@ def precedence(rank: DataFrame, options: ScoringOptions) -> DataFrame:
     return a.join(b, "protein_id").where((F.col("u") < F.col("v")) & fits).select("protein_id", "u", "v")
 
 
-def reduced(proteins: DataFrame, edges: DataFrame, rank: DataFrame) -> DataFrame:
-    """The transitive reduction of a transitive precedence (``max_overlap`` 0) with START and END.
-
-    ``proteins``: protein_id of all; those without linearized instances have the one edge START -> END.
-    """
-    two = edges.join(edges.select("protein_id", F.col("u").alias("v"), F.col("v").alias("w")), ["protein_id", "v"]).select("protein_id", "u", F.col("w").alias("v")).distinct()
-    direct = edges.join(two, ["protein_id", "u", "v"], "left_anti")
-    nodes = rank.select("protein_id", "rank")
-    first = nodes.join(edges.select("protein_id", F.col("v").alias("rank")).distinct(), ["protein_id", "rank"], "left_anti").select("protein_id", F.lit(START).alias("u"), F.col("rank").alias("v"))
-    last = nodes.join(edges.select("protein_id", F.col("u").alias("rank")).distinct(), ["protein_id", "rank"], "left_anti").select("protein_id", F.col("rank").alias("u"), F.lit(END).alias("v"))
-    bare = proteins.select("protein_id").join(nodes.select("protein_id").distinct(), "protein_id", "left_anti").select("protein_id", F.lit(START).alias("u"), F.lit(END).alias("v"))
-    return direct.union(first).union(last).union(bare)
+def reduced(proteins: DataFrame) -> DataFrame:
+    """(protein_id, u, v): the transitive reduction of the precedence, with START and END, from each protein's
+    predecessors (``with_predecessors``), of which each rank has its own: no row meets another one. A protein without
+    linearized instances has the one edge START -> END."""
+    edge = lambda u, v: F.struct(u.cast("int").alias("u"), v.cast("int").alias("v"))
+    inward = F.flatten(F.transform("before", lambda us, v: F.when(F.size(us) == 0, F.array(edge(F.lit(START), v))).otherwise(F.transform(us, lambda u: edge(u, v)))))
+    inner = F.array_distinct(F.flatten("before"))
+    ranks = F.when(F.size("before") > 0, F.sequence(F.lit(0), F.size("before") - 1)).otherwise(F.array().cast("array<int>"))
+    last = F.transform(F.array_except(ranks, inner), lambda u: edge(u, F.lit(END)))
+    bare = F.array(edge(F.lit(START), F.lit(END)))
+    edges = F.when(F.size("before") == 0, bare).otherwise(F.concat(inward, last))
+    return proteins.select("protein_id", F.explode(edges).alias("e")).select("protein_id", "e.u", "e.v")
 
 
 #: Path counts stop here: they double with each pair of intervals that overlap, and nothing enumerates so many.
@@ -67,36 +68,48 @@ def _predecessors_exact() -> Column:
     return run(F.col("lin"))
 
 
-def _predecessors_general(options: ScoringOptions):
+def _predecessors_general(options: ScoringOptions) -> Column:
     """With an allowed overlap precedence is not transitive; the closure is taken per protein on Arrow batches.
 
-    An edge is kept unless its end was already reached through an earlier kept edge, in order of ranks.
+    Ranks are taken from the last to the first. What a rank reaches is one integer, a bit for each rank, made of those
+    of its successors: an edge is kept unless its end is reached through an earlier kept one, and with each kept edge
+    all that it reaches goes from the candidates at once.
     """
     limit, share = options.max_overlap, options.max_overlap_share
 
     @F.arrow_udf("array<array<int>>")
     def run(lin: pa.Array) -> pa.Array:
-        out = []
-        for rows in lin.to_pylist():
-            spans = [(x["start"], x["stop"]) for x in rows]
-            n = len(spans)
-            reach: list[set[int]] = [set() for _ in range(n)]
-            before: list[list[int]] = [[] for _ in range(n)]
-            for u in reversed(range(n)):
-                s, e = spans[u]
-                fits = [v for v in range(u + 1, n) if (o := e - spans[v][0] + 1) <= limit and o <= share * (e - s) and o <= share * (spans[v][1] - spans[v][0])]
-                gone: set[int] = set()
-                for v in fits:
-                    if v not in gone:
-                        before[v].append(u)
-                        gone |= reach[v]
-                        reach[u] |= {v} | reach[v]
-            out.append([sorted(x) for x in before])
+        spans, sizes = lin.flatten(), lin.value_lengths().to_pylist()
+        starts, stops = (spans.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "stop"))
+        out, at = [], 0
+        for n in sizes:
+            out.append(_reduced_with_overlap(starts[at : at + n], stops[at : at + n], limit, share))
+            at += n
         return pa.array(out, pa.list_(pa.list_(pa.int32())))
 
     return run(F.col("lin"))
 
 
+def _reduced_with_overlap(starts: np.ndarray, stops: np.ndarray, limit: int, share: float) -> list[list[int]]:
+    """For each rank those before it in the reduced graph, in order."""
+    n = len(starts)
+    reach = [0] * n
+    before: list[list[int]] = [[] for _ in range(n)]
+    for u in reversed(range(n)):
+        over = stops[u] - starts[u + 1 :] + 1
+        fits = (over <= limit) & (over <= share * (stops[u] - starts[u])) & (over <= share * (stops[u + 1 :] - starts[u + 1 :]))
+        left = int.from_bytes(np.packbits(fits, bitorder="little").tobytes(), "little") << (u + 1)
+        got = 0
+        while left:
+            first = left & -left
+            v = first.bit_length() - 1
+            before[v].append(u)
+            got |= first | reach[v]
+            left &= ~got
+        reach[u] = got
+    return [us[::-1] for us in before]
+
+
 def with_predecessors(proteins: DataFrame, options: ScoringOptions) -> DataFrame:
     exact = options.max_overlap == 0
     return proteins.withColumn("before", (_predecessors_exact() if exact else _predecessors_general(options)).cast("array<array<int>>"))

@@ -144,15 +144,38 @@ def _best_of(seed_views: Column, query_views: Column, weights: Column | None, op
     return F.aggregate(every, F.lit(None).cast(_BEST), lambda a, b: better(a, b.cast(_BEST)))
 
 
-def score_pairs(pairs: DataFrame, seeds: DataFrame, queries: DataFrame, options: ScoringOptions, weights: DataFrame | None = None, distance: bool = False) -> DataFrame:
+#: Pairs of paths that a row compares; proteins with more are compared by rows of their own, block by block.
+PATHS_TOGETHER = 4_096
+
+
+def _best_by_blocks(rows: DataFrame, s_paths: Column, q_paths: Column, best_of, together: int) -> DataFrame:
+    """seed, query and the best pair of paths ``b``, in two steps: blocks of seed and query paths, of which no row
+    compares more than ``together`` pairs, give their best; of these the highest is chosen, ties by the first query
+    path, then the first seed path, as within a row."""
+    s_step = F.greatest(F.least(F.size(s_paths), F.lit(together)), F.lit(1))
+    q_step = F.greatest(F.floor(F.lit(together) / s_step), F.lit(1)).cast("int")
+    starts = lambda paths, step: F.sequence(F.lit(1), F.greatest(F.size(paths), F.lit(1)), step)
+    cut_ = rows.withColumns({"s_paths": s_paths, "q_paths": q_paths, "pair": F.monotonically_increasing_id()})
+    cut_ = cut_.withColumns({"s_step": s_step, "q_step": q_step})
+    cut_ = cut_.withColumn("s_at", F.explode(starts("s_paths", F.col("s_step")))).withColumn("q_at", F.explode(starts("q_paths", F.col("q_step"))))
+    cut_ = cut_.withColumns({"s_paths": F.slice("s_paths", F.col("s_at"), F.col("s_step")), "q_paths": F.slice("q_paths", F.col("q_at"), F.col("q_step"))})
+    # the blocks of one pair go to tasks of their own
+    cut_ = cut_.repartition("seed", "query", "s_at", "q_at")
+    part = cut_.select("seed", "query", "pair", best_of(F.col("s_paths"), F.col("q_paths")).alias("b"))
+    order = F.struct((-F.round("b.final", TIES)).alias("less"), F.col("b.query_path").alias("query_path"), F.col("b.seed_path").alias("seed_path"))
+    return part.groupBy("seed", "query", "pair").agg(F.min_by("b", order).alias("b")).select("seed", "query", "b")
+
+
+def score_pairs(pairs: DataFrame, seeds: DataFrame, queries: DataFrame, options: ScoringOptions, weights: DataFrame | None = None, distance: bool = False, together: int = PATHS_TOGETHER) -> DataFrame:
     """Score ``pairs`` (seed, query) of prepared proteins.
 
     Returns seed, query, final, ms, ps, cs, ls, seed_path, query_path, mode. Paths are enumerated once per protein and
     not per pair; a pair then meets its two proteins in equi-joins, by which their instances travel once and paths as
-    ranks, and its paths meet within its own row, without another shuffle. In this order: a query without linearized
-    instances is compared along the seed's last path alone; equal annotations are compared whole; proteins with too
-    many features or paths take the greedy route; the others are compared along all pairs of paths. Pairs beyond
-    ``paths_limit`` come out with null scores.
+    ranks, and its paths meet within its own row, without another shuffle. Only where proteins have so many paths that a
+    row would compare more than ``together`` pairs of them, these are dealt out in blocks and the blocks' best are
+    compared. Proteins with too many features or paths take the greedy route first of all; of the others, a query
+    without linearized instances is compared along the seed's last path alone, equal annotations are compared whole,
+    and the rest along all pairs of paths. Pairs beyond ``paths_limit`` come out with null scores.
 
     ``weights``: (protein_id, feature, weight) of the seeds, or for the distance variant (feature, weight) for all.
     """
@@ -176,16 +199,25 @@ def score_pairs(pairs: DataFrame, seeds: DataFrame, queries: DataFrame, options:
     every = {k: F.array(F.transform(f"{k}_lin", lambda x, n: n)) for k in "sq"}
     s_paths = F.when(bare, F.slice("s_paths", -1, 1)).when(same, every["s"]).otherwise(F.col("s_paths"))
     q_paths = F.when(same, every["q"]).otherwise(F.col("q_paths"))
-    best = let(
-        views(F.col("s_lin"), F.col("s_normal"), s_paths),
-        lambda s: let(views(F.col("q_lin"), F.col("q_normal"), q_paths), lambda q: _best_of(s, q, weight_map, options, distance)),
-    )
-    best = rows.select("seed", "query", best.alias("b"))
+
+    def best_of(s_some: Column, q_some: Column) -> Column:
+        return let(
+            views(F.col("s_lin"), F.col("s_normal"), s_some),
+            lambda s: let(views(F.col("q_lin"), F.col("q_normal"), q_some), lambda q: _best_of(s, q, weight_map, options, distance)),
+        )
+
+    # one row tells whether any prepared protein takes another route or has many paths; most inputs have none of these
+    exact = F.when(~F.col("greedy") & ~F.col("over"), F.col("n_paths"))
+    tell = [m.agg(F.max("greedy").alias(f"{k}_greedy"), F.max("over").alias(f"{k}_over"), F.coalesce(F.max(exact), F.lit(1)).alias(f"{k}_most")) for m, k in zip(marked, "sq", strict=True)]
+    told = tell[0].crossJoin(tell[1]).first()  # one row each
+    marks = {k: told[f"s_{k}"] or told[f"q_{k}"] for k in ("greedy", "over")}
+    if told["s_most"] * told["q_most"] > together:
+        best = _best_by_blocks(rows, s_paths, q_paths, best_of, together)
+    else:
+        best = rows.select("seed", "query", best_of(s_paths, q_paths).alias("b"))
     cols = ["final", "ms", "ps", "cs", "ls", "seed_path", "query_path"]
     out = best.select("seed", "query", *[f"b.{c}" for c in cols], F.lit("exhaustive/exhaustive").alias("mode"))
 
-    # one row tells whether any prepared protein takes another route; most inputs have none, and their plan ends here
-    marks = marked[0].select("greedy", "over").union(marked[1].select("greedy", "over")).agg(F.max("greedy").alias("greedy"), F.max("over").alias("over")).first()
     if not (marks["greedy"] or marks["over"]):
         return out
     flags = [x.select(F.col("protein_id").alias(n), F.col("greedy").alias(f"{n}_greedy"), F.col("over").alias(f"{n}_over")) for x, n in zip(sides, ("seed", "query"), strict=True)]

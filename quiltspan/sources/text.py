@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .positions import placed, with_positions
+
 
 def parse_tool_list(text: str) -> list[tuple[str, bool, int]]:
     """(tool, linearized, pos) from the sections ``#linearized`` and ``#normal``; a ``#checked`` mark is skipped."""
@@ -52,13 +54,17 @@ def parse_constraints(text: str) -> dict[str, float]:
     return out
 
 
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """id, header, sequence, length of every record."""
+def read_fasta(spark: SparkSession, path: str, positions: bool = False) -> DataFrame:
+    """id, header, sequence, length of every record, with ``positions`` also pos, from 0 in order of the files."""
     rows = spark.read.option("lineSep", "\n>").text(path)
+    if positions:
+        rows = with_positions(placed(rows).where("trim(value) not in ('', '>')"))
     body = F.regexp_replace("value", r"\A>", "")
     header = F.trim(F.regexp_replace(F.regexp_extract(body, r"\A([^\n]*)", 1), "\r", ""))
     sequence = F.regexp_replace(F.regexp_replace(body, r"\A[^\n]*", ""), r"\s", "")
-    return rows.select(header.alias("header"), sequence.alias("sequence")).where("header <> ''").select(F.regexp_extract("header", r"^(\S+)", 1).alias("id"), "header", "sequence", F.length("sequence").alias("length"))
+    pos = ["pos"] if positions else []
+    out = rows.select(header.alias("header"), sequence.alias("sequence"), *pos).where("header <> ''")
+    return out.select(F.regexp_extract("header", r"^(\S+)", 1).alias("id"), "header", "sequence", F.length("sequence").alias("length"), *pos)
 
 
 def unique_ids(fasta: DataFrame) -> DataFrame:
@@ -69,9 +75,10 @@ def unique_ids(fasta: DataFrame) -> DataFrame:
 
 
 def extended_headers(fasta: DataFrame) -> DataFrame:
-    """grp, taxon, protein_id, flag, pos from headers ``group|taxon|protein|flag``; pos is the order of reading."""
+    """grp, taxon, protein_id, flag, sequence, pos from headers ``group|taxon|protein|flag`` of records that were read
+    with their positions."""
     parts = F.split("header", r"\|")
-    return fasta.withColumn("p", parts).where(F.size("p") >= 3).select(F.col("p")[0].alias("grp"), F.col("p")[1].alias("taxon"), F.col("p")[2].alias("protein_id"), F.get("p", F.lit(3)).alias("flag"), "sequence", F.monotonically_increasing_id().alias("pos"))
+    return fasta.withColumn("p", parts).where(F.size("p") >= 3).select(F.col("p")[0].alias("grp"), F.col("p")[1].alias("taxon"), F.col("p")[2].alias("protein_id"), F.get("p", F.lit(3)).alias("flag"), "sequence", "pos")
 
 
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
@@ -94,6 +101,13 @@ def two_columns(lines: DataFrame, key: str, value: str) -> DataFrame:
     return parts.select(F.col("p")[0].alias(key), F.col("p")[1].alias(value))
 
 
+def read_mapping(spark: SparkSession, path: str, key: str, value: str) -> DataFrame:
+    """A table of two columns, in which the last line of a key counts, in order of the files."""
+    lines = placed(spark.read.text(path)).withColumn("_p", F.split(F.trim("value"), r"\s+")).where(F.size("_p") >= 2)
+    at = F.struct("_file", "_start", "_row")
+    return last_per_key(lines.select(F.col("_p")[0].alias(key), F.col("_p")[1].alias(value), at.alias("_at")), key, "_at")
+
+
 def last_per_key(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.groupBy(key).agg(*[F.max_by(c, order).alias(c) for c in rows.columns if c not in (key, order)])
 
@@ -152,3 +166,25 @@ def read_score_table(spark: SparkSession, path: str) -> DataFrame:
     """seed, query, fwd_final, rev_final from a score table; NA is null."""
     rows = spark.read.csv(path, sep="\t", header=True)
     return rows.select(F.col("Seed").alias("seed"), F.col("Query").alias("query"), F.expr("try_cast(split(Score, '/')[0] as double)").alias("fwd_final"), F.expr("try_cast(get(split(Score, '/'), 1) as double)").alias("rev_final"))
+
+
+def read_score_json(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """seed, query, fwd_final, rev_final, pos from score objects ``{"seed_query": ["fwd", "rev"], ...}``; NA is null.
+
+    An object may be of any size: it is cut where its values end, so that several tasks read it. An id with ``]``,
+    and a key that is not two ids around one underscore, are errors.
+    """
+    parts = with_positions(placed(spark.read.option("lineSep", "]").text(path)).where(r"value not rlike '^[\\s{},\\[]*$'"))
+    pattern = r'^[\s{},]*"((?:[^"\\]|\\.)*)"\s*:\s*\[\s*"?([^",\s]*)"?\s*,\s*"?([^",\s]*)"?\s*$'
+    found = [F.regexp_extract("value", pattern, k) for k in (1, 2, 3)]
+    key = F.from_json(F.concat(F.lit('["'), found[0], F.lit('"]')), "array<string>")[0]
+    rows = parts.select("value", "pos", key.alias("key"), found[1].alias("fwd"), found[2].alias("rev"))
+    fits = F.coalesce(F.length(F.regexp_replace("key", "[^_]", "")) == 1, F.lit(False))
+    rows = rows.where(F.when(fits, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("no score of a pair: "), F.col("value")))).cast("boolean"))
+    ids = F.split("key", "_")
+    return rows.select(ids[0].alias("seed"), ids[1].alias("query"), F.expr("try_cast(fwd as double)").alias("fwd_final"), F.expr("try_cast(rev as double)").alias("rev_final"), "pos")
+
+
+def read_scores(spark: SparkSession, path: str) -> DataFrame:
+    """Scores of a Parquet table or, of files that end in .json, of score objects."""
+    return read_score_json(spark, path).drop("pos") if path.endswith(".json") else spark.read.parquet(path)
