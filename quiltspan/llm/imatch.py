@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import partial
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,14 +11,15 @@ from .common import cut, table
 MIN_DF, MAX_SHARE = 2, 64
 #: A text with fewer terms in the band is hashed by all of its terms.
 LEAST_TERMS = 8
-#: Subsets of each density; a text takes the density at which some TERMS of its terms are left, and the next DEPTHS - 1.
-SUBSETS, DEPTHS, TERMS = 32, 3, 64
+#: A text takes the density at which some TERMS of its terms are left, and the next DEPTHS - 1; each has 64 subsets.
+DEPTHS, TERMS = 3, 64
 #: Texts with more copies than one in so many rows count once in document frequencies; fewer than so many are such.
 HEAVY = 10_000
 #: Rows of a bucket in which neighbours meet, and the most buckets.
 BUCKET_ROWS, MOST_BUCKETS = 5_000, 65_536
-_NONE = "...."
-_HEX = 4
+#: A term meets the lexicon by so many bits of its digest, of which the highest _PART go into hashes; the highest _SLOT
+#: of these tell its subset.
+_KEY, _PART, _SLOT = 40, 32, 6
 
 
 def terms_of(text: Column) -> Column:
@@ -63,7 +61,7 @@ def lexicon(docs: DataFrame) -> DataFrame:
 
 
 def _key(md5: Column) -> Column:
-    return F.conv(F.substring(md5, 9, 15), 16, 10).cast("long")
+    return F.shiftright(F.conv(F.substring(md5, 9, 15), 16, 10).cast("long"), 60 - _KEY)
 
 
 def with_next(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -102,47 +100,69 @@ def _sampled(terms: str, below: Column) -> Column:
     return F.filter(terms, lambda t: F.md5(t) < below)
 
 
-def _prints(terms: str, level: str, bit: int) -> tuple[Column, list[Callable[[Column], Column]]]:
-    """The terms of a text in each subset, and for each density what hashes them; ``terms``: its sampled terms in order."""
-    mine = F.filter(terms, lambda t: t["sides"].bitwiseAND(F.lit(bit)) != 0)
-    band = F.filter(mine, lambda t: t["in_band"])
-    used = F.when(F.size(band) >= LEAST_TERMS, band).otherwise(mine)
-    subsets = F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda j: F.filter(used, lambda t: F.pmod(t["key"], F.lit(SUBSETS).cast("long")) == j))
+def _packed() -> Column:
+    """A term as one number: key, level, whose it is (1: the text's, 2: the edited text's), in the band or not."""
+    return F.shiftleft(F.shiftright("key", _KEY - _PART), 9) + F.col("level").cast("long") * 8 + F.col("sides") * 2 + F.coalesce(F.col("in_band"), F.lit(0))
 
-    def hashed(depth: int, subset: Column) -> Column:
-        kept = F.filter(subset, lambda t: t["level"] >= F.col(level) + F.lit(depth))
-        digest = F.substring(F.md5(F.array_join(F.transform(kept, lambda t: t["key"].cast("string")), ",")), 1, _HEX)
-        return F.when(F.size(kept) > 0, digest).otherwise(F.lit(_NONE))
 
-    return subsets, [partial(hashed, depth) for depth in range(DEPTHS)]
+def _used(terms: str, bit: int) -> Column:
+    """The terms of a text, in order of their keys, that its hashes are made of."""
+    mine = F.filter(terms, lambda t: t.bitwiseAND(F.lit(2 * bit)) != 0)
+    band = F.filter(mine, lambda t: t.bitwiseAND(F.lit(1)) != 0)
+    return F.when(F.size(band) >= LEAST_TERMS, band).otherwise(mine)
 
 
-def likeness(a: str, b: str) -> Column:
-    """The share of equal hashes among those that either fingerprint (columns a and b) has, over the densities that
-    both have; 1 if all terms are equal, 0 without a common hash."""
-    full_a, full_b = F.substring(a, 1, 8), F.substring(b, 1, 8)
-    level = {x: F.substring(x, 9, 2).cast("int") for x in (a, b)}
-    places = F.sequence(F.lit(0), F.lit(DEPTHS * SUBSETS - 1))
-    shift = (level[a] - level[b]) * SUBSETS  # the place of a's hash in b
-    start = 11
-    pairs = F.transform(
-        F.filter(places, lambda i: (i + shift >= 0) & (i + shift < DEPTHS * SUBSETS)),
-        lambda i: F.struct(F.col(a).substr(i * _HEX + start, F.lit(_HEX)).alias("x"), F.col(b).substr((i + shift) * _HEX + start, F.lit(_HEX)).alias("y")),
+def _prints(used: str, level: str) -> Column:
+    """One number for each density and subset with a term of the text: level, subset, and 16 bits of the hash of the
+    subset's terms. Terms come in order of their keys, and so by subset: each subset's keys are joined to one string."""
+    by_density = []
+    for depth in range(DEPTHS):
+        by_density.append(_hashed(_at_least(used, F.col(level) + depth), F.col(level) + depth))
+    return F.concat(*by_density)
+
+
+def _at_least(used: str, level: Column) -> Column:
+    return F.filter(used, lambda t: F.shiftright(t, 3).bitwiseAND(F.lit(63)) >= level)
+
+
+def _hashed(kept: Column, level: Column) -> Column:
+    slot = lambda t: F.shiftright(t, 9 + _PART - _SLOT)
+    before = F.concat(F.array(F.lit(-1).cast("long")), kept)
+    marked = F.zip_with(
+        kept,
+        F.slice(before, F.lit(1), F.size(kept)),
+        lambda t, p: F.concat(F.when(slot(t) == slot(p), F.lit(",")).otherwise(F.concat(F.lit(";"), F.lpad(slot(t).cast("string"), 2, "0"))), F.shiftright(t, 9).cast("string")),
     )
-    seen = F.filter(pairs, lambda p: (p["x"] != _NONE) | (p["y"] != _NONE))
-    equal = F.size(F.filter(seen, lambda p: p["x"] == p["y"]))
-    return F.when(full_a == full_b, F.lit(1.0)).when(F.size(seen) == 0, F.lit(0.0)).otherwise(equal.cast("double") / F.size(seen))
+    subsets = F.filter(F.split(F.array_join(marked, ""), ";"), lambda x: x != "")
+    digest = lambda x: F.conv(F.substring(F.md5(x.substr(F.lit(3), F.length(x))), 1, 4), 16, 10).cast("int")
+    return F.transform(subsets, lambda x: level * (1 << 24) + F.substring(x, 1, 2).cast("int") * (1 << 16) + digest(x))
+
+
+def likeness(a: str, b: str) -> Column:
+    """The share of equal hashes among the subsets with a term of either text, over the densities that both have; 1 if
+    all terms are equal, 0 without a common hash. a and b: names of columns x_prints, x_level and x_full."""
+    low, high = F.greatest(f"{a}_level", f"{b}_level"), F.least(f"{a}_level", f"{b}_level") + (DEPTHS - 1)
+    x, y = (F.filter(f"{c}_prints", lambda e: F.shiftright(e, 24).between(low, high)) for c in (a, b))
+    subset = lambda e: F.shiftright(e, 16)
+    seen = F.size(x) + F.size(y) - F.size(F.array_intersect(F.transform(x, subset), F.transform(y, subset)))
+    equal = F.size(F.array_intersect(x, y))
+    return F.when(F.col(f"{a}_full") == F.col(f"{b}_full"), F.lit(1.0)).when(seen == 0, F.lit(0.0)).otherwise(equal.cast("double") / seen)
+
+
+def _text(side: str) -> Column:
+    hex8 = lambda c: F.lower(F.lpad(F.hex(c), 8, "0"))
+    return F.concat(hex8(F.col(f"{side}_full")), F.array_join(F.transform(f"{side}_prints", hex8), ""))
 
 
 def fingerprints(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row.
 
     The lexicon is a band of document frequencies. Its subsets are drawn by the terms' digests: at each density (one
-    in 2^level terms) the terms left fall in SUBSETS subsets, and a subset's hash is that of the text's sorted terms
+    in 2^level terms) the terms left fall in 64 subsets, and a subset's hash is that of the text's sorted terms
     in it. A text has the hashes of the DEPTHS densities that suit its number of terms, so that long texts need no
     more terms than short ones, and hashes of few terms tell texts that share a part. A fingerprint is 8 digits of the
-    hash of all its distinct terms (as when no lexicon restricts them), two of its level, and four for each subset
-    (dots for one without a term of the text).
+    hash of all its distinct terms (as when no lexicon restricts them), then 8 for each subset with a term of the text:
+    two each for level and subset, four for the hash.
 
     Null and empty texts have no terms and one fingerprint. Rows with equal texts have equal fingerprints; equal rows
     each have their own. Null doc_ids come last in the order, by text. Long texts are read whole. A single row is its
@@ -151,9 +171,9 @@ def fingerprints(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     rows = with_next(docs, bucket_rows)
     half = F.floor(F.char_length("text") / F.lit(2)).cast("int")
     rows = rows.withColumn("half", half).withColumn("edited", F.concat(F.col("text").substr(F.lit(1), F.char_length("text") - F.col("half")), F.col("next_text").substr(F.lit(1), F.col("half"))))
-    rows = rows.select("rid", "next_rid", "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), terms_of(F.col("text")).alias("own"), terms_of(F.col("edited")).alias("new"))
+    rows = rows.select("rid", "next_rid", "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.unhex(F.sha2("edited", 256)).alias("sha"), terms_of(F.col("text")).alias("own"), terms_of(F.col("edited")).alias("new"))
     for side in ("own", "new"):
-        full = F.substring(F.md5(F.array_join(F.array_sort(side), " ")), 1, 8)
+        full = F.conv(F.substring(F.md5(F.array_join(F.array_sort(side), " ")), 1, 8), 16, 10).cast("long")
         rows = rows.withColumns({f"{side}_level": _level(F.col(side)), f"{side}_full": full})
         rows = rows.withColumn(f"{side}_below", _below(F.col(f"{side}_level")))
         below = F.col(f"{side}_below")
@@ -167,21 +187,20 @@ def fingerprints(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     )
     # the first row of a document holds what is known of it, under a key of no term
     header = F.array(F.struct((-F.col("rid")).alias("key"), F.lit(0).alias("level"), F.lit(0).alias("sides")))
-    about = F.struct("next_rid", "doc_id", "n_chars", "edited_sha256", "own_level", "own_full", "new_level", "new_full")
+    about = F.struct("next_rid", "doc_id", "n_chars", "sha", "own_level", "own_full", "new_level", "new_full")
     sent = rows.select("rid", about.alias("about"), F.explode(F.concat(header, both)).alias("t")).select("rid", F.when(F.col("t.sides") == 0, F.col("about")).alias("about"), "t.*")
-    known = sent.join(lexicon(docs).withColumn("in_band", F.lit(True)), sent["key"] == F.col("term_key"), "left")
-    term = F.when(F.col("sides") > 0, F.struct("key", "level", "sides", F.coalesce("in_band", F.lit(False)).alias("in_band")))
+    band = cut(lexicon(docs), "imatch-lexicon", free=True).withColumn("in_band", F.lit(1))
+    known = sent.join(band, sent["key"] == F.col("term_key"), "left")
+    term = F.when(F.col("sides") > 0, _packed())
     grouped = known.groupBy("rid").agg(F.first("about", ignorenulls=True).alias("about"), F.array_sort(F.collect_list(term)).alias("terms")).select("rid", "about.*", "terms")
-    for side, bit, name in (("own", 1, "fingerprint"), ("new", 2, "edited_fingerprint")):
-        subsets, hashes = _prints("terms", f"{side}_level", bit)
-        grouped = grouped.withColumn("subsets", subsets)
-        slots = F.concat(*[F.transform("subsets", h) for h in hashes])
-        grouped = grouped.withColumn(name, F.concat(f"{side}_full", F.lpad(F.col(f"{side}_level").cast("string"), 2, "0"), F.array_join(slots, ""))).drop("subsets")
-    done = grouped.select("rid", "next_rid", "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness("fingerprint", "edited_fingerprint").alias("near_edited"))
-    done = cut(done, "imatch-prints")
-    following = done.select(F.col("rid").alias("of"), F.col("fingerprint").alias("next_fingerprint"))
+    for side, bit in (("own", 1), ("new", 2)):
+        # asked for twice, so that the plan keeps it as a column of its own
+        grouped = grouped.withColumn("used", _used("terms", bit))
+        grouped = grouped.withColumn(f"{side}_prints", F.when(F.size("used") >= 0, _prints("used", f"{side}_level"))).drop("used")
+    done = cut(grouped.drop("terms").withColumn("near_edited", likeness("own", "new")), "imatch-prints", free=True)
+    following = done.select(F.col("rid").alias("of"), *(F.col(f"own_{x}").alias(f"next_{x}") for x in ("prints", "level", "full")))
     out = done.join(following, done["next_rid"] == following["of"])
-    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", likeness("fingerprint", "next_fingerprint").alias("near_next"))
+    return out.select("doc_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), _text("own").alias("fingerprint"), _text("new").alias("edited_fingerprint"), "near_edited", likeness("own", "next").alias("near_next"))
 
 
 def op11_imatch_fingerprints(spark, sf_dir):
@@ -200,15 +219,15 @@ lists AS (SELECT r, side, list_distinct(regexp_extract_all(lower(text), '[^\x20\
 levels AS (SELECT r, side, terms, CASE WHEN (len(terms) - 1) // 64 <= 0 THEN 0 ELSE length(bin((len(terms) - 1) // 64)) END AS level,
            left(md5(coalesce(array_to_string(list_sort(terms), ' '), '')), 8) AS full_hash FROM lists),
 words AS (SELECT r, side, level, unnest(terms) AS term FROM levels),
-hashed AS (SELECT r, side, level, term, CAST('0x' || substr(md5(term), 9, 15) AS BIGINT) AS key, CAST('0x' || left(md5(term), 8) AS BIGINT) AS head FROM words),
+hashed AS (SELECT r, side, level, term, CAST('0x' || substr(md5(term), 9, 15) AS BIGINT) >> 28 AS key, CAST('0x' || left(md5(term), 8) AS BIGINT) AS head FROM words),
 sampled AS (SELECT h.*, lexicon.term IS NOT NULL AS in_band, 32 - CASE WHEN head = 0 THEN 0 ELSE length(bin(head)) END AS depth FROM hashed AS h LEFT JOIN lexicon USING (term) WHERE head < 4294967296 >> level),
 used AS (SELECT * FROM (SELECT *, count(*) FILTER (in_band) OVER (PARTITION BY r, side) AS n_band FROM sampled) AS s WHERE in_band OR n_band < 8),
-slots AS (SELECT r, side, level + i AS at, key % 32 AS slot, left(md5(string_agg(CAST(key AS VARCHAR), ',' ORDER BY key)), 4) AS hash
-          FROM used, (SELECT unnest([0, 1, 2]) AS i) AS depths WHERE depth >= level + i GROUP BY r, side, level + i, key % 32),
-places AS (SELECT unnest([0, 1, 2]) AS i), numbers AS (SELECT unnest(range(32)) AS slot),
+slots AS (SELECT r, side, level + i AS at, key >> 26 AS slot, left(md5(string_agg(CAST(key AS VARCHAR), ',' ORDER BY key)), 4) AS hash
+          FROM used, (SELECT unnest([0, 1, 2]) AS i) AS depths WHERE depth >= level + i GROUP BY r, side, level + i, key >> 26),
+numbers AS (SELECT unnest(range(64)) AS slot),
 prints AS (SELECT l.r, l.side, any_value(l.level) AS level, any_value(full_hash) AS full_hash,
-           any_value(full_hash) || lpad(CAST(any_value(l.level) AS VARCHAR), 2, '0') || string_agg(coalesce(hash, '....'), '' ORDER BY i, numbers.slot) AS print
-           FROM levels AS l CROSS JOIN places CROSS JOIN numbers LEFT JOIN slots ON slots.r = l.r AND slots.side = l.side AND slots.at = l.level + i AND slots.slot = numbers.slot GROUP BY l.r, l.side),
+           any_value(full_hash) || coalesce(string_agg(printf('%02x%02x', slots.at, slots.slot) || hash, '' ORDER BY slots.at, slots.slot), '') AS print
+           FROM levels AS l LEFT JOIN slots ON slots.r = l.r AND slots.side = l.side GROUP BY l.r, l.side),
 wanted AS (SELECT r, r AS other, 2 AS other_side FROM e UNION ALL SELECT r, next_r, 1 FROM e),
 compared AS (SELECT w.r, other_side, count(*) FILTER (a.hash = b.hash) AS same, count(*) AS seen
   FROM wanted AS w CROSS JOIN (SELECT unnest(range(0, 40)) AS at) AS heights CROSS JOIN numbers
