@@ -1,0 +1,194 @@
+"""Blocks of path pairs, interval bins, bitset closure, positions of rows, mappings and score JSON."""
+
+import json
+import random
+import time
+
+import numpy as np
+import pytest
+
+from quiltspan.operators.overlap import overlapping
+from quiltspan.options import ScoringOptions
+from quiltspan.plans import architecture as A
+from quiltspan.plans import linearise as L
+from quiltspan.plans import scoring
+from quiltspan.sources import positions, text
+
+COLUMNS = "protein_id string, length int, tool string, linearized boolean, feature string, clan string, i int, start int, stop int, evalue double"
+
+
+def instances(spark, proteins):
+    rows = [(p, 400, f.split("_")[0], True, f, c, i, s, e, 0.0) for p, fs in proteins.items() for i, (f, c, s, e) in enumerate(fs)]
+    return spark.createDataFrame(rows, COLUMNS)
+
+
+def prepared(spark, proteins, o):
+    universe = spark.createDataFrame([(p,) for p in proteins], "protein_id string")
+    return scoring.prepare(A.proteins(universe, instances(spark, proteins), o), o)
+
+
+@pytest.mark.parametrize("distance", [False, True])
+def test_blocks_of_path_pairs_give_the_same_rows(spark, distance):
+    rng = random.Random(4)
+    ps = {}
+    for k in range(8):
+        fs = []
+        for _ in range(rng.randint(0, 9)):
+            s = rng.randint(1, 90)
+            fs.append((rng.choice(["pfam_A", "pfam_B", "smart_C"]), rng.choice([None, "K"]), s, s + rng.randint(4, 30)))
+        ps[f"p{k}"] = fs
+    pairs = spark.createDataFrame([(a, b) for a in ps for b in ps] + [("p0", "p1")], "seed string, query string")
+    o = ScoringOptions(weight_multiplicity=0.5, weight_clan=0.2, weight_position=0.3)
+    p = prepared(spark, ps, o)
+    rows = lambda n: sorted(map(tuple, scoring.score_pairs(pairs, p, p, o, distance=distance, together=n).collect()), key=repr)
+    whole = rows(1_000_000)
+    assert rows(3) == whole and rows(1) == whole and len(whole) == 65
+
+
+def test_a_pair_with_five_hundred_paths_on_each_side(spark):
+    """Eight groups of instances that overlap, two or three in each: 2 * 3^5 = 486 paths on a side, 236,196 pairs."""
+    fs = []
+    for g in range(6):
+        for k in range(3 if g else 2):
+            fs.append((f"pfam_{(g * 3 + k) % 7}", "K" if k else None, g * 60 + 1 + k, g * 60 + 30 + k))
+    other = [(f, c, s + 5, e + 9) for f, c, s, e in fs]
+    o = ScoringOptions()
+    p = prepared(spark, {"a": fs, "b": other}, o)
+    assert sorted(r["n_paths"] for r in p.collect()) == [486, 486]
+    pairs = spark.createDataFrame([("a", "b")], "seed string, query string")
+    began = time.time()
+    got = scoring.score_pairs(pairs, p, p, o).collect()
+    assert len(got) == 1 and got[0]["ms"] == 1.0 and len(got[0]["seed_path"]) == 6
+    assert time.time() - began < 120
+
+
+def plain_overlapping(rows, tool, other, thr):
+    hits = {}
+    for p, i, t, s, e in rows:
+        if t == tool:
+            def inside(a, b, s=s, e=e):
+                if a <= s <= b:
+                    return b - s
+                return e - a if s <= a <= e else None
+
+            hits[p, i] = int(any((x := inside(a, b)) is not None and x >= thr * (b - a) and x >= thr * (e - s) for q, _, u, a, b in rows if q == p and u == other))
+    return hits
+
+
+@pytest.mark.parametrize("thr", [0.0, 0.5, 1.0])
+def test_binned_intervals_against_all_pairs(spark, thr):
+    rng = random.Random(int(thr * 10))
+    rows = []
+    for p in range(12):
+        for i in range(30):
+            s = rng.randint(-50, 300)
+            rows.append((p, i, rng.choice(["pfam", "smart", "seg"]), s, s + rng.choice([0, 1, 5, 20, 100, 700])))
+    table = spark.createDataFrame([(p, i, t, f"{t}_x", s, e) for p, i, t, s, e in rows], "protein_id int, i int, tool string, feature string, start int, stop int")
+    got = {(r["protein_id"], r["i"]): r["hit"] for r in overlapping(table, "pfam", "smart", thr).collect()}
+    assert got == plain_overlapping(rows, "pfam", "smart", thr)
+
+
+def test_one_protein_with_very_many_intervals(spark):
+    """20,000 intervals: 10^8 pairs if all met all."""
+    rng = np.random.default_rng(1)
+    start = rng.integers(1, 2_000_000, 20_000)
+    stop = start + rng.integers(5, 60, 20_000)
+    rows = [("p", i, "pfam" if i % 2 else "smart", "f", int(s), int(e)) for i, (s, e) in enumerate(zip(start, stop, strict=True))]
+    table = spark.createDataFrame(rows, "protein_id string, i int, tool string, feature string, start int, stop int")
+    began = time.time()
+    hits = overlapping(table, "pfam", "smart", 0.5).where("hit = 1").count()
+    order = np.argsort(start[::2], kind="stable")
+    a, b = start[::2][order], stop[::2][order]
+    plain = 0
+    for s, e in zip(start[1::2], stop[1::2], strict=True):
+        near = slice(np.searchsorted(a, s - 60), np.searchsorted(a, e + 1))
+        x = np.where((a[near] <= s) & (s <= b[near]), b[near] - s, np.where((s <= a[near]) & (a[near] <= e), e - a[near], -1))
+        plain += bool(((x >= 0) & (x >= 0.5 * (b[near] - a[near])) & (x >= 0.5 * (e - s))).any())
+    assert hits == plain > 0 and time.time() - began < 60
+
+
+def test_reduced_graph_with_an_allowed_overlap():
+    rng = random.Random(12)
+    for _ in range(200):
+        spans = sorted(((s, s + rng.randint(2, 25)) for s in (rng.randint(1, 70) for _ in range(rng.randint(0, 10)))), key=lambda x: x[1])
+        limit, share = rng.choice([3, 8]), rng.choice([0.3, 0.6])
+        n = len(spans)
+
+        def fits(u, v, spans=spans, limit=limit, share=share):
+            o = spans[u][1] - spans[v][0] + 1
+            return o <= limit and o <= share * (spans[u][1] - spans[u][0]) and o <= share * (spans[v][1] - spans[v][0])
+
+        edge = {(u, v) for u in range(n) for v in range(u + 1, n) if fits(u, v)}
+        reach = set(edge)
+        for k in range(n):
+            reach |= {(u, v) for u in range(n) for v in range(n) if (u, k) in reach and (k, v) in reach}
+        want = [[u for u in range(v) if (u, v) in edge and not any((u, w) in edge and (w, v) in reach for w in range(n))] for v in range(n)]
+        got = L._reduced_with_overlap(np.array([s for s, _ in spans], np.int64), np.array([e for _, e in spans], np.int64), limit, share)
+        assert got == want
+
+
+def test_closure_of_five_thousand_instances():
+    rng = np.random.default_rng(3)
+    start = rng.integers(1, 60_000, 5_000)
+    stop = start + rng.integers(10, 80, 5_000)
+    order = np.argsort(stop, kind="stable")
+    began = time.time()
+    got = L._reduced_with_overlap(start[order], stop[order], 20, 0.4)
+    assert len(got) == 5_000 and sum(map(len, got)) > 5_000 and time.time() - began < 30
+
+
+def test_positions_follow_the_files(spark, tmp_path):
+    """Files of very different sizes, read in many splits, which Spark packs by size."""
+    rng = random.Random(2)
+    want = []
+    for k, n in enumerate([3, 4_000, 0, 50, 20_000, 1]):
+        lines = [f"{k}-{j}-{'x' * rng.randint(0, 40)}" for j in range(n)]
+        (tmp_path / f"f{k}.txt").write_text("".join(f"{x}\n" for x in lines))
+        want += lines
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50k")
+    try:
+        rows = positions.with_positions(positions.placed(spark.read.text(str(tmp_path))))
+        got = {r["pos"]: r["value"] for r in rows.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [got[k] for k in range(len(got))] == want
+
+
+def test_the_last_line_of_a_mapping_counts(spark, tmp_path):
+    (tmp_path / "a.tsv").write_text("p1 ncbi1\np2\tncbi2\nbroken\np1 ncbi3\n")
+    (tmp_path / "b.tsv").write_text("p2 ncbi4\n")
+    got = text.read_mapping(spark, str(tmp_path), "protein_id", "ncbi_id").collect()
+    assert {r["protein_id"]: r["ncbi_id"] for r in got} == {"p1": "ncbi3", "p2": "ncbi4"} and len(got) == 2
+
+
+def test_a_group_of_many_files_has_its_first_row_as_seed(spark, tmp_path):
+    for k, n in enumerate([1, 3_000, 2]):
+        (tmp_path / f"{k}.fa").write_text("".join(f">g|t{k}|p{k}_{j}|1\nMKV\n" for j in range(n)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        got = text.extended_headers(text.read_fasta(spark, str(tmp_path), positions=True)).orderBy("pos").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r["protein_id"] for r in got] == [f"p{k}_{j}" for k, n in enumerate([1, 3_000, 2]) for j in range(n)]
+
+
+@pytest.mark.parametrize("indent", [None, 2])
+def test_score_json_is_read_in_parts(spark, tmp_path, indent):
+    scores = {f"s{k}_q\"{k}": ["0.5" if k % 3 else "NA", str(k / 7)] for k in range(3_000)}
+    (tmp_path / "scores.json").write_text(json.dumps(scores, indent=indent))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10k")
+    try:
+        table = text.read_scores(spark, str(tmp_path / "scores.json"))
+        assert table.rdd.getNumPartitions() > 1
+        got = {f"{r['seed']}_{r['query']}": [r["fwd_final"], r["rev_final"]] for r in table.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {k: [None if x == "NA" else float(x) for x in v] for k, v in scores.items()}
+    (tmp_path / "bad.json").write_text('{"a_b_c": ["1", "2"]}')
+    with pytest.raises(Exception, match="no score of a pair"):
+        text.read_score_json(spark, str(tmp_path / "bad.json")).collect()
+    (tmp_path / "none.json").write_text("{}")
+    assert text.read_score_json(spark, str(tmp_path / "none.json")).count() == 0
