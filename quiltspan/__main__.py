@@ -159,6 +159,21 @@ def annotate(spark, a) -> None:
     _write_document(D.build(parts, text.unique_ids(text.read_fasta(spark, a.fasta)), families, lengths, versions), a)
 
 
+@command("--annotations", "--new", "--tool", "--name")
+def redo(spark, a) -> None:
+    """One tool's annotation of every protein replaced by that of a new document; dimensions and counts follow."""
+    (old,), (new,) = _documents(spark, a.annotations), _documents(spark, a.new)
+    _write_document(D.redo(old, new, a.tool), a)
+
+
+@command("--annotations", "--fasta", "--name")
+def extract_sequences(spark, a) -> None:
+    """The annotation of the sequences of a FASTA file; one without annotation is an error."""
+    (doc,) = _documents(spark, a.annotations)
+    ids = text.read_fasta(spark, a.fasta).select(F.col("id").alias("protein_id"))
+    _write_document(D.extract(doc, M.check_ids(ids, doc.proteins)), a)
+
+
 @command("--annotations", "--ids", "--name")
 def extract(spark, a) -> None:
     (doc,), ids = _documents(spark, a.annotations), text.id_list(spark.read.text(a.ids))

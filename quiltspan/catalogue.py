@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import api
 from .functions.expressions import corrected_count, four_significant
-from .operators import documents, overlap, reports
+from .operators import documents, overlap, reports, score_store
 from .operators import maintenance as M
 from .options import ScoringOptions
 from .plans import architecture as A
@@ -742,6 +742,16 @@ def scores_update(spark, d):
     return M.update_scores(p.withColumn("final", F.lit(0.25)), _old(p).withColumn("final", F.lit(0.75)))
 
 
+@query("scores_store_update", ORACLES["scores_update"])
+def scores_store_update(spark, d):
+    """The same update in a store of buckets, of which it reads and writes those that it meets."""
+    p = S.pairs(spark, d)
+    path = new_path(spark, "score-store")
+    score_store.create(p.withColumn("final", F.lit(0.25)), path, 16)
+    score_store.update(spark, path, _old(p).withColumn("final", F.lit(0.75)), 16)
+    return score_store.read(spark, path).select("seed", "query", "final")
+
+
 @query("results_union", f"WITH {INST}{PAIRS} SELECT seed, query, CASE WHEN seed % 3 = 0 THEN 0 WHEN seed % 3 = 1 THEN 1 ELSE 2 END AS run FROM pairs")
 def results_union(spark, d):
     p = S.pairs(spark, d)

@@ -122,6 +122,20 @@ def update(old: Document, new: Document) -> Document:
     return Document(kept.unionByName(new.instances), over("proteins", "protein_id"), **maps, versions=over("versions", "tool"))
 
 
+def redo(old: Document, new: Document, tool: str) -> Document:
+    """The old document with one tool's annotation, of every protein that it has, from the new one; the dimension maps
+    and that tool's version take the new entries, counts are made anew."""
+
+    def over(name: str, key: str, more: DataFrame) -> DataFrame:
+        both = getattr(old, name).withColumn("_doc", F.lit(0)).unionByName(more.withColumn("_doc", F.lit(1)))
+        return M.last_wins(both, [key], "_doc").drop("_doc")
+
+    own = new.instances.join(old.proteins.select("protein_id"), "protein_id", "left_semi")
+    rows = cut(M.replace_tool(old.instances, own, tool), "redone")
+    maps = {n: over(n, "feature", getattr(new, n)) for n in ("clans", "accessions", "lengths")}
+    return Document(rows, old.proteins, **maps, versions=over("versions", "tool", new.versions.where(F.col("tool") == tool)), counts=counted(rows))
+
+
 def add_information(doc: Document, families: DataFrame, profile_lengths: DataFrame, versions: DataFrame) -> Document:
     """What an old document lacks altogether: accessions, versions, profile lengths. What it has stays."""
     found = looked_up(doc.instances, families, profile_lengths)
