@@ -271,7 +271,7 @@ def test_text_formats(spark, tmp_path):
     (tmp_path / "f.fa").write_text(">a one\nMK\nLV\n>g|t|p|1\nAA\n>b\n\n")
     fasta = text.read_fasta(spark, str(tmp_path / "f.fa"))
     assert {(r["id"], r["sequence"], r["length"]) for r in fasta.collect()} == {("a", "MKLV", 4), ("g|t|p|1", "AA", 2), ("b", "", 0)}
-    assert [(r["grp"], r["taxon"], r["protein_id"]) for r in text.extended_headers(fasta).collect()] == [("g", "t", "p")]
+    assert [(r["grp"], r["taxon"], r["protein_id"]) for r in text.extended_headers(text.read_fasta(spark, str(tmp_path / "f.fa"), positions=True)).collect()] == [("g", "t", "p")]
     assert text.unique_ids(fasta).count() == 3
     with pytest.raises(Exception, match="twice"):
         text.unique_ids(fasta.union(fasta)).count()
@@ -338,8 +338,6 @@ def test_maintenance_errors(spark):
     assert {(r["seed"], r["query"]) for r in M.ortholog_groups(mixed).collect()} == {("a", "b"), ("b", "c")}
     with pytest.raises(Exception, match="more than one taxon"):
         M.ortholog_groups(mixed, True).collect()
-    old = spark.createDataFrame([("pfam", "1")], "tool string, value string")
-    assert M.outdated(old, spark.createDataFrame([("pfam", "2")], "tool string, value string")).count() == 1
 
 
 DOC = {
