@@ -88,3 +88,86 @@ def test_stages_leave_other_columns_alone(spark, tmp_path, stage):
     for r in got:
         assert all(r[c] == f"{c}-{r['doc_id']}" for c in STAGE_COLUMNS)
     assert corpus_pipeline.STAGES[stage][1](spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def _template_pages(n, rng, planted):
+    """n texts of one template (similarity near 0.5) and ``planted`` near copies of some; the pairs of places."""
+    words = [f"w{k}" for k in range(20_000)]
+    common = [rng.choice(words) for _ in range(100)]
+    texts = [common + [rng.choice(words) for _ in range(46)] for _ in range(n)]
+    pairs = []
+    for k in range(planted):
+        t = list(texts[k])
+        t[-1] = "changed"
+        t[130] = "other"
+        pairs.append((k, len(texts)))
+        texts.append(t)
+    return [" ".join(t) for t in texts], pairs
+
+
+def test_left_apart_posts_a_hot_list_anew(spark):
+    """A list that all texts of a template share: with longer keys the planted links are met, and few other pairs."""
+    import random
+
+    import numpy as np
+    from quiltspan.llm import near_copies as nc
+
+    texts, pairs = _template_pages(2_900, random.Random(5), 100)
+    sets = [nc.shingles(t) for t in texts]
+    assert all(nc.similarity(sets[a], sets[b]) >= 0.8 for a, b in pairs) and nc.similarity(sets[0], sets[1]) < 0.6
+    marks = spark.createDataFrame([(k, bytearray(nc.positions(s).astype(np.uint8).tobytes())) for k, s in enumerate(sets)], "fp long, marks binary")
+    posts = marks.select(nc.F.lit(7).cast("long").alias("key"), "fp")
+    roots = spark.createDataFrame([], "node long, root long")
+    want = {(b, a) for a, b in pairs}
+    whole = {(r["a"], r["b"]) for r in nc.left_apart(posts, roots, marks, block=500).collect()}
+    split = {(r["a"], r["b"]) for r in nc.left_apart(posts, roots, marks, hot=1_000).collect()}
+    assert want <= whole and split <= whole
+    assert len(want & split) >= 0.99 * len(want)
+
+
+def test_longer_keys_keep_lists_short_and_pairs_together():
+    from quiltspan.llm import near_copies as nc
+
+    before = 0
+    for n in (600, 10_000, 1_000_000, 10**8):
+        drawn = nc.longer_keys(n)
+        keys, length = drawn.shape
+        assert length >= before and all(len(set(x)) == length for x in drawn.tolist())
+        assert n * nc.UNLIKE**length <= nc.LIST and (1 - nc.SIMILARITY**length) ** keys <= max(nc.MISSED, 1e-3)
+        before = length
+
+
+def test_left_apart_gives_every_member_not_the_best_alone(spark):
+    """The member of another component with most shared marks need not be the one that passes: all are given."""
+    import numpy as np
+    from quiltspan.llm import near_copies as nc
+
+    width = nc.BANDS * nc.ROWS
+    base = np.zeros(width, np.uint8)
+
+    def changed(n):
+        m = base.copy()
+        m[:n] = 9
+        return bytearray(m.tobytes())
+
+    rows = [(1, changed(0)), (2, changed(20)), (3, changed(30)), (4, changed(60)), (5, changed(10))]
+    marks = spark.createDataFrame(rows, "fp long, marks binary")
+    posts = spark.createDataFrame([(7, k) for k, _ in rows], "key long, fp long")
+    roots = spark.createDataFrame([(k, 2) for k in (2, 3, 4)], "node long, root long")
+    got = {}
+    for r in nc.left_apart(posts, roots, marks).collect():
+        got[r["a"], r["b"]] = got.get((r["a"], r["b"]), False) or r["best"]
+    assert {k for k, best in got.items() if best} >= {(2, 1), (5, 2), (5, 1)}
+    assert got[3, 1] is False and (4, 1) not in got
+
+
+def test_near_copies_of_a_template_are_found_and_no_others(spark, tmp_path):
+    """The stage itself, on pages of one template with planted near copies."""
+    import random
+
+    import corpus_pipeline
+
+    texts, pairs = _template_pages(400, random.Random(6), 60)
+    d = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, d, str(tmp_path)).collect()}
+    assert got == set(range(len(texts))) - {b for _, b in pairs}
