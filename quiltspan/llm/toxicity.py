@@ -27,15 +27,17 @@ THREATS = frozenset("kill destroy hurt beat smash stab shoot strangle murder bur
 TARGETS = frozenset("you your yours yourself he she they them him her people everyone du dich dir ihr euch sie tu toi vous ils eux elles tú te usted ustedes ellos ellas".split())
 NEGATIONS = frozenset("not no never isn't aren't don't doesn't didn't won't without kein keine nicht nie ne pas jamais sans nunca jamás sin".split())
 REPORTS = frozenset("said says say wrote writes called calls claimed claims reported quoted according sagte sagt schrieb laut dit disait écrit selon dijo dice escribió según".split())
-SPAN = 4  # words that a negation or target reaches
+INTENSIFIERS = frozenset("such complete completely total totally absolute absolutely utter utterly so really völlig total echt wirklich complètement vraiment tellement totalmente realmente tan".split())
+INTENTS = frozenset("will i'll we'll gonna going shall should must werde werden soll vais va allons voy vamos".split())
+SPAN = 4  # words that a negation, a target, an intensifier or an intent reaches
 
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[.!?;:\n]|[\"“”«»]")
 _WORDS = re.compile(r"[^\W\d_]+")
 
-#: What the machines read and write. Words are OTHER, TARGET, NEGATION, REPORT, INSULT or THREAT; the last four are
-#: what insults and threats become.
-OTHER, TARGET, NEGATION, REPORT, END, COLON, QUOTE, INSULT, THREAT, REPORTED, NEGATED, AIMED, MEANT = range(13)
-SYMBOLS = range(13)
+#: What the machines read and write. Words are OTHER, TARGET, NEGATION, REPORT, INSULT, THREAT, INTENSE or INTENT;
+#: REPORTED, NEGATED, AIMED and MEANT are what insults and threats become.
+OTHER, TARGET, NEGATION, REPORT, END, COLON, QUOTE, INSULT, THREAT, REPORTED, NEGATED, AIMED, MEANT, INTENSE, INTENT = range(15)
+SYMBOLS = range(15)
 FEATURES = ("plain", "aimed", "negated", "reported", "threat", "best", "density", "count")
 _CLASS = {INSULT: 0, AIMED: 1, NEGATED: 2, REPORTED: 3, MEANT: 4}
 
@@ -101,6 +103,25 @@ def reported_speech(weight: float = -1.6) -> Transducer:
     return Transducer((False, False), rule)
 
 
+def quoted_before(weight: float = -1.6) -> Transducer:
+    """Read backwards: insults and threats of a quotation that a word of saying follows, within SPAN words in the same
+    clause, are REPORTED. States: words since the word of saying, SPAN + 1 for none, and whether in a quotation, and
+    whether in one of that kind."""
+    none = SPAN + 1
+
+    def rule(state: State, x: int) -> tuple[State, int, float]:
+        since, quoted, said = state
+        if x == QUOTE:
+            return (none, not quoted, not quoted and since <= SPAN), x, 0.0
+        if quoted:
+            return (state, REPORTED, weight) if said and x in (INSULT, THREAT, NEGATED, AIMED, MEANT) else (state, x, 0.0)
+        if x in (END, COLON):
+            return (none, False, False), x, 0.0
+        return (0 if x == REPORT else min(since + 1, none), False, False), x, 0.0
+
+    return Transducer((none, False, False), rule)
+
+
 def _after(opener: int, changes: dict[int, int], weight: float) -> Transducer:
     """Within SPAN words after ``opener``, in its clause, symbols change. States: words since then, SPAN + 1 for none."""
 
@@ -115,6 +136,16 @@ def _after(opener: int, changes: dict[int, int], weight: float) -> Transducer:
     return Transducer(SPAN + 1, rule)
 
 
+def insult(weight: float = 0.3) -> Transducer:
+    """An insult after an intensifier weighs more."""
+    return _after(INTENSE, {INSULT: INSULT}, weight)
+
+
+def threat(weight: float = 0.3) -> Transducer:
+    """A threat after a word of intent weighs more."""
+    return _after(INTENT, {THREAT: THREAT}, weight)
+
+
 def negation(weight: float = -0.9) -> Transducer:
     return _after(NEGATION, {INSULT: NEGATED, THREAT: NEGATED}, weight)
 
@@ -126,8 +157,9 @@ def target(weight: float = 0.4) -> Transducer:
 
 @cache
 def grammar() -> tuple[tuple, tuple]:
-    """The tables of the composed machine, and of the target machine that reads its output backwards."""
-    return reported_speech().then(negation()).then(target()).table(), target().table()
+    """The tables of the composed machine, and of the one that reads its output backwards."""
+    forwards = insult().then(threat()).then(reported_speech()).then(negation()).then(target())
+    return forwards.table(), quoted_before().then(target()).table()
 
 
 def terms(text: str) -> set[str]:
@@ -137,11 +169,12 @@ def terms(text: str) -> set[str]:
 
 
 class Grammar:
-    """Insult and threat lexica, and the composition of the reported-speech, negation and target transducers.
+    """Insult and threat lexica, and the composition of the insult, threat, reported-speech, negation and target
+    transducers.
 
-    A text's words become symbols; the composed machine reads them once forwards, and the target machine reads what it
-    wrote backwards, for targets that follow. Each insult or meant threat comes out as one class, with its weight in
-    the lexicon times the exponential of the weights of its arcs.
+    A text's words become symbols; the composed machine reads them once forwards, and that of quotations and targets
+    reads what it wrote backwards, for words of saying and targets that follow. Each insult or meant threat comes out
+    as one class, with its weight in the lexicon times the exponential of the weights of its arcs.
     """
 
     def __init__(self, lexicon: dict[str, float]) -> None:
@@ -154,7 +187,7 @@ class Grammar:
         """A word's symbol, and the largest weight among the word and its beginnings."""
         lex = self.lexicon
         w = max([lex.get(word, 0.0), *(lex.get(word[:k] + "*", 0.0) for k in PREFIXES if len(word) > k)])
-        got = (INSULT, w) if w > 0 else (THREAT, 2.0) if word in THREATS else (OTHER, 0.0)
+        got = (INSULT, w) if w > 0 else (THREAT, 2.0) if word in THREATS else (INTENSE if word in INTENSIFIERS else INTENT if word in INTENTS else OTHER, 0.0)
         if len(self.known) < 200_000:
             self.known[word] = got
         return got

@@ -393,6 +393,71 @@ def test_grammar():
     assert f("an idiot. you are")["plain"] == 2 and f("idiot " * 50_000)["plain"] == 100_000
     assert f("you idiot.")["best"] > f("idiot.")["best"] > f("no idiot.")["best"] > f("she said: idiot.")["best"] > 0
     assert f("the tree. blue sky.") == dict.fromkeys(toxicity.FEATURES, 0.0)
+    # a quotation before its word of saying, and none that only stands beside one
+    assert f('"you idiot" she said.')["reported"] == 2 and f('"you idiot!" she said.')["aimed"] == 0
+    assert f('she said. "you idiot" he ran.')["aimed"] == 2 and f('"you idiot", and one two three four said.')["aimed"] == 2
+    assert f('"a kind word" he wrote, you idiot.')["reported"] == 2 and f('you idiot "a kind word" he wrote.')["aimed"] == 2
+    # intensifiers and words of intent weigh in their own clause alone
+    assert f("such an idiot.")["best"] > f("an idiot.")["best"] == f("such. an idiot.")["best"]
+    assert f("i will kill you.")["best"] > f("i kill you.")["best"] == f("i will. i kill you.")["best"] > 0
+    assert f("i will kill time.") == dict.fromkeys(toxicity.FEATURES, 0.0)
+
+
+def test_insult_and_threat_transducers():
+    """The forwards machine of all five, against plain searches for intensifiers and intents."""
+    T = toxicity
+    rng = random.Random(5)
+    parts = T.insult(), T.threat(), T.reported_speech(), T.negation(), T.target()
+    whole = parts[0]
+    for m in parts[1:]:
+        whole = whole.then(m)
+    assert len({s for s, _ in whole.arcs}) < 10_000
+    kinds = [T.OTHER, T.OTHER, T.TARGET, T.NEGATION, T.REPORT, T.END, T.QUOTE, T.INSULT, T.THREAT, T.INTENSE, T.INTENT]
+    for _ in range(300):
+        line = [rng.choice(kinds) for _ in range(rng.randint(0, 25))]
+        out, weights = whole.run(line)
+        rest, plain = line, [0.0] * len(line)
+        for m in parts[2:]:
+            rest, w = m.run(rest)
+            plain = [a + b for a, b in zip(plain, w, strict=True)]
+        assert out == rest
+        for k, x in enumerate(line):
+            words, near = 0, False
+            for y in reversed(line[:k]):
+                if y == T.END:
+                    break
+                words += y != T.QUOTE
+                if y == {T.INSULT: T.INTENSE, T.THREAT: T.INTENT}.get(x):
+                    near = words <= T.SPAN
+                    break
+            assert weights[k] == pytest.approx(plain[k] + 0.3 * near)
+
+
+def test_quotations_before_their_word_of_saying():
+    """The backwards machine, against a plain search from each closing mark."""
+    T = toxicity
+    rng = random.Random(6)
+    kinds = [T.OTHER, T.OTHER, T.TARGET, T.REPORT, T.END, T.COLON, T.QUOTE, T.QUOTE, T.INSULT, T.AIMED, T.MEANT, T.NEGATED]
+    changed = 0
+    for _ in range(600):
+        line = [rng.choice(kinds) for _ in range(rng.randint(0, 25))]
+        got = T.quoted_before().run(line[::-1])[0][::-1]
+        want = list(line)
+        marks = [k for k, x in enumerate(line) if x == T.QUOTE][::-1]
+        for n in range(0, len(marks), 2):
+            close, open_ = marks[n], marks[n + 1] if n + 1 < len(marks) else -1
+            words = 0
+            for y in line[close + 1 :]:
+                if y in (T.END, T.COLON, T.QUOTE):
+                    break
+                if y == T.REPORT:
+                    if words <= T.SPAN:
+                        want[open_ + 1 : close] = [T.REPORTED if z in (T.INSULT, T.AIMED, T.MEANT, T.NEGATED) else z for z in line[open_ + 1 : close]]
+                    break
+                words += 1
+        assert got == want
+        changed += got != line
+    assert changed > 50
 
 
 # 6
