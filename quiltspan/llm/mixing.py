@@ -53,9 +53,9 @@ def mix(
 
     taken = size * repeats, at most ``max_epochs`` times size, and a source's taken words miss its target by half a
     document at most. Null text: size 0, taken 0. Null source: a source of its own, the last. A null doc_id is drawn by
-    its text. Repeated rows are rows of their own; where equal ones lie at the place, so many of them are taken as
-    fit, whichever (they are interchangeable, so that reruns agree). All sizes zero: all targets zero. Empty table:
-    empty result. Other columns may have any names.
+    its text. Repeated rows are rows of their own; where rows of one doc_id and size lie at the place, so many of them
+    are taken as fit, in order of the contents of ``row`` (equal rows are interchangeable, so that reruns agree). All
+    sizes zero: all targets zero. Empty table: empty result. Other columns may have any names.
     """
     text_draw = F.concat(F.lit("null:"), F.coalesce(F.md5("text"), F.lit("")))
     base = docs.select(
@@ -81,15 +81,23 @@ def mix(
     # the first range that fills the quota, and in it the first row that is not taken once more
     fills = parts.join(targets, "key").where("end >= quota")
     first = fills.groupBy("key").agg(F.min(F.struct("part", (F.col("end") - F.col("part_size")).alias("start"), "quota")).alias("f")).select("key", "f.*")
+    # rows of one draw and size are one row with their number, so that repeated rows do not meet in the window
     order = Window.partitionBy("key").orderBy("draw", "size")
-    rows = slim.join(first, ["key", "part"])
-    done = F.col("start") + F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.withColumn("once_more", done.cast("double") + F.col("size") / F.lit(2.0) < F.col("quota"))
+    rows = slim.join(first, ["key", "part"]).groupBy("key", "start", "quota", "draw", "size").agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.withColumn("done", F.col("start") + F.coalesce(F.sum(F.col("size") * F.col("n")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+
+    def fits(j: Column) -> Column:
+        return (F.col("done") + j * F.col("size")).cast("double") + F.col("size") / F.lit(2.0) < F.col("quota")
+
+    # how many of them are taken once more: about (quota - done) / size, put right by the condition itself
+    about = F.ceil((F.col("quota") - F.col("done")) / F.nullif("size", F.lit(0)) - F.lit(0.5)).cast("long")
+    near = F.when(fits(about), about + 1).when(fits(about - 1), about).otherwise(about - 1)
+    number = F.when(F.col("size") == 0, F.when(fits(F.lit(0)), F.col("n")).otherwise(F.lit(0))).otherwise(F.greatest(F.lit(0), F.least(near, F.col("n"))))
+    rows = rows.withColumn("equal", number.cast("long")).where("equal < n")
     place = F.struct("draw", "size")
-    rows = rows.select("key", place.alias("place"), "once_more", F.min(F.when(~F.col("once_more"), place)).over(Window.partitionBy("key")).alias("stop"))
-    stops = rows.groupBy("key").agg(F.first("stop").alias("stop"), F.sum((F.col("once_more") & (F.col("place") == F.col("stop"))).cast("long")).alias("equal"))
+    stops = rows.groupBy("key").agg(F.min(place).alias("stop"), F.min_by("equal", place).alias("equal"))
     # one row per source; a range without such a row is taken whole, and what follows it is not
-    stops = stops.join(first.select("key", F.col("part").alias("last_part")), "key")
+    stops = first.select("key", F.col("part").alias("last_part")).join(stops, "key", "left")
     plan = cut(targets.join(stops, "key", "left"), "mix-plan")
 
     joined = base.join(plan, "key")
@@ -103,11 +111,16 @@ def mix(
 
     if not plan.agg(F.max("equal")).first()[0]:
         return taken(joined, before)
-    # rows that repeat at the place: so many of them as fit
-    at = (place == F.col("stop")) & (F.col("equal") > 0)
-    at = F.coalesce(at, F.lit(False))
-    number = F.row_number().over(Window.partitionBy("key").orderBy(F.lit(0)))
-    return taken(joined.where(~at), before).union(taken(joined.where(at).withColumn("number", number), F.col("number") <= F.col("equal")))
+    # rows that repeat at the place: so many of them as fit, by their contents, numbered in the tasks that read them
+    at = F.coalesce((place == F.col("stop")) & (F.col("equal") > 0), F.lit(False))
+    content = F.md5(F.to_json("row")) if whole_rows else F.lit("")
+    tied = cut(joined.where(at).withColumns({"content": content, "task": F.spark_partition_id()}), "mix-tied")
+    group = ["key", "content", "task"]
+    counts = tied.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("key").orderBy("content", "task").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*group, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("earlier"))
+    numbered = tied.withColumn("number", F.row_number().over(Window.partitionBy(*group).orderBy(F.lit(0)))).join(counts, group)
+    return taken(joined.where(~at), before).union(taken(numbered, F.col("earlier") + F.col("number") <= F.col("equal")))
 
 
 def op10_mix_sources(spark, sf_dir):

@@ -1007,3 +1007,19 @@ def test_pipeline_stages(spark, tmp_path):
     assert max(Counter(r["doc_id"] for r in seen[3]).values()) <= 3
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert packed.where("length > 1024").count() == 0 and packed.select("doc_id").distinct().count() <= len(ids[2])
+
+
+def test_mixing_rows_of_one_id(spark):
+    """Rows of one doc_id and size with different texts, over any partitions: reruns choose the same ones."""
+    rows = [(7, f"w{k % 9} x", "a") for k in range(600)] + [(k, "one two three", "b") for k in range(100, 1000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = None
+    for n, per_range in ((1, 50_000), (5, 50_000), (7, 40)):
+        out = mixing.mix(d.repartition(n), weights=(1, 3), whole_rows=True, rows_per_range=per_range)
+        got = sorted((r["row"]["text"], r["source"], r["repeats"]) for r in out.collect())
+        assert len(got) == len(rows) and (want is None or got == want)
+        want = got
+        for source in "ab":
+            taken = sum(r["taken"] for r in out.where(f"source = '{source}'").collect())
+            target = out.where(f"source = '{source}'").first()["target"]
+            assert abs(taken - target) <= 1.5
