@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..storage import cut
+from .positions import placed
+
 _TOP = "feature map<string,map<string,string>>, clan map<string,string>, interproID map<string,string>, length map<string,string>, count map<string,string>, version map<string,map<string,string>>"
 _TOOL = "map<string,struct<evalue:string,instance:array<array<string>>>>"
 
@@ -47,3 +50,51 @@ def dimension_rows(documents: DataFrame, column: str, value: str) -> DataFrame:
 def versions(documents: DataFrame) -> DataFrame:
     """proteome, tool, info (map)."""
     return documents.select("proteome", F.explode("version").alias("tool", "info"))
+
+
+def read_in_parts(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """The columns of ``read_documents`` with a row for each protein, tool version and other map, from documents of any
+    size: a document is cut at its closing braces, so that several tasks read it, and no row holds more than a protein
+    or one of the other maps.
+
+    Whether a brace stands in a string, and how deep it is, follows from quotes and braces before it: they are counted
+    by split, the splits' counts are summed up (a row for each split goes through the ordered window), and then within
+    each split. Key order within a protein is kept. What is no JSON object gives no rows.
+    """
+    pieces = placed(spark.read.option("lineSep", "}").text(path))
+    bare = F.regexp_replace("value", r"(?s)\\.", "")
+    outside = F.regexp_replace(bare, r'"[^"]*("|$)', "")
+    inside = F.regexp_replace(F.regexp_replace(bare, r'^[^"]*("|$)', ""), r'"[^"]*("|$)', "")
+    held = lambda c, x: F.length(c) - F.length(F.replace(c, F.lit(x), F.lit("")))
+    name = F.regexp_extract(F.element_at(F.split("_file", "/"), -1), r"^(.*?)(-[0-9]{5})?(\.json)?$", 1)
+    pieces = pieces.select("*", name.alias("proteome"), held(bare, '"').alias("quotes"), held(outside, "{").alias("open_0"), held(inside, "{").alias("open_1"))
+    split = ["_file", "_start"]
+    to_here = Window.partitionBy(*split).orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)
+    splits = Window.partitionBy("_file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+
+    def summed(rows: DataFrame, column: str, to: str) -> DataFrame:
+        """``to``: the sum of ``column`` over the rows of the file up to each row."""
+        before = rows.groupBy(*split).agg(F.sum(column).alias("s")).select(*split, F.coalesce(F.sum("s").over(splits), F.lit(0)).alias("_before"))
+        return rows.withColumn(to, F.sum(column).over(to_here)).join(before, split).withColumn(to, F.col(to) + F.col("_before")).drop("_before")
+
+    rows = cut(summed(pieces, "quotes", "quoted"), "document-pieces")
+    rows = rows.withColumn("ends", F.col("quoted") % 2 == 0)
+    starts_outside = (F.col("quoted") - F.col("quotes")) % 2 == 0
+    rows = rows.withColumn("change", F.when(starts_outside, F.col("open_0")).otherwise(F.col("open_1")) - F.col("ends").cast("int"))
+    rows = cut(summed(rows, "change", "depth").drop("quotes", "open_0", "open_1", "quoted", "change"), "document-depths")
+    # an entry ends with a brace that leaves its section open, a section with one that leaves the document open
+    for depth, column in ((2, "entry"), (1, "section")):
+        rows = rows.withColumn("mark", (F.col("ends") & (F.col("depth") <= depth)).cast("int"))
+        rows = summed(rows, "mark", column).withColumn(column, F.col(column) - F.col("mark"))
+    place = F.struct("_start", "_row", "value")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(place)), lambda x: x["value"]), "}")
+    entries = rows.groupBy("_file", "proteome", "section", "entry").agg(text.alias("text"), F.min("depth").alias("depth"))
+    # the first entry of a section begins with the section's key
+    opening = r'"((?:[^"\\]|\\.)*)"\s*:\s*\{'
+    first = F.col("entry") == F.min("entry").over(Window.partitionBy("_file", "section"))
+    entries = cut(entries.withColumn("first", first), "document-entries")
+    keys = entries.where("first").select("_file", "section", F.regexp_extract("text", opening, 1).alias("key"))
+    rest = F.when(F.col("first"), F.regexp_replace("text", r"(?s)^.*?" + opening, "")).otherwise(F.regexp_replace("text", r"^[\s,]*", ""))
+    entries = entries.join(keys, ["_file", "section"]).withColumn("rest", rest).where(r"trim(rest) <> '' and rest rlike '\\S'")
+    whole = F.concat(F.lit('{"'), F.col("key"), F.lit('":{'), F.col("rest"), F.when(F.col("depth") >= 2, F.lit("}")).otherwise(F.lit("")), F.lit("}}"))
+    return entries.select("proteome", F.from_json(whole, _TOP).alias("doc")).where("doc is not null").select("proteome", "doc.*")
