@@ -293,7 +293,10 @@ def _pairs_of(doc: D.Document) -> DataFrame:
     return out
 
 
-@query("annotation_document", f"WITH {INST} SELECT CAST(protein_id AS VARCHAR) AS protein_id, tool, feature, CAST(row_number() OVER (PARTITION BY protein_id ORDER BY t, f, i) - 1 AS INTEGER) AS i, start, stop, evalue FROM (SELECT *, min(i) OVER (PARTITION BY protein_id, tool) AS t, min(i) OVER (PARTITION BY protein_id, tool, feature) AS f FROM inst)")
+_DOCUMENT = f"WITH {INST} SELECT CAST(protein_id AS VARCHAR) AS protein_id, tool, feature, CAST(row_number() OVER (PARTITION BY protein_id ORDER BY t, f, i) - 1 AS INTEGER) AS i, start, stop, evalue FROM (SELECT *, min(i) OVER (PARTITION BY protein_id, tool) AS t, min(i) OVER (PARTITION BY protein_id, tool, feature) AS f FROM inst)"
+
+
+@query("annotation_document", _DOCUMENT)
 def annotation_document(spark, d):
     """A proteome written as documents of some thousand proteins each, and read: instances are numbered in the order of
     the documents' keys."""
@@ -302,6 +305,15 @@ def annotation_document(spark, d):
     return D.read(spark, f"{path}/*.json").instances.select("protein_id", "tool", "feature", "i", "start", "stop", "evalue")
 
 
+@query("annotation_document_parts", _DOCUMENT)
+def annotation_document_parts(spark, d):
+    """The same from documents that are cut at their closing braces, so that several tasks read one."""
+    path = new_path(spark, "annotation")
+    D.write(_document(spark, d), path, "tax", ["pfam", "smart"], 1_000_000)
+    doc = D.read(spark, f"{path}/*.json", in_parts=True)
+    return doc.instances.select("protein_id", "tool", "feature", "i", "start", "stop", "evalue")
+
+
 _MAPS = """SELECT 'clan' AS kind, feature AS key, clan AS value FROM (SELECT DISTINCT feature, clan FROM inst WHERE clan IS NOT NULL)
 UNION ALL SELECT 'interproID', feature, x FROM (VALUES ('pfam_ECONOMY', 'IPR000001.3'), ('pfam_SMALL', 'IPR000002.1'), ('smart_PROMO', 'IPR000003')) t(feature, x)
 UNION ALL SELECT 'length', feature, CAST(x AS VARCHAR) FROM (VALUES ('pfam_ECONOMY', 120), ('smart_MEDIUM', 77)) t(feature, x)"""

@@ -47,9 +47,11 @@ def completed(instances: DataFrame) -> DataFrame:
     return out.select(*INSTANCE)
 
 
-def read(spark: SparkSession, paths: str | Sequence[str]) -> Document:
-    """The documents in ``paths`` as one: shards of a document are read together."""
-    docs = annotation.read_documents(spark, [paths] if isinstance(paths, str) else list(paths))
+def read(spark: SparkSession, paths: str | Sequence[str], in_parts: bool = False) -> Document:
+    """The documents in ``paths`` as one: shards of a document are read together. ``in_parts``: several tasks read a
+    document, which may have any size."""
+    reader = annotation.read_in_parts if in_parts else annotation.read_documents
+    docs = reader(spark, [paths] if isinstance(paths, str) else list(paths))
     rows = annotation.instances(docs)
     from pyspark.sql import Window
 

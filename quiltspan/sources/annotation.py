@@ -15,7 +15,7 @@ _TOOL = "map<string,struct<evalue:string,instance:array<array<string>>>>"
 def read_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """One row per document: proteome (the file's name without suffix and shard) and its parsed top level. Key order is
     kept, since it numbers the instances. A document is read whole, 2 GB at most: ``documents.write`` splits larger
-    ones into shards."""
+    ones into shards, ``read_in_parts`` takes any."""
     text = spark.read.text(path, wholetext=True).select("value", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(-[0-9]{5})?(\.json)?$", 1).alias("proteome"))
     return text.select("proteome", F.from_json("value", _TOP).alias("doc")).select("proteome", "doc.*")
 
