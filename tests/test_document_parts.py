@@ -3,6 +3,7 @@
 import json
 import random
 
+from quiltspan import api
 from quiltspan.sources import annotation
 
 
@@ -40,3 +41,13 @@ def test_read_in_parts(spark, tmp_path):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert all(want[:3]) and got == want
+
+
+def test_load_in_parts(spark, tmp_path):
+    (tmp_path / "tax.json").write_text(json.dumps(_document(random.Random(5), 30)))
+    tools = [("pfam", True, 0), ("smart", True, 1), ("seg", False, 2)]
+    whole, parts = (api.load(spark, [str(tmp_path / "tax.json")], tools, in_parts=p) for p in (False, True))
+    for name in ("instances", "proteins", "clans"):
+        columns = getattr(whole, name).columns
+        a, b = (sorted(map(str, getattr(x, name).select(*columns).collect())) for x in (whole, parts))
+        assert a and a == b, name
