@@ -5,18 +5,31 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def runs(masked: DataFrame, char: str, feature: str) -> DataFrame:
-    """1-based closed intervals of the runs of ``char`` in ``masked`` (id, sequence): splits at the runs' borders and
-    adds up lengths, linear in the sequence."""
-    parts = masked.select("id", F.regexp_extract_all("sequence", F.lit(rf"([{char}]+|[^{char}]+)"), 1).alias("p"))
-    ends = F.aggregate("p", F.array().cast("array<int>"), lambda a, x: F.array_append(a, F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + F.length(x)))
-    rows = parts.withColumn("e", ends).select("id", F.explode(F.arrays_zip("p", "e")).alias("x")).where(F.col("x.p").startswith(char))
-    return rows.select("id", F.lit(feature).alias("feature"), (F.col("x.e") - F.length("x.p") + 1).alias("start"), F.col("x.e").alias("stop"), F.lit(None).cast("double").alias("evalue"))
+    """1-based closed intervals of the runs of ``char`` in ``masked`` (id, sequence), by code points: the borders of a
+    sequence's runs are found on Arrow batches, linear in the sequence."""
+    code = ord(char)
+
+    @F.arrow_udf("array<struct<start:int,stop:int>>")
+    def spans(sequence: pa.Array) -> pa.Array:
+        starts, stops, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [0]
+        for s in sequence:
+            here = np.frombuffer((s.as_py() or "").encode("utf-32-le", "surrogatepass"), "<u4") == code
+            border = np.flatnonzero(np.diff(here, prepend=False, append=False)).astype(np.int32)
+            starts.append(border[::2] + 1)
+            stops.append(border[1::2])
+            sizes.append(len(border) // 2)
+        both = pa.StructArray.from_arrays([pa.array(np.concatenate(x), pa.int32()) for x in (starts, stops)], names=["start", "stop"])
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), both)
+
+    rows = masked.select("id", F.explode(spans("sequence")).alias("x"))
+    return rows.select("id", F.lit(feature).alias("feature"), "x.start", "x.stop", F.lit(None).cast("double").alias("evalue"))
 
 
 def islands(residues: DataFrame) -> DataFrame:
