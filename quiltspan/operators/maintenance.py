@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import cut
+
 
 def unordered(a: str = "seed", b: str = "query"):
     """The two ids of a pair in one order."""
@@ -96,11 +98,13 @@ def identical_pairs(pairs: DataFrame, instances: DataFrame) -> DataFrame:
     met by a fingerprint of 64 bits, which goes through the joins, and then by what it stands for."""
     content = F.array_sort(F.collect_list(F.struct("tool", "feature", "start", "stop", "evalue")))
     whole = instances.groupBy("protein_id").agg(content.alias("content"))
-    mark = whole.select("protein_id", F.xxhash64("content").alias("h"))
-    s, q = mark.select(F.col("protein_id").alias("seed"), "h"), mark.select(F.col("protein_id").alias("query"), F.col("h").alias("q_h"))
+    whole = cut(whole.select("protein_id", F.xxhash64("content").alias("h"), "content"), "annotations")
+    s, q = whole.select(F.col("protein_id").alias("seed"), "h"), whole.select(F.col("protein_id").alias("query"), F.col("h").alias("q_h"))
     met = pairs.where("seed <> query").select("seed", "query").join(s, "seed").join(q, "query").where("h = q_h").select("seed", "query")
     s, q = whole.select(F.col("protein_id").alias("seed"), "content"), whole.select(F.col("protein_id").alias("query"), F.col("content").alias("q_content"))
-    return met.join(s, "seed").join(q, "query").where("content = q_content").select("seed", "query")
+    # not as an equation, which Spark would make a key of the join and sort the rows by
+    equal = F.array_contains(F.array("content"), F.col("q_content"))
+    return met.join(s, "seed").join(q, "query").where(equal).select("seed", "query")
 
 
 def ortholog_groups(members: DataFrame, one_seed_taxon: bool = False, names: DataFrame | None = None) -> DataFrame:
