@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources import annotation, predictors
@@ -38,8 +38,6 @@ def counted(instances: DataFrame) -> DataFrame:
 def completed(instances: DataFrame) -> DataFrame:
     """INSTANCE columns, with nulls for those that the predictor does not give, numbered by protein in order of tool,
     feature and place where there is no number."""
-    from pyspark.sql import Window
-
     out = instances.withColumns({c: F.lit(None).cast(t) for c, t in OPTIONAL.items() if c not in instances.columns})
     if "i" not in out.columns:
         order = Window.partitionBy("protein_id").orderBy("tool", "feature", "start", "stop", "evalue")
@@ -53,8 +51,6 @@ def read(spark: SparkSession, paths: str | Sequence[str], in_parts: bool = False
     reader = annotation.read_in_parts if in_parts else annotation.read_documents
     docs = reader(spark, [paths] if isinstance(paths, str) else list(paths))
     rows = annotation.instances(docs)
-    from pyspark.sql import Window
-
     number = F.row_number().over(Window.partitionBy("protein_id").orderBy("tool_pos", "feat_pos", "inst_pos")) - 1
     dims = {v: annotation.dimension(docs, c, v).dropDuplicates(["feature"]) for c, v in (("clan", "clan"), ("interproID", "interpro"), ("length", "plen"))}
     lengths = dims["plen"].select("feature", F.expr("try_cast(plen as int)").alias("plen"))
@@ -232,28 +228,36 @@ def protein_lines(doc: Document, tools: Sequence[str] = ()) -> DataFrame:
     return doc.proteins.join(whole, "protein_id", "left").select("protein_id", F.concat(head, F.coalesce("t", F.lit("")), F.lit("}")).alias("value"))
 
 
-def shards(doc: Document, tools: Sequence[str] = (), proteins_per_document: int = 20_000) -> DataFrame:
-    """shard, value: the document as JSON texts of about so many proteins each, of which every one is a document: with
-    the dimensions of its own features, its own counts, and all versions. A reader takes a text whole (2 GB at most),
-    so that a large proteome must not be one."""
-    n = max(1, -(-doc.proteins.count() // proteins_per_document))
-    shard = F.pmod(F.xxhash64(F.col("protein_id").cast("string")), F.lit(n)).alias("shard")
-    entries = protein_lines(doc, tools).select(shard, "protein_id", "value")
-    out = entries.groupBy("shard").agg(_joined(F.col("protein_id"), F.col("value"), '{"feature":{', "}").alias("value"))
-    counts = counted_by(doc, shard) if n > 1 else doc.counts.withColumn("shard", F.lit(0).cast("long"))
-    features = counts.select("shard", "feature")
+#: The sections of a document after its proteins, in order.
+_MAPS = ("clan", "interproID", "length", "count", "version")
 
-    def part(rows: DataFrame, name: str, value: Column) -> DataFrame:
-        entry = F.concat(_quoted(F.col("feature")), F.lit(":"), value)
-        return rows.groupBy("shard").agg(_joined(F.col("feature"), entry, f',"{name}":{{', "}").alias(name))
 
-    parts = [part(features.join(rows, "feature"), name, value) for rows, name, value in ((doc.clans, "clan", _quoted(F.col("clan"))), (doc.accessions, "interproID", _quoted(F.col("interpro"))), (doc.lengths, "length", F.col("plen").cast("string")))]
-    parts.append(part(counts, "count", F.col("n").cast("string")))
-    for p, name in zip(parts, ("clan", "interproID", "length", "count"), strict=True):
-        out = out.join(p, "shard", "left").withColumn("value", F.concat("value", F.coalesce(name, F.lit(f',"{name}":{{}}')))).drop(name)
-    entry = F.concat(_quoted(F.col("tool")), F.lit(":"), F.to_json("info"))
-    versions = doc.versions.agg(_joined(F.col("tool"), entry, ',"version":{', "}").alias("version")).first()[0]  # one text of a few tools
-    return out.select("shard", F.concat("value", F.lit(versions), F.lit("}")).alias("value"))
+def document_lines(doc: Document, tools: Sequence[str] = (), documents: int = 1) -> DataFrame:
+    """shard, value: the lines of so many JSON texts, in order within a partition for each text. Every text is a
+    document: with the dimensions of its own features, its own counts, and all versions. An entry of a map is a line,
+    so that no row holds more than a protein."""
+    spark = doc.proteins.sparkSession
+    shard = F.pmod(F.xxhash64(F.col("protein_id").cast("string")), F.lit(documents)).cast("int").alias("shard")
+    counts = counted_by(doc, shard) if documents > 1 else doc.counts.withColumn("shard", F.lit(0))
+    features = counts.select("shard", "feature")
+    every = spark.range(documents).select(F.col("id").cast("int").alias("shard"))
+    maps = [
+        (features.join(doc.clans, "feature"), "feature", _quoted(F.col("clan"))),
+        (features.join(doc.accessions, "feature"), "feature", _quoted(F.col("interpro"))),
+        (features.join(doc.lengths, "feature"), "feature", F.col("plen").cast("string")),
+        (counts, "feature", F.col("n").cast("string")),
+        (every.crossJoin(doc.versions), "tool", F.to_json("info")),
+    ]
+    out = protein_lines(doc, tools).select(shard, F.lit(0).alias("section"), F.lit(False).alias("opens"), F.col("protein_id").cast("string").alias("key"), "value")
+    for k, (rows, key, value) in enumerate(maps, 1):
+        out = out.union(rows.select("shard", F.lit(k), F.lit(False), key, F.concat(_quoted(F.col(key)), F.lit(":"), value)))
+    opening = ['{"feature":{', *[f'}},"{name}":{{' for name in _MAPS], "}}"]
+    heads = F.posexplode(F.array(*map(F.lit, opening))).alias("section", "value")
+    out = out.union(every.select("shard", heads).select("shard", "section", F.lit(True), F.lit(""), "value"))
+    order = Window.partitionBy("shard").orderBy("section", F.col("opens").desc(), "key")
+    comma = F.when(~F.col("opens") & ~F.lag("opens").over(order), F.lit(",")).otherwise(F.lit(""))
+    # a text's lines go by in its own partition, which the window takes as it is
+    return out.repartitionById(documents, "shard").select("shard", F.concat(comma, "value").alias("value"))
 
 
 def counted_by(doc: Document, shard: Column) -> DataFrame:
@@ -261,7 +265,8 @@ def counted_by(doc: Document, shard: Column) -> DataFrame:
 
 
 def write(doc: Document, path: str, name: str, tools: Sequence[str] = (), proteins_per_document: int = 20_000) -> None:
-    """``name.json``, or ``name-00000.json`` and so on, in ``path``."""
-    rows = shards(doc, tools, proteins_per_document).orderBy("shard").select("value")
-    rows.write.option("maxRecordsPerFile", 1).text(path)
+    """``name.json``, or ``name-00000.json`` and so on, of about so many proteins each, in ``path``. A reader takes a
+    text whole (2 GB at most) unless it reads in parts, so that a large proteome had better not be one."""
+    n = max(1, -(-doc.proteins.count() // proteins_per_document))
+    document_lines(doc, tools, n).select("value").write.text(path)
     rename_files(doc.proteins.sparkSession, path, ".txt", lambda k, n: f"{name}.json" if n == 1 else f"{name}-{k:05d}.json")

@@ -91,10 +91,11 @@ def read_in_parts(spark: SparkSession, path: str | list[str]) -> DataFrame:
     entries = rows.groupBy("_file", "proteome", "section", "entry").agg(text.alias("text"), F.min("depth").alias("depth"))
     # the first entry of a section begins with the section's key
     opening = r'"((?:[^"\\]|\\.)*)"\s*:\s*\{'
-    first = F.col("entry") == F.min("entry").over(Window.partitionBy("_file", "section"))
-    entries = cut(entries.withColumn("first", first), "document-entries")
-    keys = entries.where("first").select("_file", "section", F.regexp_extract("text", opening, 1).alias("key"))
-    rest = F.when(F.col("first"), F.regexp_replace("text", r"(?s)^.*?" + opening, "")).otherwise(F.regexp_replace("text", r"^[\s,]*", ""))
-    entries = entries.join(keys, ["_file", "section"]).withColumn("rest", rest).where(r"trim(rest) <> '' and rest rlike '\\S'")
+    entries = cut(entries, "document-entries")
+    firsts = entries.groupBy("_file", "section").agg(F.min("entry").alias("entry"))
+    keys = entries.join(firsts, ["_file", "section", "entry"]).select("_file", "section", F.col("entry").alias("first"), F.regexp_extract("text", opening, 1).alias("key"))
+    rest = F.when(F.col("entry") == F.col("first"), F.regexp_replace("text", r"(?s)^.*?" + opening, "")).otherwise(F.regexp_replace("text", r"^[\s,]*", ""))
+    # written, so that Spark sees how few they are: a section, which may be all of a document, is not gathered
+    entries = entries.join(cut(keys, "document-keys"), ["_file", "section"]).withColumn("rest", rest).where(r"trim(rest) <> '' and rest rlike '\\S'")
     whole = F.concat(F.lit('{"'), F.col("key"), F.lit('":{'), F.col("rest"), F.when(F.col("depth") >= 2, F.lit("}")).otherwise(F.lit("")), F.lit("}}"))
     return entries.select("proteome", F.from_json(whole, _TOP).alias("doc")).where("doc is not null").select("proteome", "doc.*")
