@@ -20,7 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies: five-word shingles at a similarity of 0.8 or more."""
+    """One row of each group of near copies, five-word shingles at a similarity of 0.8 or more, found by SimHashes."""
     return near_copies.survivors(docs)
 
 

@@ -1,9 +1,11 @@
-"""Near copies at a Jaccard similarity of word shingles: a wide positional fingerprint, its index, and verification."""
+"""Near copies at a Jaccard similarity of word shingles: SimHashes, the index of their positional bytes, a tally of the
+bits that differ, and verification."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -11,13 +13,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from . import simhash
 from .common import connected_components, cut, text_batches, unused_name
 
 SEED = 42
 SHINGLE = 5
 SIMILARITY = 0.8
-#: The fingerprint has BANDS x ROWS positions, each the minimum of one hash over the shingles, at which two texts agree
-#: with the probability of their similarity; at 0.8 they share no band with probability (1 - 0.8^6)^24 = 0.0007.
+#: A text has so many SimHashes of 64 bits. Each gives one positional byte: its most decided bit, the one whose sum over
+#: the shingles is largest, and the bit's sign. At the similarity 0.8 two texts agree in a byte with probability 0.43, and
+#: others in one of 128; a key of the index is two bytes, or three where there are more than MANY texts.
+SIMHASHES, MANY = 72, 1 << 22
+#: Of the first two SimHashes' 128 bits some 19 differ at the similarity 0.8, 64 between texts that have nothing in common.
+DISTANCE = 36
+#: Lists of more members are not tallied; their members are compared as those of lists of near copies are.
+TALLIED = 4_096
+#: Pairs that are tallied at once.
+_TOGETHER = 1 << 20
+#: To spare verifications, members of long lists of near copies are compared by BANDS x ROWS least hashes first.
 BANDS, ROWS = 24, 6
 #: At the similarity 0.8 some 115 of the 144 positional bytes agree; fewer than this with a probability of 0.0007.
 LEAST_SHARED = 100
@@ -28,6 +40,7 @@ _CHUNK = 2048
 _RNG = np.random.default_rng(SEED)
 _FACTOR = _RNG.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _SHIFT = _RNG.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
+_SALT = _RNG.integers(0, 2**64, SIMHASHES, dtype=np.uint64)
 
 
 def shingles(text: str | None, length: int = SHINGLE) -> np.ndarray:
@@ -47,20 +60,41 @@ def _low(hashes: np.ndarray) -> np.ndarray:
     return np.unique(hashes.astype("<u4"))
 
 
+def _spread(x: np.ndarray) -> np.ndarray:
+    """Unsigned 64-bit numbers whose bits all depend on all bits of the given ones (the finalizer of SplitMix64)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def simhashes(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The SimHashes of a text's shingles, and of each the positional byte: twice its most decided bit's place, and one
+    more if that bit is set."""
+    ones = np.zeros(64 * SIMHASHES, np.int64)
+    for k in range(0, len(hashes), 255):
+        h = _spread(hashes[k : k + 255, None] ^ _SALT)
+        ones += np.add.reduce(np.unpackbits(h.view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    sums = (2 * ones - len(hashes)).reshape(SIMHASHES, 64)
+    place = np.abs(sums).argmax(axis=1)
+    return np.packbits(sums > 0, bitorder="little").view(np.uint64), (2 * place + (sums[np.arange(SIMHASHES), place] > 0)).astype(np.uint8)
+
+
+def simhash_keys(n: int) -> np.ndarray:
+    """The positional bytes (keys x length) by which n texts are posted. At the similarity 0.8 two texts share no key
+    with probability (1 - 0.43^2)^36 = 0.0006, and (1 - 0.43^3)^96 = 0.0003 under keys of three bytes."""
+    if n <= MANY:
+        return np.arange(SIMHASHES).reshape(-1, 2)
+    return np.stack([np.random.default_rng([SEED, k]).permutation(SIMHASHES)[:3] for k in range(96)])
+
+
 def positions(hashes: np.ndarray) -> np.ndarray:
-    """The fingerprint: for each position the least value of its hash over the shingles."""
+    """For each position the least value of its hash over the shingles."""
     low, least = hashes.astype(np.uint32), np.full(BANDS * ROWS, 2**32 - 1, np.uint32)
     for k in range(0, len(low), _CHUNK):
         least = np.minimum(least, (low[k : k + _CHUNK, None] * _FACTOR + _SHIFT).min(axis=0))
     return least
 
 
-def bands(least: np.ndarray) -> list[int]:
-    """The fingerprint's keys, one a band, as signed longs."""
-    keys = [xxh64_intdigest(least[k * ROWS : (k + 1) * ROWS].tobytes(), k) for k in range(BANDS)]
-    return np.array(keys, np.uint64).view(np.int64).tolist()
-
-
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both / (len(a) + len(b) - both)
@@ -78,27 +112,99 @@ def _prints(docs: DataFrame) -> DataFrame:
         for batch in batches:
             sets = [shingles(t.as_py()) for t in batch.column("text")]
             fps = np.array([xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-            least = [positions(s) for s in sets]
-            keys = pa.array([bands(x) if len(s) else [] for x, s in zip(least, sets, strict=True)], pa.list_(pa.int64()))
-            marks = pa.array([x.astype(np.uint8).tobytes() for x in least], pa.binary())
-            arrays = [pa.array(fps), keys, marks, pa.array([_low(s).tobytes() for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), *arrays], names=["doc_id", "row_key", "fp", "bands", "marks", "shingles"])
+            bits = [simhashes(s) if len(s) else None for s in sets]
+            # the positional bytes, and the SimHashes that are tallied
+            print_ = pa.array([None if x is None else x[1].tobytes() + x[0][:2].tobytes() for x in bits], pa.binary())
+            marks = pa.array([positions(s).astype(np.uint8).tobytes() for s in sets], pa.binary())
+            arrays = [pa.array(fps), print_, marks, pa.array([_low(s).tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), *arrays], names=["doc_id", "row_key", "fp", "print", "marks", "shingles"])
 
     rows = text_batches(docs).select("doc_id", row_key(docs).alias("row_key"), "text")
-    return rows.mapInArrow(run, f"doc_id {kind}, row_key string, fp long, bands array<long>, marks binary, shingles binary")
-
-
-def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of fingerprints to verify, and the posts (key, fp) of lists of more than three. ``nodes``: fp,
-    bands, each fp once.
+    return rows.mapInArrow(run, f"doc_id {kind}, row_key string, fp long, print binary, marks binary, shingles binary")
+
+
+def _close(ends: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """For each member of neighbouring lists the first one of its list that pairs at DISTANCE bits or fewer reach.
+    ``ends``: where each member's list ends; ``bits``: two SimHashes of each."""
+    at, edges = np.arange(len(ends)), [np.zeros((2, 0), np.int64)]
+    later = ends - at - 1
+    costs, k = np.cumsum(later), 0
+    while k < len(ends):
+        e = max(int(np.searchsorted(costs, (costs[k - 1] if k else 0) + _TOGETHER, "right")), k + 1)
+        a = np.repeat(at[k:e], later[k:e])
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(later[k:e]) - later[k:e], later[k:e])
+        near = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1) <= DISTANCE
+        if near.any():
+            root = simhash._roots(len(ends), a[near], b[near])
+            some = np.flatnonzero(root != at)
+            edges.append(np.stack([some, root[some]]))
+        k = e
+    return simhash._roots(len(ends), *np.concatenate(edges, axis=1))
+
+
+def _groups(keys: np.ndarray, fps: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """key, fp of the groups of two or more that are close within their lists. A group's key is made of its members, so
+    that a group found in many lists is one. ``keys`` ascend."""
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    sizes = np.diff(np.r_[starts, len(keys)])
+    root = _close(np.repeat(starts + sizes, sizes), bits)
+    total = np.zeros(len(keys), np.uint64)
+    np.add.at(total, root, _spread(fps.view(np.uint64)))
+    some = np.bincount(root, minlength=len(keys))[root] > 1
+    return total[root[some]].view(np.int64), fps[some]
+
+
+def posted(nodes: DataFrame, n: int, tallied: int = TALLIED) -> DataFrame:
+    """Groups (key, fp) of texts that may be near copies. ``nodes``: fp, print, each fp once; ``n``: their number.
+
+    The index posts a text under pairs of positional bytes of its SimHashes. Within a list, the bits of two further
+    SimHashes in which two members differ are tallied, pairs with more than DISTANCE go, and what the others connect is
+    a group. Lists of more than ``tallied`` members are groups as they are.
+    """
+    drawn = simhash_keys(n)
 
-    Every member of a band's posting list meets two of its members, which the band's own order of fingerprints puts
-    first and last: all pairs in lists of up to three, and in longer ones, which are mostly groups of copies, other
-    pairs in each band. Both ends are minima, combined before the shuffle, and meet the list in an equi-join, so that
-    no list is gathered and the pairs grow as the rows. What such pairs leave apart in a longer list ``left_apart``
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = np.frombuffer(b"".join(batch.column("print").to_pylist()), np.uint8).reshape(-1, SIMHASHES + 16)
+            left, right = (pa.array(x) for x in np.ascontiguousarray(rows[:, SIMHASHES:]).view(np.int64).T)
+            for k, places in enumerate(drawn):
+                key = np.full(len(rows), k, np.int64)
+                for p in places:
+                    key = key << 8 | rows[:, p]
+                yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("fp"), left, right], names=["key", "fp", "left", "right"])
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest, whole = np.zeros((0, 4), np.int64), None  # the last list so far; the key of one that is too long
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                rows = np.stack([np.asarray(batch.column(c), np.int64) for c in ("key", "fp", "left", "right")], axis=1)
+                long = rows[:, 0] == whole if whole is not None else np.zeros(len(rows), bool)
+                out = [(rows[long, 0], rows[long, 1])]
+                rest = np.concatenate([rest, rows[~long]])
+                done = int(np.searchsorted(rest[:, 0], rest[-1, 0])) if len(rest) else 0
+            else:
+                out, done = [], len(rest)
+            some, rest = rest[:done], rest[done:]
+            out.append(_groups(some[:, 0].copy(), some[:, 1].copy(), some[:, 2:].view(np.uint64)))
+            if len(rest) > tallied:
+                whole = rest[0, 0]
+                out.append((rest[:, 0], rest[:, 1]))
+                rest = rest[:0]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["key", "fp"])
+
+    posts = nodes.where("print is not null").select("fp", "print").mapInArrow(post, "key long, fp long, left long, right long")
+    return posts.repartition("key").sortWithinPartitions("key").mapInArrow(tally, "key long, fp long").distinct()
+
+
+def candidates(posts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of fingerprints to verify, and the posts (key, fp) of groups of more than three. ``posts``: key, fp.
+
+    Every member of a group meets two of its members, which the group's own order of fingerprints puts
+    first and last: all pairs in groups of up to three, and in longer ones, which are mostly groups of copies, other
+    pairs in each group. Both ends are minima, combined before the shuffle, and meet the list in an equi-join, so that
+    no group is gathered and the pairs grow as the rows. What such pairs leave apart in a longer group ``left_apart``
     compares.
     """
-    posts = nodes.select("fp", F.explode("bands").alias("key"))
     order = F.col("fp").bitwiseXOR(F.col("key"))
     ends = posts.groupBy("key").agg(F.min(order).alias("lo"), F.max(order).alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
     met = cut(posts.join(ends, "key"), "lists")
@@ -235,8 +341,8 @@ def survivors(docs: DataFrame) -> DataFrame:
     """
     prints = cut(_prints(docs), "prints")
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")
-    nodes = cut(prints.groupBy("fp").agg(F.min(row).alias("least"), F.first("bands").alias("bands")), "nodes")
-    pairs, long = candidates(nodes)
+    nodes = cut(prints.groupBy("fp").agg(F.min(row).alias("least"), F.first("print").alias("print")), "nodes")
+    pairs, long = candidates(cut(posted(nodes, nodes.count()), "posts"))
 
     def of_nodes(some: DataFrame, *columns: str) -> DataFrame:
         """fp and columns of ``some`` fingerprints (fp), from one row of each."""
