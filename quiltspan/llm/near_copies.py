@@ -197,7 +197,8 @@ def posted(nodes: DataFrame, n: int, tallied: int = TALLIED) -> DataFrame:
 
 
 def candidates(posts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of fingerprints to verify, and the posts (key, fp) of groups of more than three. ``posts``: key, fp.
+    """Pairs (a, b) of fingerprints to verify, and the posts of groups of more than three: key, fp, the group's smallest
+    fp (first) and size (n). ``posts``: key, fp.
 
     Every member of a group meets two of its members, which the group's own order of fingerprints puts
     first and last: all pairs in groups of up to three, and in longer ones, which are mostly groups of copies, other
@@ -206,11 +207,29 @@ def candidates(posts: DataFrame) -> tuple[DataFrame, DataFrame]:
     compares.
     """
     order = F.col("fp").bitwiseXOR(F.col("key"))
-    ends = posts.groupBy("key").agg(F.min(order).alias("lo"), F.max(order).alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
+    ends = posts.groupBy("key").agg(F.min(order).alias("lo"), F.max(order).alias("hi"), F.min("fp").alias("first"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
     met = cut(posts.join(ends, "key"), "lists")
     pairs = met.select("fp", F.explode(F.array(F.col("lo").bitwiseXOR(F.col("key")), F.col("hi").bitwiseXOR(F.col("key")))).alias("end"))
     pairs = pairs.where("fp <> end").select(F.greatest("fp", "end").alias("a"), F.least("fp", "end").alias("b")).distinct()
-    return pairs, met.where("n > 3").select("key", "fp")
+    return pairs, met.where("n > 3").select("key", "fp", "first", "n")
+
+
+def merged(lists: DataFrame, most: int = HOT_LIST) -> DataFrame:
+    """Posts (key, fp) of fewer lists, in which all members of each given list (key, fp, first, n) meet.
+
+    Texts of a large group share many lists of the index, so that each of their pairs would meet in many. Lists that
+    overlap, in chains as well, become one where that has no more pairs than all of them and ``most`` members at most;
+    the others stay. Overlaps are those of the lists' first members, of which a text names its own lists'.
+    """
+    texts = lists.groupBy("fp").agg(F.min("first").alias("first"), F.collect_set("first").alias("firsts"), F.sum("n").alias("met"))
+    texts = cut(texts, "lists-of-texts")
+    edges = texts.select(F.explode("firsts").alias("a"), F.col("first").alias("b")).where("a <> b").distinct()
+    roots = connected_components(edges)
+    texts = texts.join(roots, texts["first"] == roots["node"], "left").select(F.coalesce("root", "first").alias("cluster"), "fp", "met")
+    texts = cut(texts, "clusters")
+    one = texts.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("met").alias("met")).where((F.col("n") <= most) & (F.col("n") * F.col("n") <= F.col("met")))
+    whole = texts.join(one, "cluster", "left_semi").select(F.xxhash64("cluster").alias("key"), "fp")
+    return whole.union(lists.join(texts.join(one, "cluster", "left_anti"), "fp", "left_semi").select("key", "fp"))
 
 
 def longer_keys(n: int) -> np.ndarray:
@@ -355,6 +374,7 @@ def survivors(docs: DataFrame) -> DataFrame:
         return cut(verified(pairs, cut(of_nodes(met, "shingles"), "sets")), "links")
 
     roots = connected_components(linked(pairs))
+    long = cut(merged(long), "merged-lists")
     more = cut(left_apart(long, roots, of_nodes(long.select("fp"), "marks", "shingles")), "links-apart")
     if not more.isEmpty():
         roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))

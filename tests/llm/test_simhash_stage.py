@@ -54,3 +54,56 @@ def test_lists_too_long_to_tally_are_groups_as_they_are(spark):
 
 def test_keys_of_many_texts_are_longer():
     assert nc.simhash_keys(nc.MANY).shape == (36, 2) and nc.simhash_keys(nc.MANY + 1).shape == (96, 3)
+
+
+def _executions(spark):
+    """The numbers of the session's SQL executions that Spark still lists."""
+    listed = spark._jsparkSession.sharedState().statusStore().executionsList()
+    return [listed.apply(k).executionId() for k in range(listed.size())]
+
+
+def _rows_of_joins(spark, by, executions):
+    """Rows that inner joins by ``by`` have made in ``executions``."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    made = 0
+    for number in executions:
+        nodes, values = store.planGraph(number).allNodes(), store.executionMetrics(number)
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            if "Join" in node.name() and f"[{by}" in node.desc() and "Inner" in node.desc():
+                for metric in (node.metrics().apply(k) for k in range(node.metrics().size())):
+                    if metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                        made += int(values.apply(metric.accumulatorId()).replace(",", ""))
+    return made
+
+
+def test_overlapping_lists_become_one_where_that_compares_no_more(spark):
+    rng = random.Random(8)
+    close = [rng.sample(range(40), 25) for _ in range(20)]  # 20 lists of 25 among 40 texts: one
+    chain = [range(k, k + 4) for k in range(100, 160, 3)]  # each shares a text with the next: as they are
+    lists = [*close, *chain, range(200, 204)]
+    rows = [(key, fp, min(x), len(x)) for key, x in enumerate(lists) for fp in x]
+    given = spark.createDataFrame(rows, "key long, fp long, first long, n long")
+    for most, sizes in ((1_000, [4] * 21 + [len(set().union(*close))]), (30, [4] * 21 + [25] * 20)):
+        got = {}
+        for r in nc.merged(given, most).collect():
+            got.setdefault(r["key"], []).append(r["fp"])
+        assert sorted(map(len, got.values())) == sorted(sizes)
+        assert all(any(set(x) <= set(y) for y in got.values()) for x in lists)
+    assert nc.merged(given.where("false")).count() == 0
+
+
+def test_texts_of_many_lists_meet_their_shingles_a_few_times(spark):
+    """Texts that share most lists of the index: the joins that give them their shingles make a few rows of each."""
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(3_000)]
+    base = [rng.choice(words) for _ in range(200)]
+    texts = []
+    for _ in range(300):  # some 0.75 between two of them
+        t = list(base)
+        for _ in range(3):
+            t[rng.randrange(200)] = rng.choice(words)
+        texts.append((len(texts), " ".join(t)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    before = max(_executions(spark), default=-1)
+    assert 0 < nc.survivors(docs).count() < 300
+    assert 0 < _rows_of_joins(spark, "fp", [k for k in _executions(spark) if k > before]) <= 5 * len(texts)
