@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources import annotation, predictors
-from ..storage import cut, rename_files
+from ..storage import cut, drop_shuffles, rename_files
 from . import maintenance as M
 
 INSTANCE = ["protein_id", "tool", "feature", "feature_evalue", "i", "start", "stop", "evalue", "bit_score", "hmm_from", "hmm_to"]
@@ -211,21 +211,21 @@ def _joined(order: Column, text: Column, before: str, after: str) -> Column:
 
 def protein_lines(doc: Document, tools: Sequence[str] = ()) -> DataFrame:
     """protein_id, value: each protein's entry, ``"id":{"length":n,"tool":{"feature":{"evalue":x,"instance":[...]}}}``.
-    Tools in ``tools`` are there even without a feature."""
+    Tools in ``tools`` are there even without a feature. Instances are dealt out by protein once, for all groupings."""
     short = F.concat_ws(",", F.col("start").cast("string"), F.col("stop").cast("string"), _number("evalue"))
     long = F.concat_ws(",", short, _number("bit_score"), _number("hmm_from"), _number("hmm_to"))
     instance = F.concat(F.lit("["), F.when(F.col("bit_score").isNull() & F.col("hmm_from").isNull(), short).otherwise(long), F.lit("]"))
-    by_feature = doc.instances.groupBy("protein_id", "tool", "feature").agg(_joined(F.col("i"), instance, "[", "]").alias("t"), F.min("i").alias("i"), F.first("feature_evalue").alias("feature_evalue"))
+    rows = doc.instances.select("protein_id", "tool", "feature", "feature_evalue", "i", instance.alias("t")).repartition("protein_id")
+    by_feature = rows.groupBy("protein_id", "tool", "feature").agg(_joined(F.col("i"), F.col("t"), "[", "]").alias("t"), F.min("i").alias("i"), F.first("feature_evalue").alias("feature_evalue"))
     feature = F.concat(_quoted(F.col("feature")), F.lit(':{"evalue":'), _number("feature_evalue"), F.lit(',"instance":'), F.col("t"), F.lit("}"))
-    by_tool = by_feature.groupBy("protein_id", "tool").agg(_joined(F.col("i"), feature, "{", "}").alias("t"), F.min("i").alias("i"))
-    if tools:
-        every = doc.proteins.select("protein_id", F.explode(F.array(*map(F.lit, tools))).alias("tool"))
-        by_tool = every.join(by_tool, ["protein_id", "tool"], "full").select("protein_id", "tool", F.coalesce("t", F.lit("{}")).alias("t"), "i")
-    tool = F.concat(_quoted(F.col("tool")), F.lit(":"), F.col("t"))
-    order = F.struct(F.coalesce("i", F.lit(1 << 30)).alias("i"), F.col("tool").alias("tool"))
-    whole = by_tool.groupBy("protein_id").agg(_joined(order, tool, ",", "").alias("t"))
+    whole = by_feature.groupBy("protein_id").agg(F.array_sort(F.collect_list(F.struct("i", "tool", feature.alias("t")))).alias("features"))
+    have = F.coalesce("features", F.array().cast(whole.schema["features"].dataType))
+    # tools in the order of their first instances; those without a feature come last, by name
+    every = F.array_distinct(F.concat(F.transform(have, lambda x: x["tool"]), F.array(*map(F.lit, sorted(tools))).cast("array<string>")))
+    own = lambda tool: F.transform(F.filter(have, lambda x: x["tool"] == tool), lambda x: x["t"])
+    listed = F.transform(every, lambda x: F.concat(F.lit(","), _quoted(x), F.lit(":{"), F.array_join(own(x), ","), F.lit("}")))
     head = F.concat(_quoted(F.col("protein_id")), F.lit(':{"length":'), F.coalesce(F.col("length").cast("string"), F.lit("null")))
-    return doc.proteins.join(whole, "protein_id", "left").select("protein_id", F.concat(head, F.coalesce("t", F.lit("")), F.lit("}")).alias("value"))
+    return doc.proteins.join(whole, "protein_id", "left").select("protein_id", F.concat(head, F.array_join(listed, ""), F.lit("}")).alias("value"))
 
 
 #: The sections of a document after its proteins, in order.
@@ -238,7 +238,8 @@ def document_lines(doc: Document, tools: Sequence[str] = (), documents: int = 1)
     so that no row holds more than a protein."""
     spark = doc.proteins.sparkSession
     shard = F.pmod(F.xxhash64(F.col("protein_id").cast("string")), F.lit(documents)).cast("int").alias("shard")
-    counts = counted_by(doc, shard) if documents > 1 else doc.counts.withColumn("shard", F.lit(0))
+    # written, so that the features' maps do not count them anew
+    counts = cut(counted_by(doc, shard) if documents > 1 else doc.counts.withColumn("shard", F.lit(0)), "feature-counts")
     features = counts.select("shard", "feature")
     every = spark.range(documents).select(F.col("id").cast("int").alias("shard"))
     maps = [
@@ -269,4 +270,5 @@ def write(doc: Document, path: str, name: str, tools: Sequence[str] = (), protei
     text whole (2 GB at most) unless it reads in parts, so that a large proteome had better not be one."""
     n = max(1, -(-doc.proteins.count() // proteins_per_document))
     document_lines(doc, tools, n).select("value").write.text(path)
+    drop_shuffles(doc.proteins.sparkSession)
     rename_files(doc.proteins.sparkSession, path, ".txt", lambda k, n: f"{name}.json" if n == 1 else f"{name}-{k:05d}.json")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..storage import cut
-from .positions import placed
+from . import document_parts
 
 _TOP = "feature map<string,map<string,string>>, clan map<string,string>, interproID map<string,string>, length map<string,string>, count map<string,string>, version map<string,map<string,string>>"
 _TOOL = "map<string,struct<evalue:string,instance:array<array<string>>>>"
@@ -20,12 +20,18 @@ def read_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return text.select("proteome", F.from_json("value", _TOP).alias("doc")).select("proteome", "doc.*")
 
 
+def _entries(documents: DataFrame, column: str, key: str, value: str) -> DataFrame:
+    """proteome and the entries of a map. The outer form is that for which Spark adds no filters on the map, each of which
+    parses the text once more."""
+    return documents.select("proteome", F.explode_outer(column).alias(key, value)).where(F.col(key).isNotNull())
+
+
 def instances(documents: DataFrame) -> DataFrame:
     """proteome, protein_id, length, tool, tool_pos, feature, feat_pos, feature_evalue, inst_pos, start, stop, evalue,
     bit_score, hmm_from, hmm_to. Values that are no numbers become null, which passes every cut."""
-    p = documents.select("proteome", F.explode("feature").alias("protein_id", "tools"))
+    p = _entries(documents, "feature", "protein_id", "tools")
     p = p.select("proteome", "protein_id", F.expr("try_cast(tools['length'] as int)").alias("length"), F.posexplode("tools").alias("tool_pos", "tool", "body")).where("tool <> 'length'")
-    f = p.withColumn("m", F.from_json("body", _TOOL)).select("proteome", "protein_id", "length", "tool", "tool_pos", F.posexplode("m").alias("feat_pos", "feature", "f"))
+    f = p.withColumn("m", F.from_json("body", _TOOL)).select("proteome", "protein_id", "length", "tool", "tool_pos", F.posexplode_outer("m").alias("feat_pos", "feature", "f")).where("feature is not null")
     i = f.select("*", F.expr("try_cast(f.evalue as double)").alias("feature_evalue"), F.posexplode("f.instance").alias("inst_pos", "x"))
     at = lambda k, t: F.expr(f"try_cast(get(x, {k}) as {t})")
     return i.select("proteome", "protein_id", "length", "tool", "tool_pos", "feature", "feat_pos", "feature_evalue", "inst_pos", at(0, "int").alias("start"), at(1, "int").alias("stop"), at(2, "double").alias("evalue"), at(3, "double").alias("bit_score"), at(4, "int").alias("hmm_from"), at(5, "int").alias("hmm_to"))
@@ -33,7 +39,7 @@ def instances(documents: DataFrame) -> DataFrame:
 
 def proteins(documents: DataFrame) -> DataFrame:
     """proteome, protein_id, length of every protein, those without features included."""
-    p = documents.select("proteome", F.explode("feature").alias("protein_id", "tools"))
+    p = _entries(documents, "feature", "protein_id", "tools")
     return p.select("proteome", "protein_id", F.expr("try_cast(tools['length'] as int)").alias("length"))
 
 
@@ -44,12 +50,12 @@ def dimension(documents: DataFrame, column: str, value: str) -> DataFrame:
 
 def dimension_rows(documents: DataFrame, column: str, value: str) -> DataFrame:
     """(feature, value) of a map, a row for each document that has the entry."""
-    return documents.select(F.explode(column).alias("feature", value))
+    return _entries(documents, column, "feature", value).drop("proteome")
 
 
 def versions(documents: DataFrame) -> DataFrame:
     """proteome, tool, info (map)."""
-    return documents.select("proteome", F.explode("version").alias("tool", "info"))
+    return _entries(documents, "version", "tool", "info")
 
 
 def read_in_parts(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -57,45 +63,30 @@ def read_in_parts(spark: SparkSession, path: str | list[str]) -> DataFrame:
     size: a document is cut at its closing braces, so that several tasks read it, and no row holds more than a protein
     or one of the other maps.
 
-    Whether a brace stands in a string, and how deep it is, follows from quotes and braces before it: they are counted
-    by split, the splits' counts are summed up (a row for each split goes through the ordered window), and then within
-    each split. Key order within a protein is kept. What is no JSON object gives no rows.
+    Whether a brace stands in a string, and how deep it is, follows from quotes and braces before it: a first reading
+    counts them by split, the splits' counts are summed up (a row for each split goes through the ordered window), and a
+    second one cuts each split into its entries. These are written; no text is sent but that of entries that lie in
+    several splits. Key order within a protein is kept. What is no JSON object gives no rows.
     """
-    pieces = placed(spark.read.option("lineSep", "}").text(path))
-    bare = F.regexp_replace("value", r"(?s)\\.", "")
-    outside = F.regexp_replace(bare, r'"[^"]*("|$)', "")
-    inside = F.regexp_replace(F.regexp_replace(bare, r'^[^"]*("|$)', ""), r'"[^"]*("|$)', "")
-    held = lambda c, x: F.length(c) - F.length(F.replace(c, F.lit(x), F.lit("")))
+    pieces = spark.read.option("lineSep", "}").text(path)
+    pieces = pieces.select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
+    before = Window.partitionBy("_file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = pieces.mapInArrow(document_parts.counts, document_parts.COUNTS)
+    splits = splits.withColumn("inside", (F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2).cast("int"))
+    chosen = lambda c: F.when(F.col("inside") == 0, F.col(f"{c}_0")).otherwise(F.col(f"{c}_1"))
+    splits = splits.withColumn("depth", F.coalesce(F.sum(chosen("change")).over(before), F.lit(0)).cast("int"))
+    # the section that a split begins in is the last one that an earlier split opens
+    splits = splits.withColumn("key", F.last(F.try_element_at(chosen("open"), 2 - F.col("depth")), ignorenulls=True).over(before))
     name = F.regexp_extract(F.element_at(F.split("_file", "/"), -1), r"^(.*?)(-[0-9]{5})?(\.json)?$", 1)
-    pieces = pieces.select("*", name.alias("proteome"), held(bare, '"').alias("quotes"), held(outside, "{").alias("open_0"), held(inside, "{").alias("open_1"))
-    split = ["_file", "_start"]
-    to_here = Window.partitionBy(*split).orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)
-    splits = Window.partitionBy("_file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
-
-    def summed(rows: DataFrame, column: str, to: str) -> DataFrame:
-        """``to``: the sum of ``column`` over the rows of the file up to each row."""
-        before = rows.groupBy(*split).agg(F.sum(column).alias("s")).select(*split, F.coalesce(F.sum("s").over(splits), F.lit(0)).alias("_before"))
-        return rows.withColumn(to, F.sum(column).over(to_here)).join(before, split).withColumn(to, F.col(to) + F.col("_before")).drop("_before")
-
-    rows = cut(summed(pieces, "quotes", "quoted"), "document-pieces")
-    rows = rows.withColumn("ends", F.col("quoted") % 2 == 0)
-    starts_outside = (F.col("quoted") - F.col("quotes")) % 2 == 0
-    rows = rows.withColumn("change", F.when(starts_outside, F.col("open_0")).otherwise(F.col("open_1")) - F.col("ends").cast("int"))
-    rows = cut(summed(rows, "change", "depth").drop("quotes", "open_0", "open_1", "quoted", "change"), "document-depths")
-    # an entry ends with a brace that leaves its section open, a section with one that leaves the document open
-    for depth, column in ((2, "entry"), (1, "section")):
-        rows = rows.withColumn("mark", (F.col("ends") & (F.col("depth") <= depth)).cast("int"))
-        rows = summed(rows, "mark", column).withColumn(column, F.col(column) - F.col("mark"))
-    place = F.struct("_start", "_row", "value")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(place)), lambda x: x["value"]), "}")
-    entries = rows.groupBy("_file", "proteome", "section", "entry").agg(text.alias("text"), F.min("depth").alias("depth"))
-    # the first entry of a section begins with the section's key
-    opening = r'"((?:[^"\\]|\\.)*)"\s*:\s*\{'
-    entries = cut(entries, "document-entries")
-    firsts = entries.groupBy("_file", "section").agg(F.min("entry").alias("entry"))
-    keys = entries.join(firsts, ["_file", "section", "entry"]).select("_file", "section", F.col("entry").alias("first"), F.regexp_extract("text", opening, 1).alias("key"))
-    rest = F.when(F.col("entry") == F.col("first"), F.regexp_replace("text", r"(?s)^.*?" + opening, "")).otherwise(F.regexp_replace("text", r"^[\s,]*", ""))
-    # written, so that Spark sees how few they are: a section, which may be all of a document, is not gathered
-    entries = entries.join(cut(keys, "document-keys"), ["_file", "section"]).withColumn("rest", rest).where(r"trim(rest) <> '' and rest rlike '\\S'")
-    whole = F.concat(F.lit('{"'), F.col("key"), F.lit('":{'), F.col("rest"), F.when(F.col("depth") >= 2, F.lit("}")).otherwise(F.lit("")), F.lit("}}"))
-    return entries.select("proteome", F.from_json(whole, _TOP).alias("doc")).where("doc is not null").select("proteome", "doc.*")
+    splits = cut(splits.select("_file", "_start", name.alias("proteome"), "inside", "depth", "key"), "document-splits")
+    rows = pieces.join(F.broadcast(splits), ["_file", "_start"])
+    rows = cut(rows.mapInArrow(document_parts.entries, document_parts.ENTRIES), "document-entries")
+    # parts of one entry: from one that begins to one that ends
+    to_here = Window.partitionBy("_file").orderBy("_start", "part").rowsBetween(Window.unboundedPreceding, 0)
+    parts = rows.where("part is not null").withColumn("entry", F.sum("part").over(to_here))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_start", "part", "text"))), lambda x: x["text"]), "")
+    joined = parts.groupBy("_file", "entry").agg(F.first("proteome").alias("proteome"), F.max_by("section", "part").alias("section"), text.alias("text"), F.max("ends").alias("ends"), F.max("part").alias("begins"))
+    joined = joined.where("ends and begins = 1").select("proteome", "section", F.regexp_replace("text", r"^[\s,]+|[\s,]+$", "").alias("text")).where("text <> ''")
+    every = rows.where("part is null").select("proteome", "section", "text").union(joined)
+    whole = F.concat(F.lit('{"'), F.col("section"), F.lit('":{'), F.col("text"), F.lit("}}"))
+    return every.select("proteome", F.from_json(whole, _TOP).alias("doc")).select("proteome", "doc.*")
