@@ -203,14 +203,15 @@ def candidates(posts: DataFrame) -> tuple[DataFrame, DataFrame]:
     Every member of a group meets two of its members, which the group's own order of fingerprints puts
     first and last: all pairs in groups of up to three, and in longer ones, which are mostly groups of copies, other
     pairs in each group. Both ends are minima, combined before the shuffle, and meet the list in an equi-join, so that
-    no group is gathered and the pairs grow as the rows. What such pairs leave apart in a longer group ``left_apart``
-    compares.
+    no group is gathered and the pairs grow as the rows. A text is in as many lists as the index has keys at most; an end
+    that it meets in several of them makes one pair. What such pairs leave apart in a longer group ``left_apart`` compares.
     """
     order = F.col("fp").bitwiseXOR(F.col("key"))
     ends = posts.groupBy("key").agg(F.min(order).alias("lo"), F.max(order).alias("hi"), F.min("fp").alias("first"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
     met = cut(posts.join(ends, "key"), "lists")
-    pairs = met.select("fp", F.explode(F.array(F.col("lo").bitwiseXOR(F.col("key")), F.col("hi").bitwiseXOR(F.col("key")))).alias("end"))
-    pairs = pairs.where("fp <> end").select(F.greatest("fp", "end").alias("a"), F.least("fp", "end").alias("b")).distinct()
+    lo, hi = (F.collect_set(F.col(c).bitwiseXOR(F.col("key"))).alias(c) for c in ("lo", "hi"))
+    texts = met.groupBy("fp").agg(lo, hi).select("fp", F.array_remove(F.array_union("lo", "hi"), F.col("fp")).alias("ends"))
+    pairs = texts.select("fp", F.explode("ends").alias("end")).select(F.greatest("fp", "end").alias("a"), F.least("fp", "end").alias("b")).distinct()
     return pairs, met.where("n > 3").select("key", "fp", "first", "n")
 
 
