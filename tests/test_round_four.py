@@ -66,7 +66,7 @@ def test_documents_in_splits_of_any_size(spark, tmp_path, size):
 
 
 def test_documents_are_read_without_sending_their_text(spark, tmp_path):
-    """Pieces of the text were sent five times and written three times before, and an entry was parsed five times."""
+    """Pieces of the text were sent four times and written three times before, and an entry was parsed four times."""
     (tmp_path / "d.json").write_text(json.dumps(_odd_document(random.Random(3), 40)))
     folder = spark._jvm.org.apache.hadoop.fs.Path(f"{storage.shared_dir(spark)}/{spark.sparkContext.applicationId}")
     fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
